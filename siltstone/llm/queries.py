@@ -2,12 +2,28 @@
 
 from __future__ import annotations
 
+from .ann import op9_nearest
+from .decontaminate import op10_decontamination
 from .packing import op7_best_fit_packing
+from .pii import op5_personal_data
+from .quality import op4_quality
+from .rindex import op3_repeated_strings
+from .simhash import op2_simhash_components
+from .substrings import op1_substring_dedup
 from .tokens import op8_token_files
+from .toxicity import op6_toxicity
 
 QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
+    "op2_simhash_components": op2_simhash_components,
+    "op3_repeated_strings": op3_repeated_strings,
+    "op4_quality": op4_quality,
+    "op5_personal_data": op5_personal_data,
+    "op6_toxicity": op6_toxicity,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_token_files": op8_token_files,
+    "op9_nearest": op9_nearest,
+    "op10_decontamination": op10_decontamination,
 }
 
 SQL: dict[str, str] = {}
