@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, text_chunks
-from .tokens import WordEncoder
+from .tokens import worker_encoder
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -20,7 +20,7 @@ def cut_documents(tokenizer: str, keeps_space: bool, end_id: int, capacity: int,
     """A function for mapInArrow: the pieces of each document, of `capacity` ids at most, with a checksum."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer, keeps_space)
+        encoder = worker_encoder(tokenizer, keeps_space)
         for chunk in text_chunks(batches):
             ids, ends = encoder.encode(chunk.column("text").to_pylist())
             ids = np.insert(ids, ends[1:], end_id).astype("<u4")

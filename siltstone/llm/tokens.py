@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from array import array
@@ -9,7 +10,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,73 +17,154 @@ from .common import new_path, text_chunks
 
 #: Before a single space between two visible characters every byte-level pre-tokenizer starts a new word.
 SAFE_CUT = re.compile(r"(?<=\S)(?= \S)")
+#: Latin letters (composed ones, which normalisation leaves alone), then marks that no pre-tokenizer joins to a letter.
+PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?*#$%&|]*)").fullmatch
+#: The visible signs that byte-level vocabularies write for bytes: printable Latin-1 as it is, the rest from 256 on.
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_SIGNS = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(_SHOWN)))}
 
 
 class _Words(dict):
-    """Word -> number; words that are not known yet are encoded when first asked for."""
+    """Word (str: after a space; tuple: as it stands) -> its number; learns a word when first asked for it."""
 
-    def __init__(self, encode, lead: str):
+    def __init__(self, encoded):
         super().__init__()
-        self.encode, self.lead = encode, lead
-        self.reset()
-
-    def reset(self) -> None:
-        self.clear()
+        self.encoded = encoded
         self.ids, self.ends = array("I"), array("q", [0])
 
     def __missing__(self, word):
-        if isinstance(word, str) and self.lead and (not word or word[0].isspace() or word[-1].isspace()):
-            self[word] = -1  # white space beside the space: the text can't be cut here
+        ids = self.encoded(word)
+        if ids is None:
+            self[word] = -1
             return -1
-        piece = self.lead + word if isinstance(word, str) else word[0]
-        self.ids.extend(self.encode(piece))
+        self.ids.extend(ids)
+        self[word] = n = len(self.ends) - 1
         self.ends.append(len(self.ids))
-        self[word] = n = len(self.ends) - 2
         return n
 
 
 class WordEncoder:
     """Encodes texts as the tokenizer file does, word by word with a bounded cache.
 
-    Texts are only cut where no token can span: at spaces for a vocabulary that drops white space
-    (`keeps_space=False`), before a space between visible characters for a byte-level one. Each piece is
-    encoded by the tokenizers library; so ids equal those of the whole text.
+    Texts are only cut where no token can span. At spaces for a vocabulary that drops white space (`keeps_space=False`),
+    before a space between visible characters for a byte-level one; words then at a single line feed between visible
+    characters, and between a letter and the marks that end a word. The tokenizers library encodes each piece, so ids
+    equal those of the whole text; for plain Latin words its model is called directly, without its offsets. A text where
+    white space meets a space is cut by SAFE_CUT alone.
     """
 
-    def __init__(self, path: str, keeps_space: bool, cached_ids: int = 2_000_000):
+    def __init__(self, path: str, keeps_space: bool, cached_words: int = 800_000):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals out the work
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.words = _Words(lambda piece: self.tokenizer.encode(piece, add_special_tokens=False).ids, " " if keeps_space else "")
-        self.keeps_space, self.cached_ids = keeps_space, cached_ids
-
-    def _numbers(self, text: str) -> np.ndarray:
-        parts, number = text.split(" "), self.words.__getitem__
+        self.model = self.tokenizer.model
+        self.keeps_space, self.cached_words = keeps_space, cached_words
+        self.line_feed = self._whole("\n")
+        self._reset()
+
+    def _reset(self) -> None:
+        self.words = _Words(self._encoded)
+        self.marks: dict[str, list[int]] = {}
+        self.hits = np.zeros(0, np.int64)
+
+    def _forget(self) -> None:
+        """Drop words that were rarely asked for; all, if that leaves too many."""
+        old, hits = self.words, self.hits
+        kept = [w for w, n in old.items() if n >= 0 and n < len(hits) and hits[n] > 2]
+        self._reset()
+        if len(kept) < self.cached_words // 2:
+            ends = old.ends
+            for w in kept:
+                n = old[w]
+                self.words.ids.extend(old.ids[ends[n] : ends[n + 1]])
+                self.words[w] = len(self.words.ends) - 1
+                self.words.ends.append(len(self.words.ids))
+
+    def _whole(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _plain(self, lead: str, word: str) -> list[int] | None:
+        """Ids of Latin letters with marks after them; such letters are one pre-token for the library's model."""
+        found = PLAIN(word)
+        if not found:
+            return None
+        stem, marks = found.groups()
         if not self.keeps_space:
-            return np.fromiter(map(number, parts), np.int64, len(parts))
-        if parts[0] and not parts[0][-1].isspace():
-            out = np.empty(len(parts), np.int64)
-            out[0] = number((parts[0],))
-            out[1:] = np.fromiter(map(number, parts[1:]), np.int64, len(parts) - 1)
-            if out.min() >= 0:
-                return out
-        parts = SAFE_CUT.split(text)
-        return np.fromiter((number((p,)) for p in parts), np.int64, len(parts))
+            stem = stem.lower()
+        if stem.isascii():
+            piece = "\u0120" + stem if lead else stem  # the sign for a space
+        else:
+            piece = (lead + stem).encode().decode("latin-1").translate(BYTE_SIGNS)
+        ids = [t.id for t in self.model.tokenize(piece)]
+        if marks:
+            if marks not in self.marks:
+                self.marks[marks] = self._whole(marks)
+            ids += self.marks[marks]
+        return ids
+
+    def _encoded(self, word: str | tuple) -> list[int] | None:
+        """Ids of a word; None if its text can't be cut at the space before or after it."""
+        if isinstance(word, tuple):
+            return self._whole(word[0])
+        lead = " " if self.keeps_space else ""
+        ids = self._plain(lead, word)
+        if ids is not None:
+            return ids
+        lines = word.split("\n")
+        if self.keeps_space:
+            if not word or word[0].isspace() or word[-1].isspace():
+                return None
+            if any(not x or x[0].isspace() or x[-1].isspace() for x in lines):
+                return self._whole(" " + word)
+        ids = []
+        for i, line in enumerate(lines):
+            if i and self.keeps_space:
+                ids += self.line_feed
+            part = self._plain("" if i else lead, line)
+            ids += self._whole(line if i else lead + line) if part is None else part
+        return ids
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row (uint32), and where each text's ids end, with a leading 0. None counts as empty."""
-        if len(self.words.ids) > self.cached_ids:
-            self.words.reset()
-        numbers = [self._numbers(t) if t else np.empty(0, np.int64) for t in texts]
+        if len(self.words) > self.cached_words:
+            self._forget()
+        number = self.words.__getitem__
+        numbers = []
+        for text in texts:
+            row: list = text.split(" ") if text else []
+            if row and self.keeps_space:
+                cut = row[0] and not row[0][-1].isspace()
+                row[0] = (row[0],)
+                x = np.fromiter(map(number, row), np.int64, len(row)) if cut else None
+                if x is None or x.min() < 0:
+                    row = [(p,) for p in SAFE_CUT.split(text)]
+                    x = np.fromiter(map(number, row), np.int64, len(row))
+            else:
+                x = np.fromiter(map(number, row), np.int64, len(row))
+            numbers.append(x)
         flat = np.concatenate(numbers) if numbers else np.empty(0, np.int64)
         ends, ids = np.array(self.words.ends), np.array(self.words.ids, dtype=np.uint32)
+        hits = np.bincount(flat, minlength=len(ends))
+        hits[: len(self.hits)] += self.hits
+        self.hits = hits
         sizes = ends[flat + 1] - ends[flat]
         upto = np.concatenate([[0], np.cumsum(sizes)])
         at = np.arange(upto[-1]) + np.repeat(ends[flat] - upto[:-1], sizes)
         return ids[at], upto[np.concatenate([[0], np.cumsum([len(x) for x in numbers])]).astype(np.int64)]
 
 
+_ENCODERS: dict[tuple[str, bool], WordEncoder] = {}
+
+
+def worker_encoder(path: str, keeps_space: bool) -> WordEncoder:
+    """The encoder of this Python worker, with what it has cached in earlier tasks."""
+    if (path, keeps_space) not in _ENCODERS:
+        _ENCODERS[path, keeps_space] = WordEncoder(path, keeps_space)
+    return _ENCODERS[path, keeps_space]
+
+
 def encode_documents(path: str, keeps_space: bool, end_id: int):
     """A function for mapInArrow that keeps doc_id and yields ids (with the end id) as lists, in the order given.
 
@@ -91,7 +172,7 @@ def encode_documents(path: str, keeps_space: bool, end_id: int):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, before = WordEncoder(path, keeps_space), 0
+        encoder, before = worker_encoder(path, keeps_space), 0
         for chunk in text_chunks(batches):
             ids, ends = encoder.encode(chunk.column("text").to_pylist())
             ids = np.insert(ids, ends[1:], end_id).astype(np.int32)

@@ -13,7 +13,7 @@ from .helpers import documents, prose, save
 
 ODD = [
     "", " ", "a", None, "Hello  world", " lead", "trail ", "a\n b", "a \nb\n\nc", "tab\t x\x1cy", "it's 12 o'clock, 1999!", "<|endoftext|> is text", "É é é ß x",
-    "x" * 5000, "word " * 3000, "　wide　space", "a" * 50 + "!" * 50, "日本語 text 混ぜる", "emoji 👩‍👩‍👧 end", "́ mark", "'s 's it's 'S",
+    "x" * 5000, "word " * 3000, "　wide　space", "a" * 50 + "!" * 50, "日本語 text 混ぜる", "Élan vital, naïve*** straße! ÀÉÎ|", "dont't ÿ's x'", "emoji 👩‍👩‍👧 end", "́ mark", "'s 's it's 'S",
 ]
 
 
@@ -26,8 +26,8 @@ def reference(name, texts):
 @pytest.mark.parametrize(("name", "keeps"), [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
 def test_word_encoder_equals_library(name, keeps):
     rng = random.Random(1)
-    texts = [*ODD, *("".join(rng.choice("ab 'sé\n\t.1 ") for _ in range(60)) for _ in range(300))]
-    encoder = WordEncoder(public_tokenizers.path(name), keeps, cached_ids=50)
+    texts = [*ODD, *("".join(rng.choice("abAB 'sé\n\t.1 *!ß") for _ in range(60)) for _ in range(300))]
+    encoder = WordEncoder(public_tokenizers.path(name), keeps, cached_words=50)
     for _ in range(2):
         ids, ends = encoder.encode(texts)
         assert [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:])] == reference(name, texts)
