@@ -14,6 +14,8 @@ from .common import materialize
 
 #: Query rows scored at once.
 ROWS = 512
+#: A replica is left out if a list taken already lies closer to its list than this share of the vector's squared distance.
+SPACING = 0.25
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -100,7 +102,7 @@ class Index:
         return np.take_along_axis(top, order, 1), np.maximum(np.take_along_axis(d, order, 1) + (x**2).sum(1)[:, None], 0)
 
 
-def fit(vectors: DataFrame, sample: int = 40_000, list_rows: int = 64, most_lists: int = 2048, degree: int = 24, seed: int = 11) -> Index | None:
+def fit(vectors: DataFrame, sample: int = 40_000, list_rows: int = 256, most_lists: int = 2048, degree: int = 24, seed: int = 11) -> Index | None:
     """An index from about `sample` vectors, chosen by a hash of vec_id; all vectors are indexed with it later.
 
     There are about one list for each `list_rows` of the sample, `most_lists` at most; so the index is a few MB,
@@ -129,11 +131,12 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def _dealt(index: Index, query: bool, ratio: float, most: int, beam: int):
-    """For mapInArrow: a row for each list of a vector. Lists beyond (1 + ratio) times the nearest distance are pruned.
+def _dealt(index: Index, query: bool, ratio: float, most: int, beam: int, sizes: np.ndarray | None = None, least: int = 0):
+    """For mapInArrow: a row for each list of a vector. Lists beyond (1 + ratio) times the nearest distance are pruned,
+    but not before the lists taken hold `least` entries by `sizes`.
 
-    For a data vector a list is also skipped if one of its nearer lists lies closer to that list than the vector does,
-    so that replicas cross different boundaries.
+    For a data vector a list is also skipped if one of its nearer lists lies much closer to that list than the vector
+    does (SPACING), so that replicas cross different boundaries.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,11 +147,14 @@ def _dealt(index: Index, query: bool, ratio: float, most: int, beam: int):
                 x = index.lift(_matrix(batch.column("embedding")), query)
                 lists, d = index.nearest(x, most, beam)
                 keep = np.sqrt(d) <= (1 + ratio) * np.sqrt(d[:, :1]) + 1e-12
+                if sizes is not None:
+                    held = np.cumsum(sizes[lists], axis=1)
+                    keep |= held - sizes[lists] < least
                 if not query:
                     for j in range(1, lists.shape[1]):
                         for i in range(j):
                             between = ((c[lists[:, i]] - c[lists[:, j]]) ** 2).sum(1)
-                            keep[:, j] &= ~(keep[:, i] & (between < d[:, j]))
+                            keep[:, j] &= ~(keep[:, i] & (between < SPACING * d[:, j]))
                 of, at = np.nonzero(keep)
                 yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(of)), batch.column("embedding").take(pa.array(of)), pa.array(lists[of, at].astype(np.int32))], names=["id", "embedding", "list"])
 
@@ -179,7 +185,7 @@ def _search(top: int):
     return run
 
 
-def neighbours(vectors: DataFrame, every: int = 20, k: int = 20, probe_ratio: float = 0.25, most_probes: int = 48, replicas: int = 4, boundary: float = 0.1, shard_rows: int = 4096, **index_options) -> DataFrame:
+def neighbours(vectors: DataFrame, every: int = 20, k: int = 20, probe_ratio: float = 0.145, most_probes: int = 192, replicas: int = 3, boundary: float = 0.05, shard_rows: int = 4096, **index_options) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest vectors found for each vector whose vec_id is divisible by `every`.
 
     Equal vectors are one entry with its k + 1 smallest vec_ids (no other can be among the k nearest), as candidates
@@ -200,10 +206,15 @@ def neighbours(vectors: DataFrame, every: int = 20, k: int = 20, probe_ratio: fl
     entries = materialize(entries, "entries")
     dealt = "id long, embedding array<double>, list int"
     postings = materialize(entries.select("id", "embedding").mapInArrow(_dealt(index, False, boundary, replicas, 4 * replicas), dealt), "postings")
+    # at most most_lists rows
+    counts = {r["list"]: r["n"] for r in postings.groupBy("list").agg(F.count("*").alias("n")).collect()}
+    sizes = np.array([counts.get(i, 0) for i in range(len(index.centroids))])
+    # an entry is in `replicas` lists at most, so these many hold k others whichever lists they are
+    least = replicas * (k + 1)
+    probes = max(most_probes, int(np.searchsorted(np.cumsum(np.sort(sizes)), least)) + 1)
     distinct = asked.groupBy("embedding").agg(F.min("vec_id").alias("id")).select("id", "embedding")
-    queries = materialize(distinct.mapInArrow(_dealt(index, True, probe_ratio, most_probes, 2 * most_probes), dealt), "probes")
-    # at most most_lists rows each
-    held = {r["list"]: -(-r["n"] // shard_rows) for r in postings.groupBy("list").agg(F.count("*").alias("n")).collect()}
+    queries = materialize(distinct.mapInArrow(_dealt(index, True, probe_ratio, probes, 2 * probes, sizes, least), dealt), "probes")
+    held = {i: -(-n // shard_rows) for i, n in counts.items()}
     wanted = {r["list"]: -(-r["n"] // (4 * shard_rows)) for r in queries.groupBy("list").agg(F.count("*").alias("n")).collect()}
     shards = spark.createDataFrame([(i, held.get(i, 1), wanted.get(i, 1)) for i in range(len(index.centroids))], "list int, shards int, parts int")
     # bounded by most_lists

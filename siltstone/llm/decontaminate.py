@@ -67,7 +67,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = 5, coverage: float
     each = items.select("item_id", "w", "t", F.posexplode(_windows("t", width)).alias("ipos", "hash"))
     each = each.select("item_id", "ipos", "hash", F.slice("t", F.col("ipos") + 1, width).alias("slots"), F.slice("w", F.col("ipos") + 1, width).alias("iwords"))
     each = each.where(F.size(F.filter("slots", lambda x: ~F.startswith(x, F.lit("<")))) >= literals)
-    totals = each.groupBy("item_id").agg(F.count_distinct("hash").alias("windows"))
+    each = each.withColumn("windows", F.size(F.collect_set("hash").over(Window.partitionBy("item_id"))))
     few = each.limit(broadcast_windows + 1).count() <= broadcast_windows
     side = F.broadcast(each) if few else each
 
@@ -77,11 +77,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = 5, coverage: float
     matched = found.join(side, "hash")
     if few:
         matched = matched.withColumn("dwords", F.slice("w", F.col("pos") + 1, width))
-    matched = matched.select("doc_id", "item_id", "hash", "pos", (F.col("pos") - F.col("ipos")).alias("diagonal"), "slots", "iwords", "dwords")
+    matched = matched.select("doc_id", "item_id", "hash", "pos", "windows", (F.col("pos") - F.col("ipos")).alias("diagonal"), "slots", "iwords", "dwords")
     # a first look without slots keeps only pairs that can reach the coverage
     pair = ["doc_id", "item_id"]
     whole = Window.partitionBy(*pair)
-    numbered = matched.join(F.broadcast(totals) if few else totals, "item_id").withColumn("reach", F.size(F.collect_set("hash").over(whole))).where(F.col("reach") >= F.col("windows") * coverage)
+    numbered = matched.withColumn("reach", F.size(F.collect_set("hash").over(whole))).where(F.col("reach") >= F.col("windows") * coverage)
     slots = F.filter(F.arrays_zip("slots", "iwords", "dwords"), lambda x: F.startswith(x["slots"], F.lit("<")))
     values = F.transform(slots, lambda x: F.struct(F.concat_ws(" ", x["slots"], x["iwords"]).alias("item"), x["dwords"].alias("doc")))
     line = Window.partitionBy(*pair, "diagonal")

@@ -117,7 +117,7 @@ def _labelled(found: Column, kind: Column | str) -> Column:
 
 def _kind(hit: Column) -> Column:
     return (
-        F.when(hit.rlike("^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), "tax_id").when(hit.rlike("^[(0-9]{3,4}[^0-9]"), "phone_local").when(hit.rlike("^[0-9]{13,15}$"), "short_card")
+        F.when(hit.rlike("^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), "tax_id").when(hit.rlike("^(\\(|[0-9]{3}[. -][0-9]{3}[. -])"), "phone_local").when(hit.rlike("^[0-9]{13,15}$"), "short_card")
         .when(hit.rlike("^[A-Z]{2}[0-9]{2}[A-Z0-9]*[G-Z][A-Z0-9]*$"), "iban").when(hit.rlike("^[0-9a-fA-F]{32,}$"), "secret").otherwise("iban")
     )
 

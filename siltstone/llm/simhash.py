@@ -18,15 +18,18 @@ BITS = 64
 STEP = 50_000
 
 
-def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
+def fingerprint(text: str | None, shingle: int = 3, seed: int = 42, letters: int = 0) -> int:
     """The 64-bit SimHash of a text: majority of each bit over the XXH64 of all its word shingles, repeats included.
 
     Words are runs between ASCII white space, A-Z lower-cased. Fewer words than a shingle: the whole sequence counts
-    once; no words (or null): zero.
+    once; no words (or null): zero. With `letters`, only words of as many bytes count, if there are at least eight.
     """
     from xxhash import xxh64_digest
 
     words = (text or "").encode().lower().split()
+    if letters:
+        long = [w for w in words if len(w) >= letters]
+        words = long if len(long) >= 8 else words
     if not words:
         return 0
     shingles = max(1, len(words) - shingle + 1)
@@ -40,12 +43,12 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(2 * ones > shingles).tobytes(), "big", signed=True)
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame:
+def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42, letters: int = 0) -> DataFrame:
     """doc_id and fp (the fingerprint as a signed long) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in text_chunks(batches):
-            fps = [fingerprint(t, shingle, seed) for t in chunk.column("text").to_pylist()]
+            fps = [fingerprint(t, shingle, seed, letters) for t in chunk.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([chunk.column("doc_id").cast(pa.int64()), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
@@ -66,32 +69,39 @@ def _signed(x: int) -> int:
     return x - (1 << BITS) if x >> (BITS - 1) else x
 
 
-def links(fps: DataFrame, radius: int = 2) -> DataFrame:
+def links(fps: DataFrame, radius: int = 2, pairs_up_to: int = 1) -> DataFrame:
     """Edges (u, v), u > v, that connect what is linked: distinct fingerprints `fp` at `radius` (even) or fewer bits.
 
-    Candidates are fingerprints that share their masked bits with another one in some table. For two candidates within
-    the radius that meet in table v all differing bits are among those that v drops; so flipping at most half of the
-    radius of these bits in either gives a common value, their hub. Candidates of a hub are within the radius of each
-    other, and there are at most C(64, radius / 2) + ... of them, whatever the data: each hub gives a star around its
-    smallest member. So no bucket is ever gathered or paired off.
+    Candidates are fingerprints that share their masked bits with others in some table. Buckets of up to `pairs_up_to`
+    are paired off. For all larger ones: of two candidates within the radius that meet in a table, all differing bits are
+    among those that its mask drops; so flipping at most half of the radius of these bits in either gives a common value,
+    their hub. Candidates of a hub are within the radius of each other, and are at most as many as such flips, whatever
+    the data: each hub gives a star around its smallest member. So no large bucket is ever gathered or paired off.
     """
-    if radius % 2:
-        raise ValueError("the radius must be even")
-    tables = [(k, m) for k, m in enumerate(masks(radius))]
+    if radius % 2 or not 0 <= radius <= 4:
+        raise ValueError("the radius must be 0, 2 or 4")
+    tables = list(enumerate(masks(radius)))
+    whole = (1 << BITS) - 1
     keyed = fps.select("fp", F.explode(F.array(*(F.struct(F.lit(k).alias("table"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for k, m in tables))).alias("t")).select("fp", "t.table", "t.key")
-    shared = keyed.groupBy("table", "key").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    candidates = keyed.join(shared, ["table", "key"]).groupBy("fp").agg(F.bit_or(F.expr("shiftleft(1L, table)")).alias("tables")) if len(tables) < 63 else None
-    if candidates is None:
-        raise ValueError("the radius is too large")
+    if pairs_up_to > 1:
+        keyed = materialize(keyed, "buckets")
+    shared = keyed.groupBy("table", "key").agg(F.count("*").alias("n")).where("n > 1")
+    in_shared = keyed.join(shared, ["table", "key"])
+    candidates = in_shared.where(F.col("n") > pairs_up_to).groupBy("fp").agg(F.bit_or(F.expr("shiftleft(1L, table)")).alias("tables"))
     # the bits each candidate may flip: those that one of its tables drops
     free = F.lit(0).cast("long")
     for k, m in tables:
-        free = free.bitwiseOR(F.when(F.col("tables").bitwiseAND(F.lit(1 << k)) != 0, F.lit(_signed(~m & (1 << BITS) - 1))).otherwise(F.lit(0).cast("long")))
+        free = free.bitwiseOR(F.when(F.col("tables").bitwiseAND(F.lit(1 << k)) != 0, F.lit(_signed(~m & whole))).otherwise(F.lit(0).cast("long")))
     flips = [0, *(sum(1 << i for i in c) for k in range(1, radius // 2 + 1) for c in combinations(range(BITS), k))]
     values = F.filter(F.array(*(F.lit(_signed(x)) for x in flips)), lambda x: x.bitwiseAND(F.col("free")) == x)
     hubs = candidates.withColumn("free", free).select("fp", F.explode(values).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("hub"))
     star = hubs.groupBy("hub").agg(F.min("fp").alias("v"), F.collect_list("fp").alias("all")).where(F.size("all") > 1)
-    return star.select(F.explode("all").alias("u"), "v").where("u <> v").distinct()
+    edges = star.select(F.explode("all").alias("u"), "v").where("u <> v")
+    if pairs_up_to > 1:
+        small = in_shared.where(F.col("n") <= pairs_up_to).groupBy("table", "key").agg(F.collect_list("fp").alias("all"))
+        pairs = small.select("all", F.explode("all").alias("u")).select("u", F.explode("all").alias("v")).where("u > v")
+        edges = edges.unionByName(pairs.where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= radius))
+    return edges.distinct()
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -134,6 +144,65 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, seed: int = 42, radius: i
     return prints.join(materialize(named, "named"), "fp")
 
 
+def shingle_sets(docs: DataFrame, shingle: int = 5) -> DataFrame:
+    """doc_id and the distinct hashes of a text's word shingles (fewer words: the whole sequence)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_digest
+
+        for chunk in text_chunks(batches):
+            sets = []
+            for text in chunk.column("text").to_pylist():
+                words = (text or "").encode().lower().split()
+                joined = map(b" ".join, zip(*(words[i:] for i in range(shingle)))) if len(words) >= shingle else [b" ".join(words)]
+                sets.append(np.unique(np.frombuffer(b"".join(map(xxh64_digest, joined)), ">i8").astype(np.int64)))
+            ends = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([chunk.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], names=["doc_id", "shingles"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, shingles array<long>")
+
+
+def _printed(docs: DataFrame, letters: int) -> DataFrame:
+    """doc_id, fp over single long words, and a digest of the text's words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import hashlib
+
+        for chunk in text_chunks(batches):
+            texts = chunk.column("text").to_pylist()
+            same = [hashlib.sha256(b" ".join(t.encode().lower().split())).digest()[:16] for t in texts]
+            yield pa.RecordBatch.from_arrays([chunk.column("doc_id"), pa.array([fingerprint(t, 1, letters=letters) for t in texts], pa.int64()), pa.array(same, pa.binary())], names=["doc_id", "fp", "same"])
+
+    return docs.mapInArrow(run, "doc_id long, fp long, same binary")
+
+
+def repeated_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, radius: int = 4, letters: int = 7) -> DataFrame:
+    """doc_id of each row that another document stands for: all but the smallest doc_id of each group.
+
+    Groups are connected components of links; a link is a pair whose sets of word shingles have at least `similarity`
+    (Jaccard) and whose fingerprints, over long words, differ in `radius` bits or fewer. Texts with equal words are one
+    node. Rows with a null doc_id are never listed; rows with equal doc_id count as one document; null and empty texts
+    are copies of each other.
+    """
+    text = F.coalesce("text", F.lit(""))
+    known = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    prints = materialize(_printed(known, letters), "prints")
+    nodes = materialize(prints.groupBy("same").agg(F.min("doc_id").alias("node"), F.min("fp").alias("fp")), "nodes")
+    heads = nodes.groupBy("fp").agg(F.min("node").alias("head"))
+    inside = nodes.join(heads, "fp").where("node <> head").select(F.col("node").alias("u"), F.col("head").alias("v"))
+    across = links(heads.select("fp"), radius, pairs_up_to=32)
+    across = across.join(heads.select(F.col("fp").alias("u"), F.col("head").alias("a")), "u").join(heads.select(F.col("fp").alias("v"), F.col("head").alias("b")), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    pairs = materialize(inside.unionByName(across).distinct(), "candidates")
+    asked = pairs.select(F.col("u").alias("doc_id")).unionByName(pairs.select(F.col("v").alias("doc_id"))).distinct()
+    sets = materialize(shingle_sets(known.join(asked, "doc_id", "left_semi"), shingle), "shingles")
+    met = pairs.join(sets.select(F.col("doc_id").alias("u"), F.col("shingles").alias("x")), "u").join(sets.select(F.col("doc_id").alias("v"), F.col("shingles").alias("y")), "v")
+    both = F.size(F.array_intersect("x", "y"))
+    linked = met.where(both >= similarity * (F.size("x") + F.size("y") - both)).select("u", "v")
+    roots = components(linked)
+    named = nodes.join(roots, "node", "left").select("same", F.coalesce("root", "node").alias("first"))
+    return prints.join(named, "same").where("doc_id <> first").select("doc_id").distinct()
+
+
 def op2_simhash_components(spark, sf_dir: str) -> DataFrame:
     found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

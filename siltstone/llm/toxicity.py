@@ -250,6 +250,18 @@ def score(docs: DataFrame, model: ToxicityModel, expected: float = 0.05) -> Data
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, segments long, passages array<struct<first_token int, end_token int, evidence double>>")
 
 
+def keep_clean(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7) -> DataFrame:
+    """The rows of docs, with all their columns, that score below the threshold; texts stay where they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w = np.array(model.weights)
+        for chunk in text_chunks(batches):
+            x = np.array([document_features(*passages(t, model), model) for t in chunk.column("text").to_pylist()])
+            yield chunk.filter(pa.array(_sigmoid(w[0] + x @ w[1:]) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op6_toxicity(spark, sf_dir: str, threshold: float = 0.7) -> DataFrame:
     docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
     scored = score(docs, fit(docs, labels))
