@@ -216,7 +216,7 @@ def remove_repeated_strings(docs: DataFrame, width: int = 200, keep_text: bool =
     table gives no rows.
     """
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if keep_text else "")
-    plan = Plan(width, _plain, len, _cutter(width), _know, _judge(width), lambda value, order: np.ones(len(value), bool), _result(keep_text), schema)
+    plan = Plan(width, _plain, len, _cutter(width), _know, _judge(width), lambda value, order: np.ones(len(value), bool), _result(keep_text), schema, keyed=True)
     return run(docs, plan)
 
 

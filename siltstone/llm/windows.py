@@ -158,7 +158,7 @@ def squeeze(*arrays: np.ndarray, tail: bytes = b"") -> bytes:
     import zstandard
 
     head = np.array([len(arrays), *(len(a) for a in arrays)], np.int64).tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(a.tobytes() for a in arrays) + tail)
+    return zstandard.ZstdCompressor(level=3).compress(head + b"".join(a.tobytes() for a in arrays) + tail)
 
 
 def unsqueeze(data: bytes, *kinds) -> tuple:
@@ -191,13 +191,15 @@ class Plan:
     #: block, covered units -> arrow table of results
     result: Callable
     schema: str
+    #: Do parts need the segments' minimisers and flags?
+    keyed: bool = False
 
 
 def totals(docs: DataFrame) -> int:
     return int(docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0])
 
 
-def run(docs: DataFrame, plan: Plan, block_bytes: int = 8 << 20, part_bytes: int = 12 << 20, spread: float = 3.3) -> DataFrame:
+def run(docs: DataFrame, plan: Plan, block_bytes: int = 8 << 20, part_bytes: int = 8 << 20, spread: float = 3.3) -> DataFrame:
     """One row of results for each row of docs (doc_id, text).
 
     Blocks hold about `block_bytes` of text and parts about `part_bytes` of segments, however large the table is
@@ -218,7 +220,8 @@ def run(docs: DataFrame, plan: Plan, block_bytes: int = 8 << 20, part_bytes: int
             segments = [packed[i] for i in numbers.tolist()]
             first, second = plan.know(block, numbers)
             lengths = np.array([len(s) for s in segments], np.int32)
-            rows.append((part, squeeze(first, second, block.key[numbers], block.flag[numbers], lengths, tail=b"".join(segments))))
+            own = numbers if plan.keyed else numbers[:0]
+            rows.append((part, squeeze(first, second, block.key[own], block.flag[own], lengths, tail=b"".join(segments))))
         n = len(rows)
         return pa.table({"part": pa.array([r[0] for r in rows], pa.int32()), "block": pa.array([key[0].as_py()] * n, pa.int32()), "packed": pa.array([r[1] for r in rows], pa.binary())})
 
