@@ -13,6 +13,9 @@ from .windows import Block, Cut, Plan, mixed, prefix_hashes, run, runs, sliding_
 
 #: Bytes of a minimiser.
 MINIMISER = 32
+TWICE = 255
+#: Bytes of text that one index holds, unless strings with one minimiser are more.
+INDEX_BYTES = 1 << 20
 
 
 @dataclass
@@ -59,25 +62,27 @@ def build_index(strings: list[bytes]) -> RunLengthIndex:
     key = np.zeros(n, np.uint64)
     for k in range(7):
         key = (key << np.uint64(9)) | np.where(left > k, padded[k : k + n] + np.uint64(1), np.uint64(0))
-    order = np.argsort(key, kind="stable")
-    rank = np.empty(n, np.int64)
+    order = np.argsort(key, kind="stable").astype(np.int32)
+    rank = np.empty(n, np.int32)
     new = np.concatenate([[True], key[order][1:] != key[order][:-1]])
-    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n, dtype=np.int32), 0))
+    del key
     ranks, steps, width = [rank.copy()], [7], 7
     longest = int(lengths.max())
     while width < longest:
-        # only suffixes that tie and are longer than what was compared
-        counts = np.bincount(rank, minlength=n)
-        at = np.flatnonzero(counts[rank[order]] > 1)
-        members = order[at]
-        if not (left[members] > width).any():
+        # only groups that tie and hold a suffix longer than what was compared
+        sorted_rank = rank[order]
+        several = (np.bincount(rank, minlength=n) > 1) & (np.bincount(sorted_rank, left[order] > width, n) > 0)
+        at = np.flatnonzero(several[sorted_rank])
+        if not len(at):
             break
-        second = np.where(left[members] > width, rank[np.minimum(members + width, n - 1)] + 1, 0)
-        again = np.lexsort((members, second, rank[members]))
-        members, second = members[again], second[again]
+        members = order[at]
+        second = np.where(left[members] > width, rank[np.minimum(members + width, n - 1)].astype(np.int64) + 1, 0)
+        both = sorted_rank[at].astype(np.int64) * (n + 1) + second
+        again = np.argsort(both, kind="stable")
+        members, both = members[again], both[again]
         order[at] = members
-        old = rank[members]
-        fresh = np.concatenate([[True], (old[1:] != old[:-1]) | (second[1:] != second[:-1])])
+        fresh = np.concatenate([[True], both[1:] != both[:-1]])
         rank[members] = np.maximum.accumulate(np.where(fresh, at, 0))
         width *= 2
         ranks.append(rank.copy())
@@ -90,16 +95,14 @@ def build_index(strings: list[bytes]) -> RunLengthIndex:
     last = np.flatnonzero(np.concatenate([broken, [True]]))
 
     def common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        total = np.zeros(len(a), np.int64)
+        """Length of the common start of two suffixes, from the ranks of each round."""
+        total, room = np.zeros(len(a), np.int64), np.minimum(left[a], left[b])
         for rank, step in zip(ranks[::-1], steps[::-1]):
-            within = np.minimum(left[np.minimum(a + total, n - 1)] - (a + total > n - 1), left[np.minimum(b + total, n - 1)] - (b + total > n - 1))
-            room = np.minimum(left[a], left[b]) - total
             x, y = np.minimum(a + total, n - 1), np.minimum(b + total, n - 1)
-            same = (room >= step) & (within >= step) & (rank[x] == rank[y])
-            total += np.where(same, step, 0)
+            total += np.where((room - total >= step) & (rank[x] == rank[y]), step, 0)
         for _ in range(steps[0]):
             x, y = np.minimum(a + total, n - 1), np.minimum(b + total, n - 1)
-            total += (np.minimum(left[a], left[b]) > total) & (text[x] == text[y])
+            total += (room > total) & (text[x] == text[y])
         return total
 
     before, after = np.zeros(len(first), np.int64), np.zeros(len(last), np.int64)
@@ -132,12 +135,13 @@ def _cutter(width: int):
         least = sliding_min(grams, inside)
         a, b = runs(text[:n] == text[width - 1 :], least)
         packed = [joined[x:y] for x, y in zip(a.tolist(), (b + width).tolist())]
-        # does the minimiser occur twice in the segment? Only then can a segment repeat a window of its own.
+        # where the minimiser is in the segment; TWICE if it occurs again: only such a segment can repeat its own windows
         flag = np.zeros(len(a), np.uint8)
         for i in range(0, len(a), 4096):
             x, y = a[i : i + 4096], b[i : i + 4096]
             head, tail = grams[x[:, None] + np.arange(inside)] == least[x][:, None], grams[y[:, None] + np.arange(inside)] == least[y][:, None]
-            flag[i : i + 4096] = (head.sum(1) > 1) | (tail.sum(1) > 1) | (x + head.argmax(1) != y + tail.argmax(1))
+            place = head.argmax(1)
+            flag[i : i + 4096] = np.where((head.sum(1) > 1) | (tail.sum(1) > 1) | (x + place != y + tail.argmax(1)), TWICE, place)
         return Cut(before + a, b - a + 1, packed, least[a].astype(np.uint64), text[a], flag)
 
     return cut
@@ -148,28 +152,64 @@ def _know(block: Block, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.bincount(block.segment, minlength=len(block.key))[numbers].astype(np.int64), np.zeros(0, np.int64)
 
 
+def _worth_indexing(strings: list[bytes], group: np.ndarray, place: np.ndarray, width: int) -> np.ndarray:
+    """Numbers of the strings that may share a window with another one, sorted by group.
+
+    Strings of a group hold the same minimiser, each at one place; two that share a window agree on `width` bytes around
+    it. So they agree from its start on, or up to its end, for at least half of width and minimiser together. A group
+    with a string that holds the minimiser twice is kept whole.
+    """
+    half = (width + MINIMISER) // 2
+    some = np.flatnonzero((np.bincount(group)[group] > 1) | (place == TWICE)) if len(group) else group
+    order = some[np.argsort(group[some], kind="stable")]
+    cuts = np.flatnonzero(np.diff(group[order])) + 1
+    out: list[int] = []
+    for numbers in np.split(order, cuts):
+        twice = (place[numbers] == TWICE).any()
+        if twice:
+            out += numbers.tolist()
+            continue
+        if len(numbers) < 2:
+            continue
+        seen: dict[tuple[bool, bytes], int] = {}
+        sides = []
+        for i, a in zip(numbers.tolist(), place[numbers].tolist()):
+            s, own = strings[i], []
+            if len(s) - a >= half:
+                own.append((True, s[a : a + half]))
+            if a + MINIMISER >= half:
+                own.append((False, s[a + MINIMISER - half : a + MINIMISER]))
+            for x in own:
+                seen[x] = seen.get(x, 0) + 1
+            sides.append((i, own))
+        out += [i for i, own in sides if any(seen[x] > 1 for x in own)]
+    return np.array(out, np.int64)
+
+
 def _judge(width: int):
     def judge(segments, times, _, keys, flags):
         number: dict[bytes, int] = {}
         of = np.array([number.setdefault(s, len(number)) for s in segments], np.int64)
         strings = list(number)
         count = np.bincount(of, times, len(strings)).astype(np.int64)
-        key, flag = np.zeros(len(strings), np.uint64), np.zeros(len(strings), bool)
-        key[of], flag[of] = keys, flags > 0
-        _, back, shared = np.unique(key, return_inverse=True, return_counts=True)
-        # a string that is alone with its minimiser shares windows with its own copies only
-        look = np.flatnonzero((shared[back] > 1) | flag)
+        key, place = np.zeros(len(strings), np.uint64), np.zeros(len(strings), np.uint8)
+        key[of], place[of] = keys, flags
+        _, group = np.unique(key, return_inverse=True)
         sizes = np.array([len(s) - width + 1 for s in strings], np.int64)
         begin = np.cumsum(sizes) - sizes
+        # copies of a string repeat all of its windows; an index tells which windows different strings share
         marked = np.repeat(count > 1, sizes)
-        if len(look):
-            picked = [strings[i] for i in look.tolist()]
-            lengths = np.array([len(s) for s in picked], np.int64)
-            long = build_index(picked).matching_statistics(int(lengths.sum())) >= width
-            at = np.flatnonzero(long)
-            ends = np.cumsum(lengths)
+        look = _worth_indexing(strings, group, place, width)
+        while len(look):
+            held = np.cumsum([len(strings[i]) for i in look.tolist()])
+            last = max(1, int(np.searchsorted(held, INDEX_BYTES)))
+            last = int(np.searchsorted(group[look], group[look[last - 1]], "right"))  # groups stay whole
+            now, look = look[:last], look[last:]
+            picked = [strings[i] for i in now.tolist()]
+            ends = held[:last]
+            at = np.flatnonzero(build_index(picked).matching_statistics(int(ends[-1])) >= width)
             which = np.searchsorted(ends, at, "right")
-            marked[begin[look[which]] + at - (ends - lengths)[which]] = True
+            marked[begin[now[which]] + at - np.concatenate([[0], ends[:-1]])[which]] = True
         # back to the segments as they came, one for each block
         repeat = sizes[of]
         segment = np.repeat(np.arange(len(of)), repeat)
