@@ -50,24 +50,31 @@ def merge(target: DataFrame, source: DataFrame, keys: Sequence[str], clauses: Se
     each source row without a match the first insert that holds. Rows without a match in the source stay.
 
     `evolve` adds the source's new columns to the target. With `changes`, gives the change rows instead of the new state:
-    _change_type is insert, delete, or update_preimage and update_postimage. A target row that several source rows match
-    is an error (`check`), as what it becomes would depend on their order. Keys never match on null.
+    _change_type is insert, delete, or update_preimage and update_postimage. Source rows that share their keys are an
+    error (`check`) if a clause changes a target row by one of them, as the result would depend on their order; if none
+    does, the target row stays once. Keys never match on null.
+
+    The source is counted by key before the join, which has the same partitioning; so there is one shuffle of each side.
     """
     target = _aligned(target, source, evolve)
     columns = target.columns
-    left, right = target.withColumn("__in_t", F.lit(True)).alias("t"), source.withColumn("__in_s", F.lit(True)).alias("s")
+    right = source.withColumn("__in_s", F.lit(True))
+    if check:
+        w = _by_keys(keys)
+        right = right.withColumns({"__same": F.count(F.lit(1)).over(w), "__place": F.row_number().over(w.orderBy(*keys))})
     condition = on if on is not None else F.lit(True)
     for k in keys:
         condition = condition & (t(k) == s(k))
-    if check:
-        left = target.withColumn("__in_t", F.lit(True)).withColumn("__id", F.monotonically_increasing_id()).alias("t")
-    joined = left.join(right, condition, "full_outer")
+    joined = target.withColumn("__in_t", F.lit(True)).alias("t").join(right.alias("s"), condition, "full_outer")
     in_t, in_s = F.col("t.__in_t").isNotNull(), F.col("s.__in_s").isNotNull()
     action = F.lit("keep")
     for number, clause in reversed(list(enumerate(clauses))):
         holds = clause.condition if clause.condition is not None else F.lit(True)
         where = in_t & in_s if clause.do in ("update", "delete") else in_s & ~in_t
         action = F.when(where & F.coalesce(holds, F.lit(False)), F.lit(f"{clause.do}{number}")).otherwise(action)
+    if check:
+        several = in_t & in_s & (F.col("s.__same") > 1)
+        action = F.when(several & ((action != "keep") | F.lit(on is not None)), F.raise_error(F.lit("several source rows match one target row")).cast("string")).when(several & (F.col("s.__place") > 1), "drop").otherwise(action)
     joined = joined.withColumn("__do", action)
 
     def value(c: str) -> Column:
@@ -80,31 +87,18 @@ def merge(target: DataFrame, source: DataFrame, keys: Sequence[str], clauses: Se
                 out = F.when(F.col("__do") == f"{clause.do}{number}", given[c]).otherwise(out)
         return out
 
-    if check:
-        joined = joined.withColumn("__times", F.when(in_t & in_s & (F.col("__do") != "keep"), F.count(F.when(F.col("__do") != "keep", 1)).over(_by("t.__id"))).otherwise(1))
-        joined = joined.withColumn("__do", F.when(F.col("__times") > 1, F.raise_error(F.lit("several source rows match one target row")).cast("string")).otherwise(F.col("__do")))
     before = [t(c).alias(c) for c in columns]
     after = [value(c).cast(target.schema[c].dataType).alias(c) for c in columns]
     kind = F.regexp_replace("__do", "[0-9]+$", "")
-    if changes:
-        rows = joined.where(F.col("__do") != "keep").select(kind.alias("__do"), F.struct(*before).alias("b"), F.struct(*after).alias("a"))
-        pair = F.when(
-            F.col("__do") == "update", F.array(F.struct(F.col("b").alias("r"), F.lit(BEFORE).alias("k")), F.struct(F.col("a").alias("r"), F.lit(AFTER).alias("k")))
-        ).when(F.col("__do") == "delete", F.array(F.struct(F.col("b").alias("r"), F.lit(DELETE).alias("k")))).otherwise(F.array(F.struct(F.col("a").alias("r"), F.lit(INSERT).alias("k"))))
-        return rows.select(F.explode(pair).alias("x")).select("x.r.*", F.col("x.k").alias("_change_type"))
-    # a target row that several source rows match without any clause stays once
-    kept = joined.where((kind != "delete") & (in_t | (F.col("__do") != "keep")))
-    out = kept.select(*after, *([F.col("t.__id").alias("__id"), kind.alias("__do")] if check else []))
-    if check:
-        out = out.withColumn("__n", F.when(F.col("__id").isNull(), 1).otherwise(F.row_number().over(_by("__id", F.col("__do") == "keep")))).where("__n = 1").drop("__n", "__id", "__do")
-    return out
+    if not changes:
+        return joined.where(~kind.isin("delete", "drop") & (in_t | (F.col("__do") != "keep"))).select(*after)
+    rows = joined.where(~F.col("__do").isin("keep", "drop")).select(kind.alias("__do"), F.struct(*before).alias("b"), F.struct(*after).alias("a"))
 
+    def said(row: str, name: str) -> Column:
+        return F.struct(F.col(row).alias("r"), F.lit(name).alias("k"))
 
-def _by(column: str, order: Column | None = None):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(F.col(column))
-    return w.orderBy(order) if order is not None else w
+    pair = F.when(F.col("__do") == "update", F.array(said("b", BEFORE), said("a", AFTER))).when(F.col("__do") == "delete", F.array(said("b", DELETE))).otherwise(F.array(said("a", INSERT)))
+    return rows.select(F.explode(pair).alias("x")).select("x.r.*", F.col("x.k").alias("_change_type"))
 
 
 def upsert(target: DataFrame, source: DataFrame, keys: Sequence[str]) -> DataFrame:
