@@ -8,8 +8,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from xxhash import xxh3_128_digest
 
-from .windows import Block, Cut, Plan, mixed, prefix_hashes, run, runs, sliding_min
+from .windows import NONE, Block, Cut, Plan, hot_windows, no_segments, prefix_hashes, run, runs, sliding_min, span_hashes
 
 #: Bytes of a minimiser.
 MINIMISER = 32
@@ -119,37 +120,56 @@ def _plain(text: str | None) -> bytes:
 def _cutter(width: int):
     inside = width - MINIMISER + 1
 
-    def cut(texts: list[bytes], before: int) -> Cut:
+    def segments(texts: list[bytes]):
+        """The texts joined, their hash sums, text of each byte, hash of each gram, and first window, last window and
+        minimiser of each segment."""
         joined = b"".join(texts)
         n = len(joined) - width + 1
         if n < 1:
-            none = np.empty(0, np.int64)
-            return Cut(none, none, [], none, none, none)
-        data = np.frombuffer(joined, np.uint8)
+            return None
+        sums = prefix_hashes(np.frombuffer(joined, np.uint8))
         text = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
-        sums = prefix_hashes(data)
-        from .windows import _POWERS
-
-        _, down = _POWERS.get(len(sums))
-        grams = (mixed((sums[MINIMISER:] - sums[:-MINIMISER]) * down[: len(sums) - MINIMISER]) >> np.uint64(32)).astype(np.uint32)
+        at = np.arange(len(joined) - MINIMISER + 1)
+        grams = (span_hashes(sums, at, at + MINIMISER) >> np.uint64(32)).astype(np.uint32)
         least = sliding_min(grams, inside)
         a, b = runs(text[:n] == text[width - 1 :], least)
+        return joined, sums, text, grams, a, b, least[a]
+
+    def cut(texts: list[bytes], before: int, hot: np.ndarray) -> Cut:
+        found = segments(texts)
+        if found is None:
+            return no_segments()
+        joined, _, text, grams, a, b, key = found
+        cold, windows = hot_windows(a, b, key, hot)
+        a, b, key = a[cold], b[cold], key[cold]
         packed = [joined[x:y] for x, y in zip(a.tolist(), (b + width).tolist())]
+        digests = [xxh3_128_digest(joined[x : x + width]) for x in windows.tolist()]
         # where the minimiser is in the segment; TWICE if it occurs again: only such a segment can repeat its own windows
         flag = np.zeros(len(a), np.uint8)
         for i in range(0, len(a), 4096):
-            x, y = a[i : i + 4096], b[i : i + 4096]
-            head, tail = grams[x[:, None] + np.arange(inside)] == least[x][:, None], grams[y[:, None] + np.arange(inside)] == least[y][:, None]
+            x, y, k = a[i : i + 4096], b[i : i + 4096], key[i : i + 4096, None]
+            head, tail = grams[x[:, None] + np.arange(inside)] == k, grams[y[:, None] + np.arange(inside)] == k
             place = head.argmax(1)
             flag[i : i + 4096] = np.where((head.sum(1) > 1) | (tail.sum(1) > 1) | (x + place != y + tail.argmax(1)), TWICE, place)
-        return Cut(before + a, b - a + 1, packed, least[a].astype(np.uint64), text[a], flag)
+        return Cut(before + a, packed, key.astype(np.uint64), text[a], flag, before + windows, digests, text[windows])
+
+    def keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        found = segments(texts)
+        if found is None:
+            return NONE, NONE
+        _, sums, _, _, a, b, key = found
+        return key, span_hashes(sums, a, b + width)
+
+    return cut, keys
+
 
-    return cut
+def _know(item: np.ndarray, ids: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """How often the item occurs."""
+    return np.bincount(item, minlength=n).astype(np.int64), np.zeros(n, np.int64)
 
 
-def _know(block: Block, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """How often the segment occurs."""
-    return np.bincount(block.segment, minlength=len(block.key))[numbers].astype(np.int64), np.zeros(0, np.int64)
+def _judge_equal(times: np.ndarray, _: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return np.bincount(group, times)[group] > 1, np.zeros(len(group), np.int64)
 
 
 def _worth_indexing(strings: list[bytes], group: np.ndarray, place: np.ndarray, width: int) -> np.ndarray:
@@ -250,13 +270,14 @@ def remove_repeated_strings(docs: DataFrame, width: int = 200, keep_text: bool =
     A byte goes if a string of `width` bytes that covers it starts anywhere else too, in this document or another.
     Strings with the same minimiser (the least hash of 32 bytes) meet in one part; copies of a segment are counted, and
     for different segments with one minimiser the part builds a run-length index, streams matching statistics, and marks
-    matches of `width` bytes or more. See windows.run() for the way there and back.
+    matches of `width` bytes or more. (Strings with a hot minimiser are compared by 128-bit digests.) See windows.run() for the way there and back.
 
     A null text has no bytes; null and repeated doc_ids are documents like others; other columns are ignored; an empty
     table gives no rows.
     """
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if keep_text else "")
-    plan = Plan(width, _plain, len, _cutter(width), _know, _judge(width), lambda value, order: np.ones(len(value), bool), _result(keep_text), schema, keyed=True)
+    cut, keys = _cutter(width)
+    plan = Plan(width, _plain, len, cut, keys, _know, _judge(width), _judge_equal, lambda value, order: np.ones(len(value), bool), _result(keep_text), schema, keyed=True)
     return run(docs, plan)
 
 

@@ -8,8 +8,9 @@ from itertools import compress
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from xxhash import xxh3_128_digest
 
-from .windows import Block, Cut, Plan, mixed, prefix_hashes, run, runs, sliding_min, span_hashes
+from .windows import NONE, Block, Cut, Plan, hot_windows, mixed, no_segments, prefix_hashes, run, runs, sliding_min, span_hashes
 
 #: Words of a minimiser.
 MINIMISER = 4
@@ -36,32 +37,54 @@ def _words(joined: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
 def _cutter(width: int):
     weights = [np.uint64(pow(0x2545F4914F6CDD1D, k + 1, 1 << 64)) for k in range(MINIMISER)]
 
-    def cut(texts: list[bytes], before: int) -> Cut:
+    def segments(texts: list[bytes]):
+        """The texts joined, start, end and text of each word, and first window, last window and minimiser of each segment."""
         held = [i for i, t in enumerate(texts) if t]
         joined = b"\n".join(texts[i] for i in held)
-        start, end, text, words = _words(joined) if held else (np.empty(0, np.int64),) * 4
+        if not held:
+            return None
+        start, end, text, words = _words(joined)
         n = len(start) - width + 1
         if n < 1:
-            none = np.empty(0, np.int64)
-            return Cut(none, none, [], none, none, none)
+            return None
         m = len(words) - MINIMISER + 1
-        keys = mixed(sum(words[k : k + m] * weights[k] for k in range(MINIMISER)))
-        least = sliding_min(keys, width - MINIMISER + 1)
+        least = sliding_min(mixed(sum(words[k : k + m] * weights[k] for k in range(MINIMISER))), width - MINIMISER + 1)
         a, b = runs(text[:n] == text[width - 1 :], least)
+        return joined, start, end, np.array(held)[text], a, b, least[a]
+
+    def cut(texts: list[bytes], before: int, hot: np.ndarray) -> Cut:
+        found = segments(texts)
+        if found is None:
+            return no_segments()
+        joined, start, end, doc, a, b, key = found
+        cold, windows = hot_windows(a, b, key, hot)
+        a, b, key = a[cold], b[cold], key[cold]
         packed = [joined[x:y] for x, y in zip(start[a].tolist(), end[b + width - 1].tolist())]
-        return Cut(before + a, b - a + 1, packed, least[a], np.array(held)[text[a]], np.zeros(len(a), np.uint8))
+        digests = [xxh3_128_digest(joined[x:y]) for x, y in zip(start[windows].tolist(), end[windows + width - 1].tolist())]
+        return Cut(before + a, packed, key, doc[a], np.zeros(len(a), np.uint8), before + windows, digests, doc[windows])
 
-    return cut
+    def keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        found = segments(texts)
+        if found is None:
+            return NONE, NONE
+        joined, start, end, _, a, b, key = found
+        return key, span_hashes(prefix_hashes(np.frombuffer(joined, np.uint8)), start[a], end[b + width - 1])
 
+    return cut, keys
 
-def _know(block: Block, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Smallest doc_id that holds the segment, and how much larger the largest is."""
-    n = len(block.key)
+
+def _know(item: np.ndarray, ids: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Smallest doc_id that holds the item, and how much larger the largest is."""
     low, high = np.full(n, np.iinfo(np.int64).max), np.full(n, np.iinfo(np.int64).min)
-    ids = block.order[block.doc]
-    np.minimum.at(low, block.segment, ids)
-    np.maximum.at(high, block.segment, ids)
-    return low[numbers], high[numbers] - low[numbers]
+    np.minimum.at(low, item, ids)
+    np.maximum.at(high, item, ids)
+    return low, high - low
+
+
+def _judge_equal(low: np.ndarray, spread: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    least = np.full(int(group.max()) + 1, np.iinfo(np.int64).max)
+    np.minimum.at(least, group, low)
+    return least[group] < low + spread, least[group]
 
 
 def _judge(width: int):
@@ -123,13 +146,14 @@ def remove_repeated_windows(docs: DataFrame, width: int = 13, keep_text: bool =
     document with a smaller doc_id, whatever becomes of it there. Consecutive windows with the same minimiser, the least
     hash of four words in a row, travel as one string to the part of that minimiser, once a block of documents with the
     smallest doc_id that has it; there windows are sorted and each gets the smallest doc_id of all. Hashes only bring
-    windows together: equality is that of the words.
+    windows together: equality is that of the words (for windows with a hot minimiser, of 128-bit digests).
 
     A null text has no words. A null doc_id counts as larger than any; rows with equal doc_id don't remove each other's
     words. Other columns are ignored; an empty table gives no rows.
     """
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if keep_text else "")
-    plan = Plan(width, _plain, _units, _cutter(width), _know, _judge(width), lambda value, order: value < order, _result(keep_text), schema)
+    cut, keys = _cutter(width)
+    plan = Plan(width, _plain, _units, cut, keys, _know, _judge(width), _judge_equal, lambda value, order: value < order, _result(keep_text), schema)
     return run(docs, plan)
 
 

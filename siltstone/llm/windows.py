@@ -5,19 +5,25 @@ A block cuts its documents into segments, runs of consecutive windows with the s
 segment once with what it needs to know of its occurrences, and sends it, packed, to the part of its minimiser. Equal
 windows have equal minimisers, so each part can tell its windows' fate alone. Answers go back to the block, which cuts
 its documents again and marks what is to go. So a passage that a third of all documents hold travels once a block.
+
+A common line may lie in as many different segments as there are documents. All minimisers with many different segments
+are counted beforehand; their windows travel one by one, as 128-bit digests, to the part of the digest. So no part
+gets more of one minimiser than the count allows, and of one digest a few numbers a block.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize, text_chunks
+
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
 LAST = np.iinfo(np.int64).max
@@ -77,29 +83,53 @@ def runs(valid: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Cut:
-    """Segments of some documents: first window (in units of the block), how many windows, bytes, minimiser, document."""
+    """Segments of some documents: first window (in units of the block), bytes, minimiser, document, flag; windows with
+    hot minimisers: first unit, digest, document."""
 
     first: np.ndarray
-    windows: np.ndarray
     packed: list[bytes]
     key: np.ndarray
     doc: np.ndarray
     flag: np.ndarray
+    hot_first: np.ndarray
+    digests: list[bytes]
+    hot_doc: np.ndarray
+
+
+NONE = np.empty(0, np.int64)
+
+
+def no_segments() -> Cut:
+    return Cut(NONE, [], NONE, NONE, NONE, NONE, [], NONE)
+
+
+def hot_windows(first: np.ndarray, last: np.ndarray, key: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which runs are not hot, the windows of those that are)."""
+    if not len(hot) or not len(key):
+        return np.ones(len(key), bool), NONE
+    cold = hot[np.minimum(np.searchsorted(hot, key.astype(np.uint64)), len(hot) - 1)] != key
+    a, n = first[~cold], (last - first + 1)[~cold]
+    return cold, np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())
 
 
 @dataclass
 class Block:
-    """A block's documents in a fixed order, and its distinct segments in the order in which they first occur."""
+    """A block's documents in a fixed order; its distinct segments and digests in the order in which they first occur,
+    and for each occurrence the number, the first unit and the document."""
 
     rows: list[tuple[int | None, str | None]]
     texts: list[bytes]
     units: np.ndarray
-    number: dict[bytes, int] = field(default_factory=dict)
-    segment: np.ndarray = None
-    first: np.ndarray = None
-    doc: np.ndarray = None
-    key: np.ndarray = None
-    flag: np.ndarray = None
+    segments: list[bytes]
+    key: np.ndarray
+    flag: np.ndarray
+    segment: np.ndarray
+    first: np.ndarray
+    doc: np.ndarray
+    digests: list[bytes]
+    digest: np.ndarray
+    hot_first: np.ndarray
+    hot_doc: np.ndarray
 
     @property
     def order(self) -> np.ndarray:
@@ -107,51 +137,61 @@ class Block:
         return np.array([LAST if i is None else i for i, _ in self.rows], np.int64)
 
 
-def load(table: pa.Table, plain: Callable[[str | None], bytes], units_of: Callable[[bytes], int], cut: Callable[[list[bytes], int], Cut], chunk: int = 1 << 20) -> Block:
-    rows = sorted(zip(table.column("doc_id").to_pylist(), table.column("text").to_pylist()), key=lambda r: (r[0] is None, r[0] or 0, r[1] is None, r[1] or ""))
-    texts = [plain(t) for _, t in rows]
-    block = Block(rows, texts, np.array([units_of(t) for t in texts], np.int64))
-    before = np.concatenate([[0], np.cumsum(block.units)])
-    held: dict[bytes, int] = {}
-    parts: list[Cut] = []
-    numbers: list[list[int]] = []
+def grouped(texts: list[bytes], chunk: int) -> Iterator[tuple[int, int]]:
+    """Ranges of texts that hold about `chunk` bytes; a longer text makes one of its own."""
     a = 0
     while a < len(texts):
         b, n = a + 1, len(texts[a])
         while b < len(texts) and n + len(texts[b]) <= chunk:
             n += len(texts[b])
             b += 1
-        c = cut(texts[a:b], int(before[a]))
-        c.doc = c.doc + a
-        numbers.append([held.setdefault(p, len(held)) for p in c.packed])
-        c.packed = []
-        parts.append(c)
+        yield a, b
         a = b
-    block.number = held
+
+
+def load(table: pa.Table, plan: Plan, hot: np.ndarray, chunk: int = 1 << 20) -> Block:
+    rows = sorted(zip(table.column("doc_id").to_pylist(), table.column("text").to_pylist()), key=lambda r: (r[0] is None, r[0] or 0, r[1] is None, r[1] or ""))
+    texts = [plan.plain(t) for _, t in rows]
+    units = np.array([plan.units_of(t) for t in texts], np.int64)
+    before = np.concatenate([[0], np.cumsum(units)])
+    segments: dict[bytes, int] = {}
+    digests: dict[bytes, int] = {}
+    parts, numbers, hot_numbers = [], [], []
+    for a, b in grouped(texts, chunk):
+        c = plan.cut(texts[a:b], int(before[a]), hot)
+        c.doc, c.hot_doc = c.doc + a, c.hot_doc + a
+        numbers += [segments.setdefault(p, len(segments)) for p in c.packed]
+        hot_numbers += [digests.setdefault(p, len(digests)) for p in c.digests]
+        c.packed, c.digests = [], []
+        parts.append(c)
 
     def all_of(name: str, kind) -> np.ndarray:
         return np.concatenate([getattr(c, name) for c in parts]).astype(kind) if parts else np.empty(0, kind)
 
-    block.segment = np.array([i for x in numbers for i in x], np.int64)
-    block.first, block.doc = all_of("first", np.int64), all_of("doc", np.int64)
-    key, flag = all_of("key", np.uint64), all_of("flag", np.uint8)
-    block.key, block.flag = np.zeros(len(held), np.uint64), np.zeros(len(held), np.uint8)
-    block.key[block.segment], block.flag[block.segment] = key, flag
-    return block
+    segment = np.array(numbers, np.int64)
+    key, flag = np.zeros(len(segments), np.uint64), np.zeros(len(segments), np.uint8)
+    key[segment], flag[segment] = all_of("key", np.uint64), all_of("flag", np.uint8)
+    return Block(
+        rows, texts, units, list(segments), key, flag, segment, all_of("first", np.int64), all_of("doc", np.int64),
+        list(digests), np.array(hot_numbers, np.int64), all_of("hot_first", np.int64), all_of("hot_doc", np.int64),
+    )
 
 
 def part_of(key: np.ndarray, parts: int) -> np.ndarray:
     return (mixed(key * np.uint64(BASE)) >> np.uint64(33)).astype(np.int64) * parts >> 31
 
 
-def by_part(block: Block, parts: int) -> list[tuple[int, np.ndarray]]:
-    """Numbers of the distinct segments that each part gets, in order."""
-    if not len(block.key):
-        return []
-    part = part_of(block.key, parts)
-    order = np.argsort(part, kind="stable")
-    cuts = np.flatnonzero(np.diff(part[order])) + 1
-    return [(int(part[x[0]]), x) for x in np.split(order, cuts)]
+def by_part(block: Block, parts: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """For each part the numbers of the distinct segments and of the digests that it gets, in order."""
+    leading = np.frombuffer(b"".join(d[:8] for d in block.digests), np.uint64)
+    found: dict[int, list[np.ndarray]] = {}
+    for side, key in enumerate((block.key, leading)):
+        if len(key):
+            part = part_of(key, parts)
+            order = np.argsort(part, kind="stable")
+            for x in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
+                found.setdefault(int(part[x[0]]), [NONE, NONE])[side] = x
+    return {p: (x[0], x[1]) for p, x in found.items()}
 
 
 def squeeze(*arrays: np.ndarray, tail: bytes = b"") -> bytes:
@@ -181,12 +221,17 @@ class Plan:
     width: int
     plain: Callable
     units_of: Callable
+    #: texts, units before them, hot minimisers -> Cut
     cut: Callable
-    #: block, numbers of distinct segments -> two arrays (int64) that travel with them
+    #: texts -> minimiser and hash of each segment
+    keys: Callable
+    #: number and doc_id of each occurrence, how many numbers -> two arrays (int64) that travel with the numbers
     know: Callable
-    #: lists of packed segments, their two arrays, keys and flags -> segment, offset, value of each marked window
+    #: packed segments, their two arrays, keys and flags -> segment, offset, value of each marked window
     judge: Callable
-    #: value of marked windows, documents' order -> does the window go in this document?
+    #: two arrays of digests and which are equal -> is it marked?, value
+    judge_equal: Callable
+    #: value of marked windows, doc_ids -> does the window go in this document?
     goes: Callable
     #: block, covered units -> arrow table of results
     result: Callable
@@ -195,78 +240,114 @@ class Plan:
     keyed: bool = False
 
 
+def hot_minimisers(docs: DataFrame, plan: Plan, many: int, most: int = 1 << 20, noticed: int = 4) -> np.ndarray:
+    """Minimisers with at least `many` different segments, or a `most`-th of all segments if that is more; so there are
+    `most` of them at most (8 MB). Those that a few MB of text hold under `noticed` times aren't counted there."""
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in text_chunks(batches, limit=4 << 20):
+            texts = [plan.plain(t) for t in chunk.column("text").to_pylist()]
+            found = [plan.keys(texts[a:b]) for a, b in grouped(texts, 1 << 20)]
+            if not found:
+                continue
+            key, segment = (np.concatenate(x).astype(np.uint64) for x in zip(*found))
+            order = np.lexsort((segment, key))
+            key, segment = key[order], segment[order]
+            fresh = np.concatenate([[True], (key[1:] != key[:-1]) | (segment[1:] != segment[:-1])]) if len(key) else np.zeros(0, bool)
+            key, segment = key[fresh], segment[fresh]
+            _, back, times = np.unique(key, return_inverse=True, return_counts=True)
+            some = times[back] >= noticed
+            n = len(key)
+            key, segment = np.append(key[some], 0).view(np.int64), np.append(segment[some], 0).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(segment), pa.array(np.append(np.zeros(len(key) - 1, np.int64), n))], names=["key", "segment", "all"])
+
+    seen = docs.select("text").mapInArrow(tally, "key long, segment long, all long")
+    counted = materialize(seen.groupBy("key").agg(F.approx_count_distinct("segment", 0.03).alias("n"), F.sum("all").alias("all")), "tally")
+    limit = max(many, int(counted.agg(F.sum("all")).first()[0] or 0) // most)
+    return np.sort(np.array([r["key"] for r in counted.where(F.col("n") >= limit).select("key").toLocalIterator()], np.int64).view(np.uint64))
+
+
 def totals(docs: DataFrame) -> int:
     return int(docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0])
 
 
-def run(docs: DataFrame, plan: Plan, block_bytes: int = 8 << 20, part_bytes: int = 8 << 20, spread: float = 3.3) -> DataFrame:
+def run(docs: DataFrame, plan: Plan, block_bytes: int = 8 << 20, part_bytes: int = 8 << 20, spread: float = 3.3, many: int = 4096) -> DataFrame:
     """One row of results for each row of docs (doc_id, text).
 
     Blocks hold about `block_bytes` of text and parts about `part_bytes` of segments, however large the table is
-    (segments hold about `spread` times the text).
+    (segments hold about `spread` times the text). Windows of minimisers with `many` different segments or more travel
+    as digests.
     """
     size = totals(docs)
     blocks, parts = max(1, math.ceil(size / block_bytes)), max(1, math.ceil(spread * size / part_bytes))
+    hot = hot_minimisers(docs, plan, many)
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block"))
 
-    def loaded(table: pa.Table) -> Block:
-        return load(table, plan.plain, plan.units_of, plan.cut)
-
     def send(key, table):
-        block = loaded(table)
-        packed = list(block.number)
+        block = load(table, plan, hot)
+        ids = block.order
+        known = plan.know(block.segment, ids[block.doc], len(block.segments))
+        hot_known = plan.know(block.digest, ids[block.hot_doc], len(block.digests))
         rows: list[tuple[int, bytes]] = []
-        for part, numbers in by_part(block, parts):
-            segments = [packed[i] for i in numbers.tolist()]
-            first, second = plan.know(block, numbers)
-            lengths = np.array([len(s) for s in segments], np.int32)
+        for part, (numbers, hot_numbers) in by_part(block, parts).items():
+            segments = [block.segments[i] for i in numbers.tolist()]
             own = numbers if plan.keyed else numbers[:0]
-            rows.append((part, squeeze(first, second, block.key[own], block.flag[own], lengths, tail=b"".join(segments))))
-        n = len(rows)
-        return pa.table({"part": pa.array([r[0] for r in rows], pa.int32()), "block": pa.array([key[0].as_py()] * n, pa.int32()), "packed": pa.array([r[1] for r in rows], pa.binary())})
+            lengths = np.array([len(s) for s in segments], np.int32)
+            tail = b"".join([*segments, *(block.digests[i] for i in hot_numbers.tolist())])
+            rows.append((part, squeeze(known[0][numbers], known[1][numbers], block.key[own], block.flag[own], lengths, hot_known[0][hot_numbers], hot_known[1][hot_numbers], tail=tail)))
+        return pa.table({"part": pa.array([r[0] for r in rows], pa.int32()), "block": pa.array([key[0].as_py()] * len(rows), pa.int32()), "packed": pa.array([r[1] for r in rows], pa.binary())})
 
     def judge(key, table):
         segments: list[bytes] = []
-        known, counts = [], []
+        equal: dict[bytes, int] = {}
+        known, counts, group = [], [], []
         for data in table.column("packed").to_pylist():
-            first, second, keys, flags, lengths, tail = unsqueeze(data, np.int64, np.int64, np.uint64, np.uint8, np.int32)
-            at = np.concatenate([[0], np.cumsum(lengths)]).tolist()
+            *arrays, tail = unsqueeze(data, np.int64, np.int64, np.uint64, np.uint8, np.int32, np.int64, np.int64)
+            at = np.concatenate([[0], np.cumsum(arrays[4])]).tolist()
             segments += [tail[a:b] for a, b in zip(at[:-1], at[1:])]
-            known.append((first, second, keys, flags))
-            counts.append(len(lengths))
-        first, second, keys, flags = (np.concatenate(x) for x in zip(*known))
-        segment, offset, value = plan.judge(segments, first, second, keys, flags)
-        ends = np.cumsum(counts)
-        owner = np.searchsorted(ends, segment, "right")
+            group += [equal.setdefault(tail[a : a + 16], len(equal)) for a in range(at[-1], len(tail), 16)]
+            counts.append((len(arrays[4]), len(arrays[5])))
+            known.append((*arrays[:4], *arrays[5:]))
+        first, second, keys, flags, hot_first, hot_second = (np.concatenate(x) for x in zip(*known))
+        segment, offset, value = plan.judge(segments, first, second, keys, flags) if segments else (NONE, NONE, NONE)
+        marked, hot_value = plan.judge_equal(hot_first, hot_second, np.array(group, np.int64)) if group else (np.zeros(0, bool), NONE)
+        digest = np.flatnonzero(marked)
+        ends, hot_ends = np.cumsum([c[0] for c in counts]), np.cumsum([c[1] for c in counts])
+        owner, hot_owner = np.searchsorted(ends, segment, "right"), np.searchsorted(hot_ends, digest, "right")
         order = np.argsort(owner, kind="stable")
-        cuts = np.searchsorted(owner[order], np.arange(len(counts) + 1))
+        cuts, hot_cuts = (np.searchsorted(x, np.arange(len(counts) + 1)) for x in (owner[order], hot_owner))
         names = table.column("block").to_pylist()
         rows = []
-        for i in np.flatnonzero(np.diff(cuts)).tolist():
-            x = order[cuts[i] : cuts[i + 1]]
-            rows.append((names[i], squeeze((segment[x] - (ends[i] - counts[i])).astype(np.int32), offset[x].astype(np.int32), value[x].astype(np.int64))))
+        for i in np.flatnonzero(np.diff(cuts) + np.diff(hot_cuts)).tolist():
+            x, y = order[cuts[i] : cuts[i + 1]], digest[hot_cuts[i] : hot_cuts[i + 1]]
+            a, b = ends[i] - counts[i][0], hot_ends[i] - counts[i][1]
+            rows.append((names[i], squeeze((segment[x] - a).astype(np.int32), offset[x].astype(np.int32), value[x].astype(np.int64), (y - b).astype(np.int32), hot_value[y].astype(np.int64))))
         return pa.table({"block": pa.array([r[0] for r in rows], pa.int32()), "part": pa.array([key[0].as_py()] * len(rows), pa.int32()), "marks": pa.array([r[1] for r in rows], pa.binary())})
 
     def apply(key, table, answers):
-        block = loaded(table)
-        cover = np.zeros(int(block.units.sum()) + 1, np.int32)
-        if len(answers):
-            numbers = dict(by_part(block, parts))
-            found = []
-            for part, data in zip(answers.column("part").to_pylist(), answers.column("marks").to_pylist()):
-                segment, offset, value, _ = unsqueeze(data, np.int32, np.int32, np.int64)
-                found.append((numbers[part][segment], offset, value))
-            segment, offset, value = (np.concatenate(x) for x in zip(*found))
-            # each marked window of a distinct segment, at each occurrence of the segment
-            order = np.argsort(segment, kind="stable")
-            segment, offset, value = segment[order], offset[order], value[order]
-            low, high = np.searchsorted(segment, block.segment, "left"), np.searchsorted(segment, block.segment, "right")
+        block = load(table, plan, hot)
+        ids, cover = block.order, np.zeros(int(block.units.sum()) + 1, np.int32)
+
+        def mark(item, value, offset, items, first, doc):
+            """Each marked window of a distinct item, at each occurrence of the item."""
+            order = np.argsort(item, kind="stable")
+            item, value, offset = item[order], value[order], offset[order]
+            low, high = np.searchsorted(item, items, "left"), np.searchsorted(item, items, "right")
             times = high - low
             at = np.arange(times.sum()) + np.repeat(low - (np.cumsum(times) - times), times)
-            start = np.repeat(block.first, times) + offset[at]
-            goes = plan.goes(value[at], block.order[np.repeat(block.doc, times)])
+            start = np.repeat(first, times) + offset[at]
+            goes = plan.goes(value[at], ids[np.repeat(doc, times)])
             np.add.at(cover, start[goes], 1)
             np.subtract.at(cover, start[goes] + plan.width, 1)
+
+        if len(answers):
+            numbers, found, hot_found = by_part(block, parts), [], []
+            for part, data in zip(answers.column("part").to_pylist(), answers.column("marks").to_pylist()):
+                segment, offset, value, digest, hot_value, _ = unsqueeze(data, np.int32, np.int32, np.int64, np.int32, np.int64)
+                found.append((numbers[part][0][segment], value, offset))
+                hot_found.append((numbers[part][1][digest], hot_value, np.zeros(len(digest), np.int32)))
+            mark(*(np.concatenate(x) for x in zip(*found)), block.segment, block.first, block.doc)
+            mark(*(np.concatenate(x) for x in zip(*hot_found)), block.digest, block.hot_first, block.hot_doc)
         return plan.result(block, np.cumsum(cover)[:-1] > 0)
 
     packed = dealt.groupBy("block").applyInArrow(send, "part int, block int, packed binary")

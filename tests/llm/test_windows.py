@@ -72,13 +72,18 @@ def test_byte_windows(spark, tmp_path, seed):
     assert sorted(tuple(r) for r in op3_repeated_strings(spark, sf).collect()) == brute_bytes(docs, 200)
 
 
-def test_many_blocks_and_parts(spark, monkeypatch):
+@pytest.mark.parametrize("many", [10**6, 4])
+def test_many_blocks_and_parts(spark, monkeypatch, many):
+    """With a low limit many minimisers are hot, and their windows travel as digests."""
     from siltstone.llm import rindex, substrings, windows
 
-    small = lambda docs, plan: windows.run(docs, plan, block_bytes=4000, part_bytes=9000)
+    small = lambda docs, plan: windows.run(docs, plan, block_bytes=4000, part_bytes=9000, many=many)
     monkeypatch.setattr(rindex, "run", small)
     monkeypatch.setattr(substrings, "run", small)
     docs = corpus(3)
+    line = "This very line stands in many documents, " + "and it is long enough to hold several minimisers of its own."
+    rng = random.Random(9)
+    docs += [(1000 + i, prose(rng, 40) + "\n" + line + "\n" + prose(rng, 40)) for i in range(30)]
     df = documents(spark, [t for _, t in docs], [i for i, _ in docs])
     assert sorted(tuple(r) for r in remove_repeated_windows(df).collect()) == brute_words(docs, 13)
     assert sorted(tuple(r) for r in remove_repeated_strings(df).collect()) == brute_bytes(docs, 200)
