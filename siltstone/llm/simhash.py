@@ -8,7 +8,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, text_chunks
@@ -99,8 +99,12 @@ def links(fps: DataFrame, radius: int = 2, pairs_up_to: int = 1) -> DataFrame:
     edges = star.select(F.explode("all").alias("u"), "v").where("u <> v")
     if pairs_up_to > 1:
         small = in_shared.where(F.col("n") <= pairs_up_to).groupBy("table", "key").agg(F.collect_list("fp").alias("all"))
-        pairs = small.select("all", F.explode("all").alias("u")).select("u", F.explode("all").alias("v")).where("u > v")
-        edges = edges.unionByName(pairs.where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= radius))
+        each = small.select("all", F.explode("all").alias("u"))
+
+        def linked(v: Column) -> Column:
+            return (v < F.col("u")) & (F.bit_count(F.col("u").bitwiseXOR(v)) <= radius)
+
+        edges = edges.unionByName(each.select("u", F.explode(F.filter("all", linked)).alias("v")))
     return edges.distinct()
 
 
