@@ -131,9 +131,23 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def _dealt(index: Index, query: bool, ratio: float, most: int, beam: int, sizes: np.ndarray | None = None, least: int = 0):
-    """For mapInArrow: a row for each list of a vector. Lists beyond (1 + ratio) times the nearest distance are pruned,
-    but not before the lists taken hold `least` entries by `sizes`.
+def bundles_of(index: Index, sizes: np.ndarray, rows: int, seed: int = 5) -> np.ndarray:
+    """The bundle of each list: near lists together, about `rows` entries in each."""
+    n = max(1, -(-int(sizes.sum()) // rows))
+    c = index.centroids
+    if n == 1 or n >= len(c):
+        return np.zeros(len(c), int) if n == 1 else np.arange(len(c))
+    middle = c[np.random.default_rng(seed).choice(len(c), n, replace=False)]
+    for _ in range(10):
+        to = ((middle**2).sum(1) - 2 * c @ middle.T).argmin(1)
+        for j in np.unique(to):
+            middle[j] = c[to == j].mean(0)
+    return ((middle**2).sum(1) - 2 * c @ middle.T).argmin(1)
+
+
+def _lists(index: Index, query: bool, ratio: float, most: int, beam: int, sizes: np.ndarray | None = None, least: int = 0):
+    """For mapInArrow: the lists of each vector. Lists beyond (1 + ratio) times the nearest distance are pruned, but not
+    before the lists taken hold `least` entries by `sizes`.
 
     For a data vector a list is also skipped if one of its nearer lists lies much closer to that list than the vector
     does (SPACING), so that replicas cross different boundaries.
@@ -155,42 +169,57 @@ def _dealt(index: Index, query: bool, ratio: float, most: int, beam: int, sizes:
                         for i in range(j):
                             between = ((c[lists[:, i]] - c[lists[:, j]]) ** 2).sum(1)
                             keep[:, j] &= ~(keep[:, i] & (between < SPACING * d[:, j]))
-                of, at = np.nonzero(keep)
-                yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(of)), batch.column("embedding").take(pa.array(of)), pa.array(lists[of, at].astype(np.int32))], names=["id", "embedding", "list"])
+                ends = np.concatenate([[0], np.cumsum(keep.sum(1))]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("embedding"), pa.ListArray.from_arrays(pa.array(ends), pa.array(lists[keep].astype(np.int32)))], names=["id", "embedding", "lists"])
 
     return run
 
 
-def _search(top: int):
-    """For cogroups: the `top` best vectors of a shard for each of its queries, by exact inner product."""
+def _search(top: int, n: int):
+    """For cogroups: the `top` best entries of a shard for each of its queries, by exact inner product, among those that
+    share one of the n lists with it."""
+
+    def member(table) -> np.ndarray:
+        lists = table.column("lists").combine_chunks()
+        out = np.zeros((len(table), n), np.float32)
+        out[np.repeat(np.arange(len(table)), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy()] = 1
+        return out
 
     def run(key, queries, postings):
         out = []
         if len(queries) and len(postings):
-            ids = postings.column("id").to_numpy()
-            order = ids.argsort(kind="stable")
-            ids, y = ids[order], _matrix(postings.column("embedding").combine_chunks())[order]
-            for a in range(0, len(queries), ROWS):
-                part = queries.slice(a, ROWS)
+            postings = postings.sort_by("id")
+            ids, y = postings.column("id").to_numpy(), _matrix(postings.column("embedding").combine_chunks())
+            used = np.flatnonzero((own := member(postings)).any(0))
+            own = own[:, used].T
+            step = max(16, 4_000_000 // len(ids))
+            for a in range(0, len(queries), step):
+                part = queries.slice(a, step)
                 x = _matrix(part.column("embedding").combine_chunks())
-                s = x @ y.T
-                best = np.argsort(-s, axis=1, kind="stable")[:, :top]
-                of = np.repeat(np.arange(len(x)), best.shape[1])
-                at = best.ravel()
+                s = np.where(member(part)[:, used] @ own > 0, x @ y.T, -np.inf)
+                k = min(top, len(ids))
+                # the k-th best score, then all that reach it, best first and smaller id first
+                bound = np.partition(s, len(ids) - k, axis=1)[:, len(ids) - k]
+                of, at = np.nonzero((s >= bound[:, None]) & np.isfinite(s))
                 exact = (x[of] * y[at]).sum(1)
-                out.append(pa.table({"query": part.column("id").to_numpy()[of], "id": ids[at], "score": exact}))
+                order = np.lexsort((ids[at], -exact, of))
+                of, at, exact = of[order], at[order], exact[order]
+                place = np.arange(len(of)) - np.searchsorted(of, of)
+                keep = place < k
+                out.append(pa.table({"query": part.column("id").to_numpy()[of[keep]], "id": ids[at[keep]], "score": exact[keep]}))
         empty = pa.table({"query": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
         return pa.concat_tables(out) if out else empty
 
     return run
 
 
-def neighbours(vectors: DataFrame, every: int = 20, k: int = 20, probe_ratio: float = 0.145, most_probes: int = 192, replicas: int = 3, boundary: float = 0.05, shard_rows: int = 4096, **index_options) -> DataFrame:
+def neighbours(vectors: DataFrame, every: int = 20, k: int = 20, probe_ratio: float = 0.145, most_probes: int = 192, replicas: int = 3, boundary: float = 0.05, bundle_rows: int = 32_768, shard_rows: int = 32_768, **index_options) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest vectors found for each vector whose vec_id is divisible by `every`.
 
     Equal vectors are one entry with its k + 1 smallest vec_ids (no other can be among the k nearest), as candidates
-    and as queries; so a vector that a third of the rows share costs no more than another. Postings and queries meet in
-    a (list, shard, query shard); shards follow from the counted lists. Nearest first by inner product in double
+    and as queries; so a vector that a third of the rows share costs no more than another. Near lists form a bundle; entries
+    and queries meet in a (bundle, shard, query shard), whose numbers follow from counted rows, and a query compares with
+    the entries of its own lists alone. Nearest first by inner product in double
     precision, ties by smaller vec_id. Rows that take no part: see usable(). Fewer candidates than k: all that are found.
     Other columns are ignored; an empty table gives no rows.
     """
@@ -204,25 +233,34 @@ def neighbours(vectors: DataFrame, every: int = 20, k: int = 20, probe_ratio: fl
     if index is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     entries = materialize(entries, "entries")
-    dealt = "id long, embedding array<double>, list int"
-    postings = materialize(entries.select("id", "embedding").mapInArrow(_dealt(index, False, boundary, replicas, 4 * replicas), dealt), "postings")
+    dealt = "id long, embedding array<double>, lists array<int>"
+    postings = materialize(entries.select("id", "embedding").mapInArrow(_lists(index, False, boundary, replicas, 4 * replicas), dealt), "postings")
     # at most most_lists rows
-    counts = {r["list"]: r["n"] for r in postings.groupBy("list").agg(F.count("*").alias("n")).collect()}
-    sizes = np.array([counts.get(i, 0) for i in range(len(index.centroids))])
+    counts = {r["list"]: r["n"] for r in postings.select(F.explode("lists").alias("list")).groupBy("list").agg(F.count("*").alias("n")).collect()}
+    n = len(index.centroids)
+    sizes = np.array([counts.get(i, 0) for i in range(n)])
     # an entry is in `replicas` lists at most, so these many hold k others whichever lists they are
     least = replicas * (k + 1)
     probes = max(most_probes, int(np.searchsorted(np.cumsum(np.sort(sizes)), least)) + 1)
     distinct = asked.groupBy("embedding").agg(F.min("vec_id").alias("id")).select("id", "embedding")
-    queries = materialize(distinct.mapInArrow(_dealt(index, True, probe_ratio, probes, 2 * probes, sizes, least), dealt), "probes")
-    held = {i: -(-n // shard_rows) for i, n in counts.items()}
-    wanted = {r["list"]: -(-r["n"] // (4 * shard_rows)) for r in queries.groupBy("list").agg(F.count("*").alias("n")).collect()}
-    shards = spark.createDataFrame([(i, held.get(i, 1), wanted.get(i, 1)) for i in range(len(index.centroids))], "list int, shards int, parts int")
+    queries = materialize(distinct.mapInArrow(_lists(index, True, probe_ratio, probes, 2 * probes, sizes, least), dealt), "probes")
+    bundle = bundles_of(index, sizes, bundle_rows)
     # bounded by most_lists
-    sized = F.broadcast(shards)
-    left = queries.join(sized, "list").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
-    right = postings.join(sized, "list").withColumn("shard", F.pmod(F.xxhash64("id"), F.col("shards")).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    key = ["list", "shard", "part"]
-    found = left.select(*key, "id", "embedding").groupBy(*key).cogroup(right.select(*key, "id", "embedding").groupBy(*key)).applyInArrow(_search(k + 1), "query long, id long, score double")
+    names = F.broadcast(spark.createDataFrame([(i, int(bundle[i])) for i in range(n)], "list int, bundle int"))
+
+    def bundled(df: DataFrame) -> DataFrame:
+        each = df.select("id", F.explode("lists").alias("list")).join(names, "list").groupBy("id", "bundle").agg(F.collect_list("list").alias("lists"))
+        return each.join(df.select("id", "embedding"), "id")
+
+    left, right = materialize(bundled(queries), "bundled-probes"), materialize(bundled(postings), "bundled-postings")
+    held = {r["bundle"]: -(-r["n"] // shard_rows) for r in right.groupBy("bundle").agg(F.count("*").alias("n")).collect()}
+    wanted = {r["bundle"]: -(-r["n"] // shard_rows) for r in left.groupBy("bundle").agg(F.count("*").alias("n")).collect()}
+    sized = F.broadcast(spark.createDataFrame([(b, held.get(b, 1), wanted.get(b, 1)) for b in sorted({*held, *wanted})], "bundle int, shards int, parts int"))
+    left = left.join(sized, "bundle").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
+    right = right.join(sized, "bundle").withColumn("shard", F.pmod(F.xxhash64("id"), F.col("shards")).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    key = ["bundle", "shard", "part"]
+    columns = [*key, "id", "embedding", "lists"]
+    found = left.select(*columns).groupBy(*key).cogroup(right.select(*columns).groupBy(*key)).applyInArrow(_search(k + 1, n), "query long, id long, score double")
     best = Window.partitionBy("query").orderBy(F.desc("score"), "id")
     near = found.groupBy("query", "id").agg(F.max("score").alias("score")).withColumn("place", F.row_number().over(best)).where(F.col("place") <= k + 1).drop("place")
     # back from distinct vectors to rows
