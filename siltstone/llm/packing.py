@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,22 +21,20 @@ def cut_documents(tokenizer: str, keeps_space: bool, end_id: int, capacity: int,
     """A function for mapInArrow: the pieces of each document, of `capacity` ids at most, with a checksum."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = worker_encoder(tokenizer, keeps_space)
-        for chunk in text_chunks(batches):
-            ids, ends = encoder.encode(chunk.column("text").to_pylist())
-            ids = np.insert(ids, ends[1:], end_id).astype("<u4")
-            ends = ends + np.arange(len(ends))
-            size = np.diff(ends)
+        encoder, end = worker_encoder(tokenizer, keeps_space), array("I", [end_id]).tobytes()
+        for chunk in text_chunks(batches, limit=4 << 20):
+            texts = [ids + end for ids in encoder.encode(chunk.column("text").to_pylist())]
+            size = np.array([len(t) // 4 for t in texts], np.int64)
             pieces = -(-size // capacity)
             of = np.repeat(np.arange(len(size)), pieces)
             number = np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
             start = number * capacity
             length = np.minimum(size[of] - start, capacity)
-            at = ends[:-1][of] + start
-            crc = [zlib.crc32(ids[a : a + n].data) for a, n in zip(at.tolist(), length.tolist())]
+            crc = [zlib.crc32(texts[i][4 * a : 4 * (a + n)]) for i, a, n in zip(of.tolist(), start.tolist(), length.tolist())]
             columns = [chunk.column("doc_id").cast(pa.int64()).take(pa.array(of)), pa.array(number.astype(np.int32)), pa.array(start.astype(np.int64)), pa.array(length.astype(np.int64)), pa.array(crc, pa.int64())]
             if keep_ids:
-                columns.append(pa.ListArray.from_arrays(pa.array(np.append(at, ends[-1]).astype(np.int32)), pa.array(ids.astype(np.int32))))
+                ends = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
+                columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(texts), np.int32))))
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(columns)])
 
     return run

@@ -25,22 +25,24 @@ BYTE_SIGNS = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(_SHO
 
 
 class _Words(dict):
-    """Word (str: after a space; tuple: as it stands) -> its number; learns a word when first asked for it."""
+    """Word (str: after a space; tuple: as it stands) -> its ids as bytes; learns a word when first asked for it.
 
-    def __init__(self, encoded):
+    Words asked for in the last period or this one are kept; a period ends when it has seen `limit` words.
+    """
+
+    def __init__(self, encoded, limit: int):
         super().__init__()
-        self.encoded = encoded
-        self.ids, self.ends = array("I"), array("q", [0])
+        self.encoded, self.limit, self.before = encoded, limit, {}
 
     def __missing__(self, word):
-        ids = self.encoded(word)
-        if ids is None:
-            self[word] = -1
-            return -1
-        self.ids.extend(ids)
-        self[word] = n = len(self.ends) - 1
-        self.ends.append(len(self.ids))
-        return n
+        found = self.before.get(word, False)
+        self[word] = found = self.encoded(word) if found is False else found
+        return found
+
+    def turn(self) -> None:
+        if len(self) > self.limit:
+            self.before = dict(self)
+            self.clear()
 
 
 class WordEncoder:
@@ -53,106 +55,82 @@ class WordEncoder:
     white space meets a space is cut by SAFE_CUT alone.
     """
 
-    def __init__(self, path: str, keeps_space: bool, cached_words: int = 800_000):
+    def __init__(self, path: str, keeps_space: bool, cached_words: int = 550_000):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals out the work
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
-        self.keeps_space, self.cached_words = keeps_space, cached_words
-        self.line_feed = self._whole("\n")
-        self._reset()
-
-    def _reset(self) -> None:
-        self.words = _Words(self._encoded)
-        self.marks: dict[str, list[int]] = {}
-        self.hits = np.zeros(0, np.int64)
-
-    def _forget(self) -> None:
-        """Drop words that were rarely asked for; all, if that leaves too many."""
-        old, hits = self.words, self.hits
-        kept = [w for w, n in old.items() if n >= 0 and n < len(hits) and hits[n] > 2]
-        self._reset()
-        if len(kept) < self.cached_words // 2:
-            ends = old.ends
-            for w in kept:
-                n = old[w]
-                self.words.ids.extend(old.ids[ends[n] : ends[n + 1]])
-                self.words[w] = len(self.words.ends) - 1
-                self.words.ends.append(len(self.words.ids))
+        self.keeps_space = keeps_space
+        self.line_feed = array("I", self._whole("\n")).tobytes()
+        self.words, self.marks = _Words(self._encoded, cached_words), {}
 
     def _whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _plain(self, lead: str, word: str) -> list[int] | None:
-        """Ids of Latin letters with marks after them; such letters are one pre-token for the library's model."""
-        found = PLAIN(word)
-        if not found:
-            return None
-        stem, marks = found.groups()
-        if not self.keeps_space:
-            stem = stem.lower()
+    def _packed(self, text: str) -> bytes:
+        return array("I", self._whole(text)).tobytes()
+
+    def _letters(self, lead: str, stem: str) -> bytes:
+        """Ids of Latin letters, which are one pre-token: straight from the library's model."""
         if stem.isascii():
             piece = "\u0120" + stem if lead else stem  # the sign for a space
         else:
             piece = (lead + stem).encode().decode("latin-1").translate(BYTE_SIGNS)
-        ids = [t.id for t in self.model.tokenize(piece)]
-        if marks:
-            if marks not in self.marks:
-                self.marks[marks] = self._whole(marks)
-            ids += self.marks[marks]
-        return ids
-
-    def _encoded(self, word: str | tuple) -> list[int] | None:
+        return array("I", [t.id for t in self.model.tokenize(piece)]).tobytes()
+
+    def _marked(self, marks: str) -> bytes:
+        if marks not in self.marks:
+            if len(self.marks) > 10_000:
+                self.marks.clear()
+            self.marks[marks] = self._packed(marks)
+        return self.marks[marks]
+
+    def _encoded(self, word: str | tuple) -> bytes | None:
         """Ids of a word; None if its text can't be cut at the space before or after it."""
         if isinstance(word, tuple):
-            return self._whole(word[0])
+            return self._packed(word[0])
         lead = " " if self.keeps_space else ""
-        ids = self._plain(lead, word)
-        if ids is not None:
-            return ids
+        plain = PLAIN(word)
+        if plain:
+            stem, marks = plain.groups()
+            if not self.keeps_space:
+                stem = stem.lower()
+            if stem == word:
+                return self._letters(lead, stem)
+            return self.words[stem] + self._marked(marks) if marks else self.words[stem]
         lines = word.split("\n")
         if self.keeps_space:
             if not word or word[0].isspace() or word[-1].isspace():
                 return None
             if any(not x or x[0].isspace() or x[-1].isspace() for x in lines):
-                return self._whole(" " + word)
-        ids = []
+                return self._packed(" " + word)
+        out = []
         for i, line in enumerate(lines):
+            plain = PLAIN(line)
             if i and self.keeps_space:
-                ids += self.line_feed
-            part = self._plain("" if i else lead, line)
-            ids += self._whole(line if i else lead + line) if part is None else part
-        return ids
-
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts in a row (uint32), and where each text's ids end, with a leading 0. None counts as empty."""
-        if len(self.words) > self.cached_words:
-            self._forget()
-        number = self.words.__getitem__
-        numbers = []
+                out.append(self.line_feed)
+                out.append(self._letters("", plain[1]) + (self._marked(plain[2]) if plain[2] else b"") if plain else self._packed(line))
+            else:
+                out.append(self.words[line] if plain else self._packed(lead + line))
+        return b"".join(out)
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers. None counts as empty."""
+        self.words.turn()
+        ids, out = self.words.__getitem__, []
         for text in texts:
             row: list = text.split(" ") if text else []
             if row and self.keeps_space:
                 cut = row[0] and not row[0][-1].isspace()
                 row[0] = (row[0],)
-                x = np.fromiter(map(number, row), np.int64, len(row)) if cut else None
-                if x is None or x.min() < 0:
-                    row = [(p,) for p in SAFE_CUT.split(text)]
-                    x = np.fromiter(map(number, row), np.int64, len(row))
+                if not cut or None in (found := list(map(ids, row))):
+                    found = [ids((p,)) for p in SAFE_CUT.split(text)]
+                out.append(b"".join(found))
             else:
-                x = np.fromiter(map(number, row), np.int64, len(row))
-            numbers.append(x)
-        flat = np.concatenate(numbers) if numbers else np.empty(0, np.int64)
-        ends, ids = np.array(self.words.ends), np.array(self.words.ids, dtype=np.uint32)
-        hits = np.bincount(flat, minlength=len(ends))
-        hits[: len(self.hits)] += self.hits
-        self.hits = hits
-        sizes = ends[flat + 1] - ends[flat]
-        upto = np.concatenate([[0], np.cumsum(sizes)])
-        at = np.arange(upto[-1]) + np.repeat(ends[flat] - upto[:-1], sizes)
-        return ids[at], upto[np.concatenate([[0], np.cumsum([len(x) for x in numbers])]).astype(np.int64)]
+                out.append(b"".join(map(ids, row)))
+        return out
 
 
 _ENCODERS: dict[tuple[str, bool], WordEncoder] = {}
@@ -172,13 +150,14 @@ def encode_documents(path: str, keeps_space: bool, end_id: int):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, before = worker_encoder(path, keeps_space), 0
-        for chunk in text_chunks(batches):
-            ids, ends = encoder.encode(chunk.column("text").to_pylist())
-            ids = np.insert(ids, ends[1:], end_id).astype(np.int32)
-            ends = ends + np.arange(len(ends))
+        encoder, before, end = worker_encoder(path, keeps_space), 0, array("I", [end_id]).tobytes()
+        for chunk in text_chunks(batches, limit=4 << 20):
+            texts = [ids + end for ids in encoder.encode(chunk.column("text").to_pylist())]
+            size = np.array([len(t) // 4 for t in texts], np.int64)
+            ends = np.concatenate([[0], np.cumsum(size)])
+            ids = np.frombuffer(b"".join(texts), np.int32)
             yield pa.RecordBatch.from_arrays(
-                [chunk.column("doc_id").cast(pa.int64()), pa.array(np.diff(ends).astype(np.int64)), pa.array(before + ends[:-1].astype(np.int64)), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))],
+                [chunk.column("doc_id").cast(pa.int64()), pa.array(size), pa.array(before + ends[:-1]), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))],
                 names=["doc_id", "n_tokens", "first_token", "ids"],
             )
             before += int(ends[-1])
@@ -200,7 +179,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, keeps_space: b
     ordered = keyed.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
     writer = ordered.mapInArrow(encode_documents(tokenizer, keeps_space, end_id), "doc_id long, n_tokens long, first_token long, ids array<int>").write
     for key, value in {
-        "compression": "zstd", "parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary": "true", "parquet.enable.dictionary#doc_id": "false",
+        "compression": "snappy", "parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary": "true", "parquet.enable.dictionary#doc_id": "false",
         "parquet.enable.dictionary#n_tokens": "false", "parquet.enable.dictionary#first_token": "false", "parquet.block.size": str(row_group_bytes), "parquet.page.size": str(page_bytes),
     }.items():
         writer = writer.option(key, value)
