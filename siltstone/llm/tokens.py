@@ -55,7 +55,7 @@ class WordEncoder:
     white space meets a space is cut by SAFE_CUT alone.
     """
 
-    def __init__(self, path: str, keeps_space: bool, cached_words: int = 550_000):
+    def __init__(self, path: str, keeps_space: bool, cached_words: int = 420_000):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals out the work
@@ -151,7 +151,7 @@ def encode_documents(path: str, keeps_space: bool, end_id: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, before, end = worker_encoder(path, keeps_space), 0, array("I", [end_id]).tobytes()
-        for chunk in text_chunks(batches, limit=4 << 20):
+        for chunk in text_chunks(batches, limit=2 << 20):
             texts = [ids + end for ids in encoder.encode(chunk.column("text").to_pylist())]
             size = np.array([len(t) // 4 for t in texts], np.int64)
             ends = np.concatenate([[0], np.cumsum(size)])
