@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import partial
 from itertools import combinations
@@ -18,18 +19,15 @@ BITS = 64
 STEP = 50_000
 
 
-def fingerprint(text: str | None, shingle: int = 3, seed: int = 42, letters: int = 0) -> int:
+def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
     """The 64-bit SimHash of a text: majority of each bit over the XXH64 of all its word shingles, repeats included.
 
     Words are runs between ASCII white space, A-Z lower-cased. Fewer words than a shingle: the whole sequence counts
-    once; no words (or null): zero. With `letters`, only words of as many bytes count, if there are at least eight.
+    once; no words (or null): zero.
     """
     from xxhash import xxh64_digest
 
     words = (text or "").encode().lower().split()
-    if letters:
-        long = [w for w in words if len(w) >= letters]
-        words = long if len(long) >= 8 else words
     if not words:
         return 0
     shingles = max(1, len(words) - shingle + 1)
@@ -43,12 +41,12 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42, letters: int
     return int.from_bytes(np.packbits(2 * ones > shingles).tobytes(), "big", signed=True)
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42, letters: int = 0) -> DataFrame:
+def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame:
     """doc_id and fp (the fingerprint as a signed long) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in text_chunks(batches):
-            fps = [fingerprint(t, shingle, seed, letters) for t in chunk.column("text").to_pylist()]
+            fps = [fingerprint(t, shingle, seed) for t in chunk.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([chunk.column("doc_id").cast(pa.int64()), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
@@ -148,61 +146,117 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, seed: int = 42, radius: i
     return prints.join(materialize(named, "named"), "fp")
 
 
+def _shingles(text: str | None, shingle: int) -> np.ndarray:
+    """The distinct hashes, ascending, of a text's word shingles (fewer words: the whole sequence)."""
+    from xxhash import xxh64_digest
+
+    words = (text or "").encode().lower().split()
+    joined = map(b" ".join, zip(*(words[i:] for i in range(shingle)))) if len(words) >= shingle else [b" ".join(words)]
+    return np.unique(np.frombuffer(b"".join(map(xxh64_digest, joined)), ">i8").astype(np.int64))
+
+
 def shingle_sets(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """doc_id and the distinct hashes of a text's word shingles (fewer words: the whole sequence)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh64_digest
-
         for chunk in text_chunks(batches):
-            sets = []
-            for text in chunk.column("text").to_pylist():
-                words = (text or "").encode().lower().split()
-                joined = map(b" ".join, zip(*(words[i:] for i in range(shingle)))) if len(words) >= shingle else [b" ".join(words)]
-                sets.append(np.unique(np.frombuffer(b"".join(map(xxh64_digest, joined)), ">i8").astype(np.int64)))
+            sets = [_shingles(text, shingle) for text in chunk.column("text").to_pylist()]
             ends = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([chunk.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], names=["doc_id", "shingles"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, shingles array<long>")
 
 
-def _printed(docs: DataFrame, letters: int) -> DataFrame:
-    """doc_id, fp over single long words, and a digest of the text's words."""
+def _digests(docs: DataFrame) -> DataFrame:
+    """doc_id and a digest of the text's words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
 
         for chunk in text_chunks(batches):
-            texts = chunk.column("text").to_pylist()
-            same = [hashlib.sha256(b" ".join(t.encode().lower().split())).digest()[:16] for t in texts]
-            yield pa.RecordBatch.from_arrays([chunk.column("doc_id"), pa.array([fingerprint(t, 1, letters=letters) for t in texts], pa.int64()), pa.array(same, pa.binary())], names=["doc_id", "fp", "same"])
+            same = [hashlib.sha256(b" ".join(t.encode().lower().split())).digest()[:16] for t in chunk.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([chunk.column("doc_id"), pa.array(same, pa.binary())], names=["doc_id", "same"])
+
+    return docs.mapInArrow(run, "doc_id long, same binary")
+
 
-    return docs.mapInArrow(run, "doc_id long, fp long, same binary")
+def _common(docs: DataFrame, shingle: int, one_in: int = 16, seen: int = 4, most: int = 50_000) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that many texts hold, ascending, and their counts in a sample by doc_id. They only set an order."""
+    sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(one_in)) == 0)
+    counts = shingle_sets(sample, shingle).select(F.explode("shingles").alias("token")).groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= seen)
+    rows = sorted(tuple(r) for r in counts.orderBy(F.desc("n"), "token").limit(most).collect())
+    return np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
 
 
-def repeated_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, radius: int = 4, letters: int = 7) -> DataFrame:
+def _prefixes(docs: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """token, node (the doc_id), size of its set: the first shingles of each set in one order for all, rare ones first.
+
+    Sets with a Jaccard similarity of s or more share at least ceil(s * size) shingles of each; so both hold a common
+    shingle among their first size - ceil(s * size) + 1, whatever the order.
+    """
+    tokens, counts = _common(docs, shingle)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in text_chunks(batches):
+            ids, sizes, out = chunk.column("doc_id").to_pylist(), [], []
+            for text in chunk.column("text").to_pylist():
+                x = _shingles(text, shingle)
+                n = len(x) - math.ceil(similarity * len(x) - 1e-9) + 1
+                if len(tokens):
+                    at = np.minimum(np.searchsorted(tokens, x), len(tokens) - 1)
+                    held = np.where(tokens[at] == x, counts[at], 0)
+                    x, whole = x[np.argsort(held, kind="stable")], len(x)
+                else:
+                    whole = len(x)
+                out.append(x[:n])
+                sizes.append(whole)
+            times = [len(x) for x in out]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out)), pa.array(np.repeat(np.array(ids, np.int64), times)), pa.array(np.repeat(np.array(sizes, np.int64), times))], names=["token", "node", "size"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "token long, node long, size long")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    met = pairs.join(sets.select(F.col("doc_id").alias("u"), F.col("shingles").alias("x")), "u").join(sets.select(F.col("doc_id").alias("v"), F.col("shingles").alias("y")), "v")
+    both = F.size(F.array_intersect("x", "y"))
+    return met.where(both >= similarity * (F.size("x") + F.size("y") - both)).select("u", "v")
+
+
+def repeated_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, stars: int = 2) -> DataFrame:
     """doc_id of each row that another document stands for: all but the smallest doc_id of each group.
 
     Groups are connected components of links; a link is a pair whose sets of word shingles have at least `similarity`
-    (Jaccard) and whose fingerprints, over long words, differ in `radius` bits or fewer. Texts with equal words are one
-    node. Rows with a null doc_id are never listed; rows with equal doc_id count as one document; null and empty texts
-    are copies of each other.
+    (Jaccard). Candidates come from an exact prefix filter, so no link is lost. First each shared shingle gives a star
+    around one of its texts, `stars` times with another centre; that joins groups of near copies in linear work. Then all
+    pairs of a shingle that are not yet in one group are looked at. Texts with equal words are one node. Rows with a null
+    doc_id are never listed; rows with equal doc_id count as one document; null and empty texts are copies of each other.
     """
     text = F.coalesce("text", F.lit(""))
     known = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    prints = materialize(_printed(known, letters), "prints")
-    nodes = materialize(prints.groupBy("same").agg(F.min("doc_id").alias("node"), F.min("fp").alias("fp")), "nodes")
-    heads = nodes.groupBy("fp").agg(F.min("node").alias("head"))
-    inside = nodes.join(heads, "fp").where("node <> head").select(F.col("node").alias("u"), F.col("head").alias("v"))
-    across = links(heads.select("fp"), radius, pairs_up_to=32)
-    across = across.join(heads.select(F.col("fp").alias("u"), F.col("head").alias("a")), "u").join(heads.select(F.col("fp").alias("v"), F.col("head").alias("b")), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    pairs = materialize(inside.unionByName(across).distinct(), "candidates")
-    asked = pairs.select(F.col("u").alias("doc_id")).unionByName(pairs.select(F.col("v").alias("doc_id"))).distinct()
-    sets = materialize(shingle_sets(known.join(asked, "doc_id", "left_semi"), shingle), "shingles")
-    met = pairs.join(sets.select(F.col("doc_id").alias("u"), F.col("shingles").alias("x")), "u").join(sets.select(F.col("doc_id").alias("v"), F.col("shingles").alias("y")), "v")
-    both = F.size(F.array_intersect("x", "y"))
-    linked = met.where(both >= similarity * (F.size("x") + F.size("y") - both)).select("u", "v")
-    roots = components(linked)
+    prints = materialize(_digests(known), "prints")
+    nodes = materialize(prints.groupBy("same").agg(F.min("doc_id").alias("node")), "nodes")
+    heads = materialize(known.join(nodes.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi"), "heads")
+    tokens = materialize(_prefixes(heads, similarity, shingle), "tokens")
+    several = tokens.groupBy("token").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("token")
+    shared = materialize(tokens.join(several, "token"), "shared")
+    sets = materialize(shingle_sets(heads.join(shared.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi"), shingle), "shingles")
+    fits = F.least("size", "other") >= F.lit(similarity - 1e-9) * F.greatest("size", "other")
+    linked = roots = None
+    for step in range(stars + 1):
+        now = shared.withColumn("label", F.col("node")) if roots is None else shared.join(roots, "node", "left").select("token", "node", "size", F.coalesce("root", "node").alias("label"))
+        if step:
+            mixed = now.groupBy("token").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("token")
+            now = materialize(now.join(mixed, "token"), "mixed")
+        mark = F.xxhash64("node", F.lit(step)) if step else F.col("node")
+        if step < stars:
+            centre = now.groupBy("token").agg(F.min(F.struct(mark.alias("mark"), "node", "size", "label")).alias("c")).select("token", F.col("c.node").alias("v"), F.col("c.size").alias("other"), F.col("c.label").alias("its"))
+            met = now.join(centre, "token").where("label <> its")
+        else:
+            met = now.join(now.select("token", F.col("node").alias("v"), F.col("size").alias("other"), F.col("label").alias("its")), "token").where("label < its")
+        pairs = materialize(met.where(fits).select(F.greatest("node", "v").alias("u"), F.least("node", "v").alias("v")).where("u <> v").distinct(), "candidates")
+        found = _verified(pairs, sets, similarity)
+        linked = materialize(found if linked is None else linked.unionByName(found), "links")
+        roots = materialize(components(linked), "roots")
     named = nodes.join(roots, "node", "left").select("same", F.coalesce("root", "node").alias("first"))
     return prints.join(named, "same").where("doc_id <> first").select("doc_id").distinct()
 

@@ -98,6 +98,27 @@ def test_repeated_documents(spark):
     assert repeated_documents(documents(spark, ["x y", "x y", "x y"], [None, 3, 3])).count() == 0
 
 
+def brute_repeated(texts, similarity=0.8):
+    words = [(t or "").lower().split() for t in texts]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in words]
+    edges = [(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b])]
+    return sorted(i for i, root in brute_components(range(len(texts)), edges).items() if i != root)
+
+
+def test_repeated_documents_loses_no_pair(spark):
+    rng = random.Random(12)
+    texts = []
+    for n in (3, 5, 9, 30, 64, 150, 400):
+        for edits in (0, 1, 2, 3, 5, 8):
+            t = prose(rng, n)
+            w = t.split()
+            for i in rng.sample(range(n), min(n, edits)):
+                w[i] = "".join(rng.choice("abcdefgh") for _ in range(rng.choice([3, 12])))
+            texts += [t, " ".join(w)]
+    rng.shuffle(texts)
+    assert sorted(r.doc_id for r in repeated_documents(documents(spark, texts)).collect()) == brute_repeated(texts)
+
+
 def test_null_ids_keep_components(spark, tmp_path):
     sf = save(documents(spark, ["a b", "a b", "c d e f"], [None, 7, None]), tmp_path, "documents")
     assert sorted((r.doc_id is None, r.component_id or -1) for r in op2_simhash_components(spark, sf).collect()) == [(False, 7), (True, -1), (True, 7)]
