@@ -119,6 +119,18 @@ def test_repeated_documents_loses_no_pair(spark):
     assert sorted(r.doc_id for r in repeated_documents(documents(spark, texts)).collect()) == brute_repeated(texts)
 
 
+def test_repeated_documents_links_members_besides_the_first(spark):
+    rng = random.Random(0)
+    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    b = [word(9 if i % 2 else 4) for i in range(240)]
+    a, c = list(b), list(b)
+    for i in range(0, 240, 20):
+        a[i] = word(4)
+    c[121] = word(9)
+    texts = [" ".join(x) for x in (a, b, c)]  # a and b share their long words; only b and c are near
+    assert [r.doc_id for r in repeated_documents(documents(spark, texts)).collect()] == brute_repeated(texts) == [2]
+
+
 def test_null_ids_keep_components(spark, tmp_path):
     sf = save(documents(spark, ["a b", "a b", "c d e f"], [None, 7, None]), tmp_path, "documents")
     assert sorted((r.doc_id is None, r.component_id or -1) for r in op2_simhash_components(spark, sf).collect()) == [(False, 7), (True, -1), (True, 7)]
