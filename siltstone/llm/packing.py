@@ -43,33 +43,43 @@ def cut_documents(tokenizer: str, keeps_space: bool, end_id: int, capacity: int,
 def _complete(room: int, lengths: list[int], left: dict[int, int], nodes: int) -> list[tuple[int, int]]:
     """The best filling of `room` found: (length, how many), least waste first.
 
-    Depth-first over lengths in descending order, taking as many of each as fit before fewer. So the first leaf is the
-    best-fit filling, the incumbent; a filling that another dominates (a larger length that still fits in its place)
-    comes later and only counts if it wastes less. Branches that cannot waste less than the incumbent are cut.
+    Depth-first over lengths in descending order, each taken as often as fits, then once less, down to not at all. So the
+    first leaf is the best-fit filling, the incumbent, and a filling that another dominates (a larger length in the place
+    of its pieces) comes after that one and never replaces it. A branch is cut if all shorter pieces left can't bring it
+    below the incumbent's waste. At most `nodes` nodes are looked at.
     """
     import bisect
 
+    # sums of all pieces shorter than lengths[i], as far as they are under the room
+    under = [0]
+    for n in lengths:
+        under.append(under[-1] + n * left[n])
+        if under[-1] >= room:
+            break
     best: list[tuple[int, int]] = []
     waste = room
     budget = nodes
-    stack: list[tuple[int, int, list[tuple[int, int]]]] = [(room, bisect.bisect_right(lengths, room), [])]
+    stack: list[tuple[int, int, list[tuple[int, int]], int]] = [(room, bisect.bisect_right(lengths, room), [], -1)]
     while stack and waste and budget > 0:
-        budget -= 1
-        free, upto, chosen = stack.pop()
-        if free < waste:
-            best, waste = chosen, free
-        if not free or not upto:
-            continue
-        i = min(upto, bisect.bisect_right(lengths, free)) - 1
-        if i < 0:
-            continue
-        n = lengths[i]
-        most = min(left[n], free // n)
-        # the same length fewer times, or not at all, is looked at after the fullest choice
-        stack.append((free, i, chosen))
-        if most > 1:
-            stack.append((free - n, i, [*chosen, (n, 1)]))
-        stack.append((free - most * n, i, [*chosen, (n, most)]))
+        free, upto, chosen, times = stack.pop()
+        if times < 0:  # a new node; else one more choice of a node
+            budget -= 1
+            if free < waste:
+                best, waste = chosen, free
+            upto = min(upto, bisect.bisect_right(lengths, free))
+            if not free or not upto:
+                continue
+            n = lengths[upto - 1]
+            times = min(left[n], free // n)
+        i, n = upto - 1, lengths[upto - 1]
+        rest = free - times * n
+        if times:
+            # with fewer of this length, shorter pieces must fill more
+            stack.append((free, upto, chosen, times - 1))
+        if rest < waste or i >= len(under) or rest - under[i] < waste:
+            stack.append((rest, i, [*chosen, (n, times)] if times else chosen, -1))
+        elif i < len(under) and times:
+            stack.pop()  # fewer waste still more
     return best
 
 

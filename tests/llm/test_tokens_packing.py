@@ -79,3 +79,8 @@ def test_solve_reaches_known_optima():
     assert sum(t for t, _ in solve({51: 7, 49: 3, 26: 4}, 100)) == 7
     assert sum(t for t, _ in solve({44: 6, 24: 6, 32: 6, 100: 2}, 100)) == 8
     assert solve({}, 100) == []
+
+
+def test_solve_tries_every_count():
+    assert sum(t for t, _ in solve({4: 6, 3: 4}, 18)) == 2
+    assert sum(t for t, _ in solve({910: 300, 683: 200}, 4096)) == 100
