@@ -228,7 +228,7 @@ def repeated_documents(docs: DataFrame, similarity: float = 0.8, shingle: int =
     Groups are connected components of links; a link is a pair whose sets of word shingles have at least `similarity`
     (Jaccard). Candidates come from an exact prefix filter, so no link is lost. First each shared shingle gives a star
     around one of its texts, `stars` times with another centre; that joins groups of near copies in linear work. Then all
-    pairs of a shingle that are not yet in one group are looked at. Texts with equal words are one node. Rows with a null
+    pairs of a shingle that are not yet in one group are counted; those with enough common shingles are verified. Texts with equal words are one node. Rows with a null
     doc_id are never listed; rows with equal doc_id count as one document; null and empty texts are copies of each other.
     """
     text = F.coalesce("text", F.lit(""))
@@ -239,8 +239,10 @@ def repeated_documents(docs: DataFrame, similarity: float = 0.8, shingle: int =
     tokens = materialize(_prefixes(heads, similarity, shingle), "tokens")
     several = tokens.groupBy("token").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("token")
     shared = materialize(tokens.join(several, "token"), "shared")
-    sets = materialize(shingle_sets(heads.join(shared.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi"), shingle), "shingles")
     fits = F.least("size", "other") >= F.lit(similarity - 1e-9) * F.greatest("size", "other")
+    # shingles after the prefix can't make up for too few common ones in it: an upper bound, so no link is lost
+    rest = F.ceil(F.lit(similarity) * F.greatest("size", "other") - 1e-9) - 1
+    enough = F.col("common") + rest >= F.lit(similarity / (1 + similarity)) * (F.col("size") + F.col("other")) - 1e-6
     linked = roots = None
     for step in range(stars + 1):
         now = shared.withColumn("label", F.col("node")) if roots is None else shared.join(roots, "node", "left").select("token", "node", "size", F.coalesce("root", "node").alias("label"))
@@ -253,7 +255,10 @@ def repeated_documents(docs: DataFrame, similarity: float = 0.8, shingle: int =
             met = now.join(centre, "token").where("label <> its")
         else:
             met = now.join(now.select("token", F.col("node").alias("v"), F.col("size").alias("other"), F.col("label").alias("its")), "token").where("label < its")
-        pairs = materialize(met.where(fits).select(F.greatest("node", "v").alias("u"), F.least("node", "v").alias("v")).where("u <> v").distinct(), "candidates")
+        common = met.where(fits & (F.col("node") != F.col("v"))).groupBy("node", "v", "size", "other").agg(F.count("*").alias("common"))
+        pairs = materialize(common.where(enough).select(F.greatest("node", "v").alias("u"), F.least("node", "v").alias("v")).distinct(), "candidates")
+        asked = pairs.select(F.col("u").alias("doc_id")).unionByName(pairs.select(F.col("v").alias("doc_id"))).distinct()
+        sets = materialize(shingle_sets(heads.join(asked, "doc_id", "left_semi"), shingle), "shingles")
         found = _verified(pairs, sets, similarity)
         linked = materialize(found if linked is None else linked.unionByName(found), "links")
         roots = materialize(components(linked), "roots")
