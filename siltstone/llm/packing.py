@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -40,85 +41,225 @@ def cut_documents(tokenizer: str, keeps_space: bool, end_id: int, capacity: int,
     return run
 
 
-def _complete(room: int, lengths: list[int], left: dict[int, int], nodes: int) -> list[tuple[int, int]]:
-    """The best filling of `room` found: (length, how many), least waste first.
+Filling = tuple[tuple[int, int], ...]  # (length, how many), lengths descending
 
-    Depth-first over lengths in descending order, each taken as often as fits, then once less, down to not at all. So the
-    first leaf is the best-fit filling, the incumbent, and a filling that another dominates (a larger length in the place
-    of its pieces) comes after that one and never replaces it. A branch is cut if all shorter pieces left can't bring it
-    below the incumbent's waste. At most `nodes` nodes are looked at.
+
+def lower_bound(counts: dict[int, int], capacity: int) -> int:
+    """No packing has fewer sequences: for each threshold, pieces over half the capacity need one each, and pieces from
+    the threshold up to the half only share the room that those leave which can hold a piece as long as the threshold."""
+    sizes = np.zeros(capacity + 1, np.int64)
+    for n, k in counts.items():
+        sizes[n] += k
+    number = np.concatenate([[0], np.cumsum(sizes)])  # of pieces shorter than i
+    total = np.concatenate([[0], np.cumsum(sizes * np.arange(capacity + 1))])
+    best, half = -(-int(total[-1]) // capacity), capacity // 2
+    for t in range(half + 1):
+        alone = number[capacity + 1] - number[half + 1]
+        middle, room = number[capacity - t + 1] - number[half + 1], total[capacity - t + 1] - total[half + 1]
+        over = int(total[half + 1] - total[t] - (middle * capacity - room))
+        best = max(best, int(alone) + max(0, -(-over // capacity)))
+    return best
+
+
+def fillings(room: int, left: dict[int, int], waste: int, below: Filling | None = None) -> Iterator[tuple[int, Filling] | None]:
+    """Fillings of `room` that leave `waste` at most and no piece out that still fits, in descending order (more of the
+    longest first), those before `below` in that order left out. Yields None for each node looked at in between.
+
+    A branch is cut by the waste bound: what all shorter pieces left can't fill is wasted.
+    """
+    lengths = sorted(n for n, k in left.items() if k and n <= room)
+    under = [0]  # sums of all pieces shorter than lengths[i]
+    for n in lengths:
+        under.append(under[-1] + n * left[n])
+    stack: list[tuple[int, int, Filling, int]] = [(room, len(lengths), (), waste)]
+    while stack:
+        free, upto, chosen, most = stack.pop()
+        yield None
+        upto = min(upto, bisect.bisect_right(lengths, free))
+        if not upto:
+            if below is None or chosen < below:
+                yield free, chosen
+            continue
+        i, n = upto - 1, lengths[upto - 1]
+        fit = min(left[n], free // n)
+        for times in range(fit + 1):
+            rest, bound = free - times * n, most if times == left[n] else min(most, n - 1)
+            if rest - under[i] <= bound:
+                stack.append((rest, i, (*chosen, (n, times)) if times else chosen, bound))
+
+
+def dominated(filling: Filling, free: int, left: dict[int, int]) -> bool:
+    """Could some of the filling's pieces give way to one longer piece (or one as long as several) that is left out?
+
+    Those pieces fit where that piece would otherwise go, so some best packing has the other filling.
     """
-    import bisect
+    held = dict(filling)
 
-    # sums of all pieces shorter than lengths[i], as far as they are under the room
+    def sums(pieces: dict[int, int]) -> int:
+        bits = 1
+        for n, k in pieces.items():
+            for _ in range(k):
+                bits |= bits << n
+        return bits
+
+    everything = sums(held)
+    for x, k in left.items():
+        if k > held.get(x, 0):
+            bits = sums({n: c for n, c in held.items() if n != x}) if x in held else everything
+            low = max(0, x - free)
+            if bits >> low & ((1 << (x - low + 1)) - 1):
+                return True
+    return False
+
+
+def _best_fit(counts: dict[int, int], capacity: int, nodes: int) -> list[tuple[int, Filling]]:
+    """One sequence after the other around the largest piece left, each with the least waste found in `nodes` nodes; the
+    first filling looked at takes the longest pieces that fit."""
+    left, lengths, out = dict(counts), sorted(counts), []
+    while lengths:
+        first = lengths[-1]
+        left[first] -= 1
+        best, waste = (), capacity - first
+        for looked, found in enumerate(_fill(waste, lengths if left[first] else lengths[:-1], left)):
+            if found is not None:
+                waste, best = found
+            if not waste or looked >= nodes:
+                break
+        left[first] += 1
+        need = dict(best)
+        need[first] = need.get(first, 0) + 1
+        times = min(left[n] // k for n, k in need.items())
+        for n, k in need.items():
+            left[n] -= k * times
+            if not left[n]:
+                del lengths[bisect.bisect_left(lengths, n)]
+        out.append((times, tuple(sorted(need.items(), reverse=True))))
+    return out
+
+
+def _fill(room: int, lengths: list[int], left: dict[int, int]) -> Iterator[tuple[int, Filling] | None]:
+    """Ever better fillings of `room`: each has less waste than all before it. None for each other node."""
     under = [0]
     for n in lengths:
         under.append(under[-1] + n * left[n])
         if under[-1] >= room:
             break
-    best: list[tuple[int, int]] = []
     waste = room
-    budget = nodes
-    stack: list[tuple[int, int, list[tuple[int, int]], int]] = [(room, bisect.bisect_right(lengths, room), [], -1)]
-    while stack and waste and budget > 0:
+    stack: list[tuple[int, int, Filling, int]] = [(room, bisect.bisect_right(lengths, room), (), -1)]
+    while stack:
         free, upto, chosen, times = stack.pop()
         if times < 0:  # a new node; else one more choice of a node
-            budget -= 1
             if free < waste:
-                best, waste = chosen, free
+                waste = free
+                yield free, chosen
+            else:
+                yield None
             upto = min(upto, bisect.bisect_right(lengths, free))
             if not free or not upto:
                 continue
-            n = lengths[upto - 1]
-            times = min(left[n], free // n)
+            times = min(left[lengths[upto - 1]], free // lengths[upto - 1])
         i, n = upto - 1, lengths[upto - 1]
         rest = free - times * n
         if times:
             # with fewer of this length, shorter pieces must fill more
             stack.append((free, upto, chosen, times - 1))
         if rest < waste or i >= len(under) or rest - under[i] < waste:
-            stack.append((rest, i, [*chosen, (n, times)] if times else chosen, -1))
+            stack.append((rest, i, (*chosen, (n, times)) if times else chosen, -1))
         elif i < len(under) and times:
             stack.pop()  # fewer waste still more
+
+
+def _search(counts: dict[int, int], capacity: int, used: int, bound: int, nodes: int | None) -> list[tuple[int, Filling]] | None:
+    """A packing in fewer than `used` sequences by bin completion, as good as can be; None if there is none (or if it
+    isn't found within `nodes` nodes).
+
+    A node completes sequences around the largest piece left: with each undominated filling, as often as possible, then
+    once less, down to once. Sequences around pieces of one length come in descending order of their fillings, so no
+    set of sequences is looked at twice. A branch ends when its waste is more than a better packing can have.
+    """
+    total = sum(n * k for n, k in counts.items())
+    best = None
+    left = {n: k for n, k in counts.items() if k}
+    path: list[tuple[int, Filling]] = []
+    spent = 0
+
+    def choices(below: tuple[int, Filling] | None, waste: int) -> Iterator[tuple[int, Filling, int] | None]:
+        """(times, whole filling, waste) of each choice at this node."""
+        first = max(left)
+        rest = {n: k - (n == first) for n, k in left.items() if k > (n == first)}
+        limit = below[1] if below and below[0] == first else None
+        for found in fillings(capacity - first, rest, (used - 1) * capacity - total - waste, limit):
+            if found is None:
+                yield None
+                continue
+            free, filling = found
+            if dominated(filling, free, rest):
+                continue
+            need = dict(filling)
+            need[first] = need.get(first, 0) + 1
+            for times in range(min(left[n] // k for n, k in need.items()), 0, -1):
+                yield times, filling, free * times
+
+    stack = [(choices(None, 0), 0, 0)]
+    while stack:
+        open_, waste, bins = stack[-1]
+        choice = next(open_, False)
+        spent += 1
+        if nodes is not None and spent > nodes:
+            return best
+        if choice is None:
+            continue
+        if choice is False:
+            stack.pop()
+            if path:
+                times, whole = path.pop()
+                for n, k in whole:
+                    left[n] = left.get(n, 0) + k * times
+            continue
+        times, filling, more = choice
+        if waste + more > (used - 1) * capacity - total:
+            continue
+        first = max(left)
+        need = dict(filling)
+        need[first] = need.get(first, 0) + 1
+        whole = tuple(sorted(need.items(), reverse=True))
+        for n, k in whole:
+            left[n] -= k * times
+            if not left[n]:
+                del left[n]
+        path.append((times, whole))
+        if left:
+            stack.append((choices((first, filling), waste + more), waste + more, bins + times))
+            continue
+        best, used = list(path), bins + times
+        if used == bound:
+            return best
+        path.pop()
+        for n, k in whole:
+            left[n] = left.get(n, 0) + k * times
     return best
 
 
-def solve(counts: dict[int, int], capacity: int, nodes: int = 400) -> list[tuple[int, list[tuple[int, int]]]]:
+def solve(counts: dict[int, int], capacity: int, nodes: int | None = 300_000) -> list[tuple[int, list[tuple[int, int]]]]:
     """Fillings and how many sequences use each: [(times, [(length, how many), ...])].
 
-    Bins are completed around the largest piece left. The first pass (few nodes a bin) gives the incumbent; passes with
-    more nodes run while the bound, the sum of lengths over the capacity, is not reached, and stop as soon as their waste
-    exceeds what an improvement allows.
+    Incumbents are best-fit packings, with 0, 40, 400, then 3,200 nodes for a sequence; they usually reach the lower
+    bound. If not, bin completion searches for fewer sequences. It looks at `nodes` nodes at most; with None it goes on
+    until the result is known to be the best there is (that can take very long: the problem is hard).
     """
-    total = sum(k * n for k, n in counts.items())
-    bound = -(-total // capacity)
-    best, used = [], None
-    for budget in (40, nodes, 8 * nodes):
-        left = {k: n for k, n in counts.items() if n}
-        lengths = sorted(left)
-        out, waste, bins = [], 0, 0
-        while lengths:
-            first = lengths[-1]
-            left[first] -= 1
-            fill = _complete(capacity - first, lengths if left[first] else lengths[:-1], left, budget)
-            left[first] += 1
-            need = dict(fill)
-            need[first] = need.get(first, 0) + 1
-            times = min(left[k] // n for k, n in need.items())
-            waste += times * (capacity - sum(k * n for k, n in need.items()))
-            bins += times
-            for k, n in need.items():
-                left[k] -= n * times
-                if not left[k]:
-                    lengths.remove(k)
-            out.append((times, sorted(need.items(), reverse=True)))
-            if used is not None and waste > (used - 1) * capacity - total:
-                break
-        if not lengths and (used is None or bins < used):
-            best, used = out, bins
+    counts = {n: k for n, k in counts.items() if k}
+    if not counts:
+        return []
+    bound, best, used = lower_bound(counts, capacity), [], None
+    for budget in (0, 40, 400, 3200):
+        out = _best_fit(counts, capacity, budget)
+        if used is None or sum(t for t, _ in out) < used:
+            best, used = out, sum(t for t, _ in out)
         if used == bound:
             break
-    return best
+    if used > bound:
+        best = _search(counts, capacity, used, bound, nodes) or best
+    return [(times, list(filling)) for times, filling in best]
 
 
 def _slots(fillings: list[tuple[int, list[tuple[int, int]]]]) -> dict[int, np.ndarray]:

@@ -52,7 +52,9 @@ class WordEncoder:
     before a space between visible characters for a byte-level one; words then at a single line feed between visible
     characters, and between a letter and the marks that end a word. The tokenizers library encodes each piece, so ids
     equal those of the whole text; for plain Latin words its model is called directly, without its offsets. A text where
-    white space meets a space is cut by SAFE_CUT alone.
+    white space meets a space is cut by SAFE_CUT alone. Added tokens (such as an end mark) that a text spells out get
+    their ids, as in the library: texts are cut there first; texts that may hold an added token with rules of its own
+    (normalised, single word, stripped sides) are encoded whole.
     """
 
     def __init__(self, path: str, keeps_space: bool, cached_words: int = 420_000):
@@ -60,8 +62,13 @@ class WordEncoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals out the work
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.added = {t.content: array("I", [i]).tobytes() for i, t in added.items()}
+        by_rules = any(t.normalized or t.single_word or t.lstrip or t.rstrip for t in added.values())
+        names = "|".join(re.escape(x) for x in sorted(self.added, key=len, reverse=True))
+        self.may_hold = re.compile(names, re.IGNORECASE).search if by_rules else lambda text: any(x in text for x in self.added)
+        self.cut_added = None if by_rules else re.compile(f"({names})").split
         self.keeps_space = keeps_space
         self.line_feed = array("I", self._whole("\n")).tobytes()
         self.words, self.marks = _Words(self._encoded, cached_words), {}
@@ -119,19 +126,27 @@ class WordEncoder:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers. None counts as empty."""
         self.words.turn()
-        ids, out = self.words.__getitem__, []
+        out = []
         for text in texts:
-            row: list = text.split(" ") if text else []
-            if row and self.keeps_space:
-                cut = row[0] and not row[0][-1].isspace()
-                row[0] = (row[0],)
-                if not cut or None in (found := list(map(ids, row))):
-                    found = [ids((p,)) for p in SAFE_CUT.split(text)]
-                out.append(b"".join(found))
+            if not text or not self.may_hold(text):
+                out.append(self._text(text))
+            elif self.cut_added is None:
+                out.append(self._packed(text))
             else:
-                out.append(b"".join(map(ids, row)))
+                out.append(b"".join(self.added[x] if i % 2 else self._text(x) for i, x in enumerate(self.cut_added(text))))
         return out
 
+    def _text(self, text: str | None) -> bytes:
+        ids = self.words.__getitem__
+        row: list = text.split(" ") if text else []
+        if not row or not self.keeps_space:
+            return b"".join(map(ids, row))
+        cut = row[0] and not row[0][-1].isspace()
+        row[0] = (row[0],)
+        if not cut or None in (found := list(map(ids, row))):
+            found = [ids((p,)) for p in SAFE_CUT.split(text)]
+        return b"".join(found)
+
 
 _ENCODERS: dict[tuple[str, bool], WordEncoder] = {}
 
@@ -165,10 +180,11 @@ def encode_documents(path: str, keeps_space: bool, end_id: int):
     return run
 
 
-def write_token_files(docs: DataFrame, path: str, tokenizer: str, keeps_space: bool = True, end_id: int = 2, row_group_bytes: int = 32 << 20, page_bytes: int = 128 << 10) -> str:
+def write_token_files(docs: DataFrame, path: str, tokenizer: str, keeps_space: bool = True, end_id: int = 2, row_group_bytes: int = 32 << 20, page_bytes: int = 128 << 10, file_bytes: int = 256 << 20) -> str:
     """Encode doc_id and text of `docs` and write them to `path`, in ascending doc_id order over all files.
 
-    Range partitioning deals out the texts; each task encodes its range in order and writes one file. Ids are a list
+    Range partitioning deals out the texts, about `file_bytes` of text a task and at least as many tasks as the session
+    has shuffle partitions; each task encodes its range in order and writes one file. Ids are a list
     column with dictionary pages (16 bits an id for a vocabulary of 50,000); doc_id, n_tokens and first_token are
     delta-encoded. Row groups and pages are kept small, and the writer adds page indexes, so a reader can fetch the
     metadata columns, or the ids of a range of doc_id, alone. Other columns of docs are ignored. A null text has the
@@ -176,7 +192,9 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, keeps_space: b
     gives no rows.
     """
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"))
-    ordered = keyed.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
+    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // file_bytes))
+    ordered = keyed.repartitionByRange(tasks, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
     writer = ordered.mapInArrow(encode_documents(tokenizer, keeps_space, end_id), "doc_id long, n_tokens long, first_token long, ids array<int>").write
     for key, value in {
         "compression": "snappy", "parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary": "true", "parquet.enable.dictionary#doc_id": "false",
@@ -187,15 +205,28 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, keeps_space: b
     return path
 
 
-def read_token_files(spark, path: str) -> DataFrame:
-    """doc_id, start (ids of all documents before), n_tokens and ids of token files.
+FILE_SCHEMA = "doc_id long, n_tokens long, first_token long, ids array<int>"
 
-    The offset of a file is the sum over the files before it: a few rows a file, from the metadata columns alone.
-    """
-    rows = spark.read.schema("doc_id long, n_tokens long, first_token long, ids array<int>").parquet(path).withColumn("file", F.col("_metadata.file_name"))
-    files = rows.groupBy("file").agg(F.sum("n_tokens").alias("n"))
-    before = files.select("file", F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    return rows.join(before, "file").select("doc_id", (F.col("before") + F.col("first_token")).alias("start"), "n_tokens", "ids")
+
+def _numbered(spark, path: str) -> DataFrame:
+    """Rows of token files with the number of the task that wrote them: a task's files continue one another."""
+    number = F.regexp_extract(F.col("_metadata.file_name"), r"^part-(\d+)", 1).cast("long")
+    return spark.read.schema(FILE_SCHEMA).parquet(path).withColumn("task", number)
+
+
+def _task_starts(rows: DataFrame) -> DataFrame:
+    """The ids before each task's first: one row a task, from the metadata columns alone."""
+    sizes = rows.groupBy("task").agg(F.sum("n_tokens").alias("n"))
+    before = F.sum("n").over(Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1))
+    return sizes.select("task", F.coalesce(before, F.lit(0)).alias("before"))
+
+
+def read_token_files(spark, path: str, doc_ids: tuple[int, int] | None = None) -> DataFrame:
+    """doc_id, start (ids of all documents before), n_tokens and ids of token files; of a range of doc_id (both ends
+    included) if given, which the files' row group statistics and page indexes narrow down."""
+    rows = _numbered(spark, path)
+    asked = rows if doc_ids is None else rows.where(F.col("doc_id").between(*doc_ids))
+    return asked.join(_task_starts(rows), "task").select("doc_id", (F.col("before") + F.col("first_token")).alias("start"), "n_tokens", "ids")
 
 
 def _crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,16 +234,14 @@ def _crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lists = batch.column("ids")
         ends, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False).astype("<u4")
         crc = [zlib.crc32(values[a:b].data) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(ends).astype(np.int64)), pa.array(crc, pa.int64()), batch.column("first_token"), batch.column("file")], names=["doc_id", "n_tokens", "ids_crc32", "first_token", "file"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(ends).astype(np.int64)), pa.array(crc, pa.int64()), batch.column("first_token"), batch.column("task")], names=["doc_id", "n_tokens", "ids_crc32", "first_token", "task"])
 
 
 def token_file_digest(spark, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 (unsigned, of the ids as little-endian 32-bit integers), from the files."""
-    rows = spark.read.schema("doc_id long, n_tokens long, first_token long, ids array<int>").parquet(path).withColumn("file", F.col("_metadata.file_name"))
-    digest = rows.select("doc_id", "first_token", "ids", "file").mapInArrow(_crc, "doc_id long, n_tokens long, ids_crc32 long, first_token long, file string")
-    files = rows.groupBy("file").agg(F.sum("n_tokens").alias("n"))
-    before = files.select("file", F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    return digest.join(before, "file").select("doc_id", (F.col("before") + F.col("first_token")).alias("start"), "n_tokens", "ids_crc32")
+    rows = _numbered(spark, path)
+    digest = rows.select("doc_id", "first_token", "ids", "task").mapInArrow(_crc, "doc_id long, n_tokens long, ids_crc32 long, first_token long, task long")
+    return digest.join(_task_starts(rows), "task").select("doc_id", (F.col("before") + F.col("first_token")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def op8_token_files(spark, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
