@@ -94,23 +94,28 @@ def token_scores(text: str | None, model: ToxicityModel) -> np.ndarray:
     return np.fromiter(map(model.lookup().__getitem__, tokens), float, len(tokens))
 
 
-def passages(text: str | None, model: ToxicityModel) -> tuple[int, list[tuple[int, int, float]]]:
-    """Tokens of the text, and its maximal segments: (start, end, -ln E).
+def summary(scores: np.ndarray) -> tuple[int, float, float, int]:
+    """Tokens, the strongest maximal segment's score, the sum of all their scores, and their number."""
+    found = [s for _, _, s in maximal_segments(scores)]
+    return len(scores), max(found, default=0.0), sum(found), len(found)
 
-    E = scale * tokens * exp(-decay * score) is how many such segments a clean text of this length would hold.
-    """
+
+def passages(text: str | None, model: ToxicityModel) -> tuple[int, list[tuple[int, int, float]]]:
+    """Tokens of the text, and its maximal segments: (start, end, score)."""
     scores = token_scores(text, model)
-    base = math.log(max(model.scale, 1e-12) * max(len(scores), 1))
-    return len(scores), [(a, b, model.decay * s - base) for a, b, s in maximal_segments(scores)]
+    return len(scores), maximal_segments(scores)
+
+
+def evidence(score: float, n: int, model: ToxicityModel) -> float:
+    """-ln E: E = scale * n * exp(-decay * score) segments of this score or more are expected in a clean text of n tokens."""
+    return model.decay * score - math.log(max(model.scale, 1e-12) * max(n, 1))
 
 
-def document_features(n: int, found: list[tuple[int, int, float]], model: ToxicityModel) -> tuple[float, ...]:
+def document_features(n: int, top: float, total: float, segments: int, model: ToxicityModel) -> tuple[float, ...]:
     """The strongest segment's evidence, that of all together (the sum statistic), their number, and the text's length."""
-    if not found:
+    if not segments:
         return -10.0, 0.0, 0.0, math.log1p(n)
-    base = math.log(max(model.scale, 1e-12) * max(n, 1))
-    rates = [x[2] for x in found]
-    return max(min(max(rates), 60.0), -10.0), math.log1p(min(sum(rates) + base * len(rates), 1e6)), math.log1p(len(found)), math.log1p(n)
+    return max(min(evidence(top, n, model), 60.0), -10.0), math.log1p(min(model.decay * total, 1e6)), math.log1p(segments), math.log1p(n)
 
 
 def _sigmoid(x):
@@ -172,61 +177,73 @@ def log_odds(counts: DataFrame, prior_share: float, least_z: float, max_terms: i
 def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", max_labels: int = 200_000, prior_share: float = 0.05, least_z: float = 3.0, max_terms: int = 20_000) -> ToxicityModel:
     """Learn from the labelled rows that are not held out, about `max_labels` of them at most.
 
-    Token counts are one distributed aggregation; the driver gets at most `max_terms` tokens, and three numbers for each
-    labelled row. Without both labels the model finds nothing and every score is the share of label 1 (or 0).
+    The labelled texts are picked once. Token counts are one distributed aggregation; the driver gets at most `max_terms`
+    tokens (what `max_labels` texts can show with a z of `least_z`), and a few numbers for each labelled doc_id. Rows that
+    repeat a doc_id count once here, with the text of the largest hash. Without both labels the model finds nothing and
+    every score is the share of label 1 (or 0).
     """
     known = bounded_labels(labels, column, max_labels)
     # bounded by max_labels rows of 12 bytes, so the texts need no shuffle
-    labelled = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("doc_id", "text", "label")
-    terms = log_odds(count_tokens(labelled), prior_share, least_z, max_terms)
+    labelled = materialize(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("doc_id", "text", "label"), "labelled")
+    terms = log_odds(materialize(count_tokens(labelled), "token-counts"), prior_share, least_z, max_terms)
     model = ToxicityModel({r["token"]: float(r["odds"]) for r in terms}, drift=0.05)
 
-    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in text_chunks(batches):
-            rows = []
-            for text in chunk.column("text").to_pylist():
-                scores = token_scores(text, model)
-                rows.append((len(scores), max((s for _, _, s in maximal_segments(scores)), default=0.0), float(np.count_nonzero(scores > 0))))
-            n, top, hits = zip(*rows)
-            yield pa.RecordBatch.from_arrays([chunk.column("doc_id"), chunk.column("label"), pa.array(n, pa.int64()), pa.array(top, pa.float64()), pa.array(hits, pa.float64())], names=["doc_id", "label", "n", "top", "hits"])
-
-    seen = materialize(labelled.mapInArrow(best, "doc_id long, label int, n long, top double, hits double"), "toxicity-fit")
-    _extremes(model, seen)
-    model.weights = _calibrate(model, labelled)
+            rows = [summary(token_scores(text, model)) for text in chunk.column("text").to_pylist()]
+            n, top, total, segments = zip(*rows)
+            yield pa.RecordBatch.from_arrays(
+                [chunk.column("doc_id"), chunk.column("label"), chunk.column("tie"), pa.array(n, pa.int64()), pa.array(top, pa.float64()), pa.array(total, pa.float64()), pa.array(segments, pa.int64())],
+                names=["doc_id", "label", "tie", "n", "top", "total", "segments"],
+            )
+
+    fields = ["tie", "n", "top", "total", "segments"]
+    seen = labelled.withColumn("tie", F.xxhash64("text")).mapInArrow(summed, "doc_id long, label int, tie long, n long, top double, total double, segments long")
+    one = seen.groupBy("doc_id", "label").agg(F.max(F.struct(*fields)).alias("x")).select("label", "x.n", "x.top", "x.total", "x.segments")
+    rows = one.toPandas()  # one for each labelled doc_id
+    clean = rows[rows["label"] == 0]
+    model.decay, model.scale = fit_extremes(clean["n"].to_numpy(float), clean["top"].to_numpy(float))
+    model.weights = _calibrate(model, rows)
     return model
 
 
-def _extremes(model: ToxicityModel, seen: DataFrame) -> None:
-    """Decay and scale of the Gumbel law that the strongest segment of a clean text follows, from all clean fit rows.
+def fit_extremes(n: np.ndarray, top: np.ndarray) -> tuple[float, float]:
+    """Decay and scale of the extreme-value law of the strongest segment of clean texts, by maximum likelihood.
 
-    The decay solves sum p * exp(decay * score) = 1 over the token scores of clean texts, taken as hits of mean score at
-    their clean rate; the scale follows from the mean of exp(decay * top) over the number of tokens.
+    In a text of n tokens the number of clean segments of a score over x is Poisson with mean
+    scale * n * exp(-decay * x), so the strongest one's score has a Gumbel law. Texts without a segment (top 0) count as
+    having none over the least top seen. With fewer than two different tops: decay 1, and the scale fits their number.
     """
-    r = seen.where("label = 0").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits")).first()
-    rate = min(max((r["hits"] or 0) / max(r["n"] or 1, 1), 1e-9), 0.5)
-    mean = max(float(np.mean(list(model.scores.values()))) if model.scores else 1.0, model.drift)
-    low, high = 1e-6, 60 / mean
-    for _ in range(200):
-        mid = (low + high) / 2
-        grown = rate * math.exp(mid * mean) + (1 - rate) * math.exp(-mid * model.drift)
-        low, high = (mid, high) if grown < 1 else (low, mid)
-    model.decay = max(low, 1e-3)
-    model.scale = max(rate, 1e-9)
-
-
-def _calibrate(model: ToxicityModel, labelled: DataFrame) -> list[float]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in text_chunks(batches):
-            rows = list(zip(*(document_features(*passages(t, model), model) for t in chunk.column("text").to_pylist())))
-            yield pa.RecordBatch.from_arrays([chunk.column("label"), *(pa.array(x, pa.float64()) for x in rows)], names=["label", *FEATURES])
-
-    # equal feature rows are counted together: at most max_labels rows of a few numbers reach the driver
-    rows = labelled.mapInArrow(run, "label int, " + ", ".join(f"{f} double" for f in FEATURES)).toPandas()
+    n, top = n[n > 0], top[n > 0]
+    some = top > 0
+    if not some.any():
+        return 1.0, 1.0 / (n.sum() + 1.0) if len(n) else 1.0
+    least, x, m = float(top[some].min()), top[some], n[some]
+    # for a given decay the best scale is the number of tops over the sum of n * exp(-decay * x), a censored text's x being the least
+    at, size = np.concatenate([x, np.full(int((~some).sum()), least)]) - least, np.concatenate([m, n[~some]])
+    mean = float((x - least).mean())
+    if mean <= 1e-9:
+        return 1.0, len(x) / float(size.sum()) * math.exp(least)
+
+    def slope(decay: float) -> float:
+        w = size * np.exp(-decay * at)
+        return 1 / decay - mean + float((w * at).sum() / w.sum())
+
+    low, high = 1e-4, 50.0
+    for _ in range(80):
+        mid = math.sqrt(low * high)
+        low, high = (mid, high) if slope(mid) > 0 else (low, mid)
+    decay = math.sqrt(low * high)
+    return decay, len(x) / float((size * np.exp(-decay * at)).sum()) * math.exp(decay * least)
+
+
+def _calibrate(model: ToxicityModel, rows) -> list[float]:
     y = rows["label"].to_numpy(float)
     if len(y) == 0 or y.min() == y.max():
         share = float(np.clip(y.mean() if len(y) else 0.0, 1e-3, 1 - 1e-3))
         return [math.log(share / (1 - share)), *[0.0] * len(FEATURES)]
-    return fit_logistic(rows[list(FEATURES)].to_numpy(float), y).tolist()
+    x = [document_features(int(n), top, total, int(k), model) for n, top, total, k in zip(rows["n"], rows["top"], rows["total"], rows["segments"])]
+    return fit_logistic(np.array(x), y).tolist()
 
 
 def score(docs: DataFrame, model: ToxicityModel, expected: float = 0.05) -> DataFrame:
@@ -242,8 +259,9 @@ def score(docs: DataFrame, model: ToxicityModel, expected: float = 0.05) -> Data
             scores, spans = [], []
             for text in chunk.column("text").to_pylist():
                 n, found = passages(text, model)
-                scores.append(float(_sigmoid(w[0] + w[1:] @ np.array(document_features(n, found, model)))))
-                spans.append([{"first_token": a, "end_token": b, "evidence": e} for a, b, e in found if e >= least])
+                tops = [s for _, _, s in found]
+                scores.append(float(_sigmoid(w[0] + w[1:] @ np.array(document_features(n, max(tops, default=0.0), sum(tops), len(tops), model)))))
+                spans.append([{"first_token": a, "end_token": b, "evidence": e} for a, b, s in found if (e := evidence(s, n, model)) >= least])
             kind = pa.list_(pa.struct([("first_token", pa.int32()), ("end_token", pa.int32()), ("evidence", pa.float64())]))
             yield pa.RecordBatch.from_arrays([chunk.column("doc_id").cast(pa.int64()), pa.array(scores, pa.float64()), pa.array([len(s) for s in spans], pa.int64()), pa.array(spans, kind)], names=["doc_id", "score", "segments", "passages"])
 
@@ -251,12 +269,16 @@ def score(docs: DataFrame, model: ToxicityModel, expected: float = 0.05) -> Data
 
 
 def keep_clean(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7) -> DataFrame:
-    """The rows of docs, with all their columns, that score below the threshold; texts stay where they are."""
+    """The rows of docs, with all their columns, that score below the threshold; texts stay where they are.
+
+    Null and empty texts score like others (no segment at all); null and repeated doc_ids are judged row by row; an empty
+    table gives no rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = np.array(model.weights)
         for chunk in text_chunks(batches):
-            x = np.array([document_features(*passages(t, model), model) for t in chunk.column("text").to_pylist()])
+            x = np.array([document_features(*summary(token_scores(t, model)), model) for t in chunk.column("text").to_pylist()])
             yield chunk.filter(pa.array(_sigmoid(w[0] + x @ w[1:]) < threshold))
 
     return docs.mapInArrow(run, docs.schema)

@@ -150,6 +150,26 @@ def test_toxicity_held_out(spark, tmp_path):
     assert sorted(r.doc_id for r in clean.collect()) == sorted(r.doc_id for r in result if not r.predicted)
 
 
+def test_clean_passages_have_uniform_p_values():
+    """E-values from the fitted law: 1 - exp(-E) of the strongest passage is near uniform over clean texts."""
+    rng = np.random.default_rng(4)
+
+    def tops(k):
+        n, top = rng.integers(200, 3000, k), []
+        for m in n:
+            scores = np.where(rng.random(m) < 0.03, rng.exponential(1.2, m), -0.06)
+            top.append(toxicity.summary(scores)[1])
+        return n.astype(float), np.array(top)
+
+    decay, scale = toxicity.fit_extremes(*tops(1500))
+    n, top = tops(1500)
+    p = np.sort(1 - np.exp(-scale * n * np.exp(-decay * top)))
+    assert np.abs(p - np.linspace(0, 1, len(p))).max() < 0.06
+    assert 0.03 < (p < 0.05).mean() < 0.08
+    assert toxicity.fit_extremes(np.array([5.0, 7.0]), np.zeros(2))[0] == 1.0 and toxicity.fit_extremes(np.empty(0), np.empty(0)) == (1.0, 1.0)
+    assert all(map(np.isfinite, toxicity.fit_extremes(np.array([5.0, 7.0, 9.0]), np.array([2.0, 2.0, 0.0]))))
+
+
 def test_models_without_labels(spark, tmp_path):
     save(documents(spark, ["a b c", None]), tmp_path, "documents")
     for rows in ([], [(0, 1, 0)]):
