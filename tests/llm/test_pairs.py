@@ -1,5 +1,6 @@
 import itertools
 import random
+import re
 
 import numpy as np
 import pytest
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from siltstone.llm.ann import neighbours, op9_nearest
-from siltstone.llm.decontaminate import canonical, leaks, op10_decontamination
+from siltstone.llm.decontaminate import NAME, NUMBER, UNIT, UNITS, canonical, leaks, op10_decontamination
 from siltstone.llm.simhash import components, fingerprint, links, masks, op2_simhash_components, repeated_documents
 
 from .helpers import documents, prose, save
@@ -155,18 +156,92 @@ def test_leaks(spark, tmp_path):
     texts = [f"{pre} {ITEM} {post}", f"{pre}\n{changed}\n{post}", f"{pre} {post}", None, "", f"{pre} {' '.join(ITEM.split()[:12])} {post}", ITEM.upper(), f"{broken} {post}", f"{ITEM} {changed}"]
     docs = documents(spark, texts).withColumnRenamed("lang", "hash").withColumnRenamed("source", "t")
     items = bench(spark, [(1, ITEM), (2, "too short"), (3, None), (None, post), (4, prose(rng, 50))])
-    for limit in (1_000_000, 0):
-        got = sorted(((r.doc_id, r.item_id or -1, r.reparameterised) for r in leaks(docs, items, broadcast_windows=limit).collect()))
+    for limit in (64 << 20, 0):
+        got = sorted(((r.doc_id, r.item_id or -1, r.reparameterised) for r in leaks(docs, items, broadcast_bytes=limit).collect()))
         ones = [x for x in got if x[1] == 1]
-        assert [x[0] for x in ones if x[0] != 6] == [0, 1, 8] and dict((x[0], x[2]) for x in ones)[0] is False and dict((x[0], x[2]) for x in ones)[1] is True
+        assert [x[0] for x in ones] == [0, 1, 6, 8] and dict((x[0], x[2]) for x in ones)[6] is False and dict((x[0], x[2]) for x in ones)[0] is False and dict((x[0], x[2]) for x in ones)[1] is True
         assert [x[0] for x in got if x[1] == -1] == [0, 1, 2, 5, 7]
         assert not [x for x in got if x[1] in (2, 3, 4)]
     assert leaks(documents(spark, []), items).count() == 0 and leaks(docs, bench(spark, [])).count() == 0
 
 
 def test_canonical(spark):
-    w, t = canonical(F.lit("Then Peter paid 3.50 dollars; 12 kg. New line"))
-    assert tuple(spark.range(1).select(w, t).first()) == ("then peter paid 3 50 dollars 12 kg new line", "then <name> paid <num> <num> <unit> <num> <unit> new line")
+    w, t = canonical(F.lit("Then Peter paid 3.50 dollars; 12kg of 1,200. New line 7."))
+    assert tuple(spark.range(1).select(w, t).first()) == ("then peter paid 3.50 dollars 12 kg of 1200 new line 7", "then <name> paid <num> <unit> <num> <unit> of <num> new line <num>")
+
+
+def brute_leaks(docs, items, width=5, coverage=0.8, literals=2):
+    """The definition, pair by pair."""
+
+    def cut(text):
+        text = text or ""
+        text = re.sub(r"(?<=[0-9]),(?=[0-9]{3}(?![0-9]))", "", text)
+        text = re.sub(r"(?<=[0-9])[.,](?=[0-9])", "\x02", text)
+        text = re.sub(r"(?<=[0-9])(?=[^\W\d_])", " ", text)
+        text = re.sub(r"(?<=[^.!?:\s][\x20\t])(?=[A-Z][a-z])", "\x01", text)
+        w = re.sub("[^\\w\x01\x02]|_", " ", text).lower().split()
+        t = []
+        for x in w:
+            is_number = re.fullmatch("[0-9][0-9\x02]*", x)
+            t.append(NAME if x[0] == "\x01" else NUMBER if is_number else UNIT if t and t[-1] == NUMBER and x in UNITS else x)
+        return [x.replace("\x01", "").replace("\x02", ".") for x in w], t
+
+    out = {}
+    for item, text in items:
+        iw, it = cut(text)
+        good = [i for i in range(len(it) - width + 1) if sum(x[0] != "<" for x in it[i : i + width]) >= literals]
+        names = {tuple(it[i : i + width]) for i in good}
+        for doc, body in docs:
+            dw, dt = cut(body)
+            met = []  # diagonal, window, slots
+            for p in range(len(dt) - width + 1):
+                for i in good:
+                    ks = range(width)
+                    as_template = all(it[i + k] == dt[p + k] for k in ks)
+                    some_name = any(NAME in (it[i + k], dt[p + k]) for k in ks)
+                    as_plain = all((iw[i + k] if it[i + k] == NAME else it[i + k]) == (dw[p + k] if dt[p + k] == NAME else dt[p + k]) for k in ks)
+                    for ok, plain in ((as_template, False), (as_plain and some_name, True)):
+                        if ok:
+                            met.append((p - i, tuple(it[i : i + width]), [(it[i + k] + iw[i + k], dw[p + k]) for k in ks if it[i + k][0] == "<" and not (plain and it[i + k] == NAME)]))
+            count = {m[1] for m in met if not any(a == x and b != y for o in met if o[0] == m[0] for a, b in o[2] for x, y in m[2])}
+            if names and len(count) >= coverage * len(names):
+                out[doc, item] = (len(count), len(names))
+    return out
+
+
+def test_leaks_equal_brute_force(spark):
+    rng = random.Random(31)
+    plain = [prose(rng, 1) for _ in range(25)]
+
+    def word():
+        return rng.choice([*plain, *plain, "Peter", "Anna", "3.5", "1,200", "12", "7kg", "12 miles", "End. Next"])
+
+    items = [(i, " ".join(word() for _ in range(rng.randint(4, 16)))) for i in range(14)]
+    docs = []
+    for d in range(60):
+        own = rng.choice(items)[1]
+        for a, b in rng.sample([("Peter", "Mary"), ("Anna", "Bob"), ("3.5", "8.1"), ("12", "44"), (" ", "  "), ("", "")], 3):
+            own = own.replace(a, b) if a and rng.random() < 0.6 else own
+        own = rng.choice([own, own, own.upper(), own.lower()])
+        docs.append((d, " ".join(word() for _ in range(rng.randint(0, 8))) + " " + own + " " + " ".join(word() for _ in range(5))))
+    docs += [(60, None), (61, ""), (62, items[0][1] * 3)]
+    frame = documents(spark, [t for _, t in docs], [i for i, _ in docs])
+    for limit in (64 << 20, 0):
+        assert {(r.doc_id, r.item_id): (r.matched, r.windows) for r in leaks(frame, bench(spark, items), broadcast_bytes=limit).collect()} == brute_leaks(docs, items)
+    assert len(brute_leaks(docs, items)) > 30
+
+
+def test_equal_ids_are_not_added_up(spark):
+    words = ITEM.split()
+    texts = [" ".join(words[:15]), " ".join(words[11:]), ITEM, ITEM]
+    got = leaks(documents(spark, texts, [1, 1, None, None]), bench(spark, [(5, ITEM), (5, "other words " * 9), (None, ITEM)])).collect()
+    assert sorted((r.doc_id is None, r.item_id is None) for r in got) == [(True, False), (True, True)]
+
+
+def test_long_text_with_an_item(spark):
+    rng = random.Random(13)
+    long = " ".join([prose(rng, 60_000), ITEM, "word " * 60_000])
+    assert [r.item_id for r in leaks(documents(spark, [long, long], [4, 4]), bench(spark, [(1, ITEM), (2, prose(rng, 40))])).collect()] == [1]
 
 
 def test_decontamination_finds_planted_passages(spark, tmp_path):
