@@ -17,9 +17,11 @@ CHUNK_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set (local tests)."""
+    """The folder that driver and executors share; a temporary one only where none is set and Spark runs in one process."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if spark.conf.get("spark.master", "").split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="siltstone-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -29,13 +31,39 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/siltstone/{tag}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write df once into the shared folder and read it back: lineage ends here, and lost executors lose nothing."""
-    path = new_path(df.sparkSession, tag)
+def _written(df: DataFrame, path: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def materialize(df: DataFrame, tag: str) -> DataFrame:
+    """Write df once into the shared folder and read it back: lineage ends here, and lost executors lose nothing.
+
+    The folder stays, for what is returned may be read later; whoever owns `spark.checkpoint.dir` clears its folder
+    `siltstone` when no result is in use. For what nothing returned depends on, see Scratch.
+    """
+    return _written(df, new_path(df.sparkSession, tag))
+
+
+class Scratch:
+    """As materialize(), but all folders go when the block ends: nothing that leaves it may depend on them."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.base, self.n = spark, new_path(spark, "scratch"), 0
+
+    def __enter__(self) -> "Scratch":
+        return self
+
+    def __call__(self, df: DataFrame, tag: str) -> DataFrame:
+        self.n += 1
+        return _written(df, f"{self.base}/{self.n}-{tag}")
+
+    def __exit__(self, *_) -> None:
+        context = self.spark.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(self.base)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_chunks
+from .common import Scratch, materialize, text_chunks
 
 BITS = 64
 #: Shingles whose bits are counted at once: 64 bytes each.
@@ -67,25 +67,22 @@ def _signed(x: int) -> int:
     return x - (1 << BITS) if x >> (BITS - 1) else x
 
 
-def links(fps: DataFrame, radius: int = 2, pairs_up_to: int = 1) -> DataFrame:
+def links(fps: DataFrame, radius: int = 2) -> DataFrame:
     """Edges (u, v), u > v, that connect what is linked: distinct fingerprints `fp` at `radius` (even) or fewer bits.
 
-    Candidates are fingerprints that share their masked bits with others in some table. Buckets of up to `pairs_up_to`
-    are paired off. For all larger ones: of two candidates within the radius that meet in a table, all differing bits are
-    among those that its mask drops; so flipping at most half of the radius of these bits in either gives a common value,
-    their hub. Candidates of a hub are within the radius of each other, and are at most as many as such flips, whatever
-    the data: each hub gives a star around its smallest member. So no large bucket is ever gathered or paired off.
+    Candidates are fingerprints that share their masked bits with others in some table. Of two candidates within the
+    radius that meet in a table, all differing bits are among those that its mask drops; so flipping at most half of the
+    radius of these bits in either gives a common value, their hub. All members of a hub are within the radius of each
+    other, and are at most as many as such flips, whatever the data: each hub gives a star around its smallest member.
+    So the masks select who takes part and which bits may differ, and no bucket is gathered or paired off.
     """
     if radius % 2 or not 0 <= radius <= 4:
         raise ValueError("the radius must be 0, 2 or 4")
     tables = list(enumerate(masks(radius)))
     whole = (1 << BITS) - 1
     keyed = fps.select("fp", F.explode(F.array(*(F.struct(F.lit(k).alias("table"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for k, m in tables))).alias("t")).select("fp", "t.table", "t.key")
-    if pairs_up_to > 1:
-        keyed = materialize(keyed, "buckets")
     shared = keyed.groupBy("table", "key").agg(F.count("*").alias("n")).where("n > 1")
-    in_shared = keyed.join(shared, ["table", "key"])
-    candidates = in_shared.where(F.col("n") > pairs_up_to).groupBy("fp").agg(F.bit_or(F.expr("shiftleft(1L, table)")).alias("tables"))
+    candidates = keyed.join(shared, ["table", "key"]).groupBy("fp").agg(F.bit_or(F.expr("shiftleft(1L, table)")).alias("tables"))
     # the bits each candidate may flip: those that one of its tables drops
     free = F.lit(0).cast("long")
     for k, m in tables:
@@ -94,25 +91,15 @@ def links(fps: DataFrame, radius: int = 2, pairs_up_to: int = 1) -> DataFrame:
     values = F.filter(F.array(*(F.lit(_signed(x)) for x in flips)), lambda x: x.bitwiseAND(F.col("free")) == x)
     hubs = candidates.withColumn("free", free).select("fp", F.explode(values).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("hub"))
     star = hubs.groupBy("hub").agg(F.min("fp").alias("v"), F.collect_list("fp").alias("all")).where(F.size("all") > 1)
-    edges = star.select(F.explode("all").alias("u"), "v").where("u <> v")
-    if pairs_up_to > 1:
-        small = in_shared.where(F.col("n") <= pairs_up_to).groupBy("table", "key").agg(F.collect_list("fp").alias("all"))
-        each = small.select("all", F.explode("all").alias("u"))
+    return star.select(F.explode("all").alias("u"), "v").where("u <> v").distinct()
 
-        def linked(v: Column) -> Column:
-            return (v < F.col("u")) & (F.bit_count(F.col("u").bitwiseXOR(v)) <= radius)
 
-        edges = edges.unionByName(each.select("u", F.explode(F.filter("all", linked)).alias("v")))
-    return edges.distinct()
-
-
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, most_rounds: int = 60, keep=materialize) -> DataFrame:
     """(node, root) of every node with an edge (u, v); the root is the smallest node that it reaches.
 
-    Alternating large and small stars: each round is aggregations and joins on nodes, written to the shared folder.
-    Hot nodes are never gathered: minima combine before the shuffle, and joins can be split.
+    Alternating large and small stars: each round is aggregations and joins on nodes, written by `keep`. Hot nodes are never gathered: minima combine before the shuffle, and joins can be split.
     """
-    now = materialize(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    now = keep(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     seen = None
     for _ in range(most_rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -120,7 +107,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = materialize(small.unionByName(down.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        now = keep(small.unionByName(down.select("u", F.col("m").alias("v"))).distinct(), "edges")
         state = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.count_distinct("v")).first()
         if state == seen:
             break
@@ -188,8 +175,9 @@ def _common(docs: DataFrame, shingle: int, one_in: int = 16, seen: int = 4, most
     return np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
 
 
-def _prefixes(docs: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """token, node (the doc_id), size of its set: the first shingles of each set in one order for all, rare ones first.
+def _signatures(docs: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """What pairs are looked for by: node (the doc_id), size of its set of shingles, fp (their SimHash), sketch (parities
+    of the shingles over 1,024 hash values), prefix (the first shingles in one order for all, rare ones first).
 
     Sets with a Jaccard similarity of s or more share at least ceil(s * size) shingles of each; so both hold a common
     shingle among their first size - ceil(s * size) + 1, whatever the order.
@@ -198,72 +186,105 @@ def _prefixes(docs: DataFrame, similarity: float, shingle: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in text_chunks(batches):
-            ids, sizes, out = chunk.column("doc_id").to_pylist(), [], []
+            sizes, fps, sketches, out = [], [], [], []
             for text in chunk.column("text").to_pylist():
                 x = _shingles(text, shingle)
                 n = len(x) - math.ceil(similarity * len(x) - 1e-9) + 1
+                ones = sum(np.unpackbits(x[a : a + STEP].astype(">i8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64) for a in range(0, len(x), STEP))
+                fps.append(int.from_bytes(np.packbits(2 * ones > len(x)).tobytes(), "big", signed=True))
+                sketches.append(np.packbits(np.bincount(x & (SKETCH - 1), minlength=SKETCH) & 1).view(np.int64))
+                sizes.append(len(x))
                 if len(tokens):
                     at = np.minimum(np.searchsorted(tokens, x), len(tokens) - 1)
-                    held = np.where(tokens[at] == x, counts[at], 0)
-                    x, whole = x[np.argsort(held, kind="stable")], len(x)
-                else:
-                    whole = len(x)
+                    x = x[np.argsort(np.where(tokens[at] == x, counts[at], 0), kind="stable")]
                 out.append(x[:n])
-                sizes.append(whole)
-            times = [len(x) for x in out]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out)), pa.array(np.repeat(np.array(ids, np.int64), times)), pa.array(np.repeat(np.array(sizes, np.int64), times))], names=["token", "node", "size"])
+            ends = np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int32)
+            words = np.arange(0, (len(sizes) + 1) * (SKETCH // 64), SKETCH // 64, dtype=np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [chunk.column("doc_id"), pa.array(sizes, pa.int32()), pa.array(fps, pa.int64()), pa.ListArray.from_arrays(pa.array(words), pa.array(np.concatenate(sketches))), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(out)))],
+                names=["node", "size", "fp", "sketch", "prefix"],
+            )
+
+    return docs.select("doc_id", "text").mapInArrow(run, "node long, size int, fp long, sketch array<long>, prefix array<long>")
 
-    return docs.select("doc_id", "text").mapInArrow(run, "token long, node long, size long")
 
+#: Bits of a sketch.
+SKETCH = 1024
 
-def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    met = pairs.join(sets.select(F.col("doc_id").alias("u"), F.col("shingles").alias("x")), "u").join(sets.select(F.col("doc_id").alias("v"), F.col("shingles").alias("y")), "v")
-    both = F.size(F.array_intersect("x", "y"))
-    return met.where(both >= similarity * (F.size("x") + F.size("y") - both)).select("u", "v")
 
+def _overlap(similarity: float, a: Column, b: Column) -> Column:
+    """How many shingles sets of these sizes must share."""
+    return F.ceil(F.lit(similarity / (1 + similarity)) * (a + b) - 1e-6)
 
-def repeated_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, stars: int = 2) -> DataFrame:
+
+def _verified(pairs: DataFrame, signatures: DataFrame, heads: DataFrame, similarity: float, shingle: int, keep) -> DataFrame:
+    """Those of the pairs (u, v) whose sets are similar enough.
+
+    Sets whose sketches differ in d bits differ in d shingles at least, so most pairs need no look at their sets.
+    """
+    own = signatures.select("node", "size", "sketch")
+    both = pairs.join(own.withColumnsRenamed({"node": "u", "size": "m", "sketch": "x"}), "u").join(own.withColumnsRenamed({"node": "v", "size": "n", "sketch": "y"}), "v")
+    apart = F.aggregate(F.zip_with("x", "y", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
+    asked = keep(both.where(apart <= F.col("m") + F.col("n") - 2 * _overlap(similarity, F.col("m"), F.col("n"))).select("u", "v"), "pairs")
+    nodes = asked.select(F.col("u").alias("doc_id")).unionByName(asked.select(F.col("v").alias("doc_id"))).distinct()
+    sets = keep(shingle_sets(heads.join(nodes, "doc_id", "left_semi"), shingle), "shingles")
+    met = asked.join(sets.select(F.col("doc_id").alias("u"), F.col("shingles").alias("x")), "u").join(sets.select(F.col("doc_id").alias("v"), F.col("shingles").alias("y")), "v")
+    common = F.size(F.array_intersect("x", "y"))
+    return met.where(common >= similarity * (F.size("x") + F.size("y") - common)).select("u", "v")
+
+
+def repeated_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, radius: int = 2) -> DataFrame:
     """doc_id of each row that another document stands for: all but the smallest doc_id of each group.
 
     Groups are connected components of links; a link is a pair whose sets of word shingles have at least `similarity`
-    (Jaccard). Candidates come from an exact prefix filter, so no link is lost. First each shared shingle gives a star
-    around one of its texts, `stars` times with another centre; that joins groups of near copies in linear work. Then all
-    pairs of a shingle that are not yet in one group are counted; those with enough common shingles are verified. Texts with equal words are one node. Rows with a null
-    doc_id are never listed; rows with equal doc_id count as one document; null and empty texts are copies of each other.
+    (Jaccard). Candidates come first from covering tables over the sets' SimHash fingerprints (see links()), then, as near
+    fingerprints do not find all, from an exact prefix filter: two linked sets' first common shingle, in an order of rare
+    ones first, stands so early in both that enough others can follow. There each shingle gives a star around the text in
+    which it stands first; then all pairs of texts that are not yet in one group. So no link is lost, and a group of near
+    copies takes linear work as soon as stars hold it together. All candidates are verified.
+
+    Texts with equal words are one node. Rows with a null doc_id are never listed; rows with equal doc_id count as one
+    document; null and empty texts are copies of each other; other columns are ignored; an empty table gives no rows.
     """
     text = F.coalesce("text", F.lit(""))
     known = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    prints = materialize(_digests(known), "prints")
-    nodes = materialize(prints.groupBy("same").agg(F.min("doc_id").alias("node")), "nodes")
-    heads = materialize(known.join(nodes.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi"), "heads")
-    tokens = materialize(_prefixes(heads, similarity, shingle), "tokens")
-    several = tokens.groupBy("token").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("token")
-    shared = materialize(tokens.join(several, "token"), "shared")
-    fits = F.least("size", "other") >= F.lit(similarity - 1e-9) * F.greatest("size", "other")
-    # shingles after the prefix can't make up for too few common ones in it: an upper bound, so no link is lost
-    rest = F.ceil(F.lit(similarity) * F.greatest("size", "other") - 1e-9) - 1
-    enough = F.col("common") + rest >= F.lit(similarity / (1 + similarity)) * (F.col("size") + F.col("other")) - 1e-6
-    linked = roots = None
-    for step in range(stars + 1):
-        now = shared.withColumn("label", F.col("node")) if roots is None else shared.join(roots, "node", "left").select("token", "node", "size", F.coalesce("root", "node").alias("label"))
-        if step:
+    with Scratch(docs.sparkSession) as keep:
+        prints = keep(_digests(known), "prints")
+        nodes = keep(prints.groupBy("same").agg(F.min("doc_id").alias("node")), "nodes")
+        first = nodes.select(F.col("node").alias("doc_id")).distinct()
+        # a doc_id with several texts stands for all of them
+        heads = known.join(first, "doc_id", "left_semi")
+        signed = keep(_signatures(heads, similarity, shingle), "signatures")
+
+        def grown(linked: DataFrame | None, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+            """All links so far, and the groups that they make."""
+            found = _verified(pairs.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), signed, heads, similarity, shingle, keep)
+            linked = keep(found if linked is None else linked.unionByName(found), "links")
+            return linked, keep(components(linked, keep=keep), "roots")
+
+        alike = keep(signed.groupBy("fp").agg(F.min("node").alias("head")), "fingerprints")
+        equal = signed.join(alike, "fp").select(F.col("node").alias("u"), F.col("head").alias("v"))
+        near = links(alike.select("fp"), radius).join(alike.select(F.col("fp").alias("u"), F.col("head").alias("a")), "u").join(alike.select(F.col("fp").alias("v"), F.col("head").alias("b")), "v")
+        linked, roots = grown(None, equal.unionByName(near.select(F.col("a").alias("u"), F.col("b").alias("v"))))
+
+        tokens = signed.select("node", "size", F.posexplode("prefix").alias("pos", "token"))
+        several = tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token")
+        shared = keep(tokens.join(several, "token"), "shared")
+        enough = _overlap(similarity, F.col("size"), F.col("other"))
+        fits = (F.least("size", "other") >= F.lit(similarity - 1e-9) * F.greatest("size", "other")) & (F.col("size") - F.col("pos") >= enough) & (F.col("other") - F.col("place") >= enough)
+        other = {"node": "v", "size": "other", "pos": "place", "label": "its"}
+        for star in (True, False):
+            now = shared.join(roots, "node", "left").select("token", "node", "size", "pos", F.coalesce("root", "node").alias("label"))
             mixed = now.groupBy("token").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("token")
-            now = materialize(now.join(mixed, "token"), "mixed")
-        mark = F.xxhash64("node", F.lit(step)) if step else F.col("node")
-        if step < stars:
-            centre = now.groupBy("token").agg(F.min(F.struct(mark.alias("mark"), "node", "size", "label")).alias("c")).select("token", F.col("c.node").alias("v"), F.col("c.size").alias("other"), F.col("c.label").alias("its"))
-            met = now.join(centre, "token").where("label <> its")
-        else:
-            met = now.join(now.select("token", F.col("node").alias("v"), F.col("size").alias("other"), F.col("label").alias("its")), "token").where("label < its")
-        common = met.where(fits & (F.col("node") != F.col("v"))).groupBy("node", "v", "size", "other").agg(F.count("*").alias("common"))
-        pairs = materialize(common.where(enough).select(F.greatest("node", "v").alias("u"), F.least("node", "v").alias("v")).distinct(), "candidates")
-        asked = pairs.select(F.col("u").alias("doc_id")).unionByName(pairs.select(F.col("v").alias("doc_id"))).distinct()
-        sets = materialize(shingle_sets(heads.join(asked, "doc_id", "left_semi"), shingle), "shingles")
-        found = _verified(pairs, sets, similarity)
-        linked = materialize(found if linked is None else linked.unionByName(found), "links")
-        roots = materialize(components(linked), "roots")
-    named = nodes.join(roots, "node", "left").select("same", F.coalesce("root", "node").alias("first"))
-    return prints.join(named, "same").where("doc_id <> first").select("doc_id").distinct()
+            now = keep(now.join(mixed, "token"), "mixed")
+            if star:
+                centre = now.groupBy("token").agg(F.min(F.struct("pos", "node", "size", "label")).alias("c")).select("token", *(F.col(f"c.{a}").alias(b) for a, b in other.items()))
+                met = now.join(centre, "token").where("label <> its")
+            else:
+                met = now.join(now.withColumnsRenamed(other), "token").where("label < its")
+            linked, roots = grown(linked, met.where(fits).select(F.col("node").alias("u"), "v"))
+        named = nodes.join(roots, "node", "left").select("same", F.coalesce("root", "node").alias("first"))
+        return materialize(prints.join(named, "same").where("doc_id <> first").select("doc_id").distinct(), "repeated")
 
 
 def op2_simhash_components(spark, sf_dir: str) -> DataFrame:
