@@ -36,6 +36,9 @@ CUES = {
 }
 AGAINST = "version|section|figure|chapter|isbn|page|volume|order"
 LABELERS = ("shape", "check", "gazetteer", "context", "against", "edge")
+#: What the final classifier sees of a span itself, and how many values each has: its length (to 12, 20, 34, more), its
+#: share of digits (under a third, more, all), and what stands before and after it (nothing or space, a letter or digit, a mark).
+FEATURES = {"length": 4, "digits": 3, "before": 3, "after": 3}
 
 
 def _located(text: Column, pattern: str) -> Column:
@@ -73,7 +76,7 @@ def _vote(yes: Column, no: Column) -> Column:
 
 
 def _labelled(found: Column, kind: Column | str) -> Column:
-    """kind, start, end and the votes of all labelers (a number to base 3) of each match."""
+    """kind, start, end, the votes of all labelers (a number to base 3) and the features of each match."""
 
     def label(x: Column) -> Column:
         k = F.lit(kind) if isinstance(kind, str) else _kind(x["hit"])
@@ -110,11 +113,26 @@ def _labelled(found: Column, kind: Column | str) -> Column:
         number = F.lit(0)
         for i, v in enumerate(votes):
             number = number + v * 3**i
-        return F.struct(F.lit(kind).alias("kind") if isinstance(kind, str) else k.alias("kind"), x["start"].alias("start"), x["end"].alias("end"), number.cast("int").alias("votes"))
+        own = F.lit(kind).alias("kind") if isinstance(kind, str) else k.alias("kind")
+        return F.struct(own, x["start"].alias("start"), x["end"].alias("end"), number.cast("int").alias("votes"), _features(x, digits).alias("features"))
 
     return F.transform(found, label)
 
 
+def _features(x: Column, digits: Column) -> Column:
+    """The values of FEATURES as one number."""
+
+    def side(c: Column) -> Column:
+        return F.when((c == "") | c.rlike(r"^\s$"), 0).when(c.rlike(r"^[\p{L}\p{N}]$"), 1).otherwise(2)
+
+    n, d = F.length(x["hit"]), F.length(digits)
+    values = (F.when(n <= 12, 0).when(n <= 20, 1).when(n <= 34, 2).otherwise(3), F.when(d == n, 2).when(3 * d >= n, 1).otherwise(0), side(F.right(x["left"], F.lit(1))), side(x["right"]))
+    number, step = F.lit(0), 1
+    for v, size in zip(values, FEATURES.values()):
+        number, step = number + v * step, step * size
+    return number.cast("int")
+
+
 def _kind(hit: Column) -> Column:
     return (
         F.when(hit.rlike("^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), "tax_id").when(hit.rlike("^(\\(|[0-9]{3}[. -][0-9]{3}[. -])"), "phone_local").when(hit.rlike("^[0-9]{13,15}$"), "short_card")
@@ -122,7 +140,7 @@ def _kind(hit: Column) -> Column:
     )
 
 
-SPAN = "array<struct<kind:string,start:int,end:int,votes:int>>"
+SPAN = "array<struct<kind:string,start:int,end:int,votes:int,features:int>>"
 
 
 def candidates(text: Column) -> tuple[Column, Column]:
@@ -148,26 +166,51 @@ def candidates(text: Column) -> tuple[Column, Column]:
 
 @dataclass
 class SpanModel:
-    """Reliability of each labeler, and the probability that the final classifier gives each kind and vote pattern."""
+    """Reliability of each labeler, and the final classifier's weights: of kinds, of votes (labeler, vote) and of features
+    (one array for each, kind by value)."""
 
     reliability: np.ndarray
-    kept: set[tuple[str, int]]
+    kinds: np.ndarray
+    votes: np.ndarray
+    features: list[np.ndarray]
+    #: (kind, votes, features) of the patterns learned from that count as personal data
+    kept: set[tuple[str, int, int]]
+
+    def counts(self, span: Column) -> Column:
+        """Does the classifier take this span for personal data?"""
+        number = sum(F.when(span["kind"] == k, i).otherwise(0) for i, k in enumerate(KINDS))
+
+        def pick(weights: np.ndarray, at: Column) -> Column:
+            return F.element_at(F.array(*(F.lit(float(w)) for w in weights.ravel())), (at + 1).cast("int"))
 
+        def place(of: Column, step: int, size: int) -> Column:
+            return F.floor(of / step).cast("int") % size
 
-def fit(patterns: list[tuple[str, int, int]], rounds: int = 100) -> SpanModel:
-    """From (kind, votes, how often) of all candidates: expectation-maximisation over labelers, then the classifier.
+        logit, step = pick(self.kinds, number), 1
+        for i in range(len(LABELERS)):
+            logit = logit + pick(self.votes[i], place(span["votes"], 3**i, 3))
+        for weights, size in zip(self.features, FEATURES.values()):
+            logit, step = logit + pick(weights, number * size + place(span["features"], step, size)), step * size
+        return logit >= 0
+
+
+def fit(patterns: list[tuple], rounds: int = 100) -> SpanModel:
+    """From (kind, votes, how often, features) of all candidates: expectation-maximisation over labelers, then the classifier.
 
     A span is real or not; given that, labelers vote independently, each with its own table of P(vote | real). The
     E step gives each pattern the probability of being real, the M step new tables and a share of real spans for each
-    kind. Then a logistic model over kind, votes and cues is fitted to these probabilities; it decides which spans count.
-    There are at most 9 kinds times 3^6 patterns, whatever the data.
+    kind. A labeler is taken to be better than chance, else a rare vote would mark the rarer class. These probabilities are the labels of the final classifier, a logistic model over the kind, the votes, and
+    features of the span itself for each kind, which no labeler votes by; it decides which spans count. There are at
+    most 9 kinds times 3^6 votes times 108 features, whatever the data. Without features: 0.
     """
     n = len(LABELERS)
+    sizes = list(FEATURES.values())
     if not patterns:
-        return SpanModel(np.full((n, 2, 3), 1 / 3), set())
-    kinds = np.array([KINDS.index(k) for k, _, _ in patterns])
-    votes = np.array([[v // 3**i % 3 for i in range(n)] for _, v, _ in patterns])
-    times = np.array([float(c) for _, _, c in patterns])
+        return SpanModel(np.full((n, 2, 3), 1 / 3), np.full(len(KINDS), -1.0), np.zeros((n, 3)), [np.zeros((len(KINDS), s)) for s in sizes], set())
+    kinds = np.array([KINDS.index(p[0]) for p in patterns])
+    votes = np.array([[p[1] // 3**i % 3 for i in range(n)] for p in patterns])
+    times = np.array([float(p[2]) for p in patterns])
+    seen = np.array([p[3] if len(p) > 3 else 0 for p in patterns])
     real = np.clip(0.5 + (votes - 1).sum(1) / n, 0.05, 0.95)
     for _ in range(rounds):
         share = np.array([(1 + times[kinds == k] @ real[kinds == k]) / (2 + times[kinds == k].sum()) for k in range(len(KINDS))])
@@ -178,35 +221,42 @@ def fit(patterns: list[tuple[str, int, int]], rounds: int = 100) -> SpanModel:
                 table[i, 1, v] += times[at] @ real[at]
                 table[i, 0, v] += times[at] @ (1 - real[at])
         table /= table.sum(2, keepdims=True)
-        odds = np.log(share / (1 - share))[kinds] + sum(np.log(table[i, 1, votes[:, i]] / table[i, 0, votes[:, i]]) for i in range(n))
+        # labelers are better than chance: a vote for never counts against, nor one against for, and silence says little
+        says = np.clip(np.log(table[:, 1] / table[:, 0]), [-30, -1, 0], [0, 1, 30])
+        odds = np.log(share / (1 - share))[kinds] + sum(says[i, votes[:, i]] for i in range(n))
         new = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
         if np.abs(new - real).max() < 1e-6:
             break
         real = new
-    x = np.column_stack([np.eye(len(KINDS))[kinds], votes == 2, votes == 0])
+    blocks, step = [np.eye(len(KINDS))[kinds], np.eye(3)[votes].reshape(len(kinds), -1)], 1
+    for size in sizes:
+        blocks.append(np.eye(len(KINDS) * size)[kinds * size + seen // step % size])
+        step *= size
+    x = np.column_stack(blocks)
     w = np.zeros(x.shape[1])
     weight = times / times.max()
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + 0.01 * np.eye(len(w)), x.T @ (weight * (p - real)) + 0.01 * w)
-        w -= step
-        if np.abs(step).max() < 1e-9:
+        move = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + 0.01 * np.eye(len(w)), x.T @ (weight * (p - real)) + 0.01 * w)
+        w -= move
+        if np.abs(move).max() < 1e-9:
             break
-    p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-    return SpanModel(table, {(k, int(v)) for (k, v, _), q in zip(patterns, p) if q >= 0.5})
+    cuts = np.cumsum([b.shape[1] for b in blocks])[:-1]
+    own, by_vote, *by_feature = np.split(w, cuts)
+    kept = {(p[0], int(p[1]), int(f)) for p, f, z in zip(patterns, seen, x @ w) if z >= 0}
+    return SpanModel(table, own, by_vote.reshape(n, 3), [b.reshape(len(KINDS), -1) for b in by_feature], kept)
 
 
-def learn(found: DataFrame) -> SpanModel:
+def learn(found: DataFrame, base: str = "base", others: str = "others") -> SpanModel:
     """The model from the columns base and others of all documents (counted by pattern before anything moves)."""
-    each = found.select(F.explode(F.concat("base", "others")).alias("s")).groupBy("s.kind", "s.votes").agg(F.count("*").alias("n"))
-    return fit(sorted((r["kind"], r["votes"], r["n"]) for r in each.collect()))
+    each = found.select(F.explode(F.concat(base, others)).alias("s")).groupBy("s.kind", "s.votes", "s.features").agg(F.count("*").alias("n"))
+    return fit(sorted((r["kind"], r["votes"], r["n"], r["features"]) for r in each.collect()))
 
 
-def accepted(model: SpanModel) -> Column:
+def accepted(model: SpanModel, base: str = "base", others: str = "others") -> Column:
     """Those of the column `others` that the classifier keeps and no base span overlaps, in the order of kind and start."""
-    names = sorted(f"{k}:{v}" for k, v in model.kept if k in ADDED)
-    kept = F.filter("others", lambda s: F.concat_ws(":", s["kind"], s["votes"]).isin(names) if names else F.lit(False))
-    clear = F.filter(kept, lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    kept = F.filter(others, model.counts)
+    clear = F.filter(kept, lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
     return F.array_sort(clear)
 
 
@@ -224,16 +274,15 @@ def personal_data(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame) -> DataFrame:
     """docs with each span in text replaced by its kind in brackets, and n_chars, if there, set anew.
 
-    Overlapping spans are covered by the first one's mark. A null text stays null.
+    Overlapping spans are covered by the first one's mark. A null text stays null; null and repeated doc_ids and all
+    other columns, whatever their names, stay as they are; an empty table gives no rows. Texts are scanned once: rows
+    with their spans are written, and read again once the model is known.
     """
-    base, others = candidates(F.col("text"))
-    model = learn(docs.select(base.alias("base"), others.alias("others")))
-    inner = docs.withColumns({"__base": base, "__others": others})
-    added = accepted(model)
-    spans = inner.withColumnsRenamed({"__base": "base", "__others": "others"}) if not {"base", "others"} & set(docs.columns) else None
-    if spans is None:
-        raise ValueError("documents must not have columns named base or others")
-    spans = spans.withColumn("__spans", F.array_sort(F.transform(F.concat("base", added), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))))
+    base, others, spans = _free_names(docs, "base", "others", "spans")
+    found = candidates(F.col("text"))
+    seen = materialize(docs.withColumns({base: found[0], others: found[1]}), "redact")
+    added = accepted(learn(seen, base, others), base, others)
+    rows = seen.withColumn(spans, F.array_sort(F.transform(F.concat(base, added), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))))
     kind = "struct<at:int,out:array<string>>"
     none = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")).cast(kind)
 
@@ -244,13 +293,24 @@ def redact(docs: DataFrame) -> DataFrame:
     def finish(acc: Column) -> Column:
         return F.concat(F.array_join(acc["out"], ""), F.substring(F.col("text"), acc["at"] + 1, F.length("text")))
 
-    clean = F.when(F.size("__spans") > 0, F.aggregate("__spans", none, step, finish)).otherwise(F.col("text"))
-    out = spans.withColumn("text", clean)
+    some = F.size(spans) > 0
+    clean = F.when(some, F.aggregate(spans, none, step, finish)).otherwise(F.col("text"))
+    out = rows.withColumn("text", clean)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("__spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(some, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
+def _free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, with as many underscores before them as tell them from all columns of df."""
+    used, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name in used:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def op5_personal_data(spark, sf_dir: str) -> DataFrame:
     found = personal_data(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 

@@ -80,6 +80,24 @@ def test_labelers_are_weighed():
     assert pii.fit([]).kept == set()
 
 
+def test_span_classifier_uses_features_of_its_own(spark):
+    """Spans with equal votes are told apart by what they look like, and the column says what the model says."""
+    sure, open_, no = 2 * (1 + 3 + 9) + 27 + 81 + 243, 1 + 3 + 9 + 27 + 81 + 243, 27 + 81 + 243
+    seen, other = 2 + 3 * 4 * 0, 1 + 4 * 1 + 12 * 1
+    patterns = [("secret", sure, 500, seen), ("secret", no, 500, other), ("secret", open_, 2, seen), ("secret", open_, 2, other), ("tax_id", no, 3, 5)]
+    model = pii.fit(patterns)
+    assert ("secret", open_, seen) in model.kept and ("secret", open_, other) not in model.kept
+    rows = spark.createDataFrame([(("x" if p[0] is None else p[0], 0, 1, p[1], p[3]),) for p in patterns], "s struct<kind:string,start:int,end:int,votes:int,features:int>")
+    assert [r[0] for r in rows.select(model.counts(F.col("s"))).collect()] == [(p[0], p[1], p[3]) in model.kept for p in patterns]
+
+
+def test_redact_takes_any_columns(spark):
+    docs = documents(spark, ["mail a@b.co", None, ""], [1, 1, None]).withColumnRenamed("lang", "base").withColumnRenamed("source", "others").withColumn("spans", F.lit(7)).withColumn("_base", F.lit("k"))
+    out = redact(docs)
+    assert out.columns == docs.columns and sorted((r.text or "", r.base, r.others, r.spans, r._base) for r in out.collect()) == [("", "en", "s", 7, "k"), ("", "en", "s", 7, "k"), ("mail [EMAIL]", "en", "s", 7, "k")]
+    assert redact(documents(spark, [])).count() == 0
+
+
 # --- toxicity -------------------------------------------------------------------------------------------------------
 
 
