@@ -8,7 +8,6 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from xxhash import xxh3_128_digest
 
 from .windows import NONE, Block, Cut, Plan, hot_windows, no_segments, prefix_hashes, run, runs, sliding_min, span_hashes
 
@@ -50,19 +49,24 @@ class RunLengthIndex:
         return out
 
 
+#: Prefix lengths up to which ranks are kept for the samples; longer matches are measured in steps of the last one.
+KEPT = 256
+
+
 def build_index(strings: list[bytes]) -> RunLengthIndex:
     """Suffixes of all strings are ranked by prefix doubling, which only goes on for those that still tie; a string ends
-    with a mark of its own, smaller than any byte, so matches never leave a string."""
+    with a mark of its own, smaller than any byte, so matches never leave a string. Memory is some 60 bytes for each
+    byte of the strings, whatever they repeat."""
     lengths = np.array([len(s) for s in strings], np.int64)
     text = np.frombuffer(b"".join(strings), np.uint8)
     n = len(text)
     start = np.cumsum(lengths) - lengths
-    left = np.repeat(start + lengths, lengths) - np.arange(n)  # bytes to the string's end, this one included
-    # eight bytes at a time; past the end zeros, told from real ones by the length
-    padded = np.concatenate([text, np.zeros(8, np.uint8)]).astype(np.uint64)
+    left = (np.repeat(start + lengths, lengths) - np.arange(n)).astype(np.int32)  # bytes to the string's end, this one included
+    # seven bytes at a time; past the end zeros, told from real ones by the length
+    padded = np.concatenate([text, np.zeros(8, np.uint8)])
     key = np.zeros(n, np.uint64)
     for k in range(7):
-        key = (key << np.uint64(9)) | np.where(left > k, padded[k : k + n] + np.uint64(1), np.uint64(0))
+        key = (key << np.uint64(9)) | np.where(left > k, padded[k : k + n].astype(np.uint64) + np.uint64(1), np.uint64(0))
     order = np.argsort(key, kind="stable").astype(np.int32)
     rank = np.empty(n, np.int32)
     new = np.concatenate([[True], key[order][1:] != key[order][:-1]])
@@ -86,9 +90,10 @@ def build_index(strings: list[bytes]) -> RunLengthIndex:
         fresh = np.concatenate([[True], both[1:] != both[:-1]])
         rank[members] = np.maximum.accumulate(np.where(fresh, at, 0))
         width *= 2
-        ranks.append(rank.copy())
-        steps.append(width)
-    heads = np.where(left[order - 1] > 1, text[order - 1].astype(np.int64) + 1, 0)
+        if width <= KEPT:
+            ranks.append(rank.copy())
+            steps.append(width)
+    heads = np.where(left[order - 1] > 1, text[order - 1].astype(np.int16) + 1, 0)
     heads[order == 0] = 0
     # a string's first byte has no byte before it: such suffixes never continue one another
     broken = (heads[1:] != heads[:-1]) | (heads[1:] == 0)
@@ -97,8 +102,14 @@ def build_index(strings: list[bytes]) -> RunLengthIndex:
 
     def common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Length of the common start of two suffixes, from the ranks of each round."""
-        total, room = np.zeros(len(a), np.int64), np.minimum(left[a], left[b])
-        for rank, step in zip(ranks[::-1], steps[::-1]):
+        total, room = np.zeros(len(a), np.int64), np.minimum(left[a], left[b]).astype(np.int64)
+        going = np.arange(len(a))
+        while len(going):
+            at = total[going]
+            x, y = np.minimum(a[going] + at, n - 1), np.minimum(b[going] + at, n - 1)
+            going = going[(room[going] - at >= steps[-1]) & (ranks[-1][x] == ranks[-1][y])]
+            total[going] += steps[-1]
+        for rank, step in zip(ranks[-2::-1], steps[-2::-1]):
             x, y = np.minimum(a + total, n - 1), np.minimum(b + total, n - 1)
             total += np.where((room - total >= step) & (rank[x] == rank[y]), step, 0)
         for _ in range(steps[0]):
@@ -143,7 +154,7 @@ def _cutter(width: int):
         cold, windows = hot_windows(a, b, key, hot)
         a, b, key = a[cold], b[cold], key[cold]
         packed = [joined[x:y] for x, y in zip(a.tolist(), (b + width).tolist())]
-        digests = [xxh3_128_digest(joined[x : x + width]) for x in windows.tolist()]
+        lone = [joined[x : x + width] for x in windows.tolist()]
         # where the minimiser is in the segment; TWICE if it occurs again: only such a segment can repeat its own windows
         flag = np.zeros(len(a), np.uint8)
         for i in range(0, len(a), 4096):
@@ -151,7 +162,7 @@ def _cutter(width: int):
             head, tail = grams[x[:, None] + np.arange(inside)] == k, grams[y[:, None] + np.arange(inside)] == k
             place = head.argmax(1)
             flag[i : i + 4096] = np.where((head.sum(1) > 1) | (tail.sum(1) > 1) | (x + place != y + tail.argmax(1)), TWICE, place)
-        return Cut(before + a, packed, key.astype(np.uint64), text[a], flag, before + windows, digests, text[windows])
+        return Cut(before + a, packed, key.astype(np.uint64), text[a], flag, before + windows, lone, text[windows])
 
     def keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         found = segments(texts)
@@ -160,7 +171,11 @@ def _cutter(width: int):
         _, sums, _, _, a, b, key = found
         return key, span_hashes(sums, a, b + width)
 
-    return cut, keys
+    def pieces(text: bytes, size: int):
+        for a in range(0, len(text), size):
+            yield a, text[a : a + size + width - 1]
+
+    return cut, keys, pieces
 
 
 def _know(item: np.ndarray, ids: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -270,14 +285,15 @@ def remove_repeated_strings(docs: DataFrame, width: int = 200, keep_text: bool =
     A byte goes if a string of `width` bytes that covers it starts anywhere else too, in this document or another.
     Strings with the same minimiser (the least hash of 32 bytes) meet in one part; copies of a segment are counted, and
     for different segments with one minimiser the part builds a run-length index, streams matching statistics, and marks
-    matches of `width` bytes or more. (Strings with a hot minimiser are compared by 128-bit digests.) See windows.run() for the way there and back.
+    matches of `width` bytes or more. Copies would add no runs to the transform, so they enter it as one string with a count.
+    Windows with a hot minimiser travel and are compared one by one. See windows.run() for the way there and back.
 
     A null text has no bytes; null and repeated doc_ids are documents like others; other columns are ignored; an empty
     table gives no rows.
     """
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if keep_text else "")
-    cut, keys = _cutter(width)
-    plan = Plan(width, _plain, len, cut, keys, _know, _judge(width), _judge_equal, lambda value, order: np.ones(len(value), bool), _result(keep_text), schema, keyed=True)
+    cut, keys, pieces = _cutter(width)
+    plan = Plan(width, _plain, len, cut, keys, pieces, _know, _judge(width), _judge_equal, lambda value, order: np.ones(len(value), bool), _result(keep_text), schema, keyed=True)
     return run(docs, plan)
 
 

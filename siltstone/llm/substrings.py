@@ -8,7 +8,6 @@ from itertools import compress
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from xxhash import xxh3_128_digest
 
 from .windows import NONE, Block, Cut, Plan, hot_windows, mixed, no_segments, prefix_hashes, run, runs, sliding_min, span_hashes
 
@@ -60,8 +59,8 @@ def _cutter(width: int):
         cold, windows = hot_windows(a, b, key, hot)
         a, b, key = a[cold], b[cold], key[cold]
         packed = [joined[x:y] for x, y in zip(start[a].tolist(), end[b + width - 1].tolist())]
-        digests = [xxh3_128_digest(joined[x:y]) for x, y in zip(start[windows].tolist(), end[windows + width - 1].tolist())]
-        return Cut(before + a, packed, key, doc[a], np.zeros(len(a), np.uint8), before + windows, digests, doc[windows])
+        lone = [joined[x:y] for x, y in zip(start[windows].tolist(), end[windows + width - 1].tolist())]
+        return Cut(before + a, packed, key, doc[a], np.zeros(len(a), np.uint8), before + windows, lone, doc[windows])
 
     def keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         found = segments(texts)
@@ -70,7 +69,18 @@ def _cutter(width: int):
         joined, start, end, _, a, b, key = found
         return key, span_hashes(prefix_hashes(np.frombuffer(joined, np.uint8)), start[a], end[b + width - 1])
 
-    return cut, keys
+    def pieces(text: bytes, size: int):
+        gap = np.flatnonzero(np.frombuffer(text, np.uint8) == 32)
+        start, end = np.concatenate([[0], gap + 1]), np.concatenate([gap, [len(text)]])
+        a = 0
+        while True:
+            b = max(a + 1, int(np.searchsorted(start, start[a] + size)))
+            yield a, text[start[a] : end[min(b + width - 2, len(end) - 1)]]
+            if b >= len(start):
+                return
+            a = b
+
+    return cut, keys, pieces
 
 
 def _know(item: np.ndarray, ids: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -146,14 +156,14 @@ def remove_repeated_windows(docs: DataFrame, width: int = 13, keep_text: bool =
     document with a smaller doc_id, whatever becomes of it there. Consecutive windows with the same minimiser, the least
     hash of four words in a row, travel as one string to the part of that minimiser, once a block of documents with the
     smallest doc_id that has it; there windows are sorted and each gets the smallest doc_id of all. Hashes only bring
-    windows together: equality is that of the words (for windows with a hot minimiser, of 128-bit digests).
+    windows together: equality is that of the words. Windows with a hot minimiser travel one by one (see windows.run()).
 
     A null text has no words. A null doc_id counts as larger than any; rows with equal doc_id don't remove each other's
     words. Other columns are ignored; an empty table gives no rows.
     """
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if keep_text else "")
-    cut, keys = _cutter(width)
-    plan = Plan(width, _plain, _units, cut, keys, _know, _judge(width), _judge_equal, lambda value, order: value < order, _result(keep_text), schema)
+    cut, keys, pieces = _cutter(width)
+    plan = Plan(width, _plain, _units, cut, keys, pieces, _know, _judge(width), _judge_equal, lambda value, order: value < order, _result(keep_text), schema)
     return run(docs, plan)
 
 

@@ -6,9 +6,9 @@ segment once with what it needs to know of its occurrences, and sends it, packed
 windows have equal minimisers, so each part can tell its windows' fate alone. Answers go back to the block, which cuts
 its documents again and marks what is to go. So a passage that a third of all documents hold travels once a block.
 
-A common line may lie in as many different segments as there are documents. All minimisers with many different segments
-are counted beforehand; their windows travel one by one, as 128-bit digests, to the part of the digest. So no part
-gets more of one minimiser than the count allows, and of one digest a few numbers a block.
+A common line may lie in as many different segments as there are documents. Minimisers with many different segments are
+counted beforehand; their windows travel one by one, each distinct one once a block, to the part of the window's hash,
+where they are compared as they are. So no part gets more of one minimiser than the count allows.
 """
 
 from __future__ import annotations
@@ -71,20 +71,27 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[:-rest], x[rest:]) if rest else x
 
 
-def runs(valid: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First and last window of each run of consecutive valid windows with the same key."""
+def runs(valid: np.ndarray, keys: np.ndarray, most: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+    """First and last window of each run of consecutive valid windows with the same key; longer ones are cut up, so that
+    a text of one repeated line is many equal pieces."""
     at = np.flatnonzero(valid)
     if not len(at):
         return at, at
     k = keys[at]
     new = np.flatnonzero((at[1:] != at[:-1] + 1) | (k[1:] != k[:-1])) + 1
-    return at[np.concatenate([[0], new])], at[np.concatenate([new - 1, [len(at) - 1]])]
+    first, last = at[np.concatenate([[0], new])], at[np.concatenate([new - 1, [len(at) - 1]])]
+    pieces = (last - first) // most + 1
+    if pieces.max() == 1:
+        return first, last
+    of = np.repeat(np.arange(len(first)), pieces)
+    a = first[of] + most * (np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+    return a, np.minimum(a + most - 1, last[of])
 
 
 @dataclass
 class Cut:
     """Segments of some documents: first window (in units of the block), bytes, minimiser, document, flag; windows with
-    hot minimisers: first unit, digest, document."""
+    hot minimisers: first unit, bytes, document."""
 
     first: np.ndarray
     packed: list[bytes]
@@ -92,7 +99,7 @@ class Cut:
     doc: np.ndarray
     flag: np.ndarray
     hot_first: np.ndarray
-    digests: list[bytes]
+    windows: list[bytes]
     hot_doc: np.ndarray
 
 
@@ -114,7 +121,7 @@ def hot_windows(first: np.ndarray, last: np.ndarray, key: np.ndarray, hot: np.nd
 
 @dataclass
 class Block:
-    """A block's documents in a fixed order; its distinct segments and digests in the order in which they first occur,
+    """A block's documents in a fixed order; its distinct segments and hot windows in the order in which they first occur,
     and for each occurrence the number, the first unit and the document."""
 
     rows: list[tuple[int | None, str | None]]
@@ -126,8 +133,8 @@ class Block:
     segment: np.ndarray
     first: np.ndarray
     doc: np.ndarray
-    digests: list[bytes]
-    digest: np.ndarray
+    windows: list[bytes]
+    window: np.ndarray
     hot_first: np.ndarray
     hot_doc: np.ndarray
 
@@ -149,31 +156,42 @@ def grouped(texts: list[bytes], chunk: int) -> Iterator[tuple[int, int]]:
         a = b
 
 
+def stretches(texts: list[bytes], plan: Plan, chunk: int = 1 << 20) -> Iterator[tuple[int, int, list[bytes]]]:
+    """(number of the first text, first unit in it, texts) of about `chunk` bytes each. A longer text comes in pieces that
+    share all but one unit of a window, so each of its windows lies in one of them, and no text needs much memory."""
+    for a, b in grouped(texts, chunk):
+        if len(texts[a]) <= 2 * chunk:
+            yield a, 0, texts[a:b]
+        else:
+            for unit, piece in plan.pieces(texts[a], chunk):
+                yield a, unit, [piece]
+
+
 def load(table: pa.Table, plan: Plan, hot: np.ndarray, chunk: int = 1 << 20) -> Block:
     rows = sorted(zip(table.column("doc_id").to_pylist(), table.column("text").to_pylist()), key=lambda r: (r[0] is None, r[0] or 0, r[1] is None, r[1] or ""))
     texts = [plan.plain(t) for _, t in rows]
     units = np.array([plan.units_of(t) for t in texts], np.int64)
     before = np.concatenate([[0], np.cumsum(units)])
     segments: dict[bytes, int] = {}
-    digests: dict[bytes, int] = {}
+    windows: dict[bytes, int] = {}
     parts, numbers, hot_numbers = [], [], []
-    for a, b in grouped(texts, chunk):
-        c = plan.cut(texts[a:b], int(before[a]), hot)
+    for a, unit, some in stretches(texts, plan, chunk):
+        c = plan.cut(some, int(before[a]) + unit, hot)
         c.doc, c.hot_doc = c.doc + a, c.hot_doc + a
         numbers += [segments.setdefault(p, len(segments)) for p in c.packed]
-        hot_numbers += [digests.setdefault(p, len(digests)) for p in c.digests]
-        c.packed, c.digests = [], []
+        hot_numbers += [windows.setdefault(p, len(windows)) for p in c.windows]
+        c.packed, c.windows = [], []
         parts.append(c)
 
     def all_of(name: str, kind) -> np.ndarray:
-        return np.concatenate([getattr(c, name) for c in parts]).astype(kind) if parts else np.empty(0, kind)
+        return np.concatenate([np.empty(0, kind), *(getattr(c, name).astype(kind) for c in parts)])  # one kind: mixed ones would become floats
 
     segment = np.array(numbers, np.int64)
     key, flag = np.zeros(len(segments), np.uint64), np.zeros(len(segments), np.uint8)
     key[segment], flag[segment] = all_of("key", np.uint64), all_of("flag", np.uint8)
     return Block(
         rows, texts, units, list(segments), key, flag, segment, all_of("first", np.int64), all_of("doc", np.int64),
-        list(digests), np.array(hot_numbers, np.int64), all_of("hot_first", np.int64), all_of("hot_doc", np.int64),
+        list(windows), np.array(hot_numbers, np.int64), all_of("hot_first", np.int64), all_of("hot_doc", np.int64),
     )
 
 
@@ -182,8 +200,10 @@ def part_of(key: np.ndarray, parts: int) -> np.ndarray:
 
 
 def by_part(block: Block, parts: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """For each part the numbers of the distinct segments and of the digests that it gets, in order."""
-    leading = np.frombuffer(b"".join(d[:8] for d in block.digests), np.uint64)
+    """For each part the numbers of the distinct segments and of the hot windows that it gets, in order."""
+    from xxhash import xxh3_64_digest
+
+    leading = np.frombuffer(b"".join(map(xxh3_64_digest, block.windows)), np.uint64)
     found: dict[int, list[np.ndarray]] = {}
     for side, key in enumerate((block.key, leading)):
         if len(key):
@@ -225,11 +245,13 @@ class Plan:
     cut: Callable
     #: texts -> minimiser and hash of each segment
     keys: Callable
+    #: a long text, bytes -> first unit and text of each of its pieces, which overlap by a window less a unit
+    pieces: Callable
     #: number and doc_id of each occurrence, how many numbers -> two arrays (int64) that travel with the numbers
     know: Callable
     #: packed segments, their two arrays, keys and flags -> segment, offset, value of each marked window
     judge: Callable
-    #: two arrays of digests and which are equal -> is it marked?, value
+    #: two arrays of hot windows and which are equal -> is it marked?, value
     judge_equal: Callable
     #: value of marked windows, doc_ids -> does the window go in this document?
     goes: Callable
@@ -240,30 +262,25 @@ class Plan:
     keyed: bool = False
 
 
-def hot_minimisers(docs: DataFrame, plan: Plan, many: int, most: int = 1 << 20, noticed: int = 4) -> np.ndarray:
-    """Minimisers with at least `many` different segments, or a `most`-th of all segments if that is more; so there are
-    `most` of them at most (8 MB). Those that a few MB of text hold under `noticed` times aren't counted there."""
+def hot_minimisers(docs: DataFrame, plan: Plan, many: int, most: int = 1 << 20, one_in: int = 16) -> np.ndarray:
+    """Minimisers with about `many` different segments or more, or a `most`-th of all segments if that is more; so there
+    are `most` of them at most (8 MB).
+
+    Different segments are counted over the whole table by those whose hash is divisible by `one_in`: some hundreds for
+    a hot minimiser. The count only decides how windows travel, never which are equal."""
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in text_chunks(batches, limit=4 << 20):
             texts = [plan.plain(t) for t in chunk.column("text").to_pylist()]
-            found = [plan.keys(texts[a:b]) for a, b in grouped(texts, 1 << 20)]
-            if not found:
-                continue
-            key, segment = (np.concatenate(x).astype(np.uint64) for x in zip(*found))
-            order = np.lexsort((segment, key))
-            key, segment = key[order], segment[order]
-            fresh = np.concatenate([[True], (key[1:] != key[:-1]) | (segment[1:] != segment[:-1])]) if len(key) else np.zeros(0, bool)
-            key, segment = key[fresh], segment[fresh]
-            _, back, times = np.unique(key, return_inverse=True, return_counts=True)
-            some = times[back] >= noticed
-            n = len(key)
-            key, segment = np.append(key[some], 0).view(np.int64), np.append(segment[some], 0).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(segment), pa.array(np.append(np.zeros(len(key) - 1, np.int64), n))], names=["key", "segment", "all"])
-
-    seen = docs.select("text").mapInArrow(tally, "key long, segment long, all long")
-    counted = materialize(seen.groupBy("key").agg(F.approx_count_distinct("segment", 0.03).alias("n"), F.sum("all").alias("all")), "tally")
-    limit = max(many, int(counted.agg(F.sum("all")).first()[0] or 0) // most)
+            found = [plan.keys(some) for _, _, some in stretches(texts, plan)]
+            if found:
+                key, segment = (np.concatenate([y.astype(np.uint64) for y in x]) for x in zip(*found))
+                some = segment % np.uint64(one_in) == 0
+                both = np.unique(np.column_stack([key[some], segment[some]]), axis=0).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["key", "segment"])
+
+    counted = materialize(docs.select("text").mapInArrow(tally, "key long, segment long").distinct().groupBy("key").agg(F.count("*").alias("n")), "tally")
+    limit = max(many // one_in, int(counted.agg(F.sum("n")).first()[0] or 0) // most)
     return np.sort(np.array([r["key"] for r in counted.where(F.col("n") >= limit).select("key").toLocalIterator()], np.int64).view(np.uint64))
 
 
@@ -275,8 +292,8 @@ def run(docs: DataFrame, plan: Plan, block_bytes: int = 8 << 20, part_bytes: int
     """One row of results for each row of docs (doc_id, text).
 
     Blocks hold about `block_bytes` of text and parts about `part_bytes` of segments, however large the table is
-    (segments hold about `spread` times the text). Windows of minimisers with `many` different segments or more travel
-    as digests.
+    (segments hold about `spread` times the text). Windows of minimisers with about `many` different segments or more
+    travel one by one.
     """
     size = totals(docs)
     blocks, parts = max(1, math.ceil(size / block_bytes)), max(1, math.ceil(spread * size / part_bytes))
@@ -287,14 +304,15 @@ def run(docs: DataFrame, plan: Plan, block_bytes: int = 8 << 20, part_bytes: int
         block = load(table, plan, hot)
         ids = block.order
         known = plan.know(block.segment, ids[block.doc], len(block.segments))
-        hot_known = plan.know(block.digest, ids[block.hot_doc], len(block.digests))
+        hot_known = plan.know(block.window, ids[block.hot_doc], len(block.windows))
         rows: list[tuple[int, bytes]] = []
         for part, (numbers, hot_numbers) in by_part(block, parts).items():
             segments = [block.segments[i] for i in numbers.tolist()]
             own = numbers if plan.keyed else numbers[:0]
-            lengths = np.array([len(s) for s in segments], np.int32)
-            tail = b"".join([*segments, *(block.digests[i] for i in hot_numbers.tolist())])
-            rows.append((part, squeeze(known[0][numbers], known[1][numbers], block.key[own], block.flag[own], lengths, hot_known[0][hot_numbers], hot_known[1][hot_numbers], tail=tail)))
+            windows = [block.windows[i] for i in hot_numbers.tolist()]
+            lengths, hot_lengths = (np.array([len(s) for s in x], np.int32) for x in (segments, windows))
+            tail = b"".join([*segments, *windows])
+            rows.append((part, squeeze(known[0][numbers], known[1][numbers], block.key[own], block.flag[own], lengths, hot_known[0][hot_numbers], hot_known[1][hot_numbers], hot_lengths, tail=tail)))
         return pa.table({"part": pa.array([r[0] for r in rows], pa.int32()), "block": pa.array([key[0].as_py()] * len(rows), pa.int32()), "packed": pa.array([r[1] for r in rows], pa.binary())})
 
     def judge(key, table):
@@ -302,24 +320,25 @@ def run(docs: DataFrame, plan: Plan, block_bytes: int = 8 << 20, part_bytes: int
         equal: dict[bytes, int] = {}
         known, counts, group = [], [], []
         for data in table.column("packed").to_pylist():
-            *arrays, tail = unsqueeze(data, np.int64, np.int64, np.uint64, np.uint8, np.int32, np.int64, np.int64)
-            at = np.concatenate([[0], np.cumsum(arrays[4])]).tolist()
-            segments += [tail[a:b] for a, b in zip(at[:-1], at[1:])]
-            group += [equal.setdefault(tail[a : a + 16], len(equal)) for a in range(at[-1], len(tail), 16)]
-            counts.append((len(arrays[4]), len(arrays[5])))
-            known.append((*arrays[:4], *arrays[5:]))
+            *arrays, tail = unsqueeze(data, np.int64, np.int64, np.uint64, np.uint8, np.int32, np.int64, np.int64, np.int32)
+            n = len(arrays[4])
+            at = np.concatenate([[0], np.cumsum(np.concatenate([arrays[4], arrays[7]]))]).tolist()
+            segments += [tail[a:b] for a, b in zip(at[:n], at[1 : n + 1])]
+            group += [equal.setdefault(tail[a:b], len(equal)) for a, b in zip(at[n:-1], at[n + 1 :])]
+            counts.append((n, len(arrays[5])))
+            known.append((*arrays[:4], *arrays[5:7]))
         first, second, keys, flags, hot_first, hot_second = (np.concatenate(x) for x in zip(*known))
         segment, offset, value = plan.judge(segments, first, second, keys, flags) if segments else (NONE, NONE, NONE)
         marked, hot_value = plan.judge_equal(hot_first, hot_second, np.array(group, np.int64)) if group else (np.zeros(0, bool), NONE)
-        digest = np.flatnonzero(marked)
+        window = np.flatnonzero(marked)
         ends, hot_ends = np.cumsum([c[0] for c in counts]), np.cumsum([c[1] for c in counts])
-        owner, hot_owner = np.searchsorted(ends, segment, "right"), np.searchsorted(hot_ends, digest, "right")
+        owner, hot_owner = np.searchsorted(ends, segment, "right"), np.searchsorted(hot_ends, window, "right")
         order = np.argsort(owner, kind="stable")
         cuts, hot_cuts = (np.searchsorted(x, np.arange(len(counts) + 1)) for x in (owner[order], hot_owner))
         names = table.column("block").to_pylist()
         rows = []
         for i in np.flatnonzero(np.diff(cuts) + np.diff(hot_cuts)).tolist():
-            x, y = order[cuts[i] : cuts[i + 1]], digest[hot_cuts[i] : hot_cuts[i + 1]]
+            x, y = order[cuts[i] : cuts[i + 1]], window[hot_cuts[i] : hot_cuts[i + 1]]
             a, b = ends[i] - counts[i][0], hot_ends[i] - counts[i][1]
             rows.append((names[i], squeeze((segment[x] - a).astype(np.int32), offset[x].astype(np.int32), value[x].astype(np.int64), (y - b).astype(np.int32), hot_value[y].astype(np.int64))))
         return pa.table({"block": pa.array([r[0] for r in rows], pa.int32()), "part": pa.array([key[0].as_py()] * len(rows), pa.int32()), "marks": pa.array([r[1] for r in rows], pa.binary())})
@@ -343,11 +362,11 @@ def run(docs: DataFrame, plan: Plan, block_bytes: int = 8 << 20, part_bytes: int
         if len(answers):
             numbers, found, hot_found = by_part(block, parts), [], []
             for part, data in zip(answers.column("part").to_pylist(), answers.column("marks").to_pylist()):
-                segment, offset, value, digest, hot_value, _ = unsqueeze(data, np.int32, np.int32, np.int64, np.int32, np.int64)
+                segment, offset, value, window, hot_value, _ = unsqueeze(data, np.int32, np.int32, np.int64, np.int32, np.int64)
                 found.append((numbers[part][0][segment], value, offset))
-                hot_found.append((numbers[part][1][digest], hot_value, np.zeros(len(digest), np.int32)))
+                hot_found.append((numbers[part][1][window], hot_value, np.zeros(len(window), np.int32)))
             mark(*(np.concatenate(x) for x in zip(*found)), block.segment, block.first, block.doc)
-            mark(*(np.concatenate(x) for x in zip(*hot_found)), block.digest, block.hot_first, block.hot_doc)
+            mark(*(np.concatenate(x) for x in zip(*hot_found)), block.window, block.hot_first, block.hot_doc)
         return plan.result(block, np.cumsum(cover)[:-1] > 0)
 
     packed = dealt.groupBy("block").applyInArrow(send, "part int, block int, packed binary")

@@ -74,7 +74,7 @@ def test_byte_windows(spark, tmp_path, seed):
 
 @pytest.mark.parametrize("many", [10**6, 4])
 def test_many_blocks_and_parts(spark, monkeypatch, many):
-    """With a low limit many minimisers are hot, and their windows travel as digests."""
+    """With a low limit many minimisers are hot, and their windows travel one by one."""
     from siltstone.llm import rindex, substrings, windows
 
     small = lambda docs, plan: windows.run(docs, plan, block_bytes=4000, part_bytes=9000, many=many)
@@ -99,9 +99,66 @@ def test_nulls_ties_and_empty(spark):
     assert remove_repeated_strings(documents(spark, [])).count() == 0
 
 
-@pytest.mark.parametrize("seed", range(6))
-def test_matching_statistics(seed):
+def test_pieces_of_long_texts(spark, monkeypatch):
+    """Texts beyond a size are cut into pieces that share all but one unit of a window."""
+    from siltstone.llm import windows
+
+    whole = windows.stretches
+    monkeypatch.setattr(windows, "stretches", lambda texts, plan, chunk=700: whole(texts, plan, 700))
+    docs = corpus(5)
+    df = documents(spark, [t for _, t in docs], [i for i, _ in docs])
+    rows = df.toArrow().select(["doc_id", "text"])
+    from siltstone.llm import rindex, substrings
+
+    for module, width, units in ((substrings, 13, substrings._units), (rindex, 200, len)):
+        cut, keys, pieces = module._cutter(width)
+        plan = windows.Plan(width, module._plain, units, cut, keys, pieces, *[None] * 5, schema="")
+        for hot in (np.empty(0, np.uint64), np.unique(keys([module._plain(t) for _, t in docs])[0].astype(np.uint64))[::2]):
+            monkeypatch.setattr(windows, "stretches", lambda texts, plan, chunk=700: whole(texts, plan, 700))
+            small = windows.load(rows, plan, hot)
+            monkeypatch.setattr(windows, "stretches", whole)
+            large = windows.load(rows, plan, hot)
+            assert windows_of(small, width, units) == windows_of(large, width, units) and len(small.segment) > len(large.segment)
+
+
+def windows_of(block, width, units):
+    """(first unit, document) of each window with its segment's minimiser or its own text."""
+    out = []
+    for s, first, doc in zip(block.segment.tolist(), block.first.tolist(), block.doc.tolist()):
+        n = units(block.segments[s]) - width + 1
+        out += [(first + k, doc, int(block.key[s])) for k in range(n)]
+    return sorted(out), sorted(zip(block.hot_first.tolist(), block.hot_doc.tolist(), [block.windows[i] for i in block.window.tolist()]))
+
+
+def test_one_line_in_every_block(spark, monkeypatch):
+    """A line that each few MB of text hold once has as many segments as there are texts: it counts as hot."""
+    from siltstone.llm import substrings, windows
+
+    rng = random.Random(4)
+    line = "this very line of eight words is everywhere"
+    df = documents(spark, [f"{prose(rng, 12)} {line} {prose(rng, 12)}" for _ in range(600)]).repartition(40)
+    cut, keys, pieces = substrings._cutter(13)
+    plan = windows.Plan(13, substrings._plain, substrings._units, cut, keys, pieces, *[None] * 5, schema="")
+    assert 1 <= len(windows.hot_minimisers(df, plan, many=128)) <= 6
+    assert len(windows.hot_minimisers(df, plan, many=4096)) == 0
+
+
+def test_text_of_one_line(spark):
+    """A long periodic text is cut into pieces, most of them equal."""
+    line = b"the same line of text over and over again\n"
+    text = (line * 120_000).decode()  # 5 MB
+    r = remove_repeated_strings(documents(spark, [text, "x"])).collect()
+    assert sorted((x.n_bytes, x.n_removed, x.n_spans) for x in r) == [(1, 0, 0), (len(text), len(text), 1)]
+    w = remove_repeated_windows(documents(spark, [text, text], [1, 2])).collect()
+    assert sorted((x.doc_id, x.n_words, x.n_removed) for x in w) == [(1, 9 * 120_000, 0), (2, 9 * 120_000, 9 * 120_000)]
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_matching_statistics(seed, monkeypatch):
+    from siltstone.llm import rindex
+
     rng = random.Random(seed)
+    monkeypatch.setattr(rindex, "KEPT", 14 if seed > 5 else 256)
     strings = ["".join(rng.choice("ab") for _ in range(rng.randint(1, 40))).encode() for _ in range(rng.randint(1, 12))]
     if seed % 2:
         strings += [strings[0], b"\x00" * 30, b"a" * 60]
