@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 #: Query rows scored at once.
-ROWS = 512
+ROWS = 256
 #: A replica is left out if a list taken already lies closer to its list than this share of the vector's squared distance.
 SPACING = 0.25
 
@@ -58,14 +58,27 @@ def _balanced(x: np.ndarray, size: int, rng: np.random.Generator) -> np.ndarray:
     return np.array(out)
 
 
+def _settled(x: np.ndarray, c: np.ndarray, rounds: int = 3) -> np.ndarray:
+    """Centroids after some more rounds of k-means over all rows; those without a row go."""
+    for _ in range(rounds):
+        to = np.concatenate([((c**2).sum(1) - 2 * x[a : a + 4096] @ c.T).argmin(1) for a in range(0, len(x), 4096)])
+        order = np.argsort(to, kind="stable")
+        held, first = np.unique(to[order], return_index=True)
+        c = np.add.reduceat(x[order], first, axis=0) / np.diff(np.append(first, len(x)))[:, None]
+    return c
+
+
 @dataclass
 class Index:
-    """Centroids in a space with one more dimension, where largest inner product is smallest distance, and their graph."""
+    """Centroids in a space with one more dimension, where largest inner product is smallest distance, their graph, and
+    what a sample of queries needs: up to which distance ratio lists are probed, and how many lists that are at most."""
 
     centroids: np.ndarray
     graph: np.ndarray
     starts: np.ndarray
     reach: float
+    ratio: float = 0.0
+    probes: int = 1
 
     def lift(self, x: np.ndarray, query: bool) -> np.ndarray:
         extra = np.zeros(len(x)) if query else np.sqrt(np.maximum(self.reach**2 - (x**2).sum(1), 0))
@@ -74,7 +87,8 @@ class Index:
     def nearest(self, x: np.ndarray, k: int, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """The k nearest centroids of each row of x and their squared distances, by best-first search of the graph.
 
-        All rows walk at once: in each step a row opens the nearest centroid that it has seen and not opened.
+        All rows walk at once: in each step a row opens the WIDE nearest centroids that it has seen and not opened, and
+        looks at those of their neighbours that it has not seen. It ends when `beam` seen ones are nearer than all others.
         """
         n, c = len(x), len(self.centroids)
         k, beam = min(k, c), min(max(beam, k), c)
@@ -82,31 +96,52 @@ class Index:
         far = np.full((n, c), np.inf)
         opened = np.zeros((n, c), bool)
         far[:, self.starts] = norms[self.starts] - 2 * x @ self.centroids[self.starts].T
-        rows = np.arange(n)
-        for _ in range(beam):
+        wide = min(WIDE, c)
+        for _ in range(c):
             waiting = np.where(opened, np.inf, far)
-            at = waiting.argmin(1)
-            bound = np.partition(far, beam - 1, axis=1)[:, beam - 1]
-            go = waiting[rows, at] <= bound
-            go &= np.isfinite(waiting[rows, at])
-            if not go.any():
+            at = np.argpartition(waiting, wide - 1, axis=1)[:, :wide]
+            d = np.take_along_axis(waiting, at, 1)
+            bound = np.partition(far, beam - 1, axis=1)[:, beam - 1 : beam]
+            r, j = np.nonzero((d <= bound) & np.isfinite(d))
+            if not len(r):
                 break
-            r, a = rows[go], at[go]
+            a = at[r, j]
             opened[r, a] = True
             near = self.graph[a]
-            d = norms[near] - 2 * np.einsum("ij,ikj->ik", x[r], self.centroids[near])
-            far[r[:, None], near] = d
+            rr, nn = np.repeat(r, near.shape[1]), near.ravel()
+            fresh = np.isinf(far[rr, nn])
+            rr, nn = rr[fresh], nn[fresh]
+            far[rr, nn] = norms[nn] - 2 * np.einsum("ij,ij->i", x[rr], self.centroids[nn])
         top = np.argpartition(far, k - 1, axis=1)[:, :k]
         d = np.take_along_axis(far, top, 1)
         order = d.argsort(1, kind="stable")
         return np.take_along_axis(top, order, 1), np.maximum(np.take_along_axis(d, order, 1) + (x**2).sum(1)[:, None], 0)
 
+    def lists_of(self, x: np.ndarray, replicas: int, boundary: float) -> tuple[np.ndarray, np.ndarray]:
+        """The lists of data vectors (lifted): the nearest ones within (1 + boundary) times the nearest distance, but for
+        those that a nearer list taken lies much closer to than the vector does (SPACING), so that replicas cross
+        different boundaries. Gives candidates, nearest first, and which of them are taken."""
+        lists, d = self.nearest(x, replicas, 4 * replicas)
+        keep = np.sqrt(d) <= (1 + boundary) * np.sqrt(d[:, :1]) + 1e-12
+        for j in range(1, lists.shape[1]):
+            for i in range(j):
+                between = ((self.centroids[lists[:, i]] - self.centroids[lists[:, j]]) ** 2).sum(1)
+                keep[:, j] &= ~(keep[:, i] & (between < SPACING * d[:, j]))
+        return lists, keep
+
+
+#: Centroids that a row opens in one step of the search.
+WIDE = 8
 
-def fit(vectors: DataFrame, sample: int = 40_000, list_rows: int = 256, most_lists: int = 2048, degree: int = 24, seed: int = 11) -> Index | None:
+
+def fit(vectors: DataFrame, k: int = 20, replicas: int = 3, boundary: float = 0.05, recall: float = 0.94, sample: int = 40_000, degree: int = 24, trials: int = 256, seed: int = 11) -> Index | None:
     """An index from about `sample` vectors, chosen by a hash of vec_id; all vectors are indexed with it later.
 
-    There are about one list for each `list_rows` of the sample, `most_lists` at most; so the index is a few MB,
-    whatever the data, and lists beyond a size are cut into shards when they are filled.
+    The number of lists is twice the square root of the number of vectors, an eighth of the sample at most: a few MB.
+    `trials` vectors of the sample then look for their k nearest in it: the ratio of distances up to which lists must be
+    probed is that which finds the share `recall` of them. So vectors in clusters need few lists, whatever their number,
+    and vectors without any structure about half of all. Among all vectors neighbours lie nearer than in the sample, so
+    the ratio errs towards more lists.
     """
     n, reach = vectors.agg(F.count("*"), F.max(F.aggregate("embedding", F.lit(0.0), lambda a, v: a + v * v))).first()
     if not n:
@@ -114,18 +149,38 @@ def fit(vectors: DataFrame, sample: int = 40_000, list_rows: int = 256, most_lis
     chosen = vectors if n <= sample else vectors.where(F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(1 << 20)) < int((1 << 20) * sample / n))
     x = np.array([r[0] for r in chosen.select("embedding").toLocalIterator()] or [vectors.first()["embedding"]])
     index = Index(np.empty((0, 0)), np.empty((0, 0), int), np.empty(0, int), float(reach) ** 0.5)
-    lifted = index.lift(x, False)
     rng = np.random.default_rng(seed)
-    lifted = lifted[rng.permutation(len(lifted))]
-    c = _balanced(lifted, max(list_rows, -(-len(x) // most_lists)), rng)
+    x = x[rng.permutation(len(x))]
+    lifted = index.lift(x, False)
+    wanted = max(1, min(int(2 * n**0.5), max(len(x) // 8, 16)))
+    c = _settled(lifted, _balanced(lifted, max(1, -(-len(x) // wanted)), rng))
     d = (c**2).sum(1)[:, None] + (c**2).sum(1)[None] - 2 * c @ c.T
     near = d.argsort(1, kind="stable")[:, : degree + 1]
     far = rng.integers(0, len(c), (len(c), 4))  # a few long edges keep the graph in one piece
     index.centroids, index.graph = c, np.column_stack([near, far])
     index.starts = rng.choice(len(c), min(len(c), 16), replace=False)
+    _calibrate(index, x, lifted, k, replicas, boundary, recall, trials)
     return index
 
 
+def _calibrate(index: Index, x: np.ndarray, lifted: np.ndarray, k: int, replicas: int, boundary: float, recall: float, trials: int) -> None:
+    q = x[:trials]
+    scores = q @ x.T
+    scores[np.arange(len(q)), np.arange(len(q))] = -np.inf
+    k = min(k, len(x) - 1)
+    if k < 1:
+        return
+    near = np.argpartition(-scores, k - 1, axis=1)[:, :k]
+    asked = index.lift(q, True)
+    every = np.maximum((asked**2).sum(1)[:, None] + (index.centroids**2).sum(1)[None] - 2 * asked @ index.centroids.T, 0)
+    least = np.sqrt(every.min(1))[:, None] + 1e-12
+    lists, taken = index.lists_of(lifted[near.ravel()], replicas, boundary)
+    of = np.repeat(np.arange(len(q)), k)
+    at = np.where(taken, np.sqrt(every[of[:, None], lists]) / least[of], np.inf).min(1)
+    index.ratio = float(np.quantile(at, recall)) - 1 + 1e-9
+    index.probes = int(np.quantile((np.sqrt(every) <= (1 + index.ratio) * least).sum(1), 0.99)) + 1
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False)
     return flat.reshape(len(column), -1)
@@ -145,30 +200,29 @@ def bundles_of(index: Index, sizes: np.ndarray, rows: int, seed: int = 5) -> np.
     return ((middle**2).sum(1) - 2 * c @ middle.T).argmin(1)
 
 
-def _lists(index: Index, query: bool, ratio: float, most: int, beam: int, sizes: np.ndarray | None = None, least: int = 0):
-    """For mapInArrow: the lists of each vector. Lists beyond (1 + ratio) times the nearest distance are pruned, but not
-    before the lists taken hold `least` entries by `sizes`.
+def _postings(index: Index, replicas: int, boundary: float):
+    """For mapInArrow: the lists of each data vector."""
+    return _with_lists(lambda x: index.lists_of(index.lift(x, False), replicas, boundary))
+
+
+def _probes(index: Index, most: int, sizes: np.ndarray, least: int):
+    """For mapInArrow: the lists that each query probes. Lists beyond (1 + ratio) times the nearest distance are pruned,
+    but not before the lists taken hold `least` entries by `sizes`."""
+
+    def lists(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        found, d = index.nearest(index.lift(x, True), most, most + most // 8 + 16)
+        held = np.cumsum(sizes[found], axis=1) - sizes[found]
+        return found, (np.sqrt(d) <= (1 + index.ratio) * np.sqrt(d[:, :1]) + 1e-12) | (held < least)
+
+    return _with_lists(lists)
 
-    For a data vector a list is also skipped if one of its nearer lists lies much closer to that list than the vector
-    does (SPACING), so that replicas cross different boundaries.
-    """
 
+def _with_lists(lists_of):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = index.centroids
         for whole in batches:
             for a in range(0, len(whole), ROWS):
                 batch = whole.slice(a, ROWS)
-                x = index.lift(_matrix(batch.column("embedding")), query)
-                lists, d = index.nearest(x, most, beam)
-                keep = np.sqrt(d) <= (1 + ratio) * np.sqrt(d[:, :1]) + 1e-12
-                if sizes is not None:
-                    held = np.cumsum(sizes[lists], axis=1)
-                    keep |= held - sizes[lists] < least
-                if not query:
-                    for j in range(1, lists.shape[1]):
-                        for i in range(j):
-                            between = ((c[lists[:, i]] - c[lists[:, j]]) ** 2).sum(1)
-                            keep[:, j] &= ~(keep[:, i] & (between < SPACING * d[:, j]))
+                lists, keep = lists_of(_matrix(batch.column("embedding")))
                 ends = np.concatenate([[0], np.cumsum(keep.sum(1))]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("embedding"), pa.ListArray.from_arrays(pa.array(ends), pa.array(lists[keep].astype(np.int32)))], names=["id", "embedding", "lists"])
 
@@ -213,7 +267,7 @@ def _search(top: int, n: int):
     return run
 
 
-def neighbours(vectors: DataFrame, every: int = 20, k: int = 20, probe_ratio: float = 0.145, most_probes: int = 192, replicas: int = 3, boundary: float = 0.05, bundle_rows: int = 32_768, shard_rows: int = 32_768, **index_options) -> DataFrame:
+def neighbours(vectors: DataFrame, every: int = 20, k: int = 20, replicas: int = 3, boundary: float = 0.05, bundle_rows: int = 32_768, shard_rows: int = 32_768, **index_options) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest vectors found for each vector whose vec_id is divisible by `every`.
 
     Equal vectors are one entry with its k + 1 smallest vec_ids (no other can be among the k nearest), as candidates
@@ -228,24 +282,26 @@ def neighbours(vectors: DataFrame, every: int = 20, k: int = 20, probe_ratio: fl
     members = rows.withColumn("place", F.row_number().over(by_vector)).where(F.col("place") <= k + 1)
     entries = rows.groupBy("embedding").agg(F.min("vec_id").alias("id"))
     asked = rows.where(F.col("vec_id") % every == 0)
-    index = fit(rows, **index_options)
+    index = fit(rows, k, replicas, boundary, **index_options)
     spark = vectors.sparkSession
     if index is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     entries = materialize(entries, "entries")
     dealt = "id long, embedding array<double>, lists array<int>"
-    postings = materialize(entries.select("id", "embedding").mapInArrow(_lists(index, False, boundary, replicas, 4 * replicas), dealt), "postings")
-    # at most most_lists rows
+    postings = materialize(entries.select("id", "embedding").mapInArrow(_postings(index, replicas, boundary), dealt), "postings")
+    # one row a list
     counts = {r["list"]: r["n"] for r in postings.select(F.explode("lists").alias("list")).groupBy("list").agg(F.count("*").alias("n")).collect()}
     n = len(index.centroids)
     sizes = np.array([counts.get(i, 0) for i in range(n)])
     # an entry is in `replicas` lists at most, so these many hold k others whichever lists they are
     least = replicas * (k + 1)
-    probes = max(most_probes, int(np.searchsorted(np.cumsum(np.sort(sizes)), least)) + 1)
+    probes = max(index.probes, int(np.searchsorted(np.cumsum(np.sort(sizes)), least)) + 1)
     distinct = asked.groupBy("embedding").agg(F.min("vec_id").alias("id")).select("id", "embedding")
-    queries = materialize(distinct.mapInArrow(_lists(index, True, probe_ratio, probes, 2 * probes, sizes, least), dealt), "probes")
+    # AQE would put the few queries into one task
+    spread = distinct.repartition(max(1, -(-asked.count() // 512)), "id")
+    queries = materialize(spread.mapInArrow(_probes(index, probes, sizes, least), dealt), "probes")
     bundle = bundles_of(index, sizes, bundle_rows)
-    # bounded by most_lists
+    # one row a list
     names = F.broadcast(spark.createDataFrame([(i, int(bundle[i])) for i in range(n)], "list int, bundle int"))
 
     def bundled(df: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from siltstone.llm.ann import neighbours, op9_nearest
+from siltstone.llm.ann import fit, neighbours, op9_nearest, usable
 from siltstone.llm.decontaminate import NAME, NUMBER, UNIT, UNITS, canonical, leaks, op10_decontamination
 from siltstone.llm.simhash import components, fingerprint, links, masks, op2_simhash_components, repeated_documents
 
@@ -305,6 +305,25 @@ def test_neighbours(spark, tmp_path):
     assert got[2000] == want[2000]  # ties go to the smaller vec_id
 
 
+def test_clustered_vectors_need_few_lists(spark):
+    """The probed share of lists follows from the data; the graph search finds the nearest centroids."""
+    rng = np.random.default_rng(6)
+    centers = rng.normal(size=(40, 24))
+    data = [(i, (centers[i % 40] + 0.3 * rng.normal(size=24)).astype(np.float32).astype(float).tolist()) for i in range(4000)]
+    rows = usable(vectors(spark, [(i, v, 0) for i, v in data]))
+    index = fit(rows)
+    assert 0 < index.probes < len(index.centroids) / 4
+    x = index.lift(np.array([v for _, v in data[:200]]), True)
+    found, d = index.nearest(x, 5, 24)
+    exact = ((x[:, None] - index.centroids[None]) ** 2).sum(2)
+    assert np.mean([len(set(a) & set(np.argsort(b)[:5])) / 5 for a, b in zip(found.tolist(), exact)]) > 0.95
+    got = {}
+    for r in neighbours(vectors(spark, [(i, v, 0) for i, v in data]), every=50).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    want = brute_neighbours(data, 50, 20)
+    assert np.mean([len(got[i] & set(want[i])) / 20 for i in want]) >= 0.9
+
+
 def test_few_vectors(spark):
     got = neighbours(vectors(spark, [(0, [1.0, 0.0], 0), (20, [1.0, 0.0], 0), (3, [0.5, 0.5], 0)])).collect()
     assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == [(0, 1, 20, 1.0), (0, 2, 3, 0.5), (20, 1, 0, 1.0), (20, 2, 3, 0.5)]
