@@ -8,20 +8,40 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Ordered rules of an error taxonomy: the first text found (in lower case) names the category.
+#: Categories of error messages in order, each with the texts that must occur (any of the groups, all of a group).
 ERROR_RULES = (
-    ("syntax", "Syntax"), ("parse_", "Syntax"), ("table or view not found", "Missing object"), ("does not exist", "Missing object"), ("column", "Column"),
-    ("permission", "Permission"), ("not authorized", "Permission"), ("timed out", "Timeout"), ("timeout", "Timeout"), ("out of memory", "Memory"), ("divide by zero", "Arithmetic"),
-    ("overflow", "Arithmetic"), ("cast", "Type"), ("cancel", "Cancelled"), ("concurrent", "Conflict"), ("file not found", "Storage"), ("connection", "Network"),
-)
-
-
-def categorize(text: Column, rules: Sequence[tuple[str, str]] = ERROR_RULES, default: str = "Other") -> Column:
-    """The category of the first rule whose words occur in text; "" for a null or empty text."""
-    low = F.lower(text)
+    ("Parse Syntax Error", (("[PARSE_SYNTAX_ERROR]",),)),
+    ("Parse Empty Statement", (("[PARSE_EMPTY_STATEMENT]",),)),
+    ("Missing Column", (("[MISSING_COLUMN]",),)),
+    ("Requires Unity Catalog", (("[OPERATION_REQUIRES_UNITY_CATALOG]",),)),
+    ("Catalog namespace is not supported", (("Catalog namespace is not supported",),)),
+    ("Timeout Error", (("timed out",),)),
+    ("Executor Lost Failure", (("ExecutorLostFailure",),)),
+    ("Stage Failure", (("stage failure",),)),
+    ("Database not found", (("Database", "not found"),)),
+    ("Table not found", (("Table", "not found"),)),
+    ("Database already exists", (("Database", "already exists"),)),
+    ("Table already exists", (("Table", "already exists"),)),
+    ("Column already exists", (("column", "already exists"),)),
+    ("Describe on View", (("is a view. DESCRIBE DETAIL is only supported for tables.",),)),
+    ("Permission Error", (("permission",), ("User does not own",))),
+    ("Data Type Mismatch", (("data type mismatch",),)),
+    ("Ambiguous Column", (("ambiguous",),)),
+    ("Delta Protocol Error", (("protocol",),)),
+)
+
+
+def categorize(text: Column, rules: Sequence[tuple[str, Sequence[Sequence[str]]]] = ERROR_RULES, default: str = "Other") -> Column:
+    """The category of the first rule that a text meets; "" for a null or empty text. Case counts."""
     out = F.lit(default)
-    for words, name in reversed(rules):
-        out = F.when(F.contains(low, F.lit(words)), name).otherwise(out)
+    for name, groups in reversed(rules):
+        meets = F.lit(False)
+        for group in groups:
+            every = F.lit(True)
+            for words in group:
+                every = every & F.contains(text, F.lit(words))
+            meets = meets | every
+        out = F.when(meets, name).otherwise(out)
     return F.when(text.isNull() | (text == ""), "").otherwise(out)
 
 

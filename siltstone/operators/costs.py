@@ -25,7 +25,7 @@ def against_budget(costs: DataFrame, budgets: DataFrame, sku: str = "sku", time:
     return hourly.join(budgets, sku, "left").withColumn("over_budget", F.coalesce(F.col("cost") > F.col("hourly_budget"), F.lit(False)))
 
 
-def rolling(df: DataFrame, value: str, order: Sequence[str], rows: dict[str, int], keys: Sequence[str] = ()) -> DataFrame:
+def rolling(df: DataFrame, value: str, order: Sequence[str | Column], rows: dict[str, int], keys: Sequence[str] = ()) -> DataFrame:
     """Means over the current and the n rows before it: {name: n}. Without keys all rows go through one task: aggregate
     to hours or days first."""
     return df.withColumns({name: F.avg(value).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(-n, 0)) for name, n in rows.items()})
@@ -48,11 +48,21 @@ def trend_alert(df: DataFrame, value: str, order: Sequence[str], keys: Sequence[
 
 
 def pareto(df: DataFrame, value: str, name: str, cutoff: float = 0.8) -> DataFrame:
-    """Share, cumulative share from the largest on, and whether a row is among those that make up the cutoff."""
-    total = F.sum(value).over(Window.partitionBy())
-    running = F.sum(value).over(Window.orderBy(F.desc(value), name))
-    out = df.withColumn("share", F.col(value) / total).withColumn("cumulative", running / total)
-    return out.withColumn("vital", F.col("cumulative") - F.col("share") < cutoff)
+    """Share, cumulative share from the largest on, and whether a row is among those that make up the cutoff.
+
+    Rows are dealt out by ranges of value; running sums within a range go on from the sums of the ranges before it, a row
+    for each range. So no task gets all rows. Rows with equal value and name count together, as peers do.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # a fixed number: the ranges must be the same for their sums and for their rows
+    ranged = df.repartitionByRange(n, F.desc(value), F.col(name)).withColumn("__range", F.spark_partition_id())
+    sums = ranged.groupBy("__range").agg(F.sum(value).alias("__sum"))
+    w = Window.orderBy("__range")
+    ahead = sums.select("__range", F.coalesce(F.sum("__sum").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__ahead"), F.sum("__sum").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("__total"))
+    running = F.sum(value).over(Window.partitionBy("__range").orderBy(F.desc(value), name)) + F.col("__ahead")
+    # one row for each of n ranges
+    out = ranged.join(F.broadcast(ahead), "__range").withColumn("share", F.col(value) / F.col("__total")).withColumn("cumulative", running / F.col("__total"))
+    return out.withColumn("vital", F.col("cumulative") - F.col("share") < cutoff).drop("__range", "__ahead", "__total")
 
 
 def query_facts(history: DataFrame) -> DataFrame:
@@ -67,6 +77,14 @@ def query_facts(history: DataFrame) -> DataFrame:
     })
 
 
+def warehouse_summary(facts: DataFrame) -> DataFrame:
+    """For each warehouse and day: queries, share that failed or spilled, time queued, and GB read."""
+    share = lambda c: F.round(F.avg(F.col(c).cast("int")), 6)
+    return facts.groupBy("warehouse_id", F.to_date("start_time").alias("day")).agg(
+        F.count("*").alias("queries"), share("is_failed").alias("failed_share"), share("is_spilled").alias("spilled_share"), F.sum("waiting_at_capacity_duration_ms").alias("queued_ms"), F.round(F.sum("read_gb"), 6).alias("read_gb"),
+    )
+
+
 def both_ranks(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Numbers of a key's versions from the first and from the last."""
     forward = Window.partitionBy(*keys).orderBy(*order)

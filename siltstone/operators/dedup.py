@@ -22,13 +22,14 @@ def latest(df: DataFrame, keys: Sequence[str], by: str, *ties: str) -> DataFrame
     return top_rows(df, keys, [F.desc_nulls_last(by), *(F.desc_nulls_last(t) for t in ties)])
 
 
-def golden_record(df: DataFrame, keys: Sequence[str], by: str, valid: dict[str, Column | None]) -> DataFrame:
-    """For each key the newest valid value of each attribute: {attribute: condition, or None for not null}.
+def golden_record(df: DataFrame, keys: Sequence[str], by: str, valid: dict[str, Column | None], also: Sequence[Column] = ()) -> DataFrame:
+    """For each key the newest valid value of each attribute: {attribute: condition, or None for not null}; `also` adds
+    aggregates of all of the key's rows.
 
     One aggregation, combined before the shuffle; an attribute without any valid value is null.
     """
     picked = [F.max_by(F.col(c), F.when(F.col(c).isNotNull() if ok is None else F.col(c).isNotNull() & ok, F.col(by))).alias(c) for c, ok in valid.items()]
-    return df.groupBy(*keys).agg(*picked)
+    return df.groupBy(*keys).agg(*picked, *also)
 
 
 def max_record(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:

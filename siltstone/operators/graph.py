@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
+
 
 def split_documents(docs: DataFrame, raw: str = "raw") -> tuple[DataFrame, DataFrame]:
     """Nodes and edges of JSON documents; those of type `relationship` are edges."""
@@ -24,6 +27,11 @@ def node_types(nodes: DataFrame) -> list[str]:
     return sorted(r[0] for r in nodes.select("type").distinct().collect())
 
 
+def node_metadata(nodes: DataFrame, node_id: object) -> DataFrame:
+    """id, type and raw (as text) of one node; no row if there is none."""
+    return nodes.where(F.col("id") == F.lit(node_id)).select("id", "type", F.col("raw").cast("string").alias("raw")).limit(1)
+
+
 def relationship_types(edges: DataFrame) -> list[str]:
     return sorted(r[0] for r in edges.select("relationship_type").distinct().collect())
 
@@ -68,8 +76,9 @@ def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 30, damping: floa
     """id, type, score: 1/N on each (chosen) node, pushed along all edges `rounds` times; at the last round reached the
     inbound weight plus the teleport share (1 - d^k)(1 - d)/(N (1 - d)). Weight at nodes without edges is lost.
 
-    Weights of a node are summed each round, so the work is rounds x edges. Every few rounds the weights are checkpointed
-    in the folder of spark.checkpoint.dir, and the loop ends when no weight is left to push.
+    Weights of a node are summed each round, so the work is rounds x edges. The edges with their shares are checkpointed
+    once in the folder of spark.checkpoint.dir, the weights every few rounds; the loop ends when no weight is left to
+    push, which is only looked at then.
     """
     spark = nodes.sparkSession
     chosen = nodes.where(F.col("type").isin(list(types))) if types else nodes
@@ -77,20 +86,26 @@ def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 30, damping: floa
     if not n:
         return chosen.select("id", "type", F.lit(0.0).alias("score"))
     out_degree = edges.groupBy("src").agg(F.count("*").alias("out"))
-    hops = edges.select("src", "dst").join(out_degree, "src").withColumn("share", F.lit(damping) / F.col("out")).select("src", "dst", "share")
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+    hops = edges.select("src", "dst").join(out_degree, "src").withColumn("share", F.lit(damping) / F.col("out")).select("src", "dst", "share").checkpoint()
     weight = chosen.select("id", (F.lit(1.0) / n).alias("w"))
-    reached, last = 0, weight
+    reached, last, since = 0, weight, []
     for k in range(1, rounds + 1):
         weight = weight.join(hops, weight["id"] == hops["src"]).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("w") * F.col("share")).alias("w"))
-        if k % checkpoint_every == 0 or k == rounds:
-            if not spark.sparkContext.getCheckpointDir():
-                import tempfile
-
-                spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="siltstone-"))
-            weight = weight.checkpoint()
-        if weight.isEmpty():
-            break
-        reached, last = k, weight
+        since.append((k, weight))
+        if k % checkpoint_every and k != rounds:
+            continue
+        weight = weight.checkpoint()
+        if not weight.isEmpty():
+            reached, last, since = k, weight, []
+            continue
+        # the last of these rounds that still had weight, in one job
+        each = [w.agg(F.count("*").alias("n")).select(F.lit(i).alias("k"), "n") for i, w in since[:-1]]
+        found = [r["k"] for r in reduce(DataFrame.unionByName, each).where("n > 0").collect()] if each else []
+        if found:
+            reached, last = next((i, w) for i, w in since if i == max(found))
+        break
     base = (1 - damping) / n * (1 - damping**reached) / (1 - damping)
     scores = chosen.join(last, "id", "left") if reached else chosen.withColumn("w", F.lit(0.0))
     return scores.select("id", "type", (F.coalesce("w", F.lit(0.0)) + F.lit(base)).alias("score"))

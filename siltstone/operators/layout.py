@@ -9,7 +9,15 @@ from pyspark.sql import functions as F
 
 GB = 1 << 30
 #: The largest table size in GB, and the target file size in MB for tables up to it.
-FILE_SIZES = [(8, 16), (16, 32), (64, 64), (256, 128), (1024, 256), (4096, 512), (65536, 1024), (1677721, 2048)]
+FILE_SIZES = [
+    (8, 16), (16, 32), (32, 64), (64, 64), (128, 128), (256, 128), (512, 256), (1024, 256), (2560, 512), (3072, 716), (5120, 1024), (7168, 1024), (10240, 1024), (51200, 1024), (102400, 1024),
+    (204800, 1024), (409600, 1024), (819200, 1024), (1638400, 2048),
+]
+
+
+def sample_rows(df: DataFrame, n: int, key: str, seed: int) -> DataFrame:
+    """`n` rows chosen by a seeded hash of a unique key: the same ones at every run, however the table is partitioned."""
+    return df.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), key).limit(n)
 
 
 def min_max_scaled(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:

@@ -183,11 +183,39 @@ def incremental_merge(target: DataFrame | None, source: DataFrame, keys: Sequenc
     """First run: the newest row of each key. Later: only rows newer than the target's newest watermark are merged."""
     if target is None:
         return latest(source, keys, watermark)
-    high = target.agg(F.max(watermark).alias("__high"))
-    fresh = source.join(F.broadcast(high), F.col("__high").isNull() | (F.col(watermark) > F.col("__high"))).drop("__high")
+    high = target.agg(F.max(watermark)).first()[0]
+    # a literal, so that the filter reaches the scan
+    fresh = source if high is None else source.where(F.col(watermark) > F.lit(high))
     return upsert(target, latest(fresh, keys, watermark), keys)
 
 
+def merge_feed(target: DataFrame, feed: DataFrame, keys: Sequence[str], time: str, version: str = "_src_commit_version") -> DataFrame:
+    """Merge only what a change feed (_change_type, _commit_version) holds beyond the newest version in the target's
+    `version` column; the version is read first, so the feed is filtered by a literal."""
+    high = target.agg(F.max(version)).first()[0]
+    fresh = feed.where(F.col("_commit_version") > F.lit(-1 if high is None else high)).withColumn(version, F.col("_commit_version"))
+    return merge_changes(target, fresh, keys, time)
+
+
+def refreshed(target: DataFrame | None, source: DataFrame, keys: Sequence[str], time: str, full: bool = False) -> tuple[DataFrame, str]:
+    """(new state, "full" or "incremental"): a copy of the source; of its newer rows alone if the target is there, has the
+    source's columns, and no full refresh is asked for."""
+    if full or target is None or [(f.name, f.dataType) for f in target.schema.fields] != [(f.name, f.dataType) for f in source.schema.fields]:
+        return latest(source, keys, time), "full"
+    return incremental_merge(target, source, keys, time), "incremental"
+
+
+def updated(target: DataFrame, values: dict[str, Column], where: Column) -> DataFrame:
+    """UPDATE SET ... WHERE: a null condition changes nothing."""
+    holds = F.coalesce(where, F.lit(False))
+    return target.select(*(F.when(holds, values[c]).otherwise(F.col(f"`{c}`")).cast(target.schema[c].dataType).alias(c) if c in values else F.col(f"`{c}`") for c in target.columns))
+
+
+def deleted(target: DataFrame, where: Column) -> DataFrame:
+    """DELETE WHERE: rows whose condition is false or null stay."""
+    return target.where(~F.coalesce(where, F.lit(False)))
+
+
 def recompute_changed(target: DataFrame, detail: DataFrame, changed: DataFrame, keys: Sequence[str], aggregates: Sequence[Column]) -> DataFrame:
     """A target of aggregates, with those keys computed anew that occur in the changes."""
     fresh = detail.join(changed.select(*keys).distinct(), list(keys), "left_semi").groupBy(*keys).agg(*aggregates)
@@ -196,11 +224,18 @@ def recompute_changed(target: DataFrame, detail: DataFrame, changed: DataFrame,
 
 
 def changes_between(before: DataFrame, after: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The change rows that lead from one state to another (keys unique in both)."""
+    """The change rows that lead from one state to another (keys unique in both; a null key is a value like others).
+
+    One join of both sides."""
     columns = after.columns
-    return merge(before, after, keys, [When("update", _differ(columns, keys))], changes=True, check=False).where(F.col("_change_type") != INSERT).unionByName(
-        after.join(before, list(keys), "left_anti").select(*columns, F.lit(INSERT).alias("_change_type"))
-    ).unionByName(before.join(after, list(keys), "left_anti").select(*columns, F.lit(DELETE).alias("_change_type")))
+    old = before.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("t"))
+    new = after.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("s"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & t(k).eqNullSafe(s(k))
+    said = lambda row, name: F.struct(F.col(row).alias("r"), F.lit(name).alias("k"))
+    kinds = F.when(F.col("t").isNull(), F.array(said("s", INSERT))).when(F.col("s").isNull(), F.array(said("t", DELETE))).when(_differ(columns, keys), F.array(said("t", BEFORE), said("s", AFTER)))
+    return old.join(new, same, "full_outer").select(F.explode(kinds).alias("x")).select("x.r.*", F.col("x.k").alias("_change_type"))
 
 
 def _differ(columns: Sequence[str], keys: Sequence[str]) -> Column:
@@ -214,6 +249,8 @@ def _differ(columns: Sequence[str], keys: Sequence[str]) -> Column:
 def replay(before: DataFrame, changes: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The state after change rows with _commit_version, applied in that order."""
     newest = latest(changes.where(F.col("_change_type") != BEFORE), keys, "_commit_version")
-    touched = newest.select(*keys)
-    kept = before.join(touched, list(keys), "left_anti").select(*before.columns)
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(f"b.`{k}`").eqNullSafe(F.col(f"c.`{k}`"))
+    kept = before.alias("b").join(newest.select(*keys).alias("c"), same, "left_anti").select(*before.columns)
     return kept.unionByName(newest.where(F.col("_change_type") != DELETE).select(*before.columns))

@@ -67,9 +67,8 @@ def topn_per_month(spark, folder):
 max(ts) AS last_seen FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id, ts ORDER BY event_id DESC) AS rn FROM events) x WHERE rn = 1) e GROUP BY user_id""")
 def golden_record(spark, folder):
     events = dedup.latest(load(spark, folder, "events"), ["user_id", "ts"], "event_id")
-    picked = dedup.golden_record(events, ["user_id"], "ts", {"event_type": F.col("event_type") != "error", "value": F.col("value") > 10})
-    last = events.groupBy("user_id").agg(F.max("ts").alias("last_seen"))
-    return picked.join(last, "user_id").select("user_id", "event_type", F.round("value", 4).alias("value"), "last_seen")
+    picked = dedup.golden_record(events, ["user_id"], "ts", {"event_type": F.col("event_type") != "error", "value": F.col("value") > 10}, [F.max("ts").alias("last_seen")])
+    return picked.select("user_id", "event_type", F.round("value", 4).alias("value"), "last_seen")
 
 
 @query("SELECT user_id, max(event_type) AS event_type, round(max(value), 4) AS value FROM events GROUP BY user_id")
@@ -184,9 +183,11 @@ round(count(DISTINCT CASE WHEN value > 20 THEN user_id END) / CAST(count(DISTINC
 shared_sql("json_path_props", "SELECT CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, count(*) AS n FROM events GROUP BY 1", "SELECT CAST(get_json_object(props, '$.k') AS BIGINT) AS k, count(*) AS n FROM events GROUP BY 1")
 shared_sql("long_running", """SELECT event_id, value FROM events WHERE value > (SELECT quantile_cont(value, 0.95) FROM events) ORDER BY value DESC, event_id LIMIT 100""",
            "SELECT event_id, value FROM events WHERE value > (SELECT percentile(value, 0.95) FROM events) ORDER BY value DESC, event_id LIMIT 100")
-shared_sql("group_share", """SELECT event_id, round(value / sum(value) OVER (), 8) AS share, round(avg(value) OVER (PARTITION BY event_type), 6) AS type_mean FROM (SELECT event_id, event_type, round(value, 2) AS value FROM events) e""")
+shared_sql("group_share", """SELECT event_id, round(value / sum(value) OVER (), 8) AS share, round(avg(value) OVER (PARTITION BY event_type), 6) AS type_mean FROM (SELECT event_id, event_type, round(value, 2) AS value FROM events) e""",
+           """WITH e AS (SELECT event_id, event_type, round(value, 2) AS value FROM events), g AS (SELECT event_type, avg(value) AS type_mean FROM e GROUP BY event_type)
+SELECT event_id, round(value / total, 8) AS share, round(type_mean, 6) AS type_mean FROM e JOIN g USING (event_type) CROSS JOIN (SELECT sum(value) AS total FROM e) t""")
 shared_sql("rolling_week_from_max", "SELECT event_type, count(*) AS n FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 7 DAY GROUP BY event_type")
-shared_sql("lateral_alias", """SELECT o_orderkey, o_totalprice / 100 AS hundred, round(o_totalprice / 100 * 1.19, 4) AS gross FROM orders WHERE o_orderkey % 7 = 0""", "SELECT o_orderkey, o_totalprice / 100 AS hundred, round(hundred * 1.19, 4) AS gross FROM orders WHERE o_orderkey % 7 = 0")
+shared_sql("lateral_alias", """SELECT o_orderkey, o_totalprice / 100 AS hundred, o_totalprice / 100 * 1.19 AS gross FROM orders""", "SELECT o_orderkey, o_totalprice / 100 AS hundred, hundred * 1.19D AS gross FROM orders")
 shared_sql("select_except", "SELECT * EXCLUDE (c_name, c_acctbal) FROM customer", "SELECT * EXCEPT (c_name, c_acctbal) FROM customer")
 shared_sql("top_usage", "SELECT c_mktsegment, o_custkey, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS cents FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2 ORDER BY cents DESC, o_custkey LIMIT 20")
 shared_sql("daily_rates", "SELECT event_type, round(sum(round(value, 2)) / count(DISTINCT date_trunc('day', ts)), 4) AS value_a_day, round(count(*) / CAST(count(DISTINCT date_trunc('day', ts)) AS DOUBLE), 4) AS events_a_day FROM events GROUP BY event_type")

@@ -10,19 +10,19 @@ from ..registry import query
 from ..session import load
 
 # --- merges -------------------------------------------------------------------------------------------------------
-# orders with even keys are the target; a third of all keys come again with a higher price
+# orders before 2000 are the target; those from 1998 on come (again) with a higher price: each order is on one side at least
 
 
 def _target(spark, folder):
-    return load(spark, folder, "orders").where("o_orderkey % 2 = 0").select("o_orderkey", "o_custkey", "o_orderstatus", F.round("o_totalprice", 2).alias("price"), F.lit(1).alias("version"))
+    return load(spark, folder, "orders").where("year(o_orderdate) < 2000").select("o_orderkey", "o_custkey", "o_orderstatus", F.round("o_totalprice", 2).alias("price"), F.lit(1).alias("version"))
 
 
 def _source(spark, folder):
-    return load(spark, folder, "orders").where("o_orderkey % 3 = 0").select("o_orderkey", "o_custkey", "o_orderstatus", F.round(F.col("o_totalprice") + 1000, 2).alias("price"), (F.col("o_orderkey") % 4).cast("int").alias("version"))
+    return load(spark, folder, "orders").where("year(o_orderdate) >= 1998").select("o_orderkey", "o_custkey", "o_orderstatus", F.round(F.col("o_totalprice") + 1000, 2).alias("price"), (F.col("o_orderkey") % 4).cast("int").alias("version"))
 
 
-TARGET = "SELECT o_orderkey, o_custkey, o_orderstatus, round(o_totalprice, 2) AS price, 1 AS version FROM orders WHERE o_orderkey % 2 = 0"
-SOURCE = "SELECT o_orderkey, o_custkey, o_orderstatus, round(o_totalprice + 1000, 2) AS price, CAST(o_orderkey % 4 AS INTEGER) AS version FROM orders WHERE o_orderkey % 3 = 0"
+TARGET = "SELECT o_orderkey, o_custkey, o_orderstatus, round(o_totalprice, 2) AS price, 1 AS version FROM orders WHERE year(o_orderdate) < 2000"
+SOURCE = "SELECT o_orderkey, o_custkey, o_orderstatus, round(o_totalprice + 1000, 2) AS price, CAST(o_orderkey % 4 AS INTEGER) AS version FROM orders WHERE year(o_orderdate) >= 1998"
 
 
 @query(f"SELECT * FROM ({TARGET}) t WHERE o_orderkey NOT IN (SELECT o_orderkey FROM ({SOURCE}) s) UNION ALL SELECT * FROM ({SOURCE}) s")
@@ -40,13 +40,13 @@ def merge_clauses(spark, folder):
 
 
 @query(f"""SELECT o_orderkey, o_custkey, o_orderstatus, price, version FROM ({TARGET}) t WHERE o_orderkey NOT IN (SELECT o_orderkey FROM ({SOURCE}) s WHERE version > 1)
-UNION ALL SELECT o_orderkey, o_custkey, o_orderstatus, price, version FROM ({SOURCE}) s WHERE o_orderstatus <> 'F' AND (version > 1 OR o_orderkey % 2 = 1)""")
+UNION ALL SELECT o_orderkey, o_custkey, o_orderstatus, price, version FROM ({SOURCE}) s WHERE o_orderstatus <> 'F' AND (version > 1 OR o_orderkey NOT IN (SELECT o_orderkey FROM ({TARGET}) t))""")
 def merge_cdc_delete(spark, folder):
     kind = F.when(F.col("o_orderstatus") == "F", merge.DELETE).otherwise(merge.AFTER)
     return merge.merge_changes(_target(spark, folder), _source(spark, folder).withColumn("_change_type", kind), ["o_orderkey"], "version")
 
 
-@query(f"SELECT o_orderkey, o_custkey, o_orderstatus, price, version FROM ({TARGET}) t UNION ALL SELECT * FROM ({SOURCE}) s WHERE o_orderkey % 2 = 1")
+@query(f"SELECT o_orderkey, o_custkey, o_orderstatus, price, version FROM ({TARGET}) t UNION ALL SELECT * FROM ({SOURCE}) s WHERE o_orderkey NOT IN (SELECT o_orderkey FROM ({TARGET}) t)")
 def merge_insert_absent(spark, folder):
     return merge.insert_absent(_target(spark, folder), _source(spark, folder), ["o_orderkey"])
 
@@ -56,7 +56,7 @@ def merge_update_only(spark, folder):
     return merge.update_columns(_target(spark, folder), _source(spark, folder), ["o_orderkey"], ["price"])
 
 
-@query(f"SELECT * FROM ({TARGET}) t WHERE o_orderkey % 3 <> 0")
+@query(f"SELECT * FROM ({TARGET}) t WHERE o_orderkey NOT IN (SELECT o_orderkey FROM ({SOURCE}) s)")
 def merge_delete_matching(spark, folder):
     return merge.delete_matching(_target(spark, folder), _source(spark, folder), ["o_orderkey"])
 
@@ -73,13 +73,14 @@ SELECT o_custkey, status, o_orderdate AS start_time, lead(o_orderdate) OVER (PAR
 def scd2_history(spark, folder):
     rows = load(spark, folder, "orders").groupBy("o_custkey", "o_orderdate").agg(F.max_by("o_orderstatus", "o_orderkey").alias("status"))
     empty = rows.limit(0).select("o_custkey", "status", "o_orderdate", F.col("o_orderdate").alias("start_time"), F.col("o_orderdate").alias("end_time"), F.lit(True).alias("is_current"))
-    first = merge.scd2_merge(empty, rows.where("year(o_orderdate) < 1995"), ["o_custkey"], "o_orderdate", ["status"])
-    both = merge.scd2_merge(first, rows.where("year(o_orderdate) >= 1995"), ["o_custkey"], "o_orderdate", ["status"])
+    first = merge.scd2_merge(empty, rows.where("year(o_orderdate) < 1998"), ["o_custkey"], "o_orderdate", ["status"])
+    both = merge.scd2_merge(first, rows.where("year(o_orderdate) >= 1998"), ["o_custkey"], "o_orderdate", ["status"])
     return both.drop("o_orderdate")
 
 
-@query(f"""SELECT o_orderkey, price, kind AS _change_type FROM (SELECT s.o_orderkey, s.price, 'insert' AS kind FROM ({SOURCE}) s WHERE s.o_orderkey % 2 = 1 UNION ALL SELECT t.o_orderkey, t.price, 'delete' FROM ({TARGET}) t WHERE t.o_orderkey % 3 <> 0
-UNION ALL SELECT t.o_orderkey, t.price, 'update_preimage' FROM ({TARGET}) t WHERE t.o_orderkey % 3 = 0 UNION ALL SELECT s.o_orderkey, s.price, 'update_postimage' FROM ({SOURCE}) s WHERE s.o_orderkey % 2 = 0) x""")
+@query(f"""WITH t AS ({TARGET}), s AS ({SOURCE}) SELECT o_orderkey, price, kind AS _change_type FROM (SELECT o_orderkey, price, 'insert' AS kind FROM s WHERE o_orderkey NOT IN (SELECT o_orderkey FROM t)
+UNION ALL SELECT o_orderkey, price, 'delete' FROM t WHERE o_orderkey NOT IN (SELECT o_orderkey FROM s) UNION ALL SELECT t.o_orderkey, t.price, 'update_preimage' FROM t JOIN s USING (o_orderkey)
+UNION ALL SELECT s.o_orderkey, s.price, 'update_postimage' FROM t JOIN s USING (o_orderkey)) x""")
 def change_feed(spark, folder):
     return merge.changes_between(_target(spark, folder), _source(spark, folder), ["o_orderkey"]).select("o_orderkey", "price", "_change_type")
 
@@ -206,7 +207,8 @@ def live_metrics(spark, folder):
 @query("""SELECT category, count(*) AS n, round(count(*) / CAST(sum(count(*)) OVER () AS DOUBLE), 6) AS share FROM (SELECT CASE WHEN event_type = 'error' AND user_id % 4 = 0 THEN 'Timeout' WHEN event_type = 'error' AND user_id % 4 = 1 THEN 'Syntax' WHEN event_type = 'error' THEN 'Other' ELSE '' END AS category FROM events) x GROUP BY 1""")
 def error_taxonomy(spark, folder):
     text = F.when(F.col("event_type") == "error", F.when(F.col("user_id") % 4 == 0, "Query timed out").when(F.col("user_id") % 4 == 1, "PARSE_SYNTAX_ERROR near").otherwise("unknown"))
-    counts = load(spark, folder, "events").groupBy(categorize(text).alias("category")).agg(F.count("*").alias("n"))
+    rules = (("Timeout", (("timed out",),)), ("Syntax", (("PARSE_SYNTAX_ERROR",),)))
+    counts = load(spark, folder, "events").groupBy(categorize(text, rules).alias("category")).agg(F.count("*").alias("n"))
     return counts.crossJoin(F.broadcast(counts.agg(F.sum("n").alias("total")))).select("category", "n", F.round(F.col("n") / F.col("total").cast("double"), 6).alias("share"))
 
 

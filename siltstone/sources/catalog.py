@@ -23,7 +23,7 @@ def catalog_tables(spark: SparkSession, include: dict[str, Sequence[str]] | None
 
 def describe(spark: SparkSession, table: str) -> dict[str, str]:
     """The detail rows of DESCRIBE EXTENDED by name."""
-    rows = [(r["col_name"], r["data_type"]) for r in spark.sql(f"DESCRIBE TABLE EXTENDED {table}").collect()]
+    rows = [(r["col_name"], r["data_type"]) for r in spark.sql("DESCRIBE TABLE EXTENDED IDENTIFIER(:name)", args={"name": table}).collect()]
     start = next((i for i, r in enumerate(rows) if r[0] == "# Detailed Table Information"), len(rows))
     return {k: v for k, v in rows[start + 1 :] if k}
 

@@ -82,20 +82,16 @@ class VersionCheckpoint:
         return True
 
 
-def windowed(df: DataFrame, time: str, late: str, size: str, aggregates: Sequence[Column], keys: Sequence[str] = (), slide: str | None = None) -> DataFrame:
-    """Aggregates over tumbling or sliding windows of event time, of a stream or a batch; rows later than `late` are
+def windowed(df: DataFrame, time: str, late: str, size: str, aggregates: dict[str, Column], keys: Sequence[str] = (), slide: str | None = None) -> DataFrame:
+    """Aggregates {name: column} over tumbling or sliding windows of event time, of a stream or a batch; rows later than `late` are
     dropped by streams."""
     dated = df.withWatermark(time, late)
-    return dated.groupBy(F.window(time, size, slide or size).alias("w"), *keys).agg(*aggregates).select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *keys, *(_name(a) for a in aggregates))
+    return dated.groupBy(F.window(time, size, slide or size).alias("w"), *keys).agg(*(a.alias(n) for n, a in aggregates.items())).select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *keys, *aggregates)
 
 
-def sessions(df: DataFrame, time: str, late: str, gap: str, aggregates: Sequence[Column], keys: Sequence[str]) -> DataFrame:
+def sessions(df: DataFrame, time: str, late: str, gap: str, aggregates: dict[str, Column], keys: Sequence[str]) -> DataFrame:
     dated = df.withWatermark(time, late)
-    return dated.groupBy(F.session_window(time, gap).alias("w"), *keys).agg(*aggregates).select(F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), *keys, *(_name(a) for a in aggregates))
-
-
-def _name(column: Column) -> Column:
-    return F.col(column._jc.toString().rsplit(" AS ", 1)[-1].strip("`"))
+    return dated.groupBy(F.session_window(time, gap).alias("w"), *keys).agg(*(a.alias(n) for n, a in aggregates.items())).select(F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), *keys, *aggregates)
 
 
 class ProgressLog(StreamingQueryListener):
