@@ -124,15 +124,18 @@ def inline_views(statement: str, definitions: dict[str, str]) -> str:
 
 
 def statements(script: str) -> list[str]:
-    """The statements of a script; a semicolon within quotes or comments ends none."""
+    """The statements of a script; a semicolon within quotes or comments ends none, and comments alone make none."""
     import re
 
     token = re.compile(r"'(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.)*\"|`[^`]*`|--[^\n]*|/\*.*?\*/|;|[^'\"`;/-]+|.", re.S)
-    out, now = [], ""
-    for m in token.finditer(script):
-        if m.group() == ";":
-            out.append(now.strip())
-            now = ""
+    out, now, says = [], "", False
+    for m in [*token.finditer(script), None]:
+        text = m.group() if m else ";"
+        if text == ";":
+            if says:
+                out.append(now.strip())
+            now, says = "", False
         else:
-            now += m.group()
-    return [s for s in [*out, now.strip()] if s]
+            now += text
+            says |= bool(text.strip()) and not text.startswith(("--", "/*"))
+    return out

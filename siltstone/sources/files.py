@@ -66,6 +66,47 @@ def by_position(spark: SparkSession, path: str, ddl: str, sep: str = ",", header
     return df.withColumn(modified, F.current_timestamp()) if modified else df
 
 
+def ingest_tasks(spark: SparkSession, tasks: DataFrame, root: str, target: str, ledger: bool = True) -> list[dict]:
+    """Run ingest tasks from configuration rows (task_id, src_path, src_format, src_column_list, src_sep, src_header,
+    bronze_table, silver_table, primary_key): files that weren't loaded before are appended to the bronze table by
+    position, and the newest row of each key replaces that of the silver table. One row of counts for each task.
+
+    Tasks are configuration, tens of rows; the driver goes through them in the order of task_id.
+    """
+    from ..operators.dedup import latest
+    from ..operators.merge import upsert
+
+    said = []
+    for r in tasks.orderBy("task_id").collect():
+        bronze, silver = f"{target}/{r['bronze_table']}", f"{target}/{r['silver_table']}"
+        keys = [k.strip() for k in r["primary_key"].split(",")]
+        columns = ["*", F.current_timestamp().alias("_last_modified_ts")]
+        n = copy_into(spark, f"{root}/{r['src_path']}", bronze, r["src_format"], columns, schema=r["src_column_list"], sep=r["src_sep"], header=bool(r["src_header"]), enforceSchema=True)
+        if n:
+            fresh = latest(loaded(spark, bronze), keys, "_last_modified_ts")
+            there = _maybe(spark, f"{silver}/now")
+            state = fresh if there is None else upsert(there, fresh, keys)
+            state.write.mode("overwrite").parquet(f"{silver}/next")
+            spark.read.parquet(f"{silver}/next").write.mode("overwrite").parquet(f"{silver}/now")
+        said.append({"task_id": r["task_id"], "files": n, "silver": f"{silver}/now"})
+    return said
+
+
+def kafka(spark: SparkSession, servers: str, topic: str, starting: str = "earliest", **options) -> DataFrame:
+    """A topic as a stream of key, value (texts), topic, partition, offset, timestamp; needs Spark's Kafka package."""
+    reader = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic).option("startingOffsets", starting).options(**options)
+    return reader.load().select(F.col("key").cast("string"), F.col("value").cast("string"), "topic", "partition", "offset", "timestamp")
+
+
+def jdbc_query(spark: SparkSession, url: str, query: str, split: tuple[str, int, int, int] | None = None, **options) -> DataFrame:
+    """The rows of a query at another database; `split` (column, low, high, parts) reads it in parts at once."""
+    if split is None:
+        return spark.read.format("jdbc").option("url", url).option("query", query).options(**options).load()
+    column, low, high, parts = split
+    many = {"partitionColumn": column, "lowerBound": low, "upperBound": high, "numPartitions": parts}
+    return spark.read.format("jdbc").option("url", url).option("dbtable", f"({query}) q").options(**many, **options).load()
+
+
 def listing(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """file_path, file_name, file_size, modified_time, parent_dir of all files below a folder; contents aren't read."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")

@@ -87,6 +87,47 @@ def run_script(runner: SqlRunner, script: str, retries: int = 0, wait: Callable[
     return out
 
 
+def run_graph(runner: SqlRunner, scripts: dict[str, str], after: dict[str, Sequence[str]], most: int = 10) -> dict[str, list[dict]]:
+    """Run named scripts, each when those it comes `after` have succeeded; those after a failed one are left out.
+
+    Scripts that are ready run at once. What each gave, by name.
+    """
+    from graphlib import TopologicalSorter
+
+    order, out = TopologicalSorter({name: after.get(name, ()) for name in scripts}), {}
+    order.prepare()
+    while order.is_active():
+        ready = [n for n in order.get_ready()]
+        runs = [n for n in ready if all(out.get(a) and out[a][-1]["status"] == "SUCCEEDED" for a in after.get(n, ()))]
+        for name, result in zip(runs, in_parallel(runs, lambda n: run_script(runner, scripts[n]), most)):
+            out[name] = result if isinstance(result, list) else [{"statement": name, "status": "FAILED", "error": str(result)}]
+        order.done(*ready)
+    return out
+
+
+def measured(spark: SparkSession, queries: dict[str, Callable], repetitions: int = 3, at_once: int = 1) -> DataFrame:
+    """query, repetition, seconds, failed: each query run to its end `repetitions` times, `at_once` of them together."""
+    import time
+
+    def work(job):
+        name, k = job
+        began = time.perf_counter()
+        try:
+            queries[name]().write.format("noop").mode("overwrite").save()
+            failed = False
+        except Exception:
+            failed = True
+        return name, k, time.perf_counter() - began, failed
+
+    rows = in_parallel([(n, k) for k in range(repetitions) for n in queries], work, at_once)
+    return spark.createDataFrame(rows, "query string, repetition int, seconds double, failed boolean")
+
+
+def benchmark_rates(runs: DataFrame) -> DataFrame:
+    """query, runs, failures, mean and largest seconds, and how many it makes a minute, one after the other."""
+    return runs.groupBy("query").agg(F.count("*").alias("runs"), F.count_if("failed").alias("failures"), F.avg("seconds").alias("mean_seconds"), F.max("seconds").alias("most_seconds")).withColumn("a_minute", 60 / F.col("mean_seconds"))
+
+
 def in_parallel(jobs: Sequence, work: Callable, most: int = 10) -> list:
     """work(job) for each job on driver threads, each a Spark job of its own; results or exceptions in order."""
 
