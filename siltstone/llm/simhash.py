@@ -177,7 +177,7 @@ def _common(docs: DataFrame, shingle: int, one_in: int = 16, seen: int = 4, most
 
 def _signatures(docs: DataFrame, similarity: float, shingle: int) -> DataFrame:
     """What pairs are looked for by: node (the doc_id), size of its set of shingles, fp (their SimHash), sketch (parities
-    of the shingles over 1,024 hash values), prefix (the first shingles in one order for all, rare ones first).
+    of the shingles over hash values, four to eight for each shingle and 1,024 at least), prefix (the first shingles in one order for all, rare ones first).
 
     Sets with a Jaccard similarity of s or more share at least ceil(s * size) shingles of each; so both hold a common
     shingle among their first size - ceil(s * size) + 1, whatever the order.
@@ -192,14 +192,15 @@ def _signatures(docs: DataFrame, similarity: float, shingle: int) -> DataFrame:
                 n = len(x) - math.ceil(similarity * len(x) - 1e-9) + 1
                 ones = sum(np.unpackbits(x[a : a + STEP].astype(">i8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64) for a in range(0, len(x), STEP))
                 fps.append(int.from_bytes(np.packbits(2 * ones > len(x)).tobytes(), "big", signed=True))
-                sketches.append(np.packbits(np.bincount(x & (SKETCH - 1), minlength=SKETCH) & 1).view(np.int64))
+                bits = max(1024, 1 << (4 * len(x) - 1).bit_length())
+                sketches.append(np.packbits((np.bincount(x & (bits - 1), minlength=bits) & 1).astype(np.uint8)).view(np.int64))
                 sizes.append(len(x))
                 if len(tokens):
                     at = np.minimum(np.searchsorted(tokens, x), len(tokens) - 1)
                     x = x[np.argsort(np.where(tokens[at] == x, counts[at], 0), kind="stable")]
                 out.append(x[:n])
             ends = np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int32)
-            words = np.arange(0, (len(sizes) + 1) * (SKETCH // 64), SKETCH // 64, dtype=np.int32)
+            words = np.concatenate([[0], np.cumsum([len(x) for x in sketches])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [chunk.column("doc_id"), pa.array(sizes, pa.int32()), pa.array(fps, pa.int64()), pa.ListArray.from_arrays(pa.array(words), pa.array(np.concatenate(sketches))), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(out)))],
                 names=["node", "size", "fp", "sketch", "prefix"],
@@ -208,26 +209,41 @@ def _signatures(docs: DataFrame, similarity: float, shingle: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "node long, size int, fp long, sketch array<long>, prefix array<long>")
 
 
-#: Bits of a sketch.
-SKETCH = 1024
-
-
 def _overlap(similarity: float, a: Column, b: Column) -> Column:
     """How many shingles sets of these sizes must share."""
     return F.ceil(F.lit(similarity / (1 + similarity)) * (a + b) - 1e-6)
 
 
+#: doc_ids that are broadcast at most, after counting them: 16 MB. More are joined by shuffles.
+BROADCAST_IDS = 2_000_000
+
+
+def _rows_of(docs: DataFrame, ids: DataFrame, keep) -> DataFrame:
+    """The rows of docs with one of these (distinct) doc_ids: filtered where they are if the ids are few enough, else
+    shuffled and kept."""
+    if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        return docs.join(F.broadcast(ids), "doc_id", "left_semi")
+    return keep(docs.join(ids, "doc_id", "left_semi"), "rows")
+
+
 def _verified(pairs: DataFrame, signatures: DataFrame, heads: DataFrame, similarity: float, shingle: int, keep) -> DataFrame:
     """Those of the pairs (u, v) whose sets are similar enough.
 
-    Sets whose sketches differ in d bits differ in d shingles at least, so most pairs need no look at their sets.
+    Sets whose sketches differ in d bits differ in d shingles at least, so most pairs need no look at their sets. A sketch
+    of twice the bits folds into one of the other's: its halves hold what the shorter one's values hold together.
     """
-    own = signatures.select("node", "size", "sketch")
+    named = keep(pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct(), "named")
+    own = _rows_of(signatures.select(F.col("node").alias("doc_id"), "size", "sketch"), named, keep).withColumnRenamed("doc_id", "node")
     both = pairs.join(own.withColumnsRenamed({"node": "u", "size": "m", "sketch": "x"}), "u").join(own.withColumnsRenamed({"node": "v", "size": "n", "sketch": "y"}), "v")
-    apart = F.aggregate(F.zip_with("x", "y", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
+    half = F.size("x") / 2
+    folded = F.zip_with(F.slice("x", F.lit(1), half.cast("int")), F.slice("x", half.cast("int") + 1, half.cast("int")), lambda a, b: a.bitwiseXOR(b))
+    # sizes of a pair differ by a quarter at most, so sketches by one doubling
+    both = both.select("u", "v", "m", "n", F.when(F.size("x") > F.size("y"), F.col("x")).otherwise(F.col("y")).alias("x"), F.when(F.size("x") > F.size("y"), F.col("y")).otherwise(F.col("x")).alias("y"))
+    apart = F.aggregate(F.zip_with(F.when(F.size("x") > F.size("y"), folded).otherwise(F.col("x")), "y", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
+    both = both.where(F.least("m", "n") >= F.lit(similarity - 1e-9) * F.greatest("m", "n"))
     asked = keep(both.where(apart <= F.col("m") + F.col("n") - 2 * _overlap(similarity, F.col("m"), F.col("n"))).select("u", "v"), "pairs")
-    nodes = asked.select(F.col("u").alias("doc_id")).unionByName(asked.select(F.col("v").alias("doc_id"))).distinct()
-    sets = keep(shingle_sets(heads.join(nodes, "doc_id", "left_semi"), shingle), "shingles")
+    nodes = keep(asked.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct(), "asked")
+    sets = keep(shingle_sets(_rows_of(heads, nodes, keep), shingle), "shingles")
     met = asked.join(sets.select(F.col("doc_id").alias("u"), F.col("shingles").alias("x")), "u").join(sets.select(F.col("doc_id").alias("v"), F.col("shingles").alias("y")), "v")
     common = F.size(F.array_intersect("x", "y"))
     return met.where(common >= similarity * (F.size("x") + F.size("y") - common)).select("u", "v")
@@ -251,19 +267,19 @@ def repeated_documents(docs: DataFrame, similarity: float = 0.8, shingle: int =
     with Scratch(docs.sparkSession) as keep:
         prints = keep(_digests(known), "prints")
         nodes = keep(prints.groupBy("same").agg(F.min("doc_id").alias("node")), "nodes")
-        first = nodes.select(F.col("node").alias("doc_id")).distinct()
         # a doc_id with several texts stands for all of them
-        heads = known.join(first, "doc_id", "left_semi")
+        heads = _rows_of(known, keep(nodes.select(F.col("node").alias("doc_id")).distinct(), "heads"), keep)
         signed = keep(_signatures(heads, similarity, shingle), "signatures")
 
         def grown(linked: DataFrame | None, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
             """All links so far, and the groups that they make."""
-            found = _verified(pairs.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), signed, heads, similarity, shingle, keep)
+            each = keep(pairs.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "candidates")
+            found = _verified(each, signed, heads, similarity, shingle, keep)
             linked = keep(found if linked is None else linked.unionByName(found), "links")
             return linked, keep(components(linked, keep=keep), "roots")
 
         alike = keep(signed.groupBy("fp").agg(F.min("node").alias("head")), "fingerprints")
-        equal = signed.join(alike, "fp").select(F.col("node").alias("u"), F.col("head").alias("v"))
+        equal = signed.select("fp", "node").join(alike, "fp").select(F.col("node").alias("u"), F.col("head").alias("v"))
         near = links(alike.select("fp"), radius).join(alike.select(F.col("fp").alias("u"), F.col("head").alias("a")), "u").join(alike.select(F.col("fp").alias("v"), F.col("head").alias("b")), "v")
         linked, roots = grown(None, equal.unionByName(near.select(F.col("a").alias("u"), F.col("b").alias("v"))))
 
@@ -273,16 +289,17 @@ def repeated_documents(docs: DataFrame, similarity: float = 0.8, shingle: int =
         enough = _overlap(similarity, F.col("size"), F.col("other"))
         fits = (F.least("size", "other") >= F.lit(similarity - 1e-9) * F.greatest("size", "other")) & (F.col("size") - F.col("pos") >= enough) & (F.col("other") - F.col("place") >= enough)
         other = {"node": "v", "size": "other", "pos": "place", "label": "its"}
-        for star in (True, False):
-            now = shared.join(roots, "node", "left").select("token", "node", "size", "pos", F.coalesce("root", "node").alias("label"))
-            mixed = now.groupBy("token").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("token")
-            now = keep(now.join(mixed, "token"), "mixed")
-            if star:
-                centre = now.groupBy("token").agg(F.min(F.struct("pos", "node", "size", "label")).alias("c")).select("token", *(F.col(f"c.{a}").alias(b) for a, b in other.items()))
-                met = now.join(centre, "token").where("label <> its")
-            else:
-                met = now.join(now.withColumnsRenamed(other), "token").where("label < its")
-            linked, roots = grown(linked, met.where(fits).select(F.col("node").alias("u"), "v"))
+
+        def labelled() -> DataFrame:
+            return shared.join(roots, "node", "left").select("token", "node", "size", "pos", F.coalesce("root", "node").alias("label"))
+
+        now = labelled()
+        centre = now.groupBy("token").agg(F.min(F.struct("pos", "node", "size", "label")).alias("c")).select("token", *(F.col(f"c.{a}").alias(b) for a, b in other.items()))
+        linked, roots = grown(linked, now.join(centre, "token").where("label <> its").where(fits).select(F.col("node").alias("u"), "v"))
+        now = labelled()
+        mixed = now.groupBy("token").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("token")
+        rest = keep(now.join(mixed, "token"), "mixed")
+        linked, roots = grown(linked, rest.join(rest.withColumnsRenamed(other), "token").where("label < its").where(fits).select(F.col("node").alias("u"), "v"))
         named = nodes.join(roots, "node", "left").select("same", F.coalesce("root", "node").alias("first"))
         return materialize(prints.join(named, "same").where("doc_id <> first").select("doc_id").distinct(), "repeated")
 
