@@ -209,6 +209,59 @@ def test_quality_held_out(spark, tmp_path):
     assert accuracy(result, rows, 1) > 0.97
 
 
+def plain_statistics(text):
+    """The statistics by their definition."""
+    t = text or ""
+    n, words, lines = len(t), re.split(r"[\x20\x09-\x0D]+", t), t.split("\n")
+    share = lambda a, b: a / b if b else 0.0
+    holds = lambda characters: share(sum(c in characters for c in t), n)
+    return {
+        "log_chars": np.log1p(n), "log_words": np.log1p(len(words)), "word_length": share(n, len(words)), "upper": holds("ABCDEFGHIJKLMNOPQRSTUVWXYZÄÖÜÉÈÊÀÇÑ"), "symbols": holds(quality.SYMBOLS),
+        "stops": holds(".,;:?"), "digits": holds("0123456789"), "distinct_words": share(len(set(words)), len(words)), "distinct_lines": share(len(set(lines)), len(lines)),
+        "line_length": np.log1p(share(n, len(lines))), "exclaims": share(2 * t.count("!!"), n), "bars": share(3 * t.count(" | "), n),
+    }
+
+
+def test_quality_equals_brute_force(spark, tmp_path):
+    """Statistics, rules and scores computed row by row from the fitted model."""
+    sf, _ = labelled(spark, tmp_path)
+    rng = random.Random(3)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").unionByName(documents(spark, ["A | b!!! | C\n\nA", prose(rng, 60_000), "same", "same"], [9001, 9002, 9003, 9003]).withColumnRenamed("lang", "label").withColumnRenamed("source", "score"))
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    stats = docs.select("doc_id", *(c.cast("double").alias(k) for k, c in quality.statistics(F.col("text")).items()))
+    model = quality.fit(stats, labels)
+    assert model.rules
+    texts = {}
+    for r in docs.collect():
+        texts.setdefault(r.doc_id, []).append(r.text)
+    rows = quality.score(docs, labels).collect()
+    assert len(rows) == docs.count()
+    for r in rows:
+        for text in texts[r.doc_id][:1]:
+            x = plain_statistics(text)
+            assert np.allclose([r[k] for k in x], list(x.values()), rtol=1e-9), (text or "")[:50]
+            z = model.constant + sum(w for rule, w in model.rules if all(x[n] <= t if at_most else x[n] > t for n, at_most, t in rule)) + sum(w * min(max(x[n], low), high) for n, low, high, w in model.linear)
+            assert abs(r.score - 1 / (1 + np.exp(-z))) < 1e-6
+
+
+def test_toxicity_of_a_long_text(spark, tmp_path):
+    """The score equals that of the features computed here, for long, repeated and null rows."""
+    sf, _ = labelled(spark, tmp_path)
+    rng = random.Random(5)
+    model = toxicity.fit(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"))
+    texts = [prose(rng, 80_000) + " vilest loathsome wretch", "x", "x", None]
+    for r in toxicity.score(documents(spark, texts, [1, 2, 2, None]), model).collect():
+        text = texts[0] if r.doc_id == 1 else "x" if r.doc_id == 2 else None
+        scores = [model.scores.get(t, None) for t in toxicity.TOKEN.findall((text or "").lower())]
+        values = []
+        for t, s in zip(toxicity.TOKEN.findall((text or "").lower()), scores):
+            begun = next((model.scores[f"{t[:n]}-"] for n in toxicity.BEGINNINGS if n < len(t) and f"{t[:n]}-" in model.scores), -model.drift)
+            values.append(begun if s is None else s)
+        found = brute_segments(values) if len(values) < 50 else toxicity.maximal_segments(np.array(values))
+        x = toxicity.document_features(len(values), max((f[2] for f in found), default=0.0), sum(f[2] for f in found), len(found), model)
+        assert abs(r.score - 1 / (1 + np.exp(-(model.weights[0] + np.dot(model.weights[1:], x))))) < 1e-9
+
+
 def test_rules_compile_to_columns(spark):
     model = quality.RuleModel(0.5, [((("a", True, 1.0), ("b", False, 2.0)), 2.0)], [("a", 0.0, 3.0, -1.0)])
     df = spark.createDataFrame([(1.0, 3.0), (5.0, 3.0)], "a double, b double").select(model.probability())

@@ -149,6 +149,17 @@ def test_repeated_documents_links_members_besides_the_first(spark):
     assert [r.doc_id for r in repeated_documents(documents(spark, texts)).collect()] == brute_repeated(texts) == [2]
 
 
+def test_fingerprint_of_a_long_text_and_repeated_rows(spark):
+    """Beyond the number of shingles counted at once; rows that repeat stay, each with its component."""
+    from siltstone.llm.simhash import near_duplicates
+
+    rng = random.Random(17)
+    long = prose(rng, 60_000)
+    assert fingerprint(long) & (2**64 - 1) == brute_fingerprint(long)
+    rows = near_duplicates(documents(spark, [long, long, "a b c d", "a b c d"], [9, 9, 4, 6])).collect()
+    assert sorted((r.doc_id, r.component_id) for r in rows) == [(4, 4), (6, 4), (9, 9), (9, 9)]
+
+
 def test_null_ids_keep_components(spark, tmp_path):
     sf = save(documents(spark, ["a b", "a b", "c d e f"], [None, 7, None]), tmp_path, "documents")
     assert sorted((r.doc_id is None, r.component_id or -1) for r in op2_simhash_components(spark, sf).collect()) == [(False, 7), (True, -1), (True, 7)]

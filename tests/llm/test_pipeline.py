@@ -45,3 +45,29 @@ def test_pipeline_of_nothing(spark, tmp_path):
     sf, _ = corpus(spark, tmp_path)
     save(documents(spark, []), tmp_path, "documents")
     assert corpus_pipeline.run(spark, sf).count() == 0
+
+
+def test_stages_take_any_rows(spark, tmp_path):
+    """Null and repeated doc_ids, columns whose names the operators use themselves, and a large group of near copies."""
+    from pyspark.sql import functions as F
+
+    sf, texts = corpus(spark, tmp_path)
+    rng = random.Random(2)
+    base = prose(rng, 150).split()
+    copies = []
+    for i in range(300):
+        w = list(base)
+        w[rng.randrange(150)] = f"v{i}"
+        copies.append(" ".join(w))
+    extra = documents(spark, [*copies, "null one", "null one", "twice", "twice"], [*range(1000, 1300), None, None, 2000, 2000])
+    clashing = {"base": F.lit(1), "others": F.lit(2), "spans": F.lit("s"), "label": F.lit(3), "node": F.lit(4), "token": F.lit(5), "fp": F.lit(6), "same": F.lit(7), "hash": F.lit(8), "sequence_id": F.lit(9), "n": F.lit(10)}
+    docs = spark.read.parquet(f"{sf}/documents.parquet").unionByName(extra).withColumns(clashing)
+    before = docs.count()
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs, columns = materialize(stage(spark, docs, sf), name), docs.columns
+        assert docs.columns == columns, name
+        assert docs.where("base = 1 AND others = 2 AND spans = 's' AND label = 3 AND n = 10").count() == docs.count() < before
+    ids = [r.doc_id for r in docs.select("doc_id").collect()]
+    assert [i for i in ids if i is not None and 1000 <= i < 1300] == [1000]
+    assert ids.count(None) == 2 and ids.count(2000) == 2  # rows with a null doc_id stay; equal ids share their fate
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).select("doc_id").distinct().count() == len(set(ids))

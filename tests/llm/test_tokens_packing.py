@@ -178,3 +178,10 @@ def test_token_files_of_one_task_continue_one_another(spark, tmp_path):
         os.remove(f)
     rows = sorted((r.doc_id, r.start, r.n_tokens) for r in read_token_files(spark, path).collect())
     assert all(a[1] + a[2] == b[1] for a, b in pairwise(rows)) and rows[0][1] == 0
+
+
+def test_columns_of_the_operators_own_names(spark, tmp_path):
+    df = documents(spark, ["a b", None, "c"]).withColumnRenamed("lang", "length").withColumnRenamed("source", "bucket").withColumnRenamed("n_chars", "rank")
+    sf = save(df, tmp_path, "documents")
+    assert sorted((r.doc_id, r.piece, r.start, r.length) for r in op7_best_fit_packing(spark, sf).collect()) == [(0, 0, 0, 3), (1, 0, 0, 1), (2, 0, 0, 2)]
+    assert sorted((r.doc_id, r.n_tokens) for r in op8_token_files(spark, sf).collect()) == [(0, 3), (1, 1), (2, 2)]
