@@ -99,6 +99,8 @@ def components(edges: DataFrame, most_rounds: int = 60, keep=materialize) -> Dat
 
     Alternating large and small stars: each round is aggregations and joins on nodes, written by `keep`. Hot nodes are never gathered: minima combine before the shuffle, and joins can be split.
     """
+    if edges.isEmpty():
+        return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     now = keep(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     seen = None
     for _ in range(most_rounds):
@@ -271,35 +273,35 @@ def repeated_documents(docs: DataFrame, similarity: float = 0.8, shingle: int =
         heads = _rows_of(known, keep(nodes.select(F.col("node").alias("doc_id")).distinct(), "heads"), keep)
         signed = keep(_signatures(heads, similarity, shingle), "signatures")
 
-        def grown(linked: DataFrame | None, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        def grown(pairs: DataFrame, linked: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
             """All links so far, and the groups that they make."""
             each = keep(pairs.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "candidates")
             found = _verified(each, signed, heads, similarity, shingle, keep)
             linked = keep(found if linked is None else linked.unionByName(found), "links")
             return linked, keep(components(linked, keep=keep), "roots")
 
+        # candidates by fingerprint: a star for each, and stars of near ones
         alike = keep(signed.groupBy("fp").agg(F.min("node").alias("head")), "fingerprints")
         equal = signed.select("fp", "node").join(alike, "fp").select(F.col("node").alias("u"), F.col("head").alias("v"))
         near = links(alike.select("fp"), radius).join(alike.select(F.col("fp").alias("u"), F.col("head").alias("a")), "u").join(alike.select(F.col("fp").alias("v"), F.col("head").alias("b")), "v")
-        linked, roots = grown(None, equal.unionByName(near.select(F.col("a").alias("u"), F.col("b").alias("v"))))
+        by_print = equal.unionByName(near.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
+        # candidates by shingle: a star for each shared one
         tokens = signed.select("node", "size", F.posexplode("prefix").alias("pos", "token"))
         several = tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token")
         shared = keep(tokens.join(several, "token"), "shared")
         enough = _overlap(similarity, F.col("size"), F.col("other"))
         fits = (F.least("size", "other") >= F.lit(similarity - 1e-9) * F.greatest("size", "other")) & (F.col("size") - F.col("pos") >= enough) & (F.col("other") - F.col("place") >= enough)
-        other = {"node": "v", "size": "other", "pos": "place", "label": "its"}
+        other = {"node": "v", "size": "other", "pos": "place"}
+        centre = shared.groupBy("token").agg(F.min(F.struct("pos", "node", "size")).alias("c")).select("token", *(F.col(f"c.{a}").alias(b) for a, b in other.items()))
+        linked, roots = grown(by_print.unionByName(shared.join(centre, "token").where(fits).select(F.col("node").alias("u"), "v")))
 
-        def labelled() -> DataFrame:
-            return shared.join(roots, "node", "left").select("token", "node", "size", "pos", F.coalesce("root", "node").alias("label"))
-
-        now = labelled()
-        centre = now.groupBy("token").agg(F.min(F.struct("pos", "node", "size", "label")).alias("c")).select("token", *(F.col(f"c.{a}").alias(b) for a, b in other.items()))
-        linked, roots = grown(linked, now.join(centre, "token").where("label <> its").where(fits).select(F.col("node").alias("u"), "v"))
-        now = labelled()
+        # all pairs of a shingle that are not in one group by now
+        now = shared.join(roots, "node", "left").select("token", "node", "size", "pos", F.coalesce("root", "node").alias("label"))
         mixed = now.groupBy("token").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("token")
         rest = keep(now.join(mixed, "token"), "mixed")
-        linked, roots = grown(linked, rest.join(rest.withColumnsRenamed(other), "token").where("label < its").where(fits).select(F.col("node").alias("u"), "v"))
+        pairs = rest.join(rest.withColumnsRenamed({**other, "label": "its"}), "token").where("label < its").where(fits)
+        linked, roots = grown(pairs.select(F.col("node").alias("u"), "v"), linked)
         named = nodes.join(roots, "node", "left").select("same", F.coalesce("root", "node").alias("first"))
         return materialize(prints.join(named, "same").where("doc_id <> first").select("doc_id").distinct(), "repeated")
 
