@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from .windows import NONE, Block, Cut, Plan, hot_windows, no_segments, prefix_hashes, run, runs, sliding_min, span_hashes
 
 #: Bytes of a minimiser.
-MINIMISER = 32
+MINIMISER = 20
 TWICE = 255
 #: Bytes of text that one index holds, unless strings with one minimiser are more.
 INDEX_BYTES = 1 << 20
@@ -283,7 +283,7 @@ def remove_repeated_strings(docs: DataFrame, width: int = 200, keep_text: bool =
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (, kept: the remaining bytes) of every row of docs.
 
     A byte goes if a string of `width` bytes that covers it starts anywhere else too, in this document or another.
-    Strings with the same minimiser (the least hash of 32 bytes) meet in one part; copies of a segment are counted, and
+    Strings with the same minimiser (the least hash of 20 bytes) meet in one part; copies of a segment are counted, and
     for different segments with one minimiser the part builds a run-length index, streams matching statistics, and marks
     matches of `width` bytes or more. Copies would add no runs to the transform, so they enter it as one string with a count.
     Windows with a hot minimiser travel and are compared one by one. See windows.run() for the way there and back.
