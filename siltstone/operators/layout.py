@@ -22,9 +22,20 @@ def sample_rows(df: DataFrame, n: int, key: str, seed: int) -> DataFrame:
 
 def min_max_scaled(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
     """A column cScaled from 0 to 1 within each group for each c; 0 where all values are equal."""
-    w = Window.partitionBy(*keys)
-    low, high = (lambda c: F.min(c).over(w)), (lambda c: F.max(c).over(w))
-    return df.withColumns({f"{c}Scaled": F.coalesce(F.try_divide((F.col(c) - low(c)).cast("double"), (high(c) - low(c)).cast("double")), F.lit(0.0)) for c in columns})
+    bounds = df.groupBy(*(F.col(k).alias(f"__{k}") for k in keys)).agg(*(F.struct(F.min(c).alias("low"), F.max(c).alias("high")).alias(f"__bounds_{c}") for c in columns))
+    if keys:
+        same = F.lit(True)
+        for k in keys:
+            same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+        joined = df.join(bounds, same)
+    else:
+        joined = df.crossJoin(F.broadcast(bounds))  # one row
+
+    def scaled(c: str) -> Column:
+        low, high = F.col(f"__bounds_{c}.low"), F.col(f"__bounds_{c}.high")
+        return F.coalesce(F.try_divide((F.col(c) - low).cast("double"), (high - low).cast("double")), F.lit(0.0))
+
+    return joined.select(*(F.col(f"`{c}`") for c in df.columns), *(scaled(c).alias(f"{c}Scaled") for c in columns))
 
 
 def cardinality(df: DataFrame, columns: Sequence[str] | None = None, approximate: bool = False) -> DataFrame:
@@ -68,6 +79,18 @@ def commands(scores: DataFrame, sizes: DataFrame) -> DataFrame:
     )
 
 
+def run_commands(runner, tables: DataFrame, kinds: Sequence[str] = ("optimize", "properties", "analyze"), most: int = 4) -> list[dict]:
+    """Run the statements that commands() gave (a row a table), table by table in order of kind, `most` tables at once; the
+    status of each. A statement that fails stops those of its table alone."""
+    from ..sources.paged import in_parallel, run_script
+
+    def work(row) -> list[dict]:
+        return [{"table_name": row["table_name"], **x} for x in run_script(runner, ";\n".join(row[k] for k in kinds if row[k]))]
+
+    rows = tables.orderBy("table_name").collect()
+    return [x for r in in_parallel(rows, work, most) for x in r]
+
+
 def z_value(columns: Sequence[Column], bits: int = 10) -> Column:
     """Interleaved bits of columns that hold bucket numbers from 0 to 2^bits - 1."""
     out = F.lit(0).cast("long")

@@ -11,6 +11,7 @@ from ..operators.runlog import RunLog
 from ..registry import query
 from ..session import load, views
 from ..sources import files, paged
+from ..sources.catalog import describe
 from .pipelines import _folder
 
 # --- tables ---------------------------------------------------------------------------------------------------------
@@ -188,3 +189,38 @@ def file_size_bands(spark, folder):
 @query("SELECT event_id, user_id FROM events ORDER BY md5('7:' || CAST(event_id AS VARCHAR)), event_id LIMIT 100")
 def seeded_sample(spark, folder):
     return layout.sample_rows(load(spark, folder, "events").select("event_id", "user_id"), 100, "event_id", 7)
+
+
+@query("""SELECT o_orderkey, o_orderstatus, CASE WHEN year(o_orderdate) >= 1998 THEN o_orderpriority END AS o_orderpriority FROM orders""")
+def csv_merge_schema(spark, folder):
+    """Two folders of delimited files into one table; the second one has a column more."""
+    at = _folder(spark)
+    orders = load(spark, folder, "orders")
+    old, new = orders.where("year(o_orderdate) < 1998").select("o_orderkey", "o_orderstatus"), orders.where("year(o_orderdate) >= 1998").select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    for name, part in (("a", old), ("b", new)):
+        part.write.option("header", "true").csv(f"{at}/{name}")
+        files.copy_into(spark, f"{at}/{name}", f"{at}/t", "csv", schema=part.schema, merge_schema=True, header=True)
+    return files.loaded(spark, f"{at}/t").select("o_orderkey", "o_orderstatus", "o_orderpriority")
+
+
+@query("SELECT o_orderstatus, count(*) AS n, (SELECT count(*) FROM orders) AS known_rows FROM orders GROUP BY 1")
+def create_as_select(spark, folder):
+    """A table made from a query, made anew by another one, and its row count from ANALYZE."""
+    name, at = f"siltstone_{uuid.uuid4().hex}", _folder(spark)
+    views(spark, folder, "orders")
+    spark.sql(f"CREATE TABLE {name} USING parquet LOCATION '{at}/a' AS SELECT o_orderkey FROM orders")
+    spark.sql(f"DROP TABLE {name}")
+    spark.sql(f"CREATE TABLE {name} USING parquet LOCATION '{at}/b' AS SELECT o_orderkey, o_orderstatus FROM orders")
+    spark.sql(f"ANALYZE TABLE {name} COMPUTE STATISTICS")
+    known = int(describe(spark, name)["Statistics"].split(", ")[1].split(" ")[0])
+    return spark.table(name).groupBy("o_orderstatus").agg(F.count("*").alias("n")).withColumn("known_rows", F.lit(known).cast("long"))
+
+
+@query("SELECT 'part-' AS kind, 3 AS files, true AS has_bytes")
+def folder_listing(spark, folder):
+    """The files of a folder, without reading them."""
+    at = _folder(spark)
+    for i in range(3):
+        load(spark, folder, "nation").coalesce(1).write.mode("append").parquet(f"{at}/sub/k={i}")
+    found = files.listing(spark, at, "*.parquet")
+    return found.groupBy(F.substring("file_name", 1, 5).alias("kind")).agg(F.count("*").cast("int").alias("files"), F.min(F.col("file_size") > 0).alias("has_bytes"))

@@ -257,3 +257,32 @@ def graph_from_documents(spark, folder):
 def graph_node_metadata(spark, folder):
     nodes = load(spark, folder, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("id"), F.lit("nation").alias("type"), F.col("n_name").alias("raw"))
     return graph.node_metadata(nodes, "n7")
+
+
+@query("SELECT event_type, count(*) AS n FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 36 HOUR GROUP BY 1")
+def relative_time(spark, folder):
+    """Rows of the last 36 hours before a given now, which is a parameter."""
+    events = load(spark, folder, "events")
+    now = events.agg(F.max("ts")).first()[0]
+    return events.where(F.col("ts") >= F.lit(now) - F.expr("INTERVAL 36 HOURS")).groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT p_size, n, round(sum(n) OVER (ORDER BY n DESC) / CAST(sum(n) OVER () AS DOUBLE), 6) AS peers_share FROM (SELECT p_size, count(*) AS n FROM part GROUP BY 1) x""")
+def cumulative_share_with_peers(spark, folder):
+    """Rows with equal values share their cumulative value."""
+    sizes = load(spark, folder, "part").groupBy("p_size").agg(F.count("*").alias("n"))
+    return costs.pareto(sizes.withColumn("all", F.lit(1)), "n", "all").select("p_size", "n", F.round("cumulative", 6).alias("peers_share"))
+
+
+@query("SELECT p_partkey, r_name AS name FROM part JOIN (VALUES ('STEEL'), ('brass'), ('Copper')) v(r_name) ON contains(lower(p_type), lower(r_name))")
+def text_mentions(spark, folder):
+    names = spark.createDataFrame([("STEEL",), ("brass",), ("Copper",)], "name string")
+    return profile.mentions(load(spark, folder, "part").select("p_partkey", F.col("p_type").alias("text")), names).select("p_partkey", "name")
+
+
+@query("""SELECT table_name, optimize, properties FROM (VALUES ('events', 'OPTIMIZE events', 'ALTER TABLE events SET TBLPROPERTIES (''target_file_size_mb'' = ''16'')'), ('orders', 'OPTIMIZE orders ZORDER BY (o_orderkey, o_custkey)', 'ALTER TABLE orders SET TBLPROPERTIES (''target_file_size_mb'' = ''716'')')) v(table_name, optimize, properties)""")
+def layout_commands(spark, folder):
+    """Statements for chosen columns and for sizes; a table without chosen columns is only compacted."""
+    scores = spark.createDataFrame([("orders", "o_custkey", 2, True), ("orders", "o_orderkey", 1, True), ("orders", "o_orderstatus", 3, False), ("events", "ts", 1, False)], "table_name string, column_name string, rank long, chosen boolean")
+    sizes = spark.createDataFrame([("orders", 3000 * layout.GB), ("events", layout.GB)], "table_name string, size_bytes long")
+    return layout.commands(scores, sizes).select("table_name", "optimize", "properties")

@@ -216,3 +216,23 @@ def test_shared_folder_is_needed_on_a_cluster():
         session.shared_folder(Spark("local-cluster[2,1,1024]"))
     assert session.shared_folder(Spark("yarn", **{"spark.checkpoint.dir": "hdfs://x/"})) == "hdfs://x"
     assert session.shared_folder(Spark("local[2]")).startswith("file:///")
+
+
+def test_layout_commands_run_by_table(spark):
+    said = []
+
+    class Runner:
+        def sql(self, text):
+            said.append(text)
+            if "bad" in text:
+                raise RuntimeError("no")
+
+    tables = spark.createDataFrame([("a", "OPTIMIZE a", None, "ANALYZE a"), ("b", "OPTIMIZE bad", "ALTER b", "ANALYZE b")], "table_name string, optimize string, properties string, analyze string")
+    out = [(x["table_name"], x["statement"], x["status"]) for x in layout.run_commands(Runner(), tables)]
+    assert out == [("a", "OPTIMIZE a", "SUCCEEDED"), ("a", "ANALYZE a", "SUCCEEDED"), ("b", "OPTIMIZE bad", "FAILED")] and "ALTER b" not in said
+
+
+def test_scaling_by_group(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", 5.0), (None, 2.0), (None, 4.0)], "g string, v double")
+    assert rows(layout.min_max_scaled(df, ["v"], ["g"])) == [("a", 1.0, 0.0), ("a", 3.0, 1.0), ("b", 5.0, 0.0), (None, 2.0, 0.0), (None, 4.0, 1.0)]
+    assert rows(layout.min_max_scaled(df.where("g = 'b'"), ["v"])) == [("b", 5.0, 0.0)]
