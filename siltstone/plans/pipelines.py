@@ -98,12 +98,20 @@ def stream_ingest_merge(spark, folder):
 
 @query("""SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS window_end, event_type, count(*) AS n FROM events GROUP BY ALL""")
 def stream_watermark_window(spark, folder):
+    """Windows of a stream that arrives in the order of time, each written once when the watermark has passed it and then
+    forgotten; a closing event, three hours after the last one, lets the last windows end."""
     at = _folder(spark)
-    stream, events = _event_files(spark, folder, at)
+    events = streams.timed(load(spark, folder, "events")).select("ts", "event_type")
+    cuts = [None, *events.agg(F.percentile_approx("ts", [0.33, 0.67])).first()[0], None]
+    for low, high in zip(cuts[:-1], cuts[1:]):
+        part = events.where((F.col("ts") > F.lit(low)) if low else F.lit(True)).where((F.col("ts") <= F.lit(high)) if high else F.lit(True))
+        part.coalesce(1).write.mode("append").parquet(f"{at}/in")
+    closing = events.agg((F.max("ts") + F.expr("INTERVAL 3 HOURS")).alias("ts")).select("ts", F.lit("closing").alias("event_type"))
+    closing.write.mode("append").parquet(f"{at}/in")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", "1").parquet(f"{at}/in")
     counted = streams.windowed(stream, "ts", "10 minutes", "1 hour", {"n": F.count("*")}, ["event_type"])
-    t = Snapshots(spark, f"{at}/t")
-    streams.drain(counted, f"{at}/c", each=lambda batch, i: t.write(batch), mode="complete")
-    return t.read()
+    streams.drain(counted, f"{at}/c", f"{at}/out")
+    return spark.read.schema(counted.schema).parquet(f"{at}/out")
 
 
 @query("""SELECT min(ts) AS session_start, max(ts) + INTERVAL 6 HOUR AS session_end, user_id, count(*) AS n FROM (SELECT *, sum(gap) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM
