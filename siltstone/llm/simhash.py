@@ -234,7 +234,7 @@ def _verified(pairs: DataFrame, signatures: DataFrame, heads: DataFrame, similar
     Sets whose sketches differ in d bits differ in d shingles at least, so most pairs need no look at their sets. A sketch
     of twice the bits folds into one of the other's: its halves hold what the shorter one's values hold together.
     """
-    named = keep(pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct(), "named")
+    named = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
     own = _rows_of(signatures.select(F.col("node").alias("doc_id"), "size", "sketch"), named, keep).withColumnRenamed("doc_id", "node")
     both = pairs.join(own.withColumnsRenamed({"node": "u", "size": "m", "sketch": "x"}), "u").join(own.withColumnsRenamed({"node": "v", "size": "n", "sketch": "y"}), "v")
     half = F.size("x") / 2
@@ -244,7 +244,7 @@ def _verified(pairs: DataFrame, signatures: DataFrame, heads: DataFrame, similar
     apart = F.aggregate(F.zip_with(F.when(F.size("x") > F.size("y"), folded).otherwise(F.col("x")), "y", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
     both = both.where(F.least("m", "n") >= F.lit(similarity - 1e-9) * F.greatest("m", "n"))
     asked = keep(both.where(apart <= F.col("m") + F.col("n") - 2 * _overlap(similarity, F.col("m"), F.col("n"))).select("u", "v"), "pairs")
-    nodes = keep(asked.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct(), "asked")
+    nodes = asked.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
     sets = keep(shingle_sets(_rows_of(heads, nodes, keep), shingle), "shingles")
     met = asked.join(sets.select(F.col("doc_id").alias("u"), F.col("shingles").alias("x")), "u").join(sets.select(F.col("doc_id").alias("v"), F.col("shingles").alias("y")), "v")
     common = F.size(F.array_intersect("x", "y"))
@@ -270,7 +270,7 @@ def repeated_documents(docs: DataFrame, similarity: float = 0.8, shingle: int =
         prints = keep(_digests(known), "prints")
         nodes = keep(prints.groupBy("same").agg(F.min("doc_id").alias("node")), "nodes")
         # a doc_id with several texts stands for all of them
-        heads = _rows_of(known, keep(nodes.select(F.col("node").alias("doc_id")).distinct(), "heads"), keep)
+        heads = _rows_of(known, nodes.select(F.col("node").alias("doc_id")).distinct(), keep)
         signed = keep(_signatures(heads, similarity, shingle), "signatures")
 
         def grown(pairs: DataFrame, linked: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
