@@ -90,6 +90,9 @@ class Index:
         All rows walk at once: in each step a row opens the WIDE nearest centroids that it has seen and not opened, and
         looks at those of their neighbours that it has not seen. It ends when `beam` seen ones are nearer than all others.
         """
+        if len(x) > ROWS:  # a step holds a copy of a vector for each neighbour looked at
+            parts = [self.nearest(x[a : a + ROWS], k, beam) for a in range(0, len(x), ROWS)]
+            return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
         n, c = len(x), len(self.centroids)
         k, beam = min(k, c), min(max(beam, k), c)
         norms = (self.centroids**2).sum(1)
