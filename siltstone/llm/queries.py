@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .ann import op9_nearest
+from .bpe import op11_bpe_round_trip
 from .decontaminate import op10_decontamination
 from .packing import op7_best_fit_packing
 from .pii import op5_personal_data
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_token_files": op8_token_files,
     "op9_nearest": op9_nearest,
     "op10_decontamination": op10_decontamination,
+    "op11_bpe_round_trip": op11_bpe_round_trip,
 }
 
 SQL: dict[str, str] = {
