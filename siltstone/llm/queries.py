@@ -5,6 +5,7 @@ from __future__ import annotations
 from .ann import op9_nearest
 from .bpe import op11_bpe_round_trip
 from .collocations import OP13_SQL, op13_collocations
+from .conversations import OP12_SQL, op12_conversation_repair
 from .decontaminate import op10_decontamination
 from .packing import op7_best_fit_packing
 from .pii import op5_personal_data
@@ -27,10 +28,12 @@ QUERIES = {
     "op9_nearest": op9_nearest,
     "op10_decontamination": op10_decontamination,
     "op11_bpe_round_trip": op11_bpe_round_trip,
+    "op12_conversation_repair": op12_conversation_repair,
     "op13_collocations": op13_collocations,
 }
 
 SQL: dict[str, str] = {
+    "op12_conversation_repair": OP12_SQL,
     "op13_collocations": OP13_SQL,
     "op1_substring_dedup": r"""
 WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
