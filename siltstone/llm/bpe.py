@@ -9,12 +9,14 @@ when first met, in tables of bounded size, so memory is constant however long a
 from __future__ import annotations
 
 import codecs
+import hashlib
 import json
 import re
 from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,12 +41,23 @@ def _byte_of_sign() -> dict[str, int]:
     return {chr(BYTE_SIGNS.get(b, b)): b for b in range(256)}
 
 
+def _read(path: str) -> dict:
+    with open(path, encoding="utf-8") as f:
+        return json.load(f)
+
+
+def token_bytes(spec: dict) -> dict[int, bytes]:
+    """The bytes that each id of a byte-level tokenizer file stands for."""
+    sign = _byte_of_sign()
+    named = [*spec["model"]["vocab"].items(), *((t["content"], t["id"]) for t in spec["added_tokens"])]
+    return {i: bytes(map(sign.__getitem__, t)) if all(c in sign for c in t) else t.encode() for t, i in named}
+
+
 class MergeList:
     """The rules of a byte-level BPE file: which tokens there are, what they are made of, and when (the rule's rank)."""
 
     def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+        spec = _read(path)
         model, pre = spec["model"], spec.get("pre_tokenizer") or {}
         if model.get("type") != "BPE" or any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges", "byte_fallback")):
             raise ValueError("a plain byte-level BPE file is needed")
@@ -54,7 +67,7 @@ class MergeList:
         if any(t[k] for t in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized")):
             raise ValueError("added tokens with rules of their own are not supported")
         sign, vocab = _byte_of_sign(), model["vocab"]
-        self.bytes_of = {i: bytes(sign[c] for c in t) if all(c in sign for c in t) else t.encode() for t, i in [*vocab.items(), *self.added.items()]}
+        self.bytes_of = token_bytes(spec)
         #: Two neighbouring tokens -> (rank, the token that they become).
         self.rules: dict[tuple[int, int], tuple[int, int]] = {}
         self.made, self.parts = {vocab[c]: -1 for c in sign}, {}
@@ -233,8 +246,8 @@ class Encoder:
     library takes them for: it is asked once for each character met, as Unicode versions differ.
     """
 
-    def __init__(self, path: str, cached_words: int = 300_000):
-        from tokenizers import Tokenizer
+    def __init__(self, path: str, cached_words: int = 150_000):
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.merges = MergeList(path)
         self.transducer = Transducer(self.merges)
@@ -242,7 +255,7 @@ class Encoder:
         names = sorted(self.merges.added, key=len, reverse=True)
         self.added = re.compile("|".join(map(re.escape, names))) if names else None
         self.starts = {x[:i] for x in names for i in range(1, len(x))}
-        self.parts = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
+        self.parts = ByteLevel(add_prefix_space=False).pre_tokenize_str
         self.seen, self.odd = {chr(i) for i in range(128)}, {}
 
     def _word(self, word: str) -> bytes:
@@ -403,39 +416,69 @@ def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
 
 
-def decode(encoded: DataFrame, tokenizer: str, portion: int = PIECE) -> DataFrame:
+def worker_table(path: str) -> dict[int, bytes]:
+    if path not in _TABLES:
+        _TABLES[path] = token_bytes(_read(path))
+    return _TABLES[path]
+
+
+def portions(table: dict[int, bytes], ids: list[int], size: int = PIECE) -> Iterator[str]:
+    """The text of some ids, portion by portion."""
+    machine = Decoder(table)
+    for i in range(0, len(ids), size):
+        yield machine.feed(ids[i : i + size], i + size >= len(ids))
+
+
+def _by_ids(batch: pa.RecordBatch, limit: int = 1 << 18) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch that hold about `limit` ids each."""
+    first, held = 0, 0
+    for i, n in enumerate(pc.fill_null(pc.list_value_length(batch.column("ids")), 0).to_pylist()):
+        held += n
+        if held >= limit:
+            yield batch.slice(first, i + 1 - first)
+            first, held = i + 1, 0
+    if first < batch.num_rows:
+        yield batch.slice(first)
+
+
+def decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
     """The table with the text of its column ids in place of this column; other columns stay. Null ids give empty text."""
     others = [c for c in encoded.columns if c != "ids"]
     schema = T.StructType([*(encoded.schema[c] for c in others), T.StructField("text", T.StringType())])
 
-    def text_of(table: dict[int, bytes], ids: list[int]) -> str:
-        machine = Decoder(table)
-        return "".join([machine.feed(ids[i : i + portion], i + portion >= len(ids)) for i in range(0, len(ids), portion)])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if tokenizer not in _TABLES:
-            _TABLES[tokenizer] = MergeList(tokenizer).bytes_of
-        table = _TABLES[tokenizer]
+        table = worker_table(tokenizer)
         for batch in batches:
-            first, held = 0, 0
-            sizes = [*(len(x) if x.is_valid else 0 for x in batch.column("ids")), 0]
-            for i, size in enumerate(sizes):
-                held += size
-                if i == batch.num_rows or held >= 1 << 18:
-                    stop = min(i + 1, batch.num_rows)
-                    part = batch.slice(first, stop - first)
-                    if part.num_rows:
-                        texts = [text_of(table, ids or []) for ids in part.column("ids").to_pylist()]
-                        yield pa.RecordBatch.from_arrays([*(part.column(c) for c in others), pa.array(texts, pa.string())], names=[*others, "text"])
-                    first, held = stop, 0
+            for part in _by_ids(batch):
+                texts = ["".join(portions(table, ids or [])) for ids in part.column("ids").to_pylist()]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in others), pa.array(texts, pa.string())], names=[*others, "text"])
 
     return encoded.select(*others, "ids").mapInArrow(run, schema)
 
 
+def round_trip_digest(encoded: DataFrame, tokenizer: str) -> DataFrame:
+    """doc_id, n_tokens and SHA-256 digests of the decimal ids, joined by commas, and of the text that they decode to."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = worker_table(tokenizer)
+        for batch in batches:
+            for part in _by_ids(batch):
+                out = []
+                for ids in part.column("ids").to_pylist():
+                    text, listed = hashlib.sha256(), hashlib.sha256()
+                    for portion in portions(table, ids):
+                        text.update(portion.encode())
+                    for i in range(0, len(ids), PIECE):
+                        listed.update((b"," if i else b"") + ",".join(map(str, ids[i : i + PIECE])).encode())
+                    out.append((len(ids), listed.hexdigest(), text.hexdigest()))
+                n, listed, text = zip(*out)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(listed), pa.array(text)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
 def op11_bpe_round_trip(spark, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     import public_tokenizers
 
     tokenizer = tokenizer or public_tokenizers.path("byte_bpe_50k.json")
-    encoded = encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizer)
-    digest = encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"), "ids")
-    return decode(digest, tokenizer).select("doc_id", "n_tokens", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"))
+    return round_trip_digest(encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizer), tokenizer)
