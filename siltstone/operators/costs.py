@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
 from .dedup import latest
 
 
@@ -50,17 +51,16 @@ def trend_alert(df: DataFrame, value: str, order: Sequence[str], keys: Sequence[
 def pareto(df: DataFrame, value: str, name: str, cutoff: float = 0.8) -> DataFrame:
     """Share, cumulative share from the largest on, and whether a row is among those that make up the cutoff.
 
-    Rows are dealt out by ranges of value; running sums within a range go on from the sums of the ranges before it, a row
-    for each range. So no task gets all rows. Rows with equal value and name count together, as peers do.
+    Rows are dealt out by ranges of value and written once; running sums within a range go on from the sums of the ranges
+    before it, a row for each range, both from what was written. So no task gets all rows, and sums and rows agree on the
+    ranges. Rows with equal value and name count together, as peers do.
     """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # a fixed number: the ranges must be the same for their sums and for their rows
-    ranged = df.repartitionByRange(n, F.desc(value), F.col(name)).withColumn("__range", F.spark_partition_id())
+    ranged = written(df.repartitionByRange(F.desc(value), F.col(name)).withColumn("__range", F.spark_partition_id()), "ranged")
     sums = ranged.groupBy("__range").agg(F.sum(value).alias("__sum"))
     w = Window.orderBy("__range")
     ahead = sums.select("__range", F.coalesce(F.sum("__sum").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__ahead"), F.sum("__sum").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("__total"))
     running = F.sum(value).over(Window.partitionBy("__range").orderBy(F.desc(value), name)) + F.col("__ahead")
-    # one row for each of n ranges
+    # one row for each range
     out = ranged.join(F.broadcast(ahead), "__range").withColumn("share", F.col(value) / F.col("__total")).withColumn("cumulative", running / F.col("__total"))
     return out.withColumn("vital", F.col("cumulative") - F.col("share") < cutoff).drop("__range", "__ahead", "__total")
 

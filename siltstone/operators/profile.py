@@ -54,9 +54,43 @@ def merge_predicates(operations: DataFrame, columns: DataFrame) -> DataFrame:
     return words.join(known, ["table_name", "word"]).groupBy("table_name", "column_name").agg(F.count_distinct("version").alias("writes"), F.avg("duration_ms").alias("mean_ms"))
 
 
-def mentions(text: DataFrame, names: DataFrame, name: str = "name", column: str = "text") -> DataFrame:
-    """Rows whose text contains a name, in any case, with that name; names are few (they are compared with each text)."""
-    return text.join(names, F.contains(F.lower(column), F.lower(name)))
+def _grams(text: Column, size: int) -> Column:
+    """The distinct stretches of `size` characters; one pass over the text."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)))
+
+
+def mentions(text: DataFrame, names: DataFrame, name: str = "name", column: str = "text", size: int = 3, broadcast_names: int = 50_000) -> DataFrame:
+    """Rows whose text contains a name, in any case, with that name's row; a pair for each.
+
+    Each name is looked up by one stretch of `size` characters (shorter names by themselves), the one that fewest names have;
+    texts are cut into such stretches and joined on them, and then the whole name is compared: no row meets a name with which
+    it shares nothing. Up to `broadcast_names` names, which are counted, that happens where the text is read. More of them are
+    joined by shuffles, in which only numbers of rows and stretches travel, and frequent stretches are salted. Null texts and
+    null or empty names match nothing; equal names are found each. Columns of both sides need different names.
+    """
+    from ..session import written
+    from .skew import salted_join
+
+    wanted = names.select(F.lower(name).alias("__name")).where("__name <> ''").distinct()
+    parts = wanted.select("__name", F.least(F.length("__name"), F.lit(size)).alias("__size"))
+    cut = F.coalesce(*(F.when(F.col("__size") == n, _grams(F.col("__name"), n)) for n in range(1, size + 1)))
+    held = parts.select("__name", "__size", F.explode(cut).alias("__gram"))
+    often = held.groupBy("__size", "__gram").agg(F.count("*").alias("__n"))
+    index = held.join(often, ["__size", "__gram"]).groupBy("__name").agg(F.min(F.struct("__n", "__gram", "__size")).alias("g")).select("__name", "g.__gram", "g.__size")
+    index = written(index, "names")
+    sizes = sorted(r[0] for r in index.select("__size").distinct().collect())  # `size` at most
+    few = index.count() <= broadcast_names
+    rows = text if few else written(text.withColumn("__row", F.monotonically_increasing_id()), "texts")
+    lowered = rows.withColumn("__text", F.lower(column)) if few else rows.select("__row", F.lower(column).alias("__text"))
+    marked = lambda n: F.transform(_grams(F.col("__text"), n), lambda g: F.struct(F.lit(n).alias("s"), g.alias("g")))
+    grams = F.flatten(F.array(*map(marked, sizes))) if sizes else F.expr("array(struct(0 AS s, '' AS g))")
+    cut = lowered.withColumn("__g", F.explode(grams)).withColumns({"__size": F.col("__g.s"), "__gram": F.col("__g.g")}).drop("__g")
+    if few:
+        found = cut.join(F.broadcast(index), ["__size", "__gram"]).where(F.contains("__text", "__name"))
+    else:
+        pairs = salted_join(written(cut.drop("__text"), "stretches"), index, ["__size", "__gram"]).select("__row", "__name")
+        found = rows.join(pairs, "__row").where(F.contains(F.lower(column), F.col("__name")))
+    return found.join(names.withColumn("__name", F.lower(name)), "__name").select(*text.columns, *names.columns)
 
 
 def resume_from(history: DataFrame, look_back: timedelta, now: datetime, start: str = "start", status: str = "status") -> datetime:

@@ -9,6 +9,7 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import written
 from .dedup import latest
 
 RUNNING, SUCCESS, FAIL, STALE = "RUNNING", "SUCCESS", "FAIL", "STALE"
@@ -108,10 +109,14 @@ class TempTables:
 
 
 def with_keys(df: DataFrame, column: str, after: int, order: list[str]) -> DataFrame:
-    """New rows numbered from `after` + 1 in a fixed order: counted by range partition, so no task gets all rows."""
-    # a fixed number: the ranges must be the same for their counts and for their rows
-    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(tasks, *order).sortWithinPartitions(*order).withColumns({"__p": F.spark_partition_id(), "__i": F.monotonically_increasing_id()})
+    """New rows numbered from `after` + 1 in a fixed order: counted by range partition, so no task gets all rows.
+
+    The ranged rows are written once and read twice, for their counts and for the rows: two evaluations would take two samples
+    and might draw the ranges differently. Rows that are equal in `order` are numbered in any order.
+    """
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"__p": F.spark_partition_id(), "__i": F.monotonically_increasing_id()})
+    ranged = written(ranged, "ranged")
     n = ranged.groupBy("__p").agg(F.count("*").alias("n"), F.min("__i").alias("first"))
     before = n.select("__p", "first", F.coalesce(F.sum("n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    return ranged.join(before, "__p").withColumn(column, F.col("__i") - F.col("first") + F.col("before") + after + 1).drop("__p", "__i", "first", "before")
+    # one row for each range
+    return ranged.join(F.broadcast(before), "__p").withColumn(column, F.col("__i") - F.col("first") + F.col("before") + after + 1).drop("__p", "__i", "first", "before")

@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
-EMPTY = "␀"
+def row_hash(columns: Sequence[str | Column], bits: int = 256, separator: str | None = "|", nulls: str | None = None) -> Column:
+    """SHA-2 of the columns as text, each behind its length, so only equal rows hash alike; a null counts as no text, which
+    is not the empty one.
 
-
-def row_hash(columns: Sequence[str | Column], bits: int = 256, separator: str | None = "|", nulls: str = EMPTY) -> Column:
-    """SHA-2 of the columns as text. Without a separator, and with "" for nulls, rows such as (ab, c) and (a, bc), or a
-    null and an empty text, hash alike: pass separator=None, nulls="" for hashes that must agree with such."""
-    text = [F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit(nulls)) for c in columns]
+    For hashes that must agree with those of other systems: `nulls` writes nulls as that text and joins plain texts by the
+    separator (None: by nothing). Rows such as (a|b, c) and (a, b|c), or a null and its text, then hash alike.
+    """
+    text = [(F.col(c) if isinstance(c, str) else c).cast("string") for c in columns]
+    if nulls is None:
+        return F.sha2(F.concat(*(F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), c), F.lit("-")) for c in text)), bits)
+    text = [F.coalesce(c, F.lit(nulls)) for c in text]
     return F.sha2(F.concat(*text) if separator is None else F.concat_ws(separator, *text), bits)
 
 
@@ -84,3 +89,61 @@ def expectations(df: DataFrame, rules: dict[str, Column], drop: Sequence[str] =
         kept = kept.where(F.coalesce(rules[name], F.lit(False)))
     counts = df.agg(*(F.count_if(~F.coalesce(c, F.lit(False))).alias(n) for n, c in rules.items()))
     return kept, counts.unpivot([], list(rules), "rule", "violations")
+
+
+ROWS, KEPT = "rows", "kept"
+
+
+def _expected(df: DataFrame, rules: dict[str, Column], drop: Sequence[str], fail: Sequence[str], before: Observation | str, after: Observation | str) -> DataFrame:
+    holds = {n: F.coalesce(c, F.lit(False)) for n, c in rules.items()}
+    out = df.observe(before, F.count(F.lit(1)).alias(ROWS), *(F.count_if(~c).alias(n) for n, c in holds.items()))
+    for name in fail:
+        said = F.concat(F.lit(f"expectation {name} is violated by "), F.to_json(F.struct(*df.columns)))
+        out = out.where(F.when(holds[name], True).otherwise(F.raise_error(said).cast("boolean")))
+    for name in drop:
+        out = out.where(holds[name])
+    return out.observe(after, F.count(F.lit(1)).alias(KEPT))
+
+
+def write_expected(df: DataFrame, rules: dict[str, Column], write: Callable[[DataFrame], None], drop: Sequence[str] = (), fail: Sequence[str] = ()) -> dict[str, int]:
+    """Write rows and count what violates each rule in the same pass: {rule: violations, rows: all, kept: written}.
+
+    A null condition is a violation. Rows that violate a rule in `drop` aren't written; one that violates a rule in `fail`
+    ends the job, and Spark's committer leaves nothing of it; other rules are only counted. `write` must write the frame
+    that it gets, once. Violations are counted before anything is dropped, so rules don't hide one another.
+    """
+    if {ROWS, KEPT} & set(rules):
+        raise ValueError(f"{ROWS} and {KEPT} are counts of their own")
+    before, after = Observation(), Observation()
+    write(_expected(df, rules, drop, fail, before, after))
+    return {**before.get, **after.get}
+
+
+def expected_stream(df: DataFrame, rules: dict[str, Column], name: str, drop: Sequence[str] = (), fail: Sequence[str] = ()) -> DataFrame:
+    """The same for a stream; counts of each micro-batch come with its progress, see ExpectationLog."""
+    if {ROWS, KEPT} & set(rules):
+        raise ValueError(f"{ROWS} and {KEPT} are counts of their own")
+    return _expected(df, rules, drop, fail, name, f"{name}_{KEPT}")
+
+
+class ExpectationLog(StreamingQueryListener):
+    """Counts of streams' expectations as rows (name, batch_id, rule, violations): kept here, or handed to `sink`."""
+
+    def __init__(self, sink: Callable[[dict], None] | None = None):
+        self.rows: list[dict] = []
+        self.sink = sink or self.rows.append
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        for name, counts in (p.observedMetrics or {}).items():
+            for rule, n in counts.asDict().items():
+                self.sink({"name": name.removesuffix(f"_{KEPT}"), "batch_id": p.batchId, "rule": rule, "violations": n})
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass

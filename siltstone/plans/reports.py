@@ -274,10 +274,11 @@ def cumulative_share_with_peers(spark, folder):
     return costs.pareto(sizes.withColumn("all", F.lit(1)), "n", "all").select("p_size", "n", F.round("cumulative", 6).alias("peers_share"))
 
 
-@query("SELECT p_partkey, r_name AS name FROM part JOIN (VALUES ('STEEL'), ('brass'), ('Copper')) v(r_name) ON contains(lower(p_type), lower(r_name))")
+@query("SELECT p_partkey, name FROM part JOIN (SELECT DISTINCT upper(split_part(p_name, ' ', 2)) AS name FROM part) v ON contains(lower(p_name), lower(name))")
 def text_mentions(spark, folder):
-    names = spark.createDataFrame([("STEEL",), ("brass",), ("Copper",)], "name string")
-    return profile.mentions(load(spark, folder, "part").select("p_partkey", F.col("p_type").alias("text")), names).select("p_partkey", "name")
+    part = load(spark, folder, "part")
+    names = part.select(F.upper(F.split_part("p_name", F.lit(" "), F.lit(2))).alias("name")).distinct()
+    return profile.mentions(part.select("p_partkey", F.col("p_name").alias("text")), names).select("p_partkey", "name")
 
 
 @query("""SELECT table_name, optimize, properties FROM (VALUES ('events', 'OPTIMIZE events', 'ALTER TABLE events SET TBLPROPERTIES (''target_file_size_mb'' = ''16'')'), ('orders', 'OPTIMIZE orders ZORDER BY (o_orderkey, o_custkey)', 'ALTER TABLE orders SET TBLPROPERTIES (''target_file_size_mb'' = ''716'')')) v(table_name, optimize, properties)""")

@@ -120,7 +120,7 @@ def _two(spark, folder):
 
 @query("SELECT o_orderkey, sha256(concat_ws('|', CAST(o_orderkey AS VARCHAR), CAST(o_custkey AS VARCHAR), o_orderstatus)) AS sha_hash FROM orders")
 def row_hash(spark, folder):
-    return validate.hashed(_two(spark, folder)[0]).select("o_orderkey", "sha_hash")
+    return validate.hashed(_two(spark, folder)[0], nulls="\u2400").select("o_orderkey", "sha_hash")
 
 
 @query(f"""SELECT (SELECT count(*) FROM orders) AS original_rows, (SELECT count(*) FROM ({PERTURBED}) p) AS other_rows, (SELECT count(*) FROM orders) AS original_distinct, (SELECT count(*) FROM ({PERTURBED}) p) AS other_distinct, m AS matched_rows,

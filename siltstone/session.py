@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +30,18 @@ def shared_folder(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def new_folder(spark: SparkSession, tag: str) -> str:
+    """A new folder below the shared one; whoever owns `spark.checkpoint.dir` clears it when no result is in use."""
+    return f"{shared_folder(spark)}/siltstone/{tag}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, tag: str) -> DataFrame:
+    """df, written once into the shared folder and read back: lineage ends here, and all readers see the same rows."""
+    path = new_folder(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
