@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -41,20 +42,33 @@ LABELERS = ("shape", "check", "gazetteer", "context", "against", "edge")
 FEATURES = {"length": 4, "digits": 3, "before": 3, "after": 3}
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once, however often it is named."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _scan(values: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    """Running results of an associative function over an array of int, in log n rounds over it: round k takes in what
+    stands 2^k places before. (An accumulator that grows by an element a step would be copied at each step.)"""
+
+    def round_(acc: Column, k: Column) -> Column:
+        far = F.pow(F.lit(2), k).cast("int")
+        return F.transform(acc, lambda x, i: F.when(i >= far, combine(F.get(acc, i - far), x)).otherwise(x)).cast("array<int>")
+
+    return _let(values.cast("array<int>"), lambda v: F.aggregate(F.sequence(F.lit(0), F.length(F.bin(F.size(v)))), v, round_))
+
+
 def _located(text: Column, pattern: str) -> Column:
     """Matches with start, end (code points, end exclusive) and the text before and after, in one pass over the parts."""
     gaps = F.split(text, pattern, -1)
-    parts = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"), gaps.alias("before"), F.slice(gaps, 2, F.greatest(F.size(gaps) - 1, F.lit(0))).alias("after"))
-    kind = "struct<at:int,found:array<struct<hit:string,start:int,end:int,left:string,right:string>>>"
-    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<hit:string,start:int,end:int,left:string,right:string>>").alias("found")).cast(kind)
+    zipped = lambda g: F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"), g.alias("before"), F.slice(g, 2, F.greatest(F.size(g) - 1, F.lit(0))).alias("after"))
+    parts = F.filter(_let(gaps, zipped), lambda x: x["hit"].isNotNull())
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["before"])
-        end = start + F.length(x["hit"])
-        new = F.struct(x["hit"].alias("hit"), start.alias("start"), end.alias("end"), F.lower(F.substring(x["before"], -24, 24)).alias("left"), F.substring(x["after"], 1, 1).alias("right"))
-        return F.when(x["hit"].isNull(), acc).otherwise(F.struct(end.alias("at"), F.array_append(acc["found"], new).alias("found")).cast(kind))
+    def placed(x: Column, end: Column) -> Column:
+        return F.struct(x["hit"].alias("hit"), (end - F.length(x["hit"])).alias("start"), end.alias("end"), F.lower(F.substring(x["before"], -24, 24)).alias("left"), F.substring(x["after"], 1, 1).alias("right"))
 
-    return F.aggregate(parts, none, step)["found"]
+    ends = lambda p: _scan(F.transform(p, lambda x: F.length(x["before"]) + F.length(x["hit"])), lambda a, b: a + b)
+    return _let(parts, lambda p: _let(ends(p), lambda e: F.transform(p, lambda x, i: placed(x, F.get(e, i)))))
 
 
 def _digits(x: Column) -> Column:
@@ -253,11 +267,29 @@ def learn(found: DataFrame, base: str = "base", others: str = "others") -> SpanM
     return fit(sorted((r["kind"], r["votes"], r["n"], r["features"]) for r in each.collect()))
 
 
+def _clear_of(spans: Column, others: Column) -> Column:
+    """Those of `others` that overlap none of `spans`, both arrays of spans that aren't empty.
+
+    All are sorted by start: what stands before overlaps if its largest end lies beyond the start, what stands behind if its
+    least start lies before the end.
+    """
+    place = lambda x, own: F.struct(x["start"].alias("start"), own.alias("other"), x["end"].alias("end"), x.alias("span"))
+    both = F.array_sort(F.concat(F.transform(spans, lambda x: place(x, F.lit(0))), F.transform(others, lambda x: place(x, F.lit(1)))))
+    beyond = (1 << 31) - 1
+
+    def kept(all_: Column) -> Column:
+        reach = _scan(F.transform(all_, lambda x: F.when(x["other"] == 0, x["end"]).otherwise(-1)), F.greatest)
+        ahead = F.reverse(_scan(F.transform(F.reverse(all_), lambda x: F.when(x["other"] == 0, x["start"]).otherwise(beyond)), F.least))
+        clear = lambda x, i, r, h: (x["other"] == 1) & (F.get(r, i) <= x["start"]) & (F.get(h, i) >= x["end"])
+        return _let(reach, lambda r: _let(ahead, lambda h: F.filter(all_, lambda x, i: clear(x, i, r, h))))
+
+    some = (F.size(spans) > 0) & (F.size(others) > 0)
+    return F.when(some, F.transform(_let(both, kept), lambda x: x["span"])).otherwise(others)
+
+
 def accepted(model: SpanModel, base: str = "base", others: str = "others") -> Column:
     """Those of the column `others` that the classifier keeps and no base span overlaps, in the order of kind and start."""
-    kept = F.filter(others, model.counts)
-    clear = F.filter(kept, lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    return F.array_sort(clear)
+    return F.array_sort(_clear_of(F.col(base), F.filter(others, model.counts)))
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
@@ -283,24 +315,38 @@ def redact(docs: DataFrame) -> DataFrame:
     seen = materialize(docs.withColumns({base: found[0], others: found[1]}), "redact")
     added = accepted(learn(seen, base, others), base, others)
     rows = seen.withColumn(spans, F.array_sort(F.transform(F.concat(base, added), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))))
-    kind = "struct<at:int,out:array<string>>"
-    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")).cast(kind)
-
-    def step(acc: Column, s: Column) -> Column:
-        fresh = F.concat(acc["out"], F.array(F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] < acc["at"], acc["out"]).otherwise(fresh).alias("out")).cast(kind)
-
-    def finish(acc: Column) -> Column:
-        return F.concat(F.array_join(acc["out"], ""), F.substring(F.col("text"), acc["at"] + 1, F.length("text")))
-
     some = F.size(spans) > 0
-    clean = F.when(some, F.aggregate(spans, none, step, finish)).otherwise(F.col("text"))
+    clean = F.when(some, _covered(F.col("text"), F.col(spans))).otherwise(F.col("text"))
     out = rows.withColumn("text", clean)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(some, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
+def _covered(text: Column, spans: Column, size: int = 2048) -> Column:
+    """The text with its spans (by start) covered. A span that starts before all spans before it have ended is part of the
+    mark before. The text between is taken from stretches of `size` characters, so no piece is looked for from the start."""
+
+    def between(parts: Column, start: Column, end: Column) -> Column:
+        first = F.floor(start / size).cast("int")
+        last = F.floor((end - 1) / size).cast("int")
+
+        def piece(i: Column) -> Column:
+            low = F.greatest(start - i * size, F.lit(0))
+            return F.substring(F.get(parts, i), low + 1, F.least(end - i * size, F.lit(size)) - low)
+
+        return F.when(end > start, F.array_join(F.transform(F.sequence(first, last), piece), "")).otherwise("")
+
+    def marked(parts: Column, reach: Column) -> Column:
+        before = lambda i: F.coalesce(F.get(reach, i - 1), F.lit(0))
+        new = lambda s, i: F.concat(between(parts, before(i), s["start"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))
+        body = F.array_join(F.transform(spans, lambda s, i: F.when(s["start"] >= before(i), new(s, i)).otherwise("")), "")
+        return F.concat(body, between(parts, F.element_at(reach, -1), F.length(text)))
+
+    parts = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+    return _let(parts, lambda p: _let(_scan(F.transform(spans, lambda s: s["end"]), F.greatest), lambda r: marked(p, r)))
+
+
 def _free_names(df: DataFrame, *names: str) -> list[str]:
     """The names, with as many underscores before them as tell them from all columns of df."""
     used, out = {c.lower() for c in df.columns}, []
