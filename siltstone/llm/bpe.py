@@ -246,12 +246,12 @@ class Encoder:
     library takes them for: it is asked once for each character met, as Unicode versions differ.
     """
 
-    def __init__(self, path: str, cached_words: int = 150_000):
+    def __init__(self, path: str, cached_words: int = 400_000):
         from tokenizers.pre_tokenizers import ByteLevel
 
         self.merges = MergeList(path)
         self.transducer = Transducer(self.merges)
-        self.words, self.chunks = _Known(self._word, cached_words), _Known(self._chunk, cached_words)
+        self.words, self.chunks = _Known(self._word, cached_words // 8), _Known(self._chunk, cached_words)
         names = sorted(self.merges.added, key=len, reverse=True)
         self.added = re.compile("|".join(map(re.escape, names))) if names else None
         self.starts = {x[:i] for x in names for i in range(1, len(x))}
@@ -268,7 +268,7 @@ class Encoder:
         plain = PLAIN(chunk)
         if plain:
             stem, marks = plain.groups()
-            return self.words[f" {stem}"] + self.words[marks] if marks else self.words[f" {stem}"]
+            return self.chunks[stem] + self.words[marks] if marks else self._word(f" {stem}")
         if not chunk or chunk[0].isspace() or chunk[-1].isspace():
             return None
         words = self.split(f" {chunk}")
@@ -375,15 +375,23 @@ class Stream:
         return out.tobytes(), ""
 
 
+class _Table(dict):
+    """Id -> bytes; ids without a token have none."""
+
+    def __missing__(self, id_: int) -> bytes:
+        return b""
+
+
 class Decoder:
     """Ids in any portions -> text: bytes of unfinished characters wait for the next portion; what can't become a character
     gives U+FFFD, one for each longest beginning of one. Ids without a token are skipped."""
 
     def __init__(self, bytes_of: dict[int, bytes]):
-        self.bytes_of, self.machine = bytes_of, codecs.getincrementaldecoder("utf-8")("replace")
+        self.bytes_of = bytes_of if isinstance(bytes_of, _Table) else _Table(bytes_of)
+        self.machine = codecs.getincrementaldecoder("utf-8")("replace")
 
     def feed(self, ids: list[int], last: bool = False) -> str:
-        return self.machine.decode(b"".join([self.bytes_of.get(i, b"") for i in ids]), last)
+        return self.machine.decode(b"".join(map(self.bytes_of.__getitem__, ids)), last)
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -418,7 +426,7 @@ def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
 
 def worker_table(path: str) -> dict[int, bytes]:
     if path not in _TABLES:
-        _TABLES[path] = token_bytes(_read(path))
+        _TABLES[path] = _Table(token_bytes(_read(path)))
     return _TABLES[path]
 
 
@@ -429,16 +437,21 @@ def portions(table: dict[int, bytes], ids: list[int], size: int = PIECE) -> Iter
         yield machine.feed(ids[i : i + size], i + size >= len(ids))
 
 
-def _by_ids(batch: pa.RecordBatch, limit: int = 1 << 18) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch that hold about `limit` ids each."""
+def _by_ids(batch: pa.RecordBatch, limit: int = 1 << 18) -> Iterator[tuple[pa.RecordBatch, list[list[int]]]]:
+    """Slices of a batch that hold about `limit` ids each, and these ids."""
+    sizes = pc.fill_null(pc.list_value_length(batch.column("ids")), 0).to_pylist()
     first, held = 0, 0
-    for i, n in enumerate(pc.fill_null(pc.list_value_length(batch.column("ids")), 0).to_pylist()):
+    for i, n in enumerate([*sizes, 0]):
         held += n
-        if held >= limit:
-            yield batch.slice(first, i + 1 - first)
+        if held >= limit or i == len(sizes):
+            part = batch.slice(first, min(i + 1, len(sizes)) - first)
+            flat, at, lists = part.column("ids").flatten().to_numpy(zero_copy_only=False).tolist(), 0, []
+            for size in sizes[first : first + part.num_rows]:
+                lists.append(flat[at : at + size])
+                at += size
+            if lists:
+                yield part, lists
             first, held = i + 1, 0
-    if first < batch.num_rows:
-        yield batch.slice(first)
 
 
 def decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
@@ -449,8 +462,8 @@ def decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = worker_table(tokenizer)
         for batch in batches:
-            for part in _by_ids(batch):
-                texts = ["".join(portions(table, ids or [])) for ids in part.column("ids").to_pylist()]
+            for part, lists in _by_ids(batch):
+                texts = ["".join(portions(table, ids)) for ids in lists]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in others), pa.array(texts, pa.string())], names=[*others, "text"])
 
     return encoded.select(*others, "ids").mapInArrow(run, schema)
@@ -461,15 +474,16 @@ def round_trip_digest(encoded: DataFrame, tokenizer: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = worker_table(tokenizer)
+        decimal = [str(i) for i in range(max(table, default=0) + 1)].__getitem__
         for batch in batches:
-            for part in _by_ids(batch):
+            for part, lists in _by_ids(batch):
                 out = []
-                for ids in part.column("ids").to_pylist():
+                for ids in lists:
                     text, listed = hashlib.sha256(), hashlib.sha256()
                     for portion in portions(table, ids):
                         text.update(portion.encode())
                     for i in range(0, len(ids), PIECE):
-                        listed.update((b"," if i else b"") + ",".join(map(str, ids[i : i + PIECE])).encode())
+                        listed.update((b"," if i else b"") + ",".join(map(decimal, ids[i : i + PIECE])).encode())
                     out.append((len(ids), listed.hexdigest(), text.hexdigest()))
                 n, listed, text = zip(*out)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(listed), pa.array(text)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
