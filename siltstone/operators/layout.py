@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 GB = 1 << 30
 #: The largest table size in GB, and the target file size in MB for tables up to it.
@@ -122,3 +123,43 @@ def _bucket(column: str, marks: list) -> Column:
     if not marks:
         return F.lit(0)
     return F.coalesce(F.size(F.filter(F.array(*(F.lit(m) for m in marks)), lambda m: m <= F.col(column))), F.lit(0))
+
+
+def file_ranges(spark, path: str, columns: Sequence[str], format: str = "parquet") -> DataFrame:
+    """file_path, rows, and the least and largest value of each column (`min_<c>`, `max_<c>`) of a folder's files."""
+    df = spark.read.format(format).load(path)
+    bounds = [x for c in columns for x in (F.min(c).alias(f"min_{c}"), F.max(c).alias(f"max_{c}"))]
+    return df.groupBy(F.col("_metadata.file_path").alias("file_path")).agg(F.count("*").alias("rows"), *bounds)
+
+
+def overlap_depth(ranges: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """column_name, files, mean_depth, max_depth: how many files' ranges lie over a place, at the ends of all ranges.
+
+    A sweep over starts and ends, one or two rows a file. Depth 1 means that a value is in one file; files without values of
+    a column aren't counted for it. Running counts go over the listing of files, which is metadata (one task a column).
+    """
+    out = None
+    for c in columns:
+        low, high = F.struct(F.col(f"min_{c}").alias("v"), F.lit(0).alias("end")), F.struct(F.col(f"max_{c}").alias("v"), F.lit(1).alias("end"))
+        marks = ranges.where(F.col(f"min_{c}").isNotNull()).select(F.explode(F.array(low, high)).alias("m")).groupBy("m").agg(F.count("*").alias("n"))
+        w = Window.orderBy("m").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        # at the start of a range those that end there still lie over it
+        depth = marks.withColumn("depth", F.sum(F.when(F.col("m.end") == 0, F.col("n")).otherwise(-F.col("n"))).over(w) + F.when(F.col("m.end") == 1, F.col("n")).otherwise(0))
+        one = depth.agg(F.sum(F.when(F.col("m.end") == 0, F.col("n"))).alias("files"), F.round(F.sum(F.col("depth") * F.col("n")) / F.sum("n"), 6).alias("mean_depth"), F.max("depth").alias("max_depth")).select(F.lit(c).alias("column_name"), F.coalesce("files", F.lit(0)).alias("files"), "mean_depth", "max_depth")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def files_read(ranges: DataFrame, column: str, wanted: DataFrame, low: str = "low", high: str = "high") -> DataFrame:
+    """The rows of `wanted` (ranges of values, both ends included) with how many files could hold such values, and all files.
+
+    Files and predicates meet where a predicate's range and a file's overlap; there are few predicates, which are counted.
+    """
+    rows = wanted.limit(10_001).collect()
+    if len(rows) > 10_000:
+        raise ValueError("pass predicates, not data")
+    spark, files = ranges.sparkSession, ranges.select(F.col(f"min_{column}").alias("__min"), F.col(f"max_{column}").alias("__max"))
+    numbered = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], T.StructType([T.StructField("__w", T.LongType()), *wanted.schema.fields]))
+    hit = files.join(F.broadcast(numbered), (F.col("__min") <= F.col(high)) & (F.col(low) <= F.col("__max"))).groupBy("__w").agg(F.count("*").alias("n"))
+    total = files.agg(F.count("*").alias("files"))
+    return numbered.join(hit, "__w", "left").crossJoin(total).select(*wanted.columns, F.coalesce("n", F.lit(0)).alias("files_read"), "files")

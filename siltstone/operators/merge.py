@@ -101,9 +101,21 @@ def merge(target: DataFrame, source: DataFrame, keys: Sequence[str], clauses: Se
     return rows.select(F.explode(pair).alias("x")).select("x.r.*", F.col("x.k").alias("_change_type"))
 
 
-def upsert(target: DataFrame, source: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Update all columns and insert all: the target's other rows and the source (its keys must be unique)."""
-    return target.join(source, list(keys), "left_anti").select(*target.columns).unionByName(source.select(*[c for c in source.columns if c in target.columns]), allowMissingColumns=True)
+def _unique(source: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The source; rows that share their keys are an error when they are read. Null keys match nothing and may repeat."""
+    whole = F.lit(True)
+    for k in keys:
+        whole = whole & F.col(k).isNotNull()
+    same = F.count(F.lit(1)).over(_by_keys(keys))
+    wrong = F.raise_error(F.lit("several source rows have the same keys")).cast("boolean")
+    return source.withColumn("__same", same).where(F.when(whole & (F.col("__same") > 1), wrong).otherwise(True)).drop("__same")
+
+
+def upsert(target: DataFrame, source: DataFrame, keys: Sequence[str], check: bool = True) -> DataFrame:
+    """Update all columns and insert all: the target's other rows and the source. Source keys that repeat are an error, as in
+    merge() (`check=False`: they are known to be unique); null keys match nothing."""
+    taken = _unique(source, keys) if check else source
+    return target.join(source, list(keys), "left_anti").select(*target.columns).unionByName(taken.select(*[c for c in source.columns if c in target.columns]), allowMissingColumns=True)
 
 
 def insert_absent(target: DataFrame, source: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -115,8 +127,8 @@ def delete_matching(target: DataFrame, source: DataFrame, keys: Sequence[str]) -
 
 
 def update_columns(target: DataFrame, source: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """Take `columns` from matching source rows; insert nothing."""
-    right = source.select(*keys, F.lit(True).alias("__m"), *(F.col(c).alias(f"__{c}") for c in columns))
+    """Take `columns` from matching source rows; insert nothing. Source keys that repeat are an error."""
+    right = _unique(source, keys).select(*keys, F.lit(True).alias("__m"), *(F.col(c).alias(f"__{c}") for c in columns))
     joined = target.join(right, list(keys), "left")
     return joined.select(*(F.when(F.col("__m"), F.col(f"__{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in target.columns))
 
@@ -186,7 +198,7 @@ def incremental_merge(target: DataFrame | None, source: DataFrame, keys: Sequenc
     high = target.agg(F.max(watermark)).first()[0]
     # a literal, so that the filter reaches the scan
     fresh = source if high is None else source.where(F.col(watermark) > F.lit(high))
-    return upsert(target, latest(fresh, keys, watermark), keys)
+    return upsert(target, latest(fresh, keys, watermark), keys, check=False)
 
 
 def merge_feed(target: DataFrame, feed: DataFrame, keys: Sequence[str], time: str, version: str = "_src_commit_version") -> DataFrame:

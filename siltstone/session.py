@@ -54,3 +54,6 @@ def naive(df: DataFrame) -> DataFrame:
 def views(spark: SparkSession, folder: str, *names: str) -> None:
     for name in names:
         load(spark, folder, name).createOrReplaceTempView(name)
+
+
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"

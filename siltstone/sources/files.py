@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,36 +22,55 @@ def read_files(spark: SparkSession, path: str, format: str, schema: T.StructType
     return df.withColumn("file_path", F.col("_metadata.file_path")) if file_name else df
 
 
-def copy_into(spark: SparkSession, path: str, target: str, format: str, columns: Sequence[Column | str] = ("*",), schema: T.StructType | str | None = None, force: bool = False, merge_schema: bool = False, glob: str | None = None, **options) -> int:
+LEDGER = "path string, length long, modificationTime timestamp, load_id string"
+
+
+def copy_into(spark: SparkSession, path: str, target: str, format: str, columns: Sequence[Column | str] = ("*",), schema: T.StructType | str | None = None, force: bool = False, merge_schema: bool = False, glob: str | None = None, portion: int = 10_000, **options) -> int:
     """Append files of `path` that weren't loaded before to the Parquet table `target`; the number of files loaded.
 
-    The ledger of loaded files lies beside the table; new files are an anti-join with it. `force` loads all again.
-    Without merge_schema, columns that the table lacks are an error; with it, they are added.
+    Files are taken in portions, each a load: its rows are written under a new load id, then its files to the ledger beside
+    the table, which makes the load count (see loaded()). So a load that stops in between is as if it had not begun, and its
+    files come with the next one. New files are an anti-join with the ledger; the driver holds the names of a portion.
+    `force` loads all again. Without merge_schema, columns that the table lacks are an error; with it, they are added.
     """
-    ledger = f"{target.rstrip('/')}/_loaded"
+    target = target.rstrip("/")
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         listed = listed.option("pathGlobFilter", glob)
     files = listed.load(path).select("path", "length", "modificationTime")
-    known = _maybe(spark, ledger, "path string, length long, modificationTime timestamp")
+    known = _maybe(spark, f"{target}/_loaded", LEDGER)
     fresh = files if force or known is None else files.join(known.select("path"), "path", "left_anti")
-    paths = [r["path"] for r in fresh.select("path").toLocalIterator()]
-    if not paths:
-        return 0
     reader = spark.read.format(format).options(**{k: str(v).lower() if isinstance(v, bool) else v for k, v in options.items()})
     if schema is not None:
         reader = reader.schema(schema)
-    rows = reader.load(paths).select(*columns)
-    there = _maybe(spark, f"{target.rstrip('/')}/data")
-    if there is not None and not merge_schema and (more := set(rows.columns) - set(there.columns)):
-        raise ValueError(f"new columns: {sorted(more)}")
-    rows.write.mode("append").parquet(f"{target.rstrip('/')}/data")
-    fresh.write.mode("append").parquet(ledger)
-    return len(paths)
-
-
-def loaded(spark: SparkSession, target: str) -> DataFrame:
-    return spark.read.option("mergeSchema", "true").parquet(f"{target.rstrip('/')}/data")
+    held, n = [], 0
+
+    def put() -> None:
+        rows = reader.load([r["path"] for r in held]).select(*columns)
+        there = loaded(spark, target) if _maybe(spark, f"{target}/_loaded") is not None else None
+        if there is not None and not merge_schema and (more := set(rows.columns) - set(there.columns)):
+            raise ValueError(f"new columns: {sorted(more)}")
+        load_id = uuid.uuid4().hex
+        rows.write.parquet(f"{target}/data/load_id={load_id}")
+        spark.createDataFrame([(*r, load_id) for r in held], LEDGER).coalesce(1).write.mode("append").parquet(f"{target}/_loaded")
+
+    for r in fresh.toLocalIterator():
+        held.append(r)
+        n += 1
+        if len(held) == portion:
+            put()
+            held.clear()
+    if held:
+        put()
+    return n
+
+
+def loaded(spark: SparkSession, target: str, loads: DataFrame | None = None) -> DataFrame:
+    """The rows of a table of copy_into(): those of loads that are in the ledger, or of `loads` (load_id)."""
+    target = target.rstrip("/")
+    counted = (spark.read.schema(LEDGER).parquet(f"{target}/_loaded") if loads is None else loads).select("load_id").distinct()
+    data = spark.read.option("mergeSchema", "true").parquet(f"{target}/data").withColumn("load_id", F.col("load_id").cast("string"))
+    return data.join(counted, "load_id", "left_semi").drop("load_id")
 
 
 def _maybe(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame | None:
@@ -69,29 +89,51 @@ def by_position(spark: SparkSession, path: str, ddl: str, sep: str = ",", header
 def ingest_tasks(spark: SparkSession, tasks: DataFrame, root: str, target: str, ledger: bool = True) -> list[dict]:
     """Run ingest tasks from configuration rows (task_id, src_path, src_format, src_column_list, src_sep, src_header,
     bronze_table, silver_table, primary_key): files that weren't loaded before are appended to the bronze table by
-    position, and the newest row of each key replaces that of the silver table. One row of counts for each task.
+    position, and the newest row of each key replaces that of the silver table. One row of counts for each task, with the
+    folder of the silver table's newest state. A run that stopped anywhere is made up for by the next one.
 
     Tasks are configuration, tens of rows; the driver goes through them in the order of task_id.
     """
-    from ..operators.dedup import latest
-    from ..operators.merge import upsert
-
     said = []
     for r in tasks.orderBy("task_id").collect():
         bronze, silver = f"{target}/{r['bronze_table']}", f"{target}/{r['silver_table']}"
         keys = [k.strip() for k in r["primary_key"].split(",")]
         columns = ["*", F.current_timestamp().alias("_last_modified_ts")]
         n = copy_into(spark, f"{root}/{r['src_path']}", bronze, r["src_format"], columns, schema=r["src_column_list"], sep=r["src_sep"], header=bool(r["src_header"]), enforceSchema=True)
-        if n:
-            fresh = latest(loaded(spark, bronze), keys, "_last_modified_ts")
-            there = _maybe(spark, f"{silver}/now")
-            state = fresh if there is None else upsert(there, fresh, keys)
-            state.write.mode("overwrite").parquet(f"{silver}/next")
-            spark.read.parquet(f"{silver}/next").write.mode("overwrite").parquet(f"{silver}/now")
-        said.append({"task_id": r["task_id"], "files": n, "silver": f"{silver}/now"})
+        said.append({"task_id": r["task_id"], "files": n, "silver": _catch_up(spark, bronze, silver, keys)})
     return said
 
 
+APPLIED = "load_id string, state string, number long"
+
+
+def _catch_up(spark: SparkSession, bronze: str, silver: str, keys: Sequence[str]) -> str | None:
+    """Merge the loads of a bronze table that the silver one lacks; the folder of its newest state (None: nothing yet).
+
+    What the silver table has is in its list of applied loads: a new state is written aside, then its loads are added to the
+    list in one file, which makes it the newest. So it follows from the bronze table whatever stopped before, and loads that an
+    earlier run left are made up for.
+    """
+    from ..operators.dedup import latest
+    from ..operators.merge import upsert
+
+    ledger, applied = _maybe(spark, f"{bronze}/_loaded", LEDGER), _maybe(spark, f"{silver}/_applied", APPLIED)
+    newest = None if applied is None else applied.orderBy(F.desc("number")).first()
+    if ledger is not None:
+        missing = ledger.select("load_id").distinct()
+        missing = missing if applied is None else missing.join(applied.select("load_id"), "load_id", "left_anti")
+        ids = [x[0] for x in missing.collect()]  # loads, not files
+        if ids:
+            new = spark.createDataFrame([(i,) for i in ids], "load_id string")
+            fresh = latest(loaded(spark, bronze, new), keys, "_last_modified_ts")
+            state = fresh if newest is None else upsert(spark.read.parquet(newest["state"]), fresh, keys, check=False)
+            path, number = f"{silver}/state-{uuid.uuid4().hex}", 0 if newest is None else newest["number"] + 1
+            state.write.parquet(path)
+            new.select("load_id", F.lit(path).alias("state"), F.lit(number).cast("long").alias("number")).coalesce(1).write.mode("append").parquet(f"{silver}/_applied")
+            return path
+    return None if newest is None else newest["state"]
+
+
 def kafka(spark: SparkSession, servers: str, topic: str, starting: str = "earliest", **options) -> DataFrame:
     """A topic as a stream of key, value (texts), topic, partition, offset, timestamp; needs Spark's Kafka package."""
     reader = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic).option("startingOffsets", starting).options(**options)

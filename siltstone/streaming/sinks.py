@@ -9,6 +9,9 @@ from typing import Protocol
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.validate import row_hash
+from ..sources.files import _maybe
+
 
 class MetricSink(Protocol):
     def write(self, metrics: dict[str, object], tags: dict[str, str]) -> None: ...
@@ -58,3 +61,71 @@ def alert_each(send: Callable[[dict], None], most: int = 100) -> Callable[[DataF
             send({"batch": batch_id, "more": batch.count() - most})
 
     return run
+
+
+class Outbox:
+    """For foreachBatch: sends each row of a stream once, whatever stops in between.
+
+    A batch's messages are written first, each with an id of query, batch and row (equal rows are one message with `copies`);
+    then they are sent in chunks, and a chunk's ids are written when it has been sent. A batch that comes again finds its
+    messages written and goes on with those that aren't acknowledged. What was sent and not yet acknowledged when a driver
+    died is a chunk at most: `known`, if given, asks the receiver which of its ids it has; other receivers must ignore an id
+    that they have seen. All rows are sent; the driver holds a chunk at a time.
+    """
+
+    MESSAGES = "message_id string, body string, copies long"
+
+    def __init__(self, spark: SparkSession, path: str, query: str, send: Callable[[list[dict]], None], known: Callable[[list[str]], set[str]] | None = None, chunk: int = 500):
+        self.spark, self.path, self.query, self.send, self.known, self.chunk = spark, f"{path.rstrip('/')}/{query}", query, send, known, chunk
+
+    def _pending(self, batch_id: int) -> DataFrame | None:
+        there = f"{self.path}/pending/batch={batch_id}"
+        done = self.spark._jvm.org.apache.hadoop.fs.Path(f"{there}/_SUCCESS")
+        return self.spark.read.schema(self.MESSAGES).parquet(there) if done.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(done) else None
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        again = self._pending(batch_id) is not None
+        if not again:
+            columns = batch.columns
+            one = batch.groupBy(*columns).agg(F.count("*").alias("__copies"))
+            key = F.sha2(F.concat_ws("|", F.lit(self.query), F.lit(str(batch_id)), row_hash(columns)), 256)
+            one.select(key.alias("message_id"), F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).alias("body"), F.col("__copies").alias("copies")).write.mode("overwrite").parquet(f"{self.path}/pending/batch={batch_id}")
+        self.flush(batch_id, again)
+
+    def flush(self, batch_id: int, again: bool = True) -> int:
+        """Send what isn't acknowledged of a batch; the number of messages sent. `again`: some may have been sent before."""
+        pending, acked = self._pending(batch_id), _maybe(self.spark, f"{self.path}/acknowledged/batch={batch_id}", "message_id string")
+        if pending is None:
+            return 0
+        open_ = pending if acked is None else pending.join(acked, "message_id", "left_anti")
+        held, sent = [], 0
+
+        def deliver() -> int:
+            seen = self.known([m["message_id"] for m in held]) if again and self.known else set()
+            fresh = [m for m in held if m["message_id"] not in seen]
+            if fresh:
+                self.send(fresh)
+            self.spark.createDataFrame([(m["message_id"],) for m in held], "message_id string").coalesce(1).write.mode("append").parquet(f"{self.path}/acknowledged/batch={batch_id}")
+            return len(fresh)
+
+        for r in open_.toLocalIterator():
+            held.append({"message_id": r["message_id"], "copies": r["copies"], "row": json.loads(r["body"])})
+            if len(held) == self.chunk:
+                sent, held = sent + deliver(), []
+        return sent + (deliver() if held else 0)
+
+
+def add_pages(df: DataFrame, path: str, name: str) -> None:
+    """Append rows to a folder log (see sources.pages) as JSON lines, a page for each partition, under names that sort behind
+    those of smaller `name`."""
+    spark = df.sparkSession
+    aside = f"{path.rstrip('/')}/_{name}"
+    df.write.json(aside)
+    jvm = spark._jvm.org.apache.hadoop.fs
+    folder = jvm.Path(aside)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    for file in fs.listStatus(folder):
+        old = file.getPath()
+        if old.getName().startswith("part-"):
+            fs.rename(old, jvm.Path(f"{path.rstrip('/')}/{name}-{old.getName()}"))
+    fs.delete(folder, True)

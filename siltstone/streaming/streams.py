@@ -52,7 +52,7 @@ def scd1_sink(table: Snapshots, empty: DataFrame, keys: Sequence[str], time: str
 
 
 def upsert_sink(table: Snapshots, empty: DataFrame, keys: Sequence[str], time: str) -> MergeSink:
-    return MergeSink(table, lambda now, batch: upsert(now, latest(batch, keys, time), keys), empty)
+    return MergeSink(table, lambda now, batch: upsert(now, latest(batch, keys, time), keys, check=False), empty)
 
 
 def scd2_sink(table: Snapshots, empty: DataFrame, keys: Sequence[str], time: str, **options) -> MergeSink:
