@@ -19,17 +19,17 @@ SPACING = 0.25
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id and embedding (doubles) of the rows that take part.
+    """row (a number of its own), vec_id and embedding (doubles) of the rows that take part.
 
     Null, empty and zero vectors, vectors with null or non-finite components, and null vec_ids take no part; of vectors
-    of several lengths those of the most frequent one (the longer, if as frequent) do; a repeated vec_id counts once,
-    with its largest vector.
+    of several lengths those of the most frequent one (the longer, if as frequent) do, as others have no inner product with
+    them. Rows that share a vec_id are rows like others.
     """
     x = F.col("embedding")
     good = x.isNotNull() & (F.size(x) > 0) & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(x, lambda v: v != 0)
     rows = vectors.where(F.col("vec_id").isNotNull() & F.coalesce(good, F.lit(False))).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda v: v.cast("double") + F.lit(0.0)).alias("embedding"))
     top = rows.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
-    return rows.where(F.size("embedding") == (top["n"] if top else 0)).groupBy("vec_id").agg(F.max("embedding").alias("embedding"))
+    return rows.where(F.size("embedding") == (top["n"] if top else 0)).withColumn("row", F.monotonically_increasing_id())
 
 
 def _balanced(x: np.ndarray, size: int, rng: np.random.Generator) -> np.ndarray:
@@ -87,8 +87,9 @@ class Index:
     def nearest(self, x: np.ndarray, k: int, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """The k nearest centroids of each row of x and their squared distances, by best-first search of the graph.
 
-        All rows walk at once: in each step a row opens the WIDE nearest centroids that it has seen and not opened, and
-        looks at those of their neighbours that it has not seen. It ends when `beam` seen ones are nearer than all others.
+        All rows walk at once: in each step a row opens the WIDE nearest centroids of its beam that it has not opened, and
+        takes in those of their neighbours that it has not seen. It ends when all `beam` nearest seen ones are opened. A step
+        costs what it looks at; of all centroids there is but a mark whether they were seen.
         """
         if len(x) > ROWS:  # a step holds a copy of a vector for each neighbour looked at
             parts = [self.nearest(x[a : a + ROWS], k, beam) for a in range(0, len(x), ROWS)]
@@ -96,29 +97,44 @@ class Index:
         n, c = len(x), len(self.centroids)
         k, beam = min(k, c), min(max(beam, k), c)
         norms = (self.centroids**2).sum(1)
-        far = np.full((n, c), np.inf)
-        opened = np.zeros((n, c), bool)
-        far[:, self.starts] = norms[self.starts] - 2 * x @ self.centroids[self.starts].T
-        wide = min(WIDE, c)
-        for _ in range(c):
-            waiting = np.where(opened, np.inf, far)
-            at = np.argpartition(waiting, wide - 1, axis=1)[:, :wide]
-            d = np.take_along_axis(waiting, at, 1)
-            bound = np.partition(far, beam - 1, axis=1)[:, beam - 1 : beam]
-            r, j = np.nonzero((d <= bound) & np.isfinite(d))
+        seen = np.zeros((n, c), bool)
+        # of each row the nearest centroids seen, nearest first; places not taken yet are infinitely far
+        at, d, opened = np.zeros((n, beam), int), np.full((n, beam), np.inf), np.zeros((n, beam), bool)
+
+        def look(rows: np.ndarray, new: np.ndarray) -> None:
+            """Take in centroids (one a row of `rows`) that aren't seen yet."""
+            nonlocal at, d, opened
+            new = np.unique(rows * c + new)
+            rows, new = new // c, new % c
+            fresh = ~seen[rows, new]
+            rows, new = rows[fresh], new[fresh]
+            seen[rows, new] = True
+            some, start, held = np.unique(rows, return_index=True, return_counts=True)
+            if not len(some):
+                return
+            place = np.arange(len(rows)) - np.repeat(start, held)
+            to = np.repeat(np.arange(len(some)), held)
+            more_at, more_d = np.zeros((len(some), held.max()), int), np.full((len(some), held.max()), np.inf)
+            more_at[to, place] = new
+            more_d[to, place] = norms[new] - 2 * np.einsum("ij,ij->i", x[rows], self.centroids[new])
+            all_d = np.concatenate([d[some], more_d], axis=1)
+            order = all_d.argsort(1, kind="stable")[:, :beam]
+            d[some] = np.take_along_axis(all_d, order, 1)
+            at[some] = np.take_along_axis(np.concatenate([at[some], more_at], axis=1), order, 1)
+            opened[some] = np.take_along_axis(np.concatenate([opened[some], np.zeros(more_at.shape, bool)], axis=1), order, 1)
+
+        look(np.repeat(np.arange(n), len(self.starts)), np.tile(self.starts, n))
+        while True:
+            # the WIDE nearest that aren't opened, in the order of the beam
+            waiting = ~opened & np.isfinite(d)
+            waiting &= np.cumsum(waiting, axis=1) <= WIDE
+            r, j = np.nonzero(waiting)
             if not len(r):
                 break
-            a = at[r, j]
-            opened[r, a] = True
-            near = self.graph[a]
-            rr, nn = np.repeat(r, near.shape[1]), near.ravel()
-            fresh = np.isinf(far[rr, nn])
-            rr, nn = rr[fresh], nn[fresh]
-            far[rr, nn] = norms[nn] - 2 * np.einsum("ij,ij->i", x[rr], self.centroids[nn])
-        top = np.argpartition(far, k - 1, axis=1)[:, :k]
-        d = np.take_along_axis(far, top, 1)
-        order = d.argsort(1, kind="stable")
-        return np.take_along_axis(top, order, 1), np.maximum(np.take_along_axis(d, order, 1) + (x**2).sum(1)[:, None], 0)
+            opened[r, j] = True
+            near = self.graph[at[r, j]]
+            look(np.repeat(r, near.shape[1]), near.ravel())
+        return at[:, :k], np.maximum(d[:, :k] + (x**2).sum(1)[:, None], 0)
 
     def lists_of(self, x: np.ndarray, replicas: int, boundary: float) -> tuple[np.ndarray, np.ndarray]:
         """The lists of data vectors (lifted): the nearest ones within (1 + boundary) times the nearest distance, but for
@@ -137,8 +153,9 @@ class Index:
 WIDE = 8
 
 
-def fit(vectors: DataFrame, k: int = 20, replicas: int = 3, boundary: float = 0.05, recall: float = 0.94, sample: int = 40_000, degree: int = 24, trials: int = 256, seed: int = 11) -> Index | None:
-    """An index from about `sample` vectors, chosen by a hash of vec_id; all vectors are indexed with it later.
+def fit(vectors: DataFrame, k: int = 20, replicas: int = 3, boundary: float = 0.05, recall: float = 0.94, sample: int = 40_000, sample_bytes: int = 64 << 20, degree: int = 24, trials: int = 256, seed: int = 11) -> Index | None:
+    """An index from about `sample` vectors (`sample_bytes` at most), chosen by a hash of vec_id and vector; all vectors are indexed
+    with it later.
 
     The number of lists is twice the square root of the number of vectors, an eighth of the sample at most: a few MB.
     `trials` vectors of the sample then look for their k nearest in it: the ratio of distances up to which lists must be
@@ -146,19 +163,20 @@ def fit(vectors: DataFrame, k: int = 20, replicas: int = 3, boundary: float = 0.
     and vectors without any structure about half of all. Among all vectors neighbours lie nearer than in the sample, so
     the ratio errs towards more lists.
     """
-    n, reach = vectors.agg(F.count("*"), F.max(F.aggregate("embedding", F.lit(0.0), lambda a, v: a + v * v))).first()
+    n, reach, width = vectors.agg(F.count("*"), F.max(F.aggregate("embedding", F.lit(0.0), lambda a, v: a + v * v)), F.max(F.size("embedding"))).first()
     if not n:
         return None
-    chosen = vectors if n <= sample else vectors.where(F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(1 << 20)) < int((1 << 20) * sample / n))
-    x = np.array([r[0] for r in chosen.select("embedding").toLocalIterator()] or [vectors.first()["embedding"]])
+    sample = max(1, min(sample, sample_bytes // (8 * width)))
+    chosen = vectors if n <= sample else vectors.where(F.pmod(F.xxhash64("vec_id", "embedding", F.lit(seed)), F.lit(1 << 20)) < int((1 << 20) * sample / n))
+    x = _matrix(chosen.select("embedding").toArrow().column("embedding").combine_chunks())
+    x = x if len(x) else np.array([vectors.first()["embedding"]])
     index = Index(np.empty((0, 0)), np.empty((0, 0), int), np.empty(0, int), float(reach) ** 0.5)
     rng = np.random.default_rng(seed)
     x = x[rng.permutation(len(x))]
     lifted = index.lift(x, False)
     wanted = max(1, min(int(2 * n**0.5), max(len(x) // 8, 16)))
     c = _settled(lifted, _balanced(lifted, max(1, -(-len(x) // wanted)), rng))
-    d = (c**2).sum(1)[:, None] + (c**2).sum(1)[None] - 2 * c @ c.T
-    near = d.argsort(1, kind="stable")[:, : degree + 1]
+    near = np.concatenate([_nearest_rows(c[a : a + 256], c, min(degree + 1, len(c))) for a in range(0, len(c), 256)])
     far = rng.integers(0, len(c), (len(c), 4))  # a few long edges keep the graph in one piece
     index.centroids, index.graph = c, np.column_stack([near, far])
     index.starts = rng.choice(len(c), min(len(c), 16), replace=False)
@@ -166,6 +184,12 @@ def fit(vectors: DataFrame, k: int = 20, replicas: int = 3, boundary: float = 0.
     return index
 
 
+def _nearest_rows(x: np.ndarray, c: np.ndarray, k: int) -> np.ndarray:
+    d = (c**2).sum(1) - 2 * x @ c.T
+    near = np.argpartition(d, k - 1, axis=1)[:, :k]
+    return np.take_along_axis(near, np.take_along_axis(d, near, 1).argsort(1, kind="stable"), 1)
+
+
 def _calibrate(index: Index, x: np.ndarray, lifted: np.ndarray, k: int, replicas: int, boundary: float, recall: float, trials: int) -> None:
     q = x[:trials]
     scores = q @ x.T
@@ -227,44 +251,49 @@ def _with_lists(lists_of):
                 batch = whole.slice(a, ROWS)
                 lists, keep = lists_of(_matrix(batch.column("embedding")))
                 ends = np.concatenate([[0], np.cumsum(keep.sum(1))]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("embedding"), pa.ListArray.from_arrays(pa.array(ends), pa.array(lists[keep].astype(np.int32)))], names=["id", "embedding", "lists"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in ("id", "first", "embedding")), pa.ListArray.from_arrays(pa.array(ends), pa.array(lists[keep].astype(np.int32)))], names=["id", "first", "embedding", "lists"])
 
     return run
 
 
-def _search(top: int, n: int):
+def _search(top: int):
     """For cogroups: the `top` best entries of a shard for each of its queries, by exact inner product, among those that
-    share one of the n lists with it."""
+    share one of the lists with it."""
 
-    def member(table) -> np.ndarray:
+    def member(table, used: np.ndarray) -> np.ndarray:
+        """Which of the lists `used` (those of one bundle) each row is in."""
         lists = table.column("lists").combine_chunks()
-        out = np.zeros((len(table), n), np.float32)
-        out[np.repeat(np.arange(len(table)), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy()] = 1
+        flat = lists.flatten().to_numpy()
+        row = np.repeat(np.arange(len(table)), np.diff(lists.offsets.to_numpy()))
+        at = np.minimum(np.searchsorted(used, flat), len(used) - 1)
+        hit = used[at] == flat
+        out = np.zeros((len(table), len(used)), np.float32)
+        out[row[hit], at[hit]] = 1
         return out
 
     def run(key, queries, postings):
         out = []
         if len(queries) and len(postings):
-            postings = postings.sort_by("id")
-            ids, y = postings.column("id").to_numpy(), _matrix(postings.column("embedding").combine_chunks())
-            used = np.flatnonzero((own := member(postings)).any(0))
-            own = own[:, used].T
+            postings = postings.sort_by([("first", "ascending"), ("id", "ascending")])
+            ids, firsts, y = postings.column("id").to_numpy(), postings.column("first").to_numpy(), _matrix(postings.column("embedding").combine_chunks())
+            used = np.unique(postings.column("lists").combine_chunks().flatten().to_numpy())
+            own = member(postings, used).T
             step = max(16, 4_000_000 // len(ids))
             for a in range(0, len(queries), step):
                 part = queries.slice(a, step)
                 x = _matrix(part.column("embedding").combine_chunks())
-                s = np.where(member(part)[:, used] @ own > 0, x @ y.T, -np.inf)
+                s = np.where(member(part, used) @ own > 0, x @ y.T, -np.inf)
                 k = min(top, len(ids))
-                # the k-th best score, then all that reach it, best first and smaller id first
+                # the k-th best score, then all that reach it, best first and smaller vec_id first
                 bound = np.partition(s, len(ids) - k, axis=1)[:, len(ids) - k]
                 of, at = np.nonzero((s >= bound[:, None]) & np.isfinite(s))
                 exact = (x[of] * y[at]).sum(1)
-                order = np.lexsort((ids[at], -exact, of))
+                order = np.lexsort((at, -exact, of))
                 of, at, exact = of[order], at[order], exact[order]
                 place = np.arange(len(of)) - np.searchsorted(of, of)
                 keep = place < k
-                out.append(pa.table({"query": part.column("id").to_numpy()[of[keep]], "id": ids[at[keep]], "score": exact[keep]}))
-        empty = pa.table({"query": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+                out.append(pa.table({"query": part.column("id").to_numpy()[of[keep]], "id": ids[at[keep]], "first": firsts[at[keep]], "score": exact[keep]}))
+        empty = pa.table({"query": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "first": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
         return pa.concat_tables(out) if out else empty
 
     return run
@@ -273,6 +302,7 @@ def _search(top: int, n: int):
 def neighbours(vectors: DataFrame, every: int = 20, k: int = 20, replicas: int = 3, boundary: float = 0.05, bundle_rows: int = 32_768, shard_rows: int = 32_768, **index_options) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest vectors found for each vector whose vec_id is divisible by `every`.
 
+    Every usable row but the query's own is a candidate, also rows that share its vec_id; rows of one vec_id are queries each.
     Equal vectors are one entry with its k + 1 smallest vec_ids (no other can be among the k nearest), as candidates
     and as queries; so a vector that a third of the rows share costs no more than another. Near lists form a bundle; entries
     and queries meet in a (bundle, shard, query shard), whose numbers follow from counted rows, and a query compares with
@@ -281,17 +311,18 @@ def neighbours(vectors: DataFrame, every: int = 20, k: int = 20, replicas: int =
     Other columns are ignored; an empty table gives no rows.
     """
     rows = materialize(usable(vectors), "vectors")
-    by_vector = Window.partitionBy("embedding").orderBy("vec_id")
+    by_vector = Window.partitionBy("embedding").orderBy("vec_id", "row")
     members = rows.withColumn("place", F.row_number().over(by_vector)).where(F.col("place") <= k + 1)
-    entries = rows.groupBy("embedding").agg(F.min("vec_id").alias("id"))
+    one = (F.min("row").alias("id"), F.min("vec_id").alias("first"))
+    entries = rows.groupBy("embedding").agg(*one)
     asked = rows.where(F.col("vec_id") % every == 0)
     index = fit(rows, k, replicas, boundary, **index_options)
     spark = vectors.sparkSession
     if index is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     entries = materialize(entries, "entries")
-    dealt = "id long, embedding array<double>, lists array<int>"
-    postings = materialize(entries.select("id", "embedding").mapInArrow(_postings(index, replicas, boundary), dealt), "postings")
+    dealt = "id long, first long, embedding array<double>, lists array<int>"
+    postings = materialize(entries.select("id", "first", "embedding").mapInArrow(_postings(index, replicas, boundary), dealt), "postings")
     # one row a list
     counts = {r["list"]: r["n"] for r in postings.select(F.explode("lists").alias("list")).groupBy("list").agg(F.count("*").alias("n")).collect()}
     n = len(index.centroids)
@@ -299,7 +330,7 @@ def neighbours(vectors: DataFrame, every: int = 20, k: int = 20, replicas: int =
     # an entry is in `replicas` lists at most, so these many hold k others whichever lists they are
     least = replicas * (k + 1)
     probes = max(index.probes, int(np.searchsorted(np.cumsum(np.sort(sizes)), least)) + 1)
-    distinct = asked.groupBy("embedding").agg(F.min("vec_id").alias("id")).select("id", "embedding")
+    distinct = asked.groupBy("embedding").agg(*one).select("id", "first", "embedding")
     # AQE would put the few queries into one task
     spread = distinct.repartition(max(1, -(-asked.count() // 512)), "id")
     queries = materialize(spread.mapInArrow(_probes(index, probes, sizes, least), dealt), "probes")
@@ -309,7 +340,7 @@ def neighbours(vectors: DataFrame, every: int = 20, k: int = 20, replicas: int =
 
     def bundled(df: DataFrame) -> DataFrame:
         each = df.select("id", F.explode("lists").alias("list")).join(names, "list").groupBy("id", "bundle").agg(F.collect_list("list").alias("lists"))
-        return each.join(df.select("id", "embedding"), "id")
+        return each.join(df.select("id", "first", "embedding"), "id")
 
     left, right = materialize(bundled(queries), "bundled-probes"), materialize(bundled(postings), "bundled-postings")
     held = {r["bundle"]: -(-r["n"] // shard_rows) for r in right.groupBy("bundle").agg(F.count("*").alias("n")).collect()}
@@ -318,15 +349,15 @@ def neighbours(vectors: DataFrame, every: int = 20, k: int = 20, replicas: int =
     left = left.join(sized, "bundle").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
     right = right.join(sized, "bundle").withColumn("shard", F.pmod(F.xxhash64("id"), F.col("shards")).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     key = ["bundle", "shard", "part"]
-    columns = [*key, "id", "embedding", "lists"]
-    found = left.select(*columns).groupBy(*key).cogroup(right.select(*columns).groupBy(*key)).applyInArrow(_search(k + 1, n), "query long, id long, score double")
-    best = Window.partitionBy("query").orderBy(F.desc("score"), "id")
-    near = found.groupBy("query", "id").agg(F.max("score").alias("score")).withColumn("place", F.row_number().over(best)).where(F.col("place") <= k + 1).drop("place")
+    columns = [*key, "id", "first", "embedding", "lists"]
+    found = left.select(*columns).groupBy(*key).cogroup(right.select(*columns).groupBy(*key)).applyInArrow(_search(k + 1), "query long, id long, first long, score double")
+    best = Window.partitionBy("query").orderBy(F.desc("score"), "first", "id")
+    near = found.groupBy("query", "id", "first").agg(F.max("score").alias("score")).withColumn("place", F.row_number().over(best)).where(F.col("place") <= k + 1).drop("place", "first")
     # back from distinct vectors to rows
-    named = members.join(entries, "embedding").select("id", "vec_id")
-    each = near.join(named, "id").withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))).where(F.col("place") <= k + 1)
-    who = asked.join(distinct.withColumnRenamed("id", "query"), "embedding").select(F.col("vec_id").alias("query_id"), "query")
-    ranked = who.join(each, "query").where(F.col("vec_id") != F.col("query_id")).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
+    named = members.join(entries.select("id", "embedding"), "embedding").select("id", "vec_id", "row")
+    each = near.join(named, "id").withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id", "row"))).where(F.col("place") <= k + 1)
+    who = asked.join(distinct.select(F.col("id").alias("query"), "embedding"), "embedding").select(F.col("vec_id").alias("query_id"), F.col("row").alias("own"), "query")
+    ranked = who.join(each, "query").where(F.col("row") != F.col("own")).withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "own").orderBy(F.desc("score"), "vec_id", "row")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

@@ -339,3 +339,15 @@ def test_few_vectors(spark):
     got = neighbours(vectors(spark, [(0, [1.0, 0.0], 0), (20, [1.0, 0.0], 0), (3, [0.5, 0.5], 0)])).collect()
     assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == [(0, 1, 20, 1.0), (0, 2, 3, 0.5), (20, 1, 0, 1.0), (20, 2, 3, 0.5)]
     assert neighbours(vectors(spark, [])).count() == 0
+
+
+def test_rows_that_share_a_vec_id(spark):
+    """They are candidates of one another, and queries each."""
+    rows = [(20, [1.0, 0.0]), (20, [0.0, 1.0]), (20, [1.0, 0.0]), (3, [0.9, 0.1]), (7, [0.0, 2.0])]
+    got = sorted((r["rank"], r.vec_id, round(r.score, 6)) for r in neighbours(vectors(spark, [(i, v, 0) for i, v in rows])).collect())
+    want = []
+    for a, (q, x) in enumerate(rows):
+        if q % 20 == 0:
+            near = sorted((-float(np.float32(x[0])) * np.float32(y[0]) - x[1] * np.float32(y[1]), i) for b, (i, y) in enumerate(rows) if a != b)
+            want += [(n, i, round(float(-s), 6)) for n, (s, i) in enumerate(near, 1)]
+    assert got == sorted(want)
