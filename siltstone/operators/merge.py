@@ -185,6 +185,36 @@ def scd2_merge(target: DataFrame, updates: DataFrame, keys: Sequence[str], time:
     return closed.unionByName(history.select(*target.columns))
 
 
+def snapshot(history: DataFrame | None, source: DataFrame, keys: Sequence[str], now: Column, updated_at: str | None = None, check: Sequence[str] | None = None, hard_deletes: bool = False, start: str = "valid_from", end: str = "valid_to") -> DataFrame:
+    """The history of a source that holds each key's state of today: a row for each version, open ones without `end`.
+
+    Two strategies: by `updated_at`, a version is new if it is newer than the open one, and begins then; by `check`, it is new if one of these
+    columns differs (null-safe), and begins `now`. With `hard_deletes` the open version of a key that the source lacks ends
+    now. Keys that repeat in the source are an error; null keys match nothing, so each run adds them. One join on the keys of
+    open versions; closed ones pass through. The first history: None.
+    """
+    if (updated_at is None) == (check is None):
+        raise ValueError("pass updated_at or check")
+    begins = F.col(updated_at).cast("timestamp") if updated_at else now.cast("timestamp")
+    fresh = _unique(source, keys).withColumn("__begins", begins)
+    columns = source.columns
+    made = lambda df: df.select(*columns, F.col("__begins").alias(start), F.lit(None).cast("timestamp").alias(end))
+    if history is None:
+        return made(fresh)
+    old, new = history.where(F.col(end).isNull()).withColumn("__old", F.lit(True)).alias("t"), fresh.withColumn("__new", F.lit(True)).alias("s")
+    both = old.join(new, [t(k) == s(k) for k in keys], "full_outer")
+    is_old, is_new = F.col("t.__old").isNotNull(), F.col("s.__new").isNotNull()
+    differs = F.coalesce(s(updated_at) > t(updated_at), s(updated_at).isNotNull() & t(updated_at).isNull()) if updated_at else F.lit(False)
+    for c in check or ():
+        differs = differs | ~t(c).eqNullSafe(s(c))
+    changed = is_old & is_new & differs
+    ended = F.when(changed, s("__begins")).when(is_old & ~is_new & F.lit(hard_deletes), now.cast("timestamp"))
+    kept = F.struct(*(t(c).alias(c) for c in columns), t(start).alias(start), ended.alias(end))
+    added = F.struct(*(s(c).alias(c) for c in columns), s("__begins").alias(start), F.lit(None).cast("timestamp").alias(end))
+    rows = both.select(F.explode(F.array_compact(F.array(F.when(is_old, kept), F.when(changed | ~is_old, added)))).alias("x")).select("x.*")
+    return history.where(F.col(end).isNotNull()).select(*columns, start, end).unionByName(rows)
+
+
 def _by_keys(keys: Sequence[str]):
     from pyspark.sql import Window
 

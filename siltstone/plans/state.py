@@ -188,3 +188,58 @@ def outbox_alerts(spark, folder):
             if not state["broken"]:
                 raise
     return spark.read.parquet(f"{at}/received").groupBy("event_id").agg(F.count("*").alias("times"))
+
+
+@query("""WITH b AS (SELECT max(ts) - INTERVAL 7 DAY AS lo, max(ts) AS hi FROM events), q AS (SELECT ts AS s, make_timestamp(epoch_us(ts) + CAST(floor(value * 1000000) AS BIGINT)) AS e, CASE WHEN value > 50 THEN 1 ELSE 0 END AS spilled FROM events),
+n AS (SELECT count(*) FILTER (WHERE s >= lo) AS arrivals, count(*) FILTER (WHERE e >= lo AND e < hi) AS completions, count(*) FILTER (WHERE e >= lo AND e < hi AND spilled > 0) AS spills FROM q, b WHERE s < hi AND e > lo)
+SELECT arrivals, completions, round(arrivals / 604800.0, 6) AS queries_a_second, round(60 * completions / 604800.0, 6) AS completed_a_minute, round(spills / CAST(completions AS DOUBLE), 6) AS spill_rate FROM n""")
+def live_rates(spark, folder):
+    """Queries a second and a minute, and the share that spilled, of the last week."""
+    start = F.col("ts").cast("timestamp")
+    h = load(spark, folder, "events").select(start.alias("start"), F.timestamp_micros(F.unix_micros(start) + F.floor(F.col("value") * 1_000_000).cast("long")).alias("end"), F.lit("FINISHED").alias("status"), F.col("value").alias("seconds"), F.when(F.col("value") > 50, 1).otherwise(0).alias("spilled"))
+    high = h.agg(F.max("start")).first()[0]
+    out = intervals.live_metrics(h, F.lit(high) - F.expr("INTERVAL 7 DAYS"), F.lit(high), spilled="spilled")
+    return out.select("arrivals", "completions", "queries_a_second", "completed_a_minute", "spill_rate")
+
+
+SNAPSHOT = """SELECT o_orderkey, status, day, CASE WHEN o_orderkey % 3 = 0 AND v = 1 THEN TIMESTAMP '2024-06-01' ELSE {first} END AS valid_from,
+CASE WHEN v = 0 AND o_orderkey % 3 = 0 THEN TIMESTAMP '2024-06-01' WHEN v = 0 AND o_orderkey % 7 = 1 THEN TIMESTAMP '2024-07-01' END AS valid_to FROM
+(SELECT o_orderkey, o_orderstatus AS status, CAST(o_orderdate AS TIMESTAMP) AS day, 0 AS v FROM orders UNION ALL SELECT o_orderkey, 'Z', {second}, 1 FROM orders WHERE o_orderkey % 3 = 0 AND o_orderkey % 7 <> 1) x
+WHERE NOT (v = 0 AND o_orderkey % 3 = 0 AND o_orderkey % 7 = 1) UNION ALL
+SELECT o_orderkey, o_orderstatus, CAST(o_orderdate AS TIMESTAMP), {first_o}, TIMESTAMP '2024-07-01' FROM orders WHERE o_orderkey % 3 = 0 AND o_orderkey % 7 = 1"""
+
+
+def _snapshots(spark, folder, by_time: bool):
+    """Two states of the orders: in the second a third has another status and every seventh is gone."""
+    orders = load(spark, folder, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status"), F.col("o_orderdate").cast("timestamp").alias("day"))
+    hit = F.col("o_orderkey") % 3 == 0
+    june, july = (F.lit(x).cast("timestamp") for x in ("2024-06-01", "2024-07-01"))
+    later = orders.where("o_orderkey % 7 <> 1").withColumns({"status": F.when(hit, "Z").otherwise(F.col("status")), "day": F.when(hit & F.lit(by_time), june).otherwise(F.col("day"))})
+    options = {"updated_at": "day"} if by_time else {"check": ["status"]}
+    first = merge.snapshot(None, orders, ["o_orderkey"], F.lit("2024-05-01").cast("timestamp"), **options)
+    second = merge.snapshot(first, later, ["o_orderkey"], june, **options)
+    return merge.snapshot(second, later, ["o_orderkey"], july, hard_deletes=True, **options)
+
+
+@query(SNAPSHOT.format(first="day", second="TIMESTAMP '2024-06-01'", first_o="CAST(o_orderdate AS TIMESTAMP)"))
+def snapshot_by_time(spark, folder):
+    return _snapshots(spark, folder, True)
+
+
+@query(SNAPSHOT.format(first="TIMESTAMP '2024-05-01'", second="CAST(o_orderdate AS TIMESTAMP)", first_o="TIMESTAMP '2024-05-01'"))
+def snapshot_by_check(spark, folder):
+    return _snapshots(spark, folder, False)
+
+
+@query("SELECT event_id, event_type FROM events")
+def processed_times(spark, folder):
+    """Two runs over a growing table; the second takes the days that the first hasn't recorded."""
+    at = new_folder(spark, "times")
+    events = load(spark, folder, "events").select("event_id", "event_type", F.to_date("ts").alias("day"))
+    middle = events.agg(F.percentile_approx(F.unix_date("day"), 0.5).alias("d")).first()[0]
+    ledger = streams.TimeLedger(spark, f"{at}/ledger", "day")
+    for rows in (events.where(F.unix_date("day") <= middle), events):
+        new = ledger.pending(rows)
+        new.write.mode("append").parquet(f"{at}/out")
+        ledger.record(rows)
+    return spark.read.parquet(f"{at}/out").select("event_id", "event_type")

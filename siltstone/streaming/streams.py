@@ -24,6 +24,44 @@ def drain(df: DataFrame, checkpoint: str, path: str | None = None, each: Callabl
         query.stop()
 
 
+def start(df: DataFrame, checkpoint: str, trigger: str = "available now", path: str | None = None, table: str | None = None, each: Callable[[DataFrame, int], None] | None = None, mode: str = "append", name: str | None = None):
+    """A running query into a Parquet folder, a table, or a function of each batch.
+
+    trigger: "available now" (all that is there, in batches of the source's size, then it ends), "once" (all that is there as
+    one batch), or an interval such as "10 seconds" (until it is stopped).
+    """
+    if sum(x is not None for x in (path, table, each)) != 1:
+        raise ValueError("pass one of path, table and each")
+    when = {"available now": {"availableNow": True}, "once": {"once": True}}.get(trigger, {"processingTime": trigger})
+    writer = df.writeStream.option("checkpointLocation", checkpoint).outputMode(mode).trigger(**when)
+    writer = writer.queryName(name) if name else writer
+    if table is not None:
+        return writer.toTable(table)
+    return writer.foreachBatch(each).start() if each else writer.format("parquet").start(path)
+
+
+class TimeLedger:
+    """Which times of a source have been processed: a run takes the rows of times that no run before has recorded.
+
+    Rows that come late for a recorded time are not seen again, as in a ledger by time; sources with late rows need a
+    watermark or versions instead. Record after the rows have been written: a run that stops before is done again, so its
+    target should be written by time (overwriting that time's rows).
+    """
+
+    def __init__(self, spark: SparkSession, path: str, column: str):
+        self.spark, self.path, self.column = spark, path, column
+
+    def pending(self, df: DataFrame) -> DataFrame:
+        from ..sources.files import _maybe
+
+        done = _maybe(self.spark, self.path)
+        return df.where(F.col(self.column).isNotNull()) if done is None else df.join(done.select(self.column), self.column, "left_anti").where(F.col(self.column).isNotNull()).select(*df.columns)
+
+    def record(self, df: DataFrame) -> None:
+        """Add the times of these rows, each once."""
+        self.pending(df).select(self.column).distinct().withColumn("processed_at", F.current_timestamp()).write.mode("append").parquet(self.path)
+
+
 def timed(df: DataFrame, column: str = "ts") -> DataFrame:
     """Event times with a zone, as watermarks need them."""
     return df.withColumn(column, F.col(column).cast("timestamp"))
