@@ -108,6 +108,76 @@ class TempTables:
         return where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+SESSION, CODE_PATH_USER, USER = "SESSION", "CODE_PATH_USER", "USER"
+
+
+class OwnedTables:
+    """Temporary Parquet tables under one name for all, each owned by who wrote it last: a session of a user, from a code path.
+
+    The session that owns a table may append to it, overwrite and drop it. Another session may overwrite or drop it, and so
+    take it over, if `scope` says so: SESSION never, CODE_PATH_USER for the same user and code path, USER for the same user;
+    anything else is a PermissionError, unless `force`. A table changes hands when its owner file is written, before its rows
+    are; a table without one belongs to nobody.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, session: str, user: str, code_path: str = "", scope: str = SESSION):
+        if scope not in (SESSION, CODE_PATH_USER, USER):
+            raise ValueError(scope)
+        self.spark, self.path, self.scope = spark, path.rstrip("/"), scope
+        self.me = {"session": session, "user": user, "code_path": code_path}
+
+    def _file(self, name: str, *more: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path("/".join([self.path, name, *more]))
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
+    def owner(self, name: str) -> dict | None:
+        fs, path = self._file(name, "_owner")
+        if not fs.exists(path):
+            return None
+        read = fs.open(path)
+        try:
+            return json.loads(bytes(read.readAllBytes()))
+        finally:
+            read.close()
+
+    def _may(self, name: str, force: bool) -> bool:
+        """True if the table is this session's already; an error if it is another's and the scope doesn't allow to take it."""
+        owner = self.owner(name)
+        if owner is None or owner["session"] == self.me["session"]:
+            return owner is not None
+        same = {SESSION: (), CODE_PATH_USER: ("user", "code_path"), USER: ("user",)}[self.scope]
+        if not force and not (same and all(owner[k] == self.me[k] for k in same)):
+            raise PermissionError(f"{name} belongs to session {owner['session']} of {owner['user']}")
+        return False
+
+    def save(self, name: str, df: DataFrame, append: bool = False, force: bool = False) -> DataFrame:
+        """Write a table and own it. Rows are appended to a table of one's own alone; one taken over is overwritten."""
+        own = self._may(name, force)
+        fs, path = self._file(name, "_owner")
+        out = fs.create(path, True)
+        out.write(bytearray(json.dumps(self.me).encode()))
+        out.close()
+        df.write.mode("append" if append and own else "overwrite").parquet(f"{self.path}/{name}/rows")
+        return self.get(name)
+
+    def get(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/{name}/rows")
+
+    def drop(self, name: str, force: bool = False) -> bool:
+        self._may(name, force)
+        fs, path = self._file(name)
+        return fs.delete(path, True)
+
+    def mine(self) -> list[str]:
+        """Tables of this session."""
+        fs, top = self._file("")
+        names = [x.getPath().getName() for x in fs.listStatus(top)] if fs.exists(top) else []
+        return sorted(n for n in names if (self.owner(n) or {}).get("session") == self.me["session"])
+
+    def drop_mine(self) -> list[str]:
+        return [n for n in self.mine() if self.drop(n)]
+
+
 def with_keys(df: DataFrame, column: str, after: int, order: list[str]) -> DataFrame:
     """New rows numbered from `after` + 1 in a fixed order: counted by range partition, so no task gets all rows.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import intervals, layout, merge, sketches
+from ..operators import intervals, layout, merge, runlog, sketches
 from ..operators.partitions import PartitionedTable
 from ..registry import query
 from ..session import ROCKSDB, load, new_folder
@@ -243,3 +243,22 @@ def processed_times(spark, folder):
         new.write.mode("append").parquet(f"{at}/out")
         ledger.record(rows)
     return spark.read.parquet(f"{at}/out").select("event_id", "event_type")
+
+
+@query("SELECT 'nightly' AS table_name, count(*) AS n FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT 'shared', 2 * count(*) FROM orders WHERE o_orderstatus = 'O'")
+def owned_temp_tables(spark, folder):
+    """A later session of the same user and code takes a table over; another user's may not, and its own it may add to."""
+    at, orders = new_folder(spark, "owned"), load(spark, folder, "orders").select("o_orderkey", "o_orderstatus")
+    first = runlog.OwnedTables(spark, at, "s1", "ann", "jobs/nightly", runlog.CODE_PATH_USER)
+    later = runlog.OwnedTables(spark, at, "s2", "ann", "jobs/nightly", runlog.CODE_PATH_USER)
+    other = runlog.OwnedTables(spark, at, "s3", "bob", "jobs/nightly", runlog.CODE_PATH_USER)
+    first.save("nightly", orders)
+    later.save("nightly", orders.where("o_orderstatus = 'F'"), append=True)
+    for _ in range(2):
+        other.save("shared", orders.where("o_orderstatus = 'O'"), append=True)
+    try:
+        other.save("nightly", orders)
+    except PermissionError:
+        pass
+    counts = [t.get(n).agg(F.count("*").alias("n")).select(F.lit(n).alias("table_name"), "n") for t, n in ((later, "nightly"), (other, "shared"))]
+    return counts[0].unionByName(counts[1])

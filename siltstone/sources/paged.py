@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from typing import Protocol
 
+from pyspark.errors import PySparkTypeError, PySparkValueError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -55,7 +56,13 @@ def paged_table(spark: SparkSession, fetch: FetchPage, schema: T.StructType | st
 
 
 def statement_result(spark: SparkSession, rows: list[list], schema: T.StructType) -> DataFrame:
-    """Rows of texts with a schema: each value is cast; one that can't be becomes null."""
+    """Rows of a statement with its schema: as they are if each value has its column's type; else all values are read as
+    texts and cast, and one that can't be cast becomes null. The rows of a page are on the driver; see sources.pages for
+    results of many."""
+    try:
+        return spark.createDataFrame([tuple(r) for r in rows], schema, verifySchema=True)
+    except (PySparkTypeError, PySparkValueError):
+        pass
     texts = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])
     raw = spark.createDataFrame([[None if v is None else str(v) for v in r] for r in rows], texts)
     return raw.select(*(F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in schema.fields))
@@ -139,3 +146,27 @@ def in_parallel(jobs: Sequence, work: Callable, most: int = 10) -> list:
 
     with ThreadPoolExecutor(most) as pool:
         return list(pool.map(safe, jobs))
+
+
+def migrate(runner: SqlRunner, scripts: DataFrame, most: int = 3) -> list[dict]:
+    """Run the statements of catalog.migration_scripts(), `most` at once: all tables first, then the views, which may name
+    any of them. Views may name other views: those that fail are tried again as long as some succeed. A row of status for
+    each statement's last try. Statements are configuration, one for each table."""
+    said: dict[int, dict] = {}
+    rows = list(enumerate(scripts.orderBy("step", "schema_name", "table_name").collect()))
+
+    def work(job) -> tuple[int, dict]:
+        at, row = job
+        try:
+            runner.sql(row["statement"]).collect()
+            return at, {"table_name": row["table_name"], "step": row["step"], "status": "SUCCEEDED", "error": None}
+        except Exception as e:
+            return at, {"table_name": row["table_name"], "step": row["step"], "status": "FAILED", "error": str(e)[:500]}
+
+    for step in (1, 2):
+        open_ = [x for x in rows if x[1]["step"] == step]
+        while open_:
+            said.update(dict(in_parallel(open_, work, most)))
+            failed = [x for x in open_ if said[x[0]]["status"] == "FAILED"]
+            open_ = failed if step == 2 and len(failed) < len(open_) else []
+    return [said[at] for at, _ in rows]

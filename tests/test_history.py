@@ -76,3 +76,51 @@ def test_micro_batches_merge_into_partitions(spark, tmp_path):
     streams.drain(stream, f"{tmp_path}/c", each=table.sink(lambda now, new: merge.upsert(now, new, ["id"])))
     got = {r.id: r.v for r in table.read().collect()}
     assert len(got) == 101 and (got[3], got[13], got[23], got[4], got[200], got[5]) == (1, 2, 1, 2, 2, 0)
+
+
+def test_owned_tables(spark, tmp_path):
+    from siltstone.operators.runlog import CODE_PATH_USER, SESSION, USER, OwnedTables
+
+    at = lambda session, user, code, scope: OwnedTables(spark, f"{tmp_path}/o", session, user, code, scope)
+    one, two = spark.range(3), spark.range(10, 14)
+    a = at("s1", "ann", "x", SESSION)
+    assert a.mine() == [] and a.save("t", one).count() == 3 and a.save("t", two, append=True).count() == 7 and a.mine() == ["t"]
+    for other in (at("s2", "ann", "x", SESSION), at("s2", "ann", "y", CODE_PATH_USER), at("s2", "bob", "x", USER)):
+        for refused in (lambda t: t.save("t", one), lambda t: t.drop("t")):
+            with pytest.raises(PermissionError):
+                refused(other)
+    assert at("s2", "ann", "x", CODE_PATH_USER).save("t", one, append=True).count() == 3  # taken over, so overwritten
+    assert a.mine() == [] and at("s3", "ann", "y", USER).save("t", two).count() == 4
+    assert a.save("t", one, force=True).count() == 3 and a.drop_mine() == ["t"] and a.owner("t") is None
+
+
+def test_statement_results_are_typed_or_cast(spark):
+    from pyspark.sql import types as T
+
+    from siltstone.sources.paged import statement_result
+
+    schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.DoubleType())])
+    assert [tuple(r) for r in statement_result(spark, [[1, 2.5], [None, 3.0]], schema).collect()] == [(1, 2.5), (None, 3.0)]
+    assert [tuple(r) for r in statement_result(spark, [["1", "2.5"], ["x", 3.0]], schema).collect()] == [(1, 2.5), (None, 3.0)]
+
+
+def test_migration_makes_tables_before_views(spark):
+    from siltstone.sources.paged import migrate
+
+    class Log:
+        def __init__(self):
+            self.there, self.tried = set(), []
+
+        def sql(self, statement):
+            name, _, needs = statement.partition("<")
+            self.tried.append(name)
+            if needs and needs not in self.there:
+                raise ValueError(needs)
+            self.there.add(name)
+            return spark.range(1)
+
+    rows = [("s", "t1", "t1", 1), ("s", "a_view", "a_view<z_view", 2), ("s", "z_view", "z_view<t2", 2), ("s", "t2", "t2", 1), ("s", "lost", "lost<none", 2)]
+    log = Log()
+    said = {r["table_name"]: r["status"] for r in migrate(log, spark.createDataFrame(rows, "schema_name string, table_name string, statement string, step int"), most=2)}
+    assert said == {"t1": "SUCCEEDED", "t2": "SUCCEEDED", "a_view": "SUCCEEDED", "z_view": "SUCCEEDED", "lost": "FAILED"}
+    assert set(log.tried[:2]) == {"t1", "t2"}
