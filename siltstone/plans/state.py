@@ -262,3 +262,43 @@ def owned_temp_tables(spark, folder):
         pass
     counts = [t.get(n).agg(F.count("*").alias("n")).select(F.lit(n).alias("table_name"), "n") for t, n in ((later, "nightly"), (other, "shared"))]
     return counts[0].unionByName(counts[1])
+
+
+# --- the layout advisor and the run log over given tables -----------------------------------------------------------
+
+#: What a profile says of columns: table, column, reads, writes, scaled metrics, roles.
+PROFILE = [("orders", "o_orderkey", 90, 20, 1.0, 3), ("orders", "o_custkey", 40, 5, 0.7, 2), ("orders", "o_orderstatus", 10, 0, 0.1, 1), ("lineitem", "l_partkey", 70, 1, 0.9, 1), ("lineitem", "l_quantity", 30, 2, 0.4, 1), ("lineitem", "l_returnflag", 20, 0, 0.2, 1)]
+_PROFILE = ", ".join(str(x) for x in PROFILE)
+_DISTINCT = " UNION ALL ".join(f"SELECT '{t}' AS table_name, '{c}' AS column_name, count(DISTINCT {c}) AS distinct_count, count(*) AS row_count FROM {t}" for t, c, *_ in PROFILE)
+
+
+@query(f"""WITH s AS (SELECT *, round(distinct_count / CAST(row_count AS DOUBLE), 6) AS share FROM ({_DISTINCT}) d JOIN (VALUES {_PROFILE}) v(table_name, column_name, reads, writes, scaled_metrics, role_flags) USING (table_name, column_name)),
+r AS (SELECT *, rank() OVER (PARTITION BY table_name ORDER BY score DESC) AS "rank" FROM (SELECT *, round(CAST(reads AS DOUBLE) * (1 + scaled_metrics + role_flags) * (0.001 + share) + writes * (0.001 + share), 6) AS score FROM s) x),
+c AS (SELECT *, (("rank" <= 2 AND distinct_count >= 1000) OR (share >= 0.2 AND distinct_count >= 1000) OR (share >= 0.01 AND row_count >= 1000000)) AS chosen FROM r)
+SELECT table_name, max(row_count) AS row_count, 'OPTIMIZE ' || table_name || coalesce(' ZORDER BY (' || string_agg(CASE WHEN chosen THEN column_name END, ', ' ORDER BY "rank", column_name) || ')', '') AS optimize FROM c GROUP BY table_name""")
+def layout_advice(spark, folder):
+    """From a profile of reads and writes and the tables' own statistics to a statement for each table."""
+    profile = spark.createDataFrame(PROFILE, "table_name string, column_name string, reads long, writes long, scaled_metrics double, role_flags long")
+    found = None
+    for table in ("orders", "lineitem"):
+        one = layout.cardinality(load(spark, folder, table), [c for t, c, *_ in PROFILE if t == table]).withColumn("table_name", F.lit(table))
+        found = one if found is None else found.unionByName(one)
+    scores = layout.layout_scores(found.join(profile, ["table_name", "column_name"]).withColumn("is_partition", F.lit(False)))
+    sizes = found.groupBy("table_name").agg(F.max("row_count").alias("row_count")).withColumn("size_bytes", F.col("row_count") * 100)
+    return layout.commands(scores, sizes).join(sizes, "table_name").select("table_name", "row_count", "optimize")
+
+
+@query("""SELECT 'user ' || user_id AS process_name, count(*) AS runs, count(*) FILTER (WHERE event_type = 'error') AS failed, count(*) FILTER (WHERE event_type = 'view') AS running,
+round(avg(CASE WHEN event_type <> 'view' THEN (1 + CAST(floor(value * 1000) AS BIGINT)) / 1000.0 END), 4) AS mean_seconds FROM events GROUP BY 1""")
+def logged_runs(spark, folder):
+    """Events as runs of processes in a log of start and end rows: views never end, errors fail."""
+    path = f"{new_folder(spark, 'runs')}/log"
+    started = F.col("ts").cast("timestamp")
+    ended = F.timestamp_micros(F.unix_micros(started) + 1000 * (1 + F.floor(F.col("value") * 1000).cast("long")))
+    events = load(spark, folder, "events").withColumns({"run_id": F.col("event_id").cast("string"), "process_name": F.concat(F.lit("user "), "user_id")})
+    none = {"note": F.lit(None).cast("string"), "metrics": F.lit(None).cast("string")}
+    begin = events.select("run_id", "process_name", F.lit(runlog.RUNNING).alias("status"), started.alias("at"))
+    end = events.where("event_type <> 'view'").select("run_id", "process_name", F.when(F.col("event_type") == "error", runlog.FAIL).otherwise(runlog.SUCCESS).alias("status"), ended.alias("at"))
+    begin.unionByName(end).withColumns(none).write.parquet(path)
+    runs = runlog.RunLog(spark, path).runs()
+    return runs.groupBy("process_name").agg(F.count("*").alias("runs"), F.count_if(F.col("status") == runlog.FAIL).alias("failed"), F.count_if(F.col("status") == runlog.RUNNING).alias("running"), F.round(F.avg("duration_seconds"), 4).alias("mean_seconds"))
