@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import shared_folder
+from ..session import written
 
 
 def split_documents(docs: DataFrame, raw: str = "raw") -> tuple[DataFrame, DataFrame]:
@@ -72,31 +72,28 @@ def simple_paths(nodes: DataFrame, edges: DataFrame, start: object, most_steps:
     return out.join(ends.select(F.col("id").alias("node"), "type"), "node").select("node", "type", "level", F.array_join(F.transform("path", lambda x: x.cast("string")), ", ").alias("path"))
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 30, damping: float = 0.85, types: Sequence[str] | None = None, checkpoint_every: int = 5) -> DataFrame:
+def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 30, damping: float = 0.85, types: Sequence[str] | None = None, write_every: int = 5) -> DataFrame:
     """id, type, score: 1/N on each (chosen) node, pushed along all edges `rounds` times; at the last round reached the
     inbound weight plus the teleport share (1 - d^k)(1 - d)/(N (1 - d)). Weight at nodes without edges is lost.
 
-    Weights of a node are summed each round, so the work is rounds x edges. The edges with their shares are checkpointed
-    once in the folder of spark.checkpoint.dir, the weights every few rounds; the loop ends when no weight is left to
-    push, which is only looked at then.
+    Weights of a node are summed each round, so the work is rounds x edges. The edges with their shares are written once
+    into the shared folder, the weights every few rounds (written, not checkpointed: a checkpoint computes its rows twice);
+    the loop ends when no weight is left to push, which is only looked at then.
     """
-    spark = nodes.sparkSession
     chosen = nodes.where(F.col("type").isin(list(types))) if types else nodes
     n = chosen.count()
     if not n:
         return chosen.select("id", "type", F.lit(0.0).alias("score"))
     out_degree = edges.groupBy("src").agg(F.count("*").alias("out"))
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    hops = edges.select("src", "dst").join(out_degree, "src").withColumn("share", F.lit(damping) / F.col("out")).select("src", "dst", "share").checkpoint()
+    hops = written(edges.select("src", "dst").join(out_degree, "src").withColumn("share", F.lit(damping) / F.col("out")).select("src", "dst", "share"), "hops")
     weight = chosen.select("id", (F.lit(1.0) / n).alias("w"))
     reached, last, since = 0, weight, []
     for k in range(1, rounds + 1):
         weight = weight.join(hops, weight["id"] == hops["src"]).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("w") * F.col("share")).alias("w"))
         since.append((k, weight))
-        if k % checkpoint_every and k != rounds:
+        if k % write_every and k != rounds:
             continue
-        weight = weight.checkpoint()
+        weight = written(weight, "weights")
         if not weight.isEmpty():
             reached, last, since = k, weight, []
             continue

@@ -39,17 +39,15 @@ def update_delete(spark, folder):
 
 @query("""SELECT o_orderpriority, count(*) AS n, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS cents, 'batch 7' AS batch FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > (SELECT avg(o_totalprice) FROM orders) GROUP BY 1""")
 def parameters_and_variables(spark, folder):
-    """Named parameters, a table name as a parameter, and session variables, one of them set from a query."""
+    """Named parameters, a table name as a parameter, and session variables, one of them set from a query. Variables are read
+    when the query is run, so they have names of their own."""
     views(spark, folder, "orders")
-    spark.sql("DECLARE OR REPLACE VARIABLE least_price DOUBLE")
-    spark.sql("SET VAR least_price = (SELECT avg(o_totalprice) FROM IDENTIFIER(:name))", args={"name": "orders"})
-    spark.sql("DECLARE OR REPLACE VARIABLE batch STRUCT<id: INT, note: STRING> = named_struct('id', 7, 'note', 'batch')")
-    text = "SELECT o_orderpriority, count(*) AS n, sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS cents, concat(batch.note, ' ', batch.id) AS batch FROM IDENTIFIER(:name) WHERE o_orderstatus = :status AND o_totalprice > least_price GROUP BY 1"
-    # variables are read when the query is run: fix this one's result to their values now
-    low, note = spark.sql("SELECT least_price, concat(batch.note, ' ', batch.id)").first()
-    fixed = text.replace("least_price", ":low").replace("concat(batch.note, ' ', batch.id)", ":note")
-    assert spark.sql(text, args={"name": "orders", "status": "F"}).count() == spark.sql(fixed, args={"name": "orders", "status": "F", "low": low, "note": note}).count()
-    return spark.sql(fixed, args={"name": "orders", "status": "F", "low": low, "note": note})
+    price, batch = (f"{name}_{uuid.uuid4().hex}" for name in ("least_price", "batch"))
+    spark.sql(f"DECLARE VARIABLE {price} DOUBLE")
+    spark.sql(f"SET VAR {price} = (SELECT avg(o_totalprice) FROM IDENTIFIER(:name))", args={"name": "orders"})
+    spark.sql(f"DECLARE VARIABLE {batch} STRUCT<id: INT, note: STRING> = named_struct('id', 7, 'note', 'batch')")
+    text = f"SELECT o_orderpriority, count(*) AS n, sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS cents, concat({batch}.note, ' ', {batch}.id) AS batch FROM IDENTIFIER(:name) WHERE o_orderstatus = :status AND o_totalprice > {price} GROUP BY 1"
+    return spark.sql(text, args={"name": "orders", "status": "F"})
 
 
 # --- configuration ----------------------------------------------------------------------------------------------------

@@ -289,7 +289,7 @@ def layout_advice(spark, folder):
 
 
 @query("""SELECT 'user ' || user_id AS process_name, count(*) AS runs, count(*) FILTER (WHERE event_type = 'error') AS failed, count(*) FILTER (WHERE event_type = 'view') AS running,
-round(avg(CASE WHEN event_type <> 'view' THEN (1 + CAST(floor(value * 1000) AS BIGINT)) / 1000.0 END), 4) AS mean_seconds FROM events GROUP BY 1""")
+CAST(sum(CASE WHEN event_type <> 'view' THEN 1 + CAST(floor(value * 1000) AS BIGINT) END) AS BIGINT) AS total_ms FROM events GROUP BY 1""")
 def logged_runs(spark, folder):
     """Events as runs of processes in a log of start and end rows: views never end, errors fail."""
     path = f"{new_folder(spark, 'runs')}/log"
@@ -301,4 +301,4 @@ def logged_runs(spark, folder):
     end = events.where("event_type <> 'view'").select("run_id", "process_name", F.when(F.col("event_type") == "error", runlog.FAIL).otherwise(runlog.SUCCESS).alias("status"), ended.alias("at"))
     begin.unionByName(end).withColumns(none).write.parquet(path)
     runs = runlog.RunLog(spark, path).runs()
-    return runs.groupBy("process_name").agg(F.count("*").alias("runs"), F.count_if(F.col("status") == runlog.FAIL).alias("failed"), F.count_if(F.col("status") == runlog.RUNNING).alias("running"), F.round(F.avg("duration_seconds"), 4).alias("mean_seconds"))
+    return runs.groupBy("process_name").agg(F.count("*").alias("runs"), F.count_if(F.col("status") == runlog.FAIL).alias("failed"), F.count_if(F.col("status") == runlog.RUNNING).alias("running"), F.sum(F.round(1000 * F.col("duration_seconds")).cast("long")).alias("total_ms"))
