@@ -63,6 +63,7 @@ def config_driven_ingest(spark, folder):
         (2, "orders", "csv", "o_orderkey long, o_custkey long, o_orderstatus string", "|", False, "bronze_orders", "silver_orders", "o_orderkey"),
         (1, "customer", "csv", "c_custkey long, c_name string, c_nationkey int", "|", False, "bronze_customer", "silver_customer", "c_custkey"),
     ]
+    # fixed values: the names of the configuration's columns
     names = "task_id int, src_path string, src_format string, src_column_list string, src_sep string, src_header boolean, bronze_table string, silver_table string, primary_key string"
     spark.createDataFrame(rows, names).coalesce(1).write.json(f"{at}/config")
     tasks = spark.read.schema(names).json(f"{at}/config")
@@ -176,6 +177,7 @@ def change_feed_null_keys(spark, folder):
     return merge.changes_between(before, after, ["k"])
 
 
+# fixed values: table sizes in GB and file sizes in MB, as in layout.FILE_SIZES
 @query("""SELECT key, mb AS target_mb FROM (SELECT o_orderkey AS key, CAST(o_totalprice * 20 AS BIGINT) AS gb FROM orders) o LEFT JOIN LATERAL (SELECT min(mb) AS mb FROM (VALUES (8, 16), (16, 32), (32, 64), (64, 64), (128, 128), (256, 128), (512, 256), (1024, 256), (2560, 512), (3072, 716), (5120, 1024), (7168, 1024), (10240, 1024),
 (51200, 1024), (102400, 1024), (204800, 1024), (409600, 1024), (819200, 1024), (1638400, 2048)) b(up_to, mb) WHERE o.gb <= up_to) m ON true""")
 def file_size_bands(spark, folder):

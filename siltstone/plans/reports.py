@@ -63,10 +63,8 @@ TEXTS = [
     "Database d not found", "Table t not found", "Database d already exists", "Table t already exists", "column c already exists", "v is a view. DESCRIBE DETAIL is only supported for tables.", "User does not own t", "no permission", "data type mismatch",
     "Reference x is ambiguous", "needs protocol 3", "[parse_syntax_error]", "",
 ]
-KINDS = [
-    "Parse Syntax Error", "Parse Empty Statement", "Missing Column", "Requires Unity Catalog", "Catalog namespace is not supported", "Timeout Error", "Executor Lost Failure", "Stage Failure", "Database not found", "Table not found",
-    "Database already exists", "Table already exists", "Column already exists", "Describe on View", "Permission Error", "Permission Error", "Data Type Mismatch", "Ambiguous Column", "Delta Protocol Error", "Other", "",
-]
+#: The category of each text: one text for each group of words of a category, then one without, and none.
+KINDS = [name for name, groups in expressions.ERROR_RULES for _ in groups] + ["Other", ""]
 _KINDS = ", ".join(f"({i}, '{k}')" for i, k in enumerate(KINDS))
 
 

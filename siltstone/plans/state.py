@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import expressions
 from ..operators import intervals, layout, merge, runlog, sketches
 from ..operators.partitions import PartitionedTable
 from ..registry import query
@@ -302,3 +303,14 @@ def logged_runs(spark, folder):
     begin.unionByName(end).withColumns(none).write.parquet(path)
     runs = runlog.RunLog(spark, path).runs()
     return runs.groupBy("process_name").agg(F.count("*").alias("runs"), F.count_if(F.col("status") == runlog.FAIL).alias("failed"), F.count_if(F.col("status") == runlog.RUNNING).alias("running"), F.sum(F.round(1000 * F.col("duration_seconds")).cast("long")).alias("total_ms"))
+
+
+@query("SELECT c_custkey, regexp_replace(regexp_replace(regexp_replace(c_name, '[A-Z]', 'X', 'g'), '[a-z]', 'x', 'g'), '[0-9]', 'n', 'g') AS c_name, c_name AS clear_name FROM customer WHERE c_nationkey % 3 = 0")
+def rows_of_current_user(spark, folder):
+    """Row filter and column mask by whoever runs the query: some nations are theirs; one mask has them as an exception."""
+    customer = load(spark, folder, "customer").select("c_custkey", "c_name", "c_nationkey", F.col("c_name").alias("clear_name"))
+    who = F.when(F.col("n_nationkey") % 3 == 0, F.current_user()).otherwise("someone else")
+    permissions = load(spark, folder, "nation").select(who.alias("user_name"), F.col("n_nationkey").alias("c_nationkey"))
+    rows = expressions.masked(expressions.visible_rows(customer, permissions, on=["c_nationkey"]), ["c_name"], clear_for=["someone else"])
+    me = spark.range(1).select(F.current_user()).first()[0]
+    return expressions.masked(rows, ["clear_name"], clear_for=[me]).select("c_custkey", "c_name", "clear_name")
