@@ -79,7 +79,7 @@ def mentions(text: DataFrame, names: DataFrame, name: str = "name", column: str
     index = held.join(often, ["__size", "__gram"]).groupBy("__name").agg(F.min(F.struct("__n", "__gram", "__size")).alias("g")).select("__name", "g.__gram", "g.__size")
     index = written(index, "names")
     sizes = sorted(r[0] for r in index.select("__size").distinct().collect())  # `size` at most
-    few = index.count() <= broadcast_names
+    few = names.count() <= broadcast_names
     rows = text if few else written(text.withColumn("__row", F.monotonically_increasing_id()), "texts")
     lowered = rows.withColumn("__text", F.lower(column)) if few else rows.select("__row", F.lower(column).alias("__text"))
     marked = lambda n: F.transform(_grams(F.col("__text"), n), lambda g: F.struct(F.lit(n).alias("s"), g.alias("g")))
@@ -89,8 +89,10 @@ def mentions(text: DataFrame, names: DataFrame, name: str = "name", column: str
         found = cut.join(F.broadcast(index), ["__size", "__gram"]).where(F.contains("__text", "__name"))
     else:
         pairs = salted_join(written(cut.drop("__text"), "stretches"), index, ["__size", "__gram"]).select("__row", "__name")
-        found = rows.join(pairs, "__row").where(F.contains(F.lower(column), F.col("__name")))
-    return found.join(names.withColumn("__name", F.lower(name)), "__name").select(*text.columns, *names.columns)
+        found = written(rows.join(pairs, "__row").where(F.contains(F.lower(column), F.col("__name"))), "found")
+    named = names.withColumn("__name", F.lower(name))
+    both = found.join(F.broadcast(named), "__name") if few else salted_join(found, named, ["__name"])
+    return both.select(*text.columns, *names.columns)
 
 
 def resume_from(history: DataFrame, look_back: timedelta, now: datetime, start: str = "start", status: str = "status") -> datetime:
