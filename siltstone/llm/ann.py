@@ -75,7 +75,10 @@ class Index:
 
     centroids: np.ndarray
     graph: np.ndarray
-    starts: np.ndarray
+    #: The graph's upper layer: means of groups of near centroids, and the members of each group, one group after the other.
+    tops: np.ndarray
+    members: np.ndarray
+    firsts: np.ndarray
     reach: float
     ratio: float = 0.0
     probes: int = 1
@@ -88,7 +91,8 @@ class Index:
         """The k nearest centroids of each row of x and their squared distances, by best-first search of the graph.
 
         All rows walk at once: in each step a row opens the WIDE nearest centroids of its beam that it has not opened, and
-        takes in those of their neighbours that it has not seen. It ends when all `beam` nearest seen ones are opened. A step
+        takes in those of their neighbours that it has not seen. It starts from the members of the HEADS nearest groups of the
+        upper layer: from random ones it would not find its way between clusters far from one another. It ends when all `beam` nearest seen ones are opened. A step
         costs what it looks at; of all centroids there is but a mark whether they were seen.
         """
         if len(x) > ROWS:  # a step holds a copy of a vector for each neighbour looked at
@@ -123,7 +127,10 @@ class Index:
             at[some] = np.take_along_axis(np.concatenate([at[some], more_at], axis=1), order, 1)
             opened[some] = np.take_along_axis(np.concatenate([opened[some], np.zeros(more_at.shape, bool)], axis=1), order, 1)
 
-        look(np.repeat(np.arange(n), len(self.starts)), np.tile(self.starts, n))
+        heads = _nearest_rows(x, self.tops, min(HEADS, len(self.tops))).ravel()
+        held = np.diff(self.firsts)[heads]
+        within = np.arange(held.sum()) - np.repeat(np.cumsum(held) - held, held)
+        look(np.repeat(np.repeat(np.arange(n), len(heads) // n), held), self.members[np.repeat(self.firsts[heads], held) + within])
         while True:
             # the WIDE nearest that aren't opened, in the order of the beam
             waiting = ~opened & np.isfinite(d)
@@ -149,8 +156,8 @@ class Index:
         return lists, keep
 
 
-#: Centroids that a row opens in one step of the search.
-WIDE = 8
+#: Centroids that a row opens in one step of the search, and groups of them that it starts from.
+WIDE, HEADS = 8, 8
 
 
 def fit(vectors: DataFrame, k: int = 20, replicas: int = 3, boundary: float = 0.05, recall: float = 0.94, sample: int = 40_000, sample_bytes: int = 64 << 20, degree: int = 24, trials: int = 256, seed: int = 11) -> Index | None:
@@ -170,7 +177,8 @@ def fit(vectors: DataFrame, k: int = 20, replicas: int = 3, boundary: float = 0.
     chosen = vectors if n <= sample else vectors.where(F.pmod(F.xxhash64("vec_id", "embedding", F.lit(seed)), F.lit(1 << 20)) < int((1 << 20) * sample / n))
     x = _matrix(chosen.select("embedding").toArrow().column("embedding").combine_chunks())
     x = x if len(x) else np.array([vectors.first()["embedding"]])
-    index = Index(np.empty((0, 0)), np.empty((0, 0), int), np.empty(0, int), float(reach) ** 0.5)
+    none = np.empty(0, int)
+    index = Index(np.empty((0, 0)), np.empty((0, 0), int), np.empty((0, 0)), none, none, float(reach) ** 0.5)
     rng = np.random.default_rng(seed)
     x = x[rng.permutation(len(x))]
     lifted = index.lift(x, False)
@@ -179,7 +187,10 @@ def fit(vectors: DataFrame, k: int = 20, replicas: int = 3, boundary: float = 0.
     near = np.concatenate([_nearest_rows(c[a : a + 256], c, min(degree + 1, len(c))) for a in range(0, len(c), 256)])
     far = rng.integers(0, len(c), (len(c), 4))  # a few long edges keep the graph in one piece
     index.centroids, index.graph = c, np.column_stack([near, far])
-    index.starts = rng.choice(len(c), min(len(c), 16), replace=False)
+    index.tops = _balanced(c, max(1, round(len(c) ** 0.5 / 2)), rng)
+    group = _nearest_rows(c, index.tops, 1)[:, 0]
+    index.members = np.argsort(group, kind="stable")
+    index.firsts = np.concatenate([[0], np.cumsum(np.bincount(group, minlength=len(index.tops)))])
     _calibrate(index, x, lifted, k, replicas, boundary, recall, trials)
     return index
 
