@@ -156,9 +156,11 @@ def layout_score(spark, folder):
 
 @query("""SELECT o_orderkey, min(mb) AS target_mb FROM orders LEFT JOIN (VALUES (20000, 16), (60000, 32), (150000, 64), (300000, 128)) b(up_to, mb) ON CAST(o_totalprice AS BIGINT) <= up_to GROUP BY 1""")
 def bucket_lookup(spark, folder):
-    orders = load(spark, folder, "orders").select("o_orderkey", F.round("o_totalprice").cast("long").alias("size"))
+    """The smallest band of each order; halves go to the even number, as casts of DuckDB round."""
+    orders = load(spark, folder, "orders").select("o_orderkey", F.rint("o_totalprice").cast("long").alias("size"))
     bands = F.array(*(F.struct(F.lit(a).alias("up_to"), F.lit(b).alias("mb")) for a, b in ((20000, 16), (60000, 32), (150000, 64), (300000, 128))))
-    return orders.select("o_orderkey", F.array_min(F.transform(F.filter(bands, lambda x: F.col("size") <= x["up_to"]), lambda x: x["mb"])).alias("target_mb"))
+    found = orders.select("o_orderkey", F.array_min(F.transform(F.filter(bands, lambda x: F.col("size") <= x["up_to"]), lambda x: x["mb"])).alias("mb"))
+    return found.groupBy("o_orderkey").agg(F.min("mb").alias("target_mb"))
 
 
 # --- SQL that both engines read -----------------------------------------------------------------------------------
