@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+import os
+import uuid
+from collections.abc import Callable, Iterator
 from typing import Protocol
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,12 +75,18 @@ class Outbox:
     messages written and goes on with those that aren't acknowledged. What was sent and not yet acknowledged when a driver
     died is a chunk at most: `known`, if given, asks the receiver which of its ids it has; other receivers must ignore an id
     that they have seen. All rows are sent; the driver holds a chunk at a time.
+
+    With `tasks`, so many tasks send at once, in chunks of ascending ids, and nothing passes through the driver; `send` and
+    `known` are pickled then. A task whose receiver fails ends there and the others go on; what was sent is acknowledged
+    together at the end, then the failure is raised. A driver that dies before leaves up to a batch that was sent and not
+    acknowledged, for which `known` or the receiver makes up as above.
     """
 
     MESSAGES = "message_id string, body string, copies long"
+    SAID = "message_id string, attempt string, fresh boolean, error string"
 
-    def __init__(self, spark: SparkSession, path: str, query: str, send: Callable[[list[dict]], None], known: Callable[[list[str]], set[str]] | None = None, chunk: int = 500):
-        self.spark, self.path, self.query, self.send, self.known, self.chunk = spark, f"{path.rstrip('/')}/{query}", query, send, known, chunk
+    def __init__(self, spark: SparkSession, path: str, query: str, send: Callable[[list[dict]], None], known: Callable[[list[str]], set[str]] | None = None, chunk: int = 500, tasks: int | None = None):
+        self.spark, self.path, self.query, self.send, self.known, self.chunk, self.tasks = spark, f"{path.rstrip('/')}/{query}", query, send, known, chunk, tasks
 
     def _pending(self, batch_id: int) -> DataFrame | None:
         there = f"{self.path}/pending/batch={batch_id}"
@@ -98,6 +108,8 @@ class Outbox:
         if pending is None:
             return 0
         open_ = pending if acked is None else pending.join(acked, "message_id", "left_anti")
+        if self.tasks:
+            return self._flush_in_tasks(open_, batch_id, again)
         held, sent = [], 0
 
         def deliver() -> int:
@@ -114,6 +126,86 @@ class Outbox:
                 sent, held = sent + deliver(), []
         return sent + (deliver() if held else 0)
 
+    def _flush_in_tasks(self, open_: DataFrame, batch_id: int, again: bool) -> int:
+        send, known, chunk, attempt = self.send, self.known, self.chunk, uuid.uuid4().hex
+
+        def said(ids: list[str | None], fresh: list[bool], error: str | None = None) -> pa.RecordBatch:
+            n = len(ids)
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array([attempt] * n, pa.string()), pa.array(fresh, pa.bool_()), pa.array([error] * n, pa.string())], names=["message_id", "attempt", "fresh", "error"])
+
+        def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
+            held = []
+            for batch in batches:
+                for r in batch.to_pylist():
+                    held.append({"message_id": r["message_id"], "copies": r["copies"], "row": json.loads(r["body"])})
+                    if len(held) == chunk:
+                        yield held
+                        held = []
+            if held:
+                yield held
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ask = known is not None and (again or TaskContext.get().attemptNumber() > 0)
+            for held in chunks(batches):
+                ids = [m["message_id"] for m in held]
+                try:
+                    seen = known(ids) if ask else set()
+                    fresh = [m for m in held if m["message_id"] not in seen]
+                    if fresh:
+                        send(fresh)
+                except Exception as e:
+                    yield said([None], [False], f"{type(e).__name__}: {e}")
+                    for _ in batches:  # Spark expects that a task reads all that it is given
+                        pass
+                    return
+                yield said(ids, [i not in seen for i in ids])
+
+        path = f"{self.path}/acknowledged/batch={batch_id}"
+        dealt = open_.select("message_id", "body", "copies").repartitionByRange(self.tasks, "message_id").sortWithinPartitions("message_id")
+        dealt.mapInArrow(run, self.SAID).write.mode("append").parquet(path)
+        result = self.spark.read.schema(self.SAID).parquet(path).where(F.col("attempt") == attempt).agg(F.count_if("fresh").alias("sent"), F.max("error").alias("error")).first()
+        if result["error"] is not None:
+            raise ConnectionError(result["error"])
+        return result["sent"]
+
+
+class FolderReceiver:
+    """Stands for a service that receives an outbox's messages: a chunk is a file of JSON lines, named by its least and largest
+    id, so that only files whose ids may be among those asked for are read. For folders that all executors mount. With
+    `breaks` it fails once, after a chunk was received."""
+
+    def __init__(self, path: str, breaks: bool = False):
+        self.path, self.breaks = path.removeprefix("file://"), breaks
+
+    def send(self, messages: list[dict]) -> None:
+        os.makedirs(self.path, exist_ok=True)
+        ids = [m["message_id"] for m in messages]
+        name = f"{min(ids)}-{max(ids)}-{uuid.uuid4().hex}.json"
+        aside = os.path.join(self.path, f"_{name}")
+        with open(aside, "w", encoding="utf-8") as f:
+            f.writelines(json.dumps({"message_id": m["message_id"], **m["row"]}) + "\n" for m in messages)
+        os.replace(aside, os.path.join(self.path, name))
+        if self.breaks:
+            try:
+                os.close(os.open(os.path.join(self.path, "_broken"), os.O_CREAT | os.O_EXCL))
+            except FileExistsError:
+                return
+            raise ConnectionError("after it was received, before it was acknowledged")
+
+    def broken(self) -> bool:
+        return os.path.exists(os.path.join(self.path, "_broken"))
+
+    def known(self, ids: list[str]) -> set[str]:
+        asked, low, high = set(ids), min(ids), max(ids)
+        found = set()
+        for name in os.listdir(self.path) if os.path.isdir(self.path) else []:
+            first, _, rest = name.partition("-")
+            if name.startswith("_") or first > high or rest.partition("-")[0] < low:
+                continue
+            with open(os.path.join(self.path, name), encoding="utf-8") as f:
+                found |= asked & {json.loads(line)["message_id"] for line in f}
+        return found
+
 
 def add_pages(df: DataFrame, path: str, name: str) -> None:
     """Append rows to a folder log (see sources.pages) as JSON lines, a page for each partition, under names that sort behind
