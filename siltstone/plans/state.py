@@ -150,8 +150,8 @@ def overdue_queries_stream(spark, folder):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     try:
         for part in (rows.where(F.col("at") <= F.lit(cuts["p"][0])), rows.where(F.col("at") > F.lit(cuts["p"][0])).unionByName(closing)):
-            part.coalesce(1).write.mode("append").parquet(f"{at}/in")
-            stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", "1").parquet(f"{at}/in")
+            part.write.mode("append").parquet(f"{at}/in")  # a half is a micro-batch
+            stream = spark.readStream.schema(rows.schema).parquet(f"{at}/in")
             streams.drain(alerts.overdue_alerts(stream), f"{at}/c", f"{at}/out")
     finally:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
