@@ -1,10 +1,12 @@
 """Phrase collocation mining over vertical positional inverted lists (operator 13).
 
-Texts become lists once: for each block of texts, language and word, the sorted positions of its occurrences. Positions count
-words through the block and skip one at each end of a piece, so words are adjacent if their positions differ by one. Level by
-level, a block extends the frequent phrases that it holds by merging their positions with those of the words behind them; the
-length of the new list is the phrase's frequency in the block, Spark sums it over all blocks, and answers which phrases are
-frequent go back to their blocks. A phrase is only tried if both phrases of one word less in it are frequent.
+Texts become lists: for each block of texts, language and word, the sorted positions of its occurrences. Positions count words
+through the block and skip one at each end of a piece, so words are adjacent if their positions differ by one. Level by level,
+a block extends the phrases that it holds by merging their positions with those of the words behind them; how many are left is
+the phrase's frequency in the block, and Spark sums it over all blocks. A phrase is only tried if both phrases of one word less
+in it may be frequent: the frequent ones of a level are marked in a bitmap of fixed size that goes to all tasks. It forgets
+none; a phrase that it lets through in vain is counted in full and dropped. Lists are made anew at each level, which costs
+less than to keep and shuffle them.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pandas.util import hash_array
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,7 +27,10 @@ from .common import Scratch, materialize, text_chunks
 PIECE_ENDS = b".,;:!?\x0a\x0b\x0c\x0d"
 _SIGNS = bytes.maketrans(PIECE_ENDS + b"\t", b"\n" * len(PIECE_ENDS) + b" ")
 LISTS = "block long, lang string, word string, n long, positions array<int>"
-COUNTS = "block long, lang string, phrase string, n long"
+COUNTS = "lang string, phrase string, n long"
+#: Marks of the frequent phrases of a level: 16 MB, however many there are.
+MARK_BITS = 27
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _lists(texts: list[str | None]) -> tuple[pa.Array, pa.Array, pa.ListArray]:
@@ -45,92 +51,131 @@ def _lists(texts: list[str | None]) -> tuple[pa.Array, pa.Array, pa.ListArray]:
     return words.dictionary, pa.array(counts.astype(np.int64)), lists
 
 
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
+
+
+def _block_lists(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[tuple[str, pa.Array, pa.Array, pa.ListArray]]:
+    """lang, words, n and lists of each language of each block."""
+    for chunk in text_chunks(batches, limit=block_bytes):
+        langs = chunk.column("lang").dictionary_encode()
+        for code, lang in enumerate(langs.dictionary.to_pylist()):
+            yield lang, *_lists(chunk.column("text").filter(pc.equal(langs.indices, code)).to_pylist())
+
+
 def positional_lists(docs: DataFrame, block_bytes: int = 16 << 20) -> DataFrame:
     """The inverted lists of all texts, in blocks of about `block_bytes` of text; a longer text is a block of its own.
 
-    A block is what one task reads in a row, so no text is shuffled. Null texts are empty; a null lang is `und`.
+    A block is what one task reads in a row, so no text is shuffled. Null texts are empty; a null lang is `und`. A block's
+    languages have numbers of their own.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = TaskContext.get().partitionId() << 32
-        for chunk in text_chunks(batches, limit=block_bytes):
-            langs = chunk.column("lang").dictionary_encode()
-            for code, lang in enumerate(langs.dictionary.to_pylist()):
-                words, n, lists = _lists(chunk.column("text").filter(pc.equal(langs.indices, code)).to_pylist())
-                for at in range(0, len(words), 20_000):
-                    part = slice(at, at + 20_000)
-                    size = len(words[part])
-                    yield pa.RecordBatch.from_arrays([pa.array([block] * size, pa.int64()), pa.array([lang] * size, pa.string()), words[part], n[part], lists[part]], names=["block", "lang", "word", "n", "positions"])
-            block += 1
+        for block, (lang, words, n, lists) in enumerate(_block_lists(batches, block_bytes), TaskContext.get().partitionId() << 32):
+            for at in range(0, len(words), 20_000):
+                part = slice(at, at + 20_000)
+                size = len(words[part])
+                yield pa.RecordBatch.from_arrays([pa.array([block] * size, pa.int64()), pa.array([lang] * size, pa.string()), words[part], n[part], lists[part]], names=["block", "lang", "word", "n", "positions"])
 
-    return docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text")).mapInArrow(run, LISTS)
+    return _texts(docs).mapInArrow(run, LISTS)
 
 
-def _occurrences(phrases: np.ndarray, position: np.ndarray, word: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Where phrases (one row of word numbers each) begin, in ascending order, and which one it is.
+def _word_hashes(words: pa.Array, lang: str) -> np.ndarray:
+    given = np.array([*words.to_pylist(), lang], object)
+    hashes = hash_array(given, categorize=False)
+    return hashes[:-1] * _FACTOR + hashes[-1]
 
-    position and word are the words' lists merged into ascending positions. Beginnings of phrases are extended one word at a
-    time: their positions meet those of the next word.
-    """
-    known, number = np.unique(phrases[:, 0], return_inverse=True)
-    code = np.searchsorted(known, word)
-    hit = known[np.minimum(code, len(known) - 1)] == word
-    begin, code = position[hit], code[hit]
-    for k in range(1, phrases.shape[1]):
-        known, number = np.unique(number * n_words + phrases[:, k], return_inverse=True)
-        at = np.minimum(np.searchsorted(position, begin + k), len(position) - 1)
-        hit = position[at] == begin + k
-        begin, pair = begin[hit], code[hit] * n_words + word[at[hit]]
-        code = np.minimum(np.searchsorted(known, pair), len(known) - 1)
-        hit = known[code] == pair
-        begin, code = begin[hit], code[hit]
-    row = np.empty(len(known), np.int64)
-    row[number] = np.arange(len(phrases))
-    return begin, row[code]
-
-
-def _longer(words: pa.Array, lists: pa.ListArray, phrases: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """Phrases of one word more in which both shorter ones are given, and how often each occurs in the block."""
-    word = np.repeat(np.arange(len(words)), np.diff(lists.offsets.to_numpy()))
-    position = lists.flatten().to_numpy().astype(np.int64)
+
+def _places(hashes: np.ndarray) -> np.ndarray:
+    """Where phrases are marked; a phrase's hash is that of its words less the last, times a factor, plus the last one's."""
+    mixed = (hashes ^ (hashes >> np.uint64(29))) * _FACTOR
+    return mixed >> np.uint64(64 - MARK_BITS)
+
+
+def _marked(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    at = _places(hashes)
+    return (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
+
+
+def _phrases(words: pa.Array, lists: pa.ListArray, lang: str, marks: list[np.ndarray]) -> tuple[pa.Array, np.ndarray]:
+    """The phrases of a block of one word more than there are levels of marks, and how often each occurs; only those whose
+    shorter phrases are all marked."""
+    hashes = _word_hashes(words, lang)
+    word = np.repeat(np.arange(len(words), dtype=np.int32), np.diff(lists.offsets.to_numpy()))
+    position = lists.flatten().to_numpy()
     order = np.argsort(position)
-    parts = pc.index_in(pc.split_pattern(phrases, " ").flatten(), words).to_numpy().astype(np.int64).reshape(len(phrases), -1)
-    begin, which = _occurrences(parts, position[order], word[order], len(words))
-    follows = begin[1:] == begin[:-1] + 1
-    pairs, n = np.unique(which[:-1][follows] * len(phrases) + which[1:][follows], return_counts=True)
-    first, second = pairs // len(phrases), pairs % len(phrases)
-    return pc.binary_join_element_wise(phrases.take(pa.array(first)), words.take(pa.array(parts[second, -1])), " "), n
+    position, word = position[order], word[order]
+    alive, follows = _marked(marks[0], hashes)[word], np.diff(position) == 1
+    del order, position
+    reached = hashes[word] if len(marks) > 1 else None
+    for k, bits in enumerate([*marks[1:], None], 1):
+        n = max(0, len(word) - k)  # phrases of k + 1 words, by where they begin
+        alive = alive[:n] & alive[1 : n + 1] & follows[:n]
+        if bits is not None:
+            reached = reached[:n] * _FACTOR + hashes[word[k:]]
+            alive[alive] = _marked(bits, reached[alive])
+    begin = np.flatnonzero(alive)
+    parts, number = [word[begin]], word[begin].astype(np.int64)
+    for k in range(1, len(marks) + 1):
+        last = word[begin + k]
+        pairs, first, number = np.unique(number * len(words) + last, return_index=True, return_inverse=True)
+        parts.append(last)
+    n = np.bincount(number, minlength=len(pairs))
+    return pc.binary_join_element_wise(*(words.take(pa.array(p[first])) for p in parts), " "), n
+
+
+def _counts(docs: DataFrame, marks: list, block_bytes: int = 6 << 20) -> DataFrame:
+    """lang, phrase, n of each block, for phrases of one word more than there are levels of marks (broadcast)."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = [np.frombuffer(m.value, np.uint8) for m in marks]
+        for lang, words, n, lists in _block_lists(batches, block_bytes):
+            found = words
+            if bits and len(words):
+                found, n = _phrases(words, lists, lang, bits)
+            for at in range(0, len(found), 100_000):
+                part = slice(at, at + 100_000)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found[part]), pa.string()), found[part], pa.array(n[part], pa.int64())], names=["lang", "phrase", "n"])
 
-def _extend(key: tuple, lists: pa.Table, frequent: pa.Table) -> pa.Table:
-    out = []
-    for lang in frequent.column("lang").unique().to_pylist():
-        own, asked = (t.filter(pc.equal(t.column("lang"), lang)).combine_chunks() for t in (lists, frequent))
-        found, n = _longer(own.column("word").combine_chunks(), own.column("positions").combine_chunks(), asked.column("phrase").combine_chunks())
-        out.append(pa.table({"block": pa.array([key[0].as_py()] * len(found), pa.int64()), "lang": pa.array([lang] * len(found), pa.string()), "phrase": found, "n": pa.array(n.astype(np.int64))}))
-    return pa.concat_tables(out) if out else pa.table({c: pa.array([], t) for c, t in (("block", pa.int64()), ("lang", pa.string()), ("phrase", pa.string()), ("n", pa.int64()))})
+    return _texts(docs).mapInArrow(run, COUNTS)
 
 
-def _frequent(counts: DataFrame, least: int) -> DataFrame:
-    """Each block's phrases that occur `least` times or more in all blocks together, with that number f.
+def _marks(frequent: DataFrame) -> bytes:
+    """The bitmap of a level's frequent phrases (lang, phrase), put together by Spark in pages of 4 KB."""
 
-    A phrase has one row a block at most. Sorting by a hash first spares comparing strings.
-    """
-    dealt = counts.repartition("lang", "phrase").withColumn("h", F.xxhash64("phrase", "lang"))
-    f = F.sum("n").over(Window.partitionBy("h", "lang", "phrase"))
-    return dealt.withColumn("f", f).where(F.col("f") >= least).select("block", "lang", "phrase", "f")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            langs = batch.column("lang").dictionary_encode()
+            for code, lang in enumerate(langs.dictionary.to_pylist()):
+                parts = pc.split_pattern(batch.column("phrase").filter(pc.equal(langs.indices, code)), " ")
+                hashes = _word_hashes(parts.flatten(), lang).reshape(len(parts), -1)
+                reached = hashes[:, 0]
+                for k in range(1, hashes.shape[1]):
+                    reached = reached * _FACTOR + hashes[:, k]
+                yield pa.RecordBatch.from_arrays([pa.array(_places(reached).astype(np.int64))], names=["at"])
+
+    # Spark's pages count from 1, and places from 1 on in them
+    places = frequent.select("lang", "phrase").mapInArrow(run, "at long").select((F.col("at") + 1).alias("at"))
+    pages = places.groupBy(F.bitmap_bucket_number("at").alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+    out = bytearray(1 << (MARK_BITS - 3))
+    for page in pages.collect():  # 16 MB at most
+        out[(page["page"] - 1) * len(page["bits"]) : page["page"] * len(page["bits"])] = page["bits"]
+    return bytes(out)
 
 
 def frequent_phrases(docs: DataFrame, scratch: Scratch, longest: int, least: int) -> tuple[list[DataFrame], DataFrame]:
     """For 1 to `longest` words, the phrases that occur `least` times or more (lang, phrase, f); and lang, n (all words)."""
-    lists = scratch(positional_lists(docs), "lists")
-    counts, tables = lists.selectExpr("block", "lang", "word AS phrase", "n"), []
+    context, tables, marks = docs.sparkSession.sparkContext, [], []
+    counts = _counts(docs, marks).groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
+    words = scratch(counts, "words")
     for k in range(1, longest + 1):
-        held = scratch(_frequent(counts, least), f"frequent-{k}")
-        tables.append(held.groupBy("lang", "phrase").agg(F.max("f").alias("f")))
-        if k < longest:
-            counts = lists.select("block", "lang", "word", "positions").groupBy("block").cogroup(held.select("block", "lang", "phrase").groupBy("block")).applyInArrow(_extend, COUNTS)
-    return tables, lists.groupBy("lang").agg(F.sum("n").alias("n"))
+        if k == 1:
+            held = words.where(F.col("f") >= least)
+        else:
+            marks.append(context.broadcast(_marks(held)))
+            held = scratch(_counts(docs, list(marks)).groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= least), f"frequent-{k}")
+        tables.append(held)
+    return tables, words.groupBy("lang").agg(F.sum("f").alias("n"))
 
 
 def _weakest_cut(candidates: DataFrame, known: DataFrame) -> DataFrame:
