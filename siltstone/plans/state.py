@@ -126,7 +126,7 @@ def paged_source_stream(spark, folder):
 
 @query("SELECT event_id, event_type, value FROM events")
 def paged_source_batch(spark, folder):
-    """A service's pages as a table, a partition for each page."""
+    """A service's pages as a table, a partition for each page; there are more pages, not longer ones, of a larger table."""
     at = new_folder(spark, "pages")
     events = load(spark, folder, "events").select("event_id", "event_type", "value")
     sinks.add_pages(events.repartitionByRange(6, "event_id"), f"{at}/log", "0")

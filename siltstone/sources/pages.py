@@ -53,7 +53,7 @@ def _service(options) -> Service:
 
 
 def _tuples(rows: list[dict], schema: StructType) -> Iterator[tuple]:
-    return iter([tuple(r.get(c) for c in schema.names) for r in rows])
+    return (tuple(r.get(c) for c in schema.names) for r in rows)
 
 
 class _From(InputPartition):

@@ -207,12 +207,12 @@ class FolderReceiver:
         return found
 
 
-def add_pages(df: DataFrame, path: str, name: str) -> None:
-    """Append rows to a folder log (see sources.pages) as JSON lines, a page for each partition, under names that sort behind
-    those of smaller `name`."""
+def add_pages(df: DataFrame, path: str, name: str, rows_a_page: int = 50_000) -> None:
+    """Append rows to a folder log (see sources.pages) as JSON lines, a page for each partition's every `rows_a_page` rows, under
+    names that sort behind those of smaller `name`. Who reads a page holds it whole, so a page doesn't grow with its table."""
     spark = df.sparkSession
     aside = f"{path.rstrip('/')}/_{name}"
-    df.write.json(aside)
+    df.write.option("maxRecordsPerFile", rows_a_page).json(aside)
     jvm = spark._jvm.org.apache.hadoop.fs
     folder = jvm.Path(aside)
     fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
