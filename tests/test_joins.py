@@ -36,6 +36,28 @@ def test_overlap_join_of_nothing(spark):
     assert intervals.overlap_join(none, none.toDF("j", "s2", "e2"), ("s", "e"), ("s2", "e2")).collect() == []
 
 
+def test_overlap_join_shuffles_only_what_can_meet(spark):
+    """Intervals shorter than all of the other side meet at the other's level only, not at their own."""
+    left = spark.range(2000).selectExpr("id i", "timestamp_seconds(id * 60) s", "timestamp_seconds(id * 60 + 2) e")
+    right = spark.range(50).selectExpr("id j", "timestamp_seconds(id * 2400) s2", "timestamp_seconds(id * 2400 + 3600) e2")
+    context = spark.sparkContext._jsc.sc()
+
+    def shuffled():
+        context.listenerBus().waitUntilEmpty()
+        stages = context.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), spark._jvm.java.util.ArrayList())
+        return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = intervals.overlap_join(left, right, ("s", "e"), ("s2", "e2"))
+        before = shuffled()
+        rows = found.count()
+        assert rows == sum(60 * i < 2400 * j + 3600 and 2400 * j < 60 * i + 2 for i in range(2000) for j in range(50))
+        assert shuffled() - before < 3000, shuffled() - before  # each left row once, each right one twice at most, and counts
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_half_of_all_rows_on_one_key(spark):
     """No task of the join gets over twice the mean; the result is that of a plain join."""
     left = spark.range(200_000).select(F.when(F.col("id") % 2 == 0, 7).when(F.col("id") % 97 == 0, None).otherwise(F.col("id") % 5000).alias("k"), "id")
