@@ -66,11 +66,15 @@ def copy_into(spark: SparkSession, path: str, target: str, format: str, columns:
 
 
 def loaded(spark: SparkSession, target: str, loads: DataFrame | None = None) -> DataFrame:
-    """The rows of a table of copy_into(): those of loads that are in the ledger, or of `loads` (load_id)."""
+    """The rows of a table of copy_into(): those of loads that are in the ledger, or of `loads` (load_id).
+
+    The list of loads, one row for each run or portion of files, is broadcast; a shuffle would send all rows of a load to one
+    task.
+    """
     target = target.rstrip("/")
     counted = (spark.read.schema(LEDGER).parquet(f"{target}/_loaded") if loads is None else loads).select("load_id").distinct()
     data = spark.read.option("mergeSchema", "true").parquet(f"{target}/data").withColumn("load_id", F.col("load_id").cast("string"))
-    return data.join(counted, "load_id", "left_semi").drop("load_id")
+    return data.join(F.broadcast(counted), "load_id", "left_semi").drop("load_id")
 
 
 def _maybe(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame | None:

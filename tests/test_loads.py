@@ -53,6 +53,16 @@ def test_merge_feed_reads_what_is_new(spark):
     assert "> 1" in plan  # a literal, not a join
 
 
+def test_rows_of_one_load_stay_in_many_tasks(spark, tmp_path):
+    """All rows of a load have one load_id; they must not meet in the task that holds it."""
+    spark.range(0, 400, 1, 4).write.parquet(f"{tmp_path}/raw")
+    assert files.copy_into(spark, f"{tmp_path}/raw", f"{tmp_path}/t", "parquet") == 4
+    ids = [(r[0],) for r in spark.read.parquet(f"{tmp_path}/t/_loaded").select("load_id").distinct().collect()]
+    rows = files.loaded(spark, f"{tmp_path}/t", spark.createDataFrame(ids, "load_id string"))
+    assert len(ids) == 1 and sorted(r.id for r in rows.collect()) == list(range(400))
+    assert rows.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+
+
 def test_ingest_tasks_merge_new_files(spark, tmp_path):
     root, target = str(tmp_path / "raw"), str(tmp_path / "t")
     spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string").coalesce(1).write.option("sep", ";").option("header", "true").csv(f"{root}/x")
