@@ -78,7 +78,7 @@ class Outbox:
 
     With `tasks`, so many tasks send at once, in chunks of ascending ids, and nothing passes through the driver; `send` and
     `known` are pickled then. A task whose receiver fails ends there and the others go on; what was sent is acknowledged
-    together at the end, then the failure is raised. A driver that dies before leaves up to a batch that was sent and not
+    together at the end, then all failures are raised as one. A driver that dies before leaves up to a batch that was sent and not
     acknowledged, for which `known` or the receiver makes up as above.
     """
 
@@ -163,9 +163,9 @@ class Outbox:
         path = f"{self.path}/acknowledged/batch={batch_id}"
         dealt = open_.select("message_id", "body", "copies").repartitionByRange(self.tasks, "message_id").sortWithinPartitions("message_id")
         dealt.mapInArrow(run, self.SAID).write.mode("append").parquet(path)
-        result = self.spark.read.schema(self.SAID).parquet(path).where(F.col("attempt") == attempt).agg(F.count_if("fresh").alias("sent"), F.max("error").alias("error")).first()
-        if result["error"] is not None:
-            raise ConnectionError(result["error"])
+        result = self.spark.read.schema(self.SAID).parquet(path).where(F.col("attempt") == attempt).agg(F.count_if("fresh").alias("sent"), F.sort_array(F.collect_set("error")).alias("errors")).first()
+        if result["errors"]:
+            raise ConnectionError("; ".join(result["errors"]))
         return result["sent"]
 
 
@@ -174,6 +174,8 @@ class FolderReceiver:
     id, so that only files whose ids may be among those asked for are read. For folders that all executors mount. With
     `breaks` it fails once, after a chunk was received."""
 
+    BREAK = "after it was received, before it was acknowledged"
+
     def __init__(self, path: str, breaks: bool = False):
         self.path, self.breaks = path.removeprefix("file://"), breaks
 
@@ -190,10 +192,7 @@ class FolderReceiver:
                 os.close(os.open(os.path.join(self.path, "_broken"), os.O_CREAT | os.O_EXCL))
             except FileExistsError:
                 return
-            raise ConnectionError("after it was received, before it was acknowledged")
-
-    def broken(self) -> bool:
-        return os.path.exists(os.path.join(self.path, "_broken"))
+            raise ConnectionError(self.BREAK)
 
     def known(self, ids: list[str]) -> set[str]:
         asked, low, high = set(ids), min(ids), max(ids)
